@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -82,7 +83,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
     """Cut record batches so that each holds about `most` bytes of text; a longer text comes alone."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
+        size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
         total = np.cumsum(size)
         at = 0
         while at < len(size):

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import sharding
+from trellica.llm import line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_line_dedup": line_dedup.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
