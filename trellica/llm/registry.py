@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import line_dedup, sharding
+from trellica.llm import line_dedup, ngram_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
