@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import line_dedup, ngram_join, sharding
+from trellica.llm import chat_format, line_dedup, mixing, ngram_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
