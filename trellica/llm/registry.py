@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import chat_format, line_dedup, mixing, ngram_join, sharding
+from trellica.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
