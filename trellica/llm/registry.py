@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, sharding
+from trellica.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_ngram_join": ngram_join.op8_ngram_join,
