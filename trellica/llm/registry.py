@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, toxicity
+from trellica.llm import chat_format, decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_quality": quality.op4_quality,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE,
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
