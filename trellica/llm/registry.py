@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import chat_format, decontaminate, embedding_dedup, line_dedup, mixing, ngram_join, quality, sharding, toxicity
+from trellica.llm import chat_format, decontaminate, embedding_dedup, line_dedup, lm_score, mixing, ngram_join, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_quality": quality.op4_quality,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
