@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from trellica.plans import align_queries
+
+QUERIES = {**align_queries.QUERIES}
+ORACLES = {**align_queries.ORACLES}
+FLAGSHIP = "edit_distance_auto_route"
