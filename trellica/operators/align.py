@@ -126,6 +126,11 @@ def bit_vector_distance(query: Column, target: Column) -> Column:
     return F.when(F.length(query) <= 64, F.levenshtein(query, target))
 
 
+def spread(pairs: DataFrame, key: str = "pair_index") -> DataFrame:
+    """pairs dealt evenly: a row's cost is the product of its lengths, which no size in bytes shows."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def validated(pairs: DataFrame, scoring: Scoring) -> DataFrame:
     """pairs with an `error` column; query and target are null where it is set, so that no kernel sees them."""
     bad = F.lit(None).cast("string")
@@ -168,7 +173,7 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
     scoring = mode_scoring(mode, scoring or Scoring())
     engine = engine or ("auto" if mode == "edit-distance" else "hcp")
     check_options(mode, engine, block_size, score_only, band)
-    df = validated(pairs, scoring)
+    df = validated(spread(pairs), scoring)
     if fail_fast:
         df = df.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.lit(None).cast("string")))
     query, target = F.col("query"), F.col("target")
