@@ -70,12 +70,12 @@ def score_column(mode: str, scoring: Scoring, query: Column, target: Column, ban
     return on_pairs(run, kind)(query, target)
 
 
-def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, block: Column, band: int | None = None) -> Column:
+def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, block: Column, band: Column | None = None) -> Column:
     """struct<score, query_start, query_end, target_start, target_end, cigar> with an exact optimal path."""
     s = mode_scoring(mode, scoring)
     kind = "struct<score bigint, query_start bigint, query_end bigint, target_start bigint, target_end bigint, cigar string>"
 
-    def run(pairs: list, blocks: list) -> pa.Array:
+    def run(pairs: list, blocks: list, bands: list) -> pa.Array:
         table = s.table()
         sign = [(len(p[0]), len(p[1])) for p in pairs]
         ends = np.array([(0, 0, n, 0, m) for n, m in sign], np.int64).reshape(-1, 5)
@@ -86,10 +86,10 @@ def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, blo
         elif mode != "global-affine":
             ends[:, 0] = K.global_scores(pairs, table, s.gap)[:, 0]
         ops: list[str | None] = []
-        for k, ((q, t), block_) in enumerate(zip(pairs, blocks, strict=True)):
+        for k, ((q, t), block_, band_) in enumerate(zip(pairs, blocks, bands, strict=True)):
             q, t = np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8)
             if mode == "global-affine":
-                found = K.trace_affine(q, t, table, s.gap_open, s.gap_extend, band)
+                found = K.trace_affine(q, t, table, s.gap_open, s.gap_extend, band_)
                 ends[k, 0], path = found or (K.NEG, None)
                 ops.append(None if path is None else K.runs(path))
             else:
@@ -97,7 +97,7 @@ def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, blo
                 ops.append(K.runs(K.trace_linear(q, t, table, s.gap, block_, (int(a), int(p), int(b), int(c)))))
         return structs(score=ends[:, 0], query_start=ends[:, 1], query_end=ends[:, 2], target_start=ends[:, 3], target_end=ends[:, 4], cigar=np.array(ops, object))
 
-    return on_pairs(run, kind)(query, target, block)
+    return on_pairs(run, kind)(query, target, block, F.lit(None).cast("int") if band is None else band)
 
 
 def auto_band(query: Column, target: Column) -> Column:
@@ -136,9 +136,9 @@ def validated(pairs: DataFrame, scoring: Scoring) -> DataFrame:
     bad = F.lit(None).cast("string")
     for side in ("target", "query"):
         text = F.col(side)
-        bad = F.when(text.rlike(r"[^\x00-\x7F]"), F.format_string(f"{side} %s: not ASCII", F.col(f"{side}_id"))).otherwise(bad)
         if scoring.foreign():
             bad = F.when(text.rlike(scoring.foreign()), F.format_string(f"{side} %s: symbol outside matrix {scoring.matrix.name}", F.col(f"{side}_id"))).otherwise(bad)
+        bad = F.when(text.rlike(r"[^\x00-\x7F]"), F.format_string(f"{side} %s: not ASCII", F.col(f"{side}_id"))).otherwise(bad)
         bad = F.when(text.isNull(), F.format_string(f"{side} %s: no sequence", F.col(f"{side}_id"))).otherwise(bad)
     out = pairs.withColumn("error", bad)
     return out.withColumns({f"{s}_length": F.length(s) for s in ("query", "target")} | {s: F.when(F.col("error").isNull(), F.col(s)) for s in ("query", "target")})
@@ -162,13 +162,14 @@ def check_options(mode: str, engine: str, block_size: int | None, score_only: bo
         raise ValueError("fixed-banded needs a band")
 
 
-def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None = None, engine: str | None = None, block_size: int | None = None, band: int | None = None, score_only: bool = False, verify: bool = False, verify_limit: int = VERIFY_LIMIT, fail_fast: bool = False) -> DataFrame:
+def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None = None, engine: str | None = None, block_size: int | None = None, band: int | None = None, score_only: bool = False, verify: bool = False, verify_limit: int = VERIFY_LIMIT, fail_fast: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One result row per pair: objective, coordinates, operations as a run-length string, re-score and verification.
 
     A pair that cannot be aligned keeps its row, with `error` set and status `failed`; with fail_fast the query fails
     instead. `score` is the objective of the scoring modes, `distance` of edit-distance. `path_score` is computed from the
     aligned symbols alone; status is `full` if it equals the objective of an independent score kernel too, `path_only` if
-    only the path was checked, `score_only` without a path, `failed` if anything disagrees.
+    only the path was checked, `score_only` without a path, `failed` if anything disagrees. Columns named in keep pass
+    through. The transform has no state, so pairs may also be a stream.
     """
     scoring = mode_scoring(mode, scoring or Scoring())
     engine = engine or ("auto" if mode == "edit-distance" else "hcp")
@@ -190,13 +191,13 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
             value = banded_distance(query, target, band).cast("long")
         df = df.withColumns({"__objective": value, "query_start": F.lit(0), "query_end": F.length(query), "target_start": F.lit(0), "target_end": F.length(target), "cigar": F.lit(""), "path_score": F.lit(None).cast("long")})
     else:
-        affine_band = (band if band is not None else AFFINE_BAND) if mode == "global-affine" and engine in ("wavefront", "auto") else None
+        affine_band = F.when(F.col("backend") == "wavefront", band if band is not None else AFFINE_BAND)
         df = df.withColumn("__trace", trace_column(mode, scoring, query, target, F.coalesce(F.when(F.col("backend") == "hcp-linear", 1), F.col("block_size").cast("int"), F.lit(0)), affine_band))
         df = df.withColumns({"__objective": F.when(F.col("__trace.cigar").isNotNull(), F.col("__trace.score") * sign)} | {c: F.col(f"__trace.{c}") for c in ("query_start", "query_end", "target_start", "target_end", "cigar")})
         df = df.withColumn("aligned_query", C.aligned(F.col("cigar"), query, F.col("query_start").cast("int"), "I")).withColumn("aligned_target", C.aligned(F.col("cigar"), target, F.col("target_start").cast("int"), "D"))
         df = df.withColumn("path_score", C.rescore(F.col("cigar"), F.col("aligned_query"), F.col("aligned_target"), scoring, mode == "global-affine") * sign)
     df = df.withColumn("error", F.coalesce("error", F.when(F.col("__objective").isNull(), F.lit("no alignment inside the band"))))
-    return verified(df, mode, scoring, score_only, sign, verify)
+    return verified(df, mode, scoring, score_only, sign, verify, keep)
 
 
 def routed(df: DataFrame, mode: str, engine: str, block_size: int | None, band: int | None) -> tuple[DataFrame, Column, Column]:
@@ -219,7 +220,7 @@ def routed(df: DataFrame, mode: str, engine: str, block_size: int | None, band:
     return df, F.lit(block_size) if block_size else block_rows(query), none
 
 
-def verified(df: DataFrame, mode: str, scoring: Scoring, score_only: bool, sign: int, verify: bool) -> DataFrame:
+def verified(df: DataFrame, mode: str, scoring: Scoring, score_only: bool, sign: int, verify: bool, keep: tuple[str, ...]) -> DataFrame:
     """Adds score or distance, verification_status and verified, and puts the columns in order."""
     objective, path = F.col("__objective"), F.col("path_score")
     baseline = F.lit(None).cast("long")
@@ -238,7 +239,7 @@ def verified(df: DataFrame, mode: str, scoring: Scoring, score_only: bool, sign:
         F.lit(SCHEMA_VERSION).alias("schema_version"), "pair_index", "query_id", "target_id", F.lit(mode).alias("mode"),
         (none if distance else objective).alias("score"), (objective if distance else none).alias("distance"), "path_score", "verification_status", "verified",
         *[F.col(c).cast("long").alias(c) for c in ("query_start", "query_end", "target_start", "target_end")], "cigar", "backend", "block_size",
-        (C.total(F.col("cigar"), "=XDI") + F.lit(0 if score_only else 1)).alias("path_length"), *names, "error", "query_length", "target_length", "query", "target",
+        (C.total(F.col("cigar"), "=XDI") + F.lit(0 if score_only else 1)).alias("path_length"), *names, "error", "query_length", "target_length", "query", "target", *keep,
     )
 
 
