@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellica.llm._classify import fold
@@ -41,6 +41,25 @@ def from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+#: Texts travel to their blocks as zstd frames: they are shuffled twice, and the shuffle's own codec packs them less.
+CODEC = "zstd"
+
+
+def packed(text: Column) -> Column:
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        codec = pa.Codec(CODEC, compression_level=1)
+        return pa.array([codec.compress(x, asbytes=True) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return run(text)
+
+
+def unpacked(rows: pa.RecordBatch | pa.Table) -> pa.Array:
+    codec = pa.Codec(CODEC)
+    both = zip(rows["packed"].to_pylist(), rows["size"].to_pylist(), strict=True)
+    return pa.array([codec.decompress(x, n, asbytes=True) for x, n in both], pa.binary()).cast(pa.large_string())
+
+
 def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the hash of the n-gram that ends at each token (words, then one end), and tokens per text.
 
@@ -71,7 +90,7 @@ def ask(order: int, bits: int) -> Callable:
     """Group task: a block's documents to its distinct n-grams and their counts, one row per fragment."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.concatenate(grams(batch.column("text"), order)[0]) for batch in batches]
+        found = [np.concatenate(grams(unpacked(batch), order)[0]) for batch in batches]
         h, n = np.unique(np.concatenate(found), return_counts=True)
         at = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(HASH_BITS - bits)).tolist() + [len(h)]
         block = key[0].as_py()
@@ -152,7 +171,7 @@ def histogram(order: int, total: float, types: float) -> Callable:
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64() if c in ("cell", "n") else pa.float64()) for c in names})
         replies = right.sort_by("part")["others"].to_pylist()
-        parts, bucket, _, _ = estimates(left["text"].combine_chunks(), order, replies, total, types)
+        parts, bucket, _, _ = estimates(unpacked(left), order, replies, total, types)
         cell = bucket
         for f in parts[:-1]:
             cell = cell * 64 + np.where(f > 0, np.clip(60 + np.round(6 * np.log10(np.maximum(f, 1e-10))), 1, 63), 0).astype(np.int64)
@@ -185,7 +204,7 @@ def scores(order: int, total: float, types: float, weights: np.ndarray) -> Calla
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"id": left["id"][:0], "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        parts, bucket, tokens, single = estimates(left["text"].combine_chunks(), order, right.sort_by("part")["totals"].to_pylist(), total, types)
+        parts, bucket, tokens, single = estimates(unpacked(left), order, right.sort_by("part")["totals"].to_pylist(), total, types)
         first = np.cumsum(tokens) - tokens
         add = lambda x: np.add.reduceat(x, first)
         return pa.table({"id": left["id"], "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": pa.array(add((single > 0).astype(np.int64))), "base_score": pa.array(add(np.log10(parts[-1]))), "score": pa.array(add(np.log10((weights[bucket].T * parts).sum(0))))})
@@ -208,7 +227,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bits = min(15, max(6, int(size // fragment_bytes).bit_length()))
     kind = F.least(rest, F.lit(REST))
     deal = F.pmod(F.xxhash64(doc_id, F.lit(1)), F.when(kind == REST, blocks).otherwise(max(1, blocks // 8)))
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (deal * 3 + kind).cast("bigint").alias("block"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("id"), packed(whole).alias("packed"), F.octet_length(whole).alias("size"), (deal * 3 + kind).cast("bigint").alias("block"))
     asked = rows.groupBy("block").applyInArrow(ask(order, bits), "part int, block bigint, grams binary, counts binary")
     replies = cut(asked.repartition(1 << bits, "part").mapInArrow(answer, "part int, block bigint, totals binary, others binary, types bigint, tokens bigint, other_tokens bigint"))
     types, total, other = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "other_tokens")]).first()
@@ -217,6 +237,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cells = rows.where(deleted).groupBy("block").cogroup(replies.where(deleted).select("part", "block", "others").groupBy("block")).applyInArrow(histogram(order, other, types), f"cell bigint, n bigint, {fields}")
     table_ = cells.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(f"f{i}").alias(f"f{i}") for i in range(order + 1)]).toArrow().to_pandas()
     weights = learn_weights(table_["cell"].to_numpy(np.int64), table_["n"].to_numpy(float), table_[[f"f{i}" for i in range(order + 1)]].to_numpy(float), order)
+    if not total:
+        weights = np.eye(order + 1)[[order] * len(weights)]
     kind_of = docs.schema[doc_id].dataType.simpleString()
     scored = rows.groupBy("block").cogroup(replies.select("part", "block", "totals").groupBy("block")).applyInArrow(scores(order, total, types, weights), f"id {kind_of}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("id", (fold("id", held_parts) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
