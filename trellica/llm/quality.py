@@ -39,6 +39,15 @@ def features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return text, bucket, value / norm[text]
 
 
+def sample_features(texts: list[str], buckets: int, piece: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of many texts, a few at a time and in narrow types, which bounds the memory of the driver."""
+    parts = []
+    for a in range(0, len(texts), piece):
+        text, bucket, value = features(pa.array(texts[a : a + piece], pa.string()), buckets)
+        parts.append(((text + a).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 @dataclass
 class CumulativeLink:
     """Shared weights and ordered thresholds between the grades."""
@@ -65,7 +74,7 @@ def train(texts: list[str], grades: list[int], shares: dict[int, float] | None =
     if len(names) < 2:
         return CumulativeLink(names or [0], np.zeros(buckets), np.zeros(0))
     y = np.searchsorted(names, grades)
-    text, bucket, value = features(pa.array(texts, pa.string()), buckets)
+    text, bucket, value = sample_features(texts, buckets)
     first = np.searchsorted(text, np.arange(len(texts) + 1))
     weight = np.ones(len(y))
     if shares:
@@ -125,7 +134,7 @@ def grade(docs: DataFrame, model: CumulativeLink, text: str = "text", cut_grade:
     return docs.withColumn("__grade", run(F.col(text))).select(*docs.columns, "__grade.expected_grade", "__grade.p_tail")
 
 
-def quality(docs: DataFrame, ratings: DataFrame, rating: str = "quality", doc_id: str = "doc_id", text: str = "text", held_parts: int = 5, most_per_grade: int = 3000, most_bytes: int = 10_000, select: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, ratings: DataFrame, rating: str = "quality", doc_id: str = "doc_id", text: str = "text", held_parts: int = 5, most_per_grade: int = 2000, most_bytes: int = 8_000, select: float = 0.5) -> DataFrame:
     """docs with held_out, expected_grade, p_tail (probability of the highest grade) and kept (p_tail >= select).
 
     Learns from a bounded sample of rated rows outside the held-out fold, the same number for each grade at most, weighted
