@@ -37,7 +37,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         table = np.full(size, base, np.uint64)
         table[0] = 1
         have = np.multiply.accumulate(table)
-        if size <= 1 << 23:
+        if size <= 1 << 23:  # a longer table, for a single very long text, is not kept
             _POWERS[key] = have
     return have[:n]
 

@@ -25,6 +25,8 @@ from trellica.llm._store import table
 from trellica.llm._text import buffers, chunks, prefix, span_hash, words
 
 WINDOW, STEP, REPEAT = 16, 8, 3
+#: Words whose n-grams are hashed at a time, which bounds the memory of long batches.
+PIECE = 20_000
 GRAMS = (3, 4, 5)
 
 
@@ -47,7 +49,7 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int)
         owner.append(who)
     owner_, keys_ = np.concatenate(owner), np.concatenate(keys)
     order = np.argsort(owner_, kind="stable")
-    return (keys_[order] % np.uint64(buckets)).astype(np.int64), np.bincount(owner_, minlength=len(n))
+    return (keys_[order] % np.uint64(buckets)).astype(np.int32), np.bincount(owner_, minlength=len(n))
 
 
 @dataclass
@@ -64,16 +66,34 @@ class Vocabulary:
     per_word: np.ndarray
 
     @staticmethod
-    def of(texts: pa.Array, buckets: int) -> Vocabulary:
-        data, off = buffers(texts)
-        start, end, count = words(data, off)
-        _, first, tokens = np.unique(span_hash(prefix(data), start, end), return_index=True, return_inverse=True)
-        ids, per = subwords(data, start[first], end[first], buckets)
-        fresh = np.ones(len(tokens))
+    def of(texts: pa.Array, buckets: int, most: int = 4 << 20) -> Vocabulary:
+        """Texts are taken about `most` bytes at a time, which bounds the memory of a large sample."""
+        known, ids, per, hashes, counts = np.empty(0, np.uint64), [], [], [], []
+        for piece in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", most):
+            data, off = buffers(piece.column(0))
+            start, end, count = words(data, off)
+            word = span_hash(prefix(data), start, end)
+            fresh, first = np.unique(word, return_index=True)
+            if len(hashes):
+                new = ~np.isin(fresh, known)
+                fresh, first = fresh[new], first[new]
+            for own in np.array_split(first, len(first) // PIECE + 1):
+                bucket, n = subwords(data, start[own], end[own], buckets)
+                ids.append(bucket)
+                per.append(n)
+            known = np.concatenate((known, fresh))
+            hashes.append(word)
+            counts.append(count)
+        if not hashes:
+            return Vocabulary(*[np.empty(0, np.int64) for _ in range(5)])
+        order = np.argsort(known)
+        tokens = order[np.searchsorted(known, np.concatenate(hashes), sorter=order)] if len(known) else np.empty(0, np.int64)
+        count = np.concatenate(counts)
+        fresh = np.ones(len(tokens), np.float32)
         place = np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count)
         for back in range(1, min(REPEAT, len(tokens) - 1) + 1):
             fresh[back:][(tokens[back:] == tokens[:-back]) & (place[back:] >= back)] = 0
-        return Vocabulary(tokens, fresh, count, ids, per)
+        return Vocabulary(tokens, fresh, count, np.concatenate(ids), np.concatenate(per))
 
     def word_means(self, values: np.ndarray) -> np.ndarray:
         """Mean of a per-bucket value over each word's subwords."""
@@ -121,25 +141,49 @@ def worst(vocabulary: Vocabulary, bucket_lean: np.ndarray, bias: float) -> tuple
     return out, a, b
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 14, whole: int = 2, rate: float = 0.5, seed: int = 11) -> SubwordSoftmax:
-    """Joint Adagrad training of embeddings and softmax; without both classes the model scores 0 everywhere it can."""
+def contrast(vocabulary: Vocabulary, y: np.ndarray, buckets: int) -> np.ndarray:
+    """How much oftener toxic texts hold each bucket than clean ones: the log ratio of document shares over its error."""
+    texts = np.repeat(np.arange(len(y)), vocabulary.per_text)
+    held = np.unique(texts * len(vocabulary.per_word) + vocabulary.tokens)
+    seen = np.zeros((2, buckets))
+    word_first = np.cumsum(vocabulary.per_word) - vocabulary.per_word
+    for part in np.array_split(held, len(held) // 50_000 + 1):
+        text, word = part // len(vocabulary.per_word), part % len(vocabulary.per_word)
+        n = vocabulary.per_word[word]
+        bucket = vocabulary.buckets[np.repeat(word_first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        np.add.at(seen, (y[np.repeat(text, n)], bucket), 1)
+    share = np.log((seen + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1))
+    return (share[1] - share[0]) / np.sqrt((1 / (seen + 0.5)).sum(0))
+
+
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 12, whole: int = 0, least_steps: int = 400, rate: float = 0.5, seed: int = 11) -> SubwordSoftmax:
+    """Joint Adagrad training of embeddings and softmax; small samples get more rounds, up to `least_steps` updates.
+
+    Embeddings start from a random table plus one direction that contrasts the buckets of toxic and clean texts, so that
+    the first worst passages are already meaningful. `whole` first rounds may take up to 200 words of each text instead.
+    Without both classes the model gives the one class seen (0 without any) to every text.
+    """
     rng = np.random.default_rng(seed)
     model = SubwordSoftmax(rng.uniform(-1 / dim, 1 / dim, (buckets, dim)), rng.normal(0, 0.1, (dim, 2)), np.array([0.0, 0.0]))
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return SubwordSoftmax(np.zeros((buckets, dim)), np.zeros((dim, 2)), np.array([0.0, -8.0 if not len(y) or y[0] == 0 else 8.0]))
-    vocabulary = Vocabulary.of(pa.array(texts, pa.string()), buckets)
+    vocabulary = Vocabulary.of(pa.array(texts, pa.string()), buckets, 1 << 19)
+    model.embedding[:, 0] += 0.5 * contrast(vocabulary, y, buckets)
+    model.weights[0] += (-1.0, 1.0)
     word_first = np.cumsum(vocabulary.per_word) - vocabulary.per_word
     text_first = np.cumsum(vocabulary.per_text) - vocabulary.per_text
     square = [np.full(x.shape, 1e-6) for x in (model.embedding, model.weights, model.bias)]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    for epoch in range(epochs):
+    group = int(np.clip(len(y) // 24, 8, 256))
+    more = max(0, least_steps // max(1, len(y) // group) - epochs)
+    for epoch in range(epochs + more):
         if epoch < whole:
             a, b = text_first.copy(), text_first + np.minimum(vocabulary.per_text, 200)
         else:
             _, a, b = worst(vocabulary, *model.compact())
         order = rng.permutation(np.flatnonzero(b > a))
-        for batch in np.array_split(order, max(1, len(order) // (64 if epoch < whole else 256))):
+        for batch in np.array_split(order, max(1, len(order) // min(group, 64 if epoch < whole else 256))):
             n = b[batch] - a[batch]
             at = np.repeat(a[batch] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             token, fresh, size = vocabulary.tokens[at], vocabulary.fresh[at][:, None], np.maximum(n, WINDOW)[:, None]
@@ -185,7 +229,7 @@ def score_texts(docs: DataFrame, text: str, model: SubwordSoftmax, out: str = "s
     return docs.withColumn(out, score(F.col(text)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", held_parts: int = 5, most_toxic: int = 2000, most_clean: int = 3000, most_bytes: int = 10_000) -> SubwordSoftmax:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", held_parts: int = 5, most_toxic: int = 1500, most_clean: int = 2500, most_bytes: int = 8_000) -> SubwordSoftmax:
     """Model learnt from a bounded labelled sample outside the held-out fold; see labelled_sample()."""
     return train(*labelled_sample(docs, labels, label, doc_id, text, held_parts, {1: most_toxic, None: most_clean}, most_bytes))
 
