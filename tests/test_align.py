@@ -171,3 +171,17 @@ def test_matrix_parsing():
     for bad in ("", "A C\nA 1 2\n", "A C\nC 1 2\nA 1 2\n", "A A\nA 1 2\nA 1 2\n", "AB C\nAB 1 2\nC 1 2"):
         with pytest.raises(ValueError):
             Matrix.parse("m", bad)
+
+
+def test_split_columns_read_off_at_once_are_those_of_splitting(monkeypatch):
+    rng = np.random.default_rng(3)
+    for scoring in (EDIT, LCS, Scoring(), Scoring(1, 3, gap=-1)):
+        for _ in range(150):
+            q, t = (rng.choice(np.frombuffer(b"ACG", np.uint8), rng.integers(0, 14)) for _ in range(2))
+            block, box = int(rng.integers(1, 6)), (0, 0, len(q), len(t))
+            monkeypatch.setattr(K, "WHOLE", 4_000_000)
+            fast = K.trace_linear(q, t, scoring.table(), scoring.gap, block, box)
+            monkeypatch.setattr(K, "WHOLE", -1)
+            monkeypatch.setattr(K, "SMALL", -1)
+            assert fast == K.trace_linear(q, t, scoring.table(), scoring.gap, block, box)
+            monkeypatch.setattr(K, "SMALL", 400)

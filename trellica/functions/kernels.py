@@ -173,10 +173,47 @@ def linear_table(pair: np.ndarray, gap: int) -> np.ndarray:
     return h
 
 
+#: Cells up to which a table is filled by plain Python, and up to which whole tables replace repeated splitting.
+SMALL, WHOLE = 400, 4_000_000
+
+
+def small_table(pair: list[list[int]], width: int, gap: int) -> list[list[int]]:
+    h = [[gap * j for j in range(width + 1)]]
+    for scores in pair:
+        above, row = h[-1], [h[-1][0] + gap]
+        for j, score in enumerate(scores):
+            row.append(max(above[j] + score, above[j + 1] + gap, row[j] + gap))
+        h.append(row)
+    return h
+
+
+def leftmost_columns(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int) -> list[int]:
+    """For every row edge the smallest column at which an optimal global path can cross it.
+
+    Optimal paths cannot pass one another without meeting, so one path crosses all edges leftmost; these are the columns
+    at which repeated splitting, leftmost column first, cuts.
+    """
+    pair = table[q[:, None], t[None, :]]
+    ahead, back = linear_table(pair, gap), linear_table(pair[::-1, ::-1], gap)[::-1, ::-1]
+    best = ahead + back == ahead[-1, -1]
+    columns, at = [0], 0
+    for i in range(len(q)):
+        while True:
+            if best[i + 1, at] and ahead[i, at] + gap == ahead[i + 1, at]:
+                break
+            if at < len(t) and best[i + 1, at + 1] and ahead[i, at] + pair[i, at] == ahead[i + 1, at + 1]:
+                at += 1
+                break
+            at += 1
+        columns.append(at)
+    return columns
+
+
 def walk_linear(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int) -> str:
     """One optimal global path of a piece, preferring diagonal, then up, then left on the way back."""
     pair = table[q[:, None], t[None, :]]
-    h, pair, same = linear_table(pair, gap).tolist(), pair.tolist(), (q[:, None] == t[None, :]).tolist()
+    h = linear_table(pair, gap).tolist() if pair.size > SMALL else small_table(pair.tolist(), len(t), gap)
+    pair, same = pair.tolist(), (q[:, None] == t[None, :]).tolist()
     i, j, ops = len(q), len(t), []
     while i or j:
         if i and j and h[i][j] == h[i - 1][j - 1] + pair[i - 1][j - 1]:
@@ -205,7 +242,8 @@ def trace_linear(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int, bloc
     """Operations of an optimal path through box (row, column, row, column), in memory of one block of rows.
 
     Rows are cut into blocks of `block` (0: one block). A range of blocks is split at its middle block's edge, at the
-    leftmost column where the best scores from both sides meet; a single block is walked back.
+    leftmost column where the best scores from both sides meet; a single block is walked back. Where whole tables fit,
+    all split columns are read off at once.
     """
     edges = list(range(0, len(q), block)) + [len(q)] if block and len(q) else [0, len(q)]
 
@@ -223,7 +261,13 @@ def trace_linear(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int, bloc
                 return go(lo, mid, a, p, row, at) + go(mid, hi, row, at, b, c)
         return walk_linear(q[a:b], t[p:c], table, gap)
 
-    return go(0, len(edges) - 1, *box)
+    a, p, b, c = box
+    inner = [e for e in edges if a < e < b]
+    if not inner or (b - a) * (c - p) > WHOLE:
+        return go(0, len(edges) - 1, *box)
+    columns = leftmost_columns(q[a:b], t[p:c], table, gap)
+    stops = [(a, p), *[(e, p + columns[e - a]) for e in inner], (b, c)]
+    return "".join(walk_linear(q[i:k], t[j:m], table, gap) for (i, j), (k, m) in zip(stops[:-1], stops[1:], strict=True))
 
 
 def trace_affine(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, band: int | None) -> tuple[int, str] | None:
