@@ -77,3 +77,15 @@ def test_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [tuple(r)[1:] for r in spark.sql("SELECT * FROM status").collect()] == [("path_only", 3)]
+
+
+def test_generators(spark):
+    assert sequences.series(spark, 3).first()["series"] == [(17 * i + 11) % 31 - 15 + i % 7 - 3 for i in range(3)]
+    assert sequences.series(spark, 3, 2).first()["series"] == [(13 * i + 5) % 29 - 14 + i % 5 - 2 for i in range(2, 5)]
+    assert sequences.repeated(spark, "ACG", 7).first()["seq"] == "ACGACGA"
+    assert sequences.mutated(sequences.repeated(spark, "ACGT", 8), [0, 3, 20]).first()["seq"] == "CCGAACGT"
+
+
+def test_status_counts(spark):
+    df = spark.createDataFrame([(0, "q", "AC", "t", "A"), (1, "q", None, "t", "A"), (2, "q", "AC", "t", "C")], PAIR)
+    assert {r["status"]: r["n"] for r in reports.status_counts(align(df)).collect()} == {"path_only": 2, "failed": 1}

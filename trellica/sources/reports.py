@@ -107,3 +107,8 @@ def write_lines(lines: DataFrame, path: str, order: str = "pair_index") -> None:
 def all_sound(aligned: DataFrame) -> DataFrame:
     """(sound): true if no record failed, the exit status of a batch."""
     return aligned.agg(F.coalesce(F.bool_and(F.col("verification_status") != "failed"), F.lit(True)).alias("sound"))
+
+
+def status_counts(results: DataFrame, status: str = "verification_status") -> DataFrame:
+    """(status, n): how many results have each status."""
+    return results.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))

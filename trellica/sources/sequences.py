@@ -84,3 +84,28 @@ def dna(spark: SparkSession, n: int, step: int = 7, offset: int = 3) -> DataFram
     """(seq): a deterministic sequence of n bases, base i being number (i * step + offset) modulo 4 of ACGT."""
     bases = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda i: F.substring(F.lit("ACGT"), ((i * step + offset) % 4 + 1).cast("int"), F.lit(1)))
     return spark.range(1).select((F.array_join(bases, "") if n else F.lit("")).alias("seq"))
+
+
+def series(spark: SparkSession, n: int, offset: int | None = None) -> DataFrame:
+    """(series): a deterministic integer series of n values; with an offset, a second family that starts there.
+
+    The constants are fixed values of the benchmark inputs.
+    """
+    i = F.sequence(F.lit(0), F.lit(n - 1))
+    plain = lambda x: (x * 17 + 11) % 31 - 15 + x % 7 - 3
+    moved = lambda x: ((x + offset) * 13 + 5) % 29 - 14 + (x + offset) % 5 - 2
+    return spark.range(1).select(F.transform(i, plain if offset is None else moved).alias("series"))
+
+
+def repeated(spark: SparkSession, unit: str, n: int) -> DataFrame:
+    """(seq): the first n symbols of a unit repeated."""
+    return spark.range(1).select(F.substring(F.repeat(F.lit(unit), F.lit(n // max(len(unit), 1) + 1)), 1, n).alias("seq"))
+
+
+def mutated(records: DataFrame, positions: list[int], seq: str = "seq") -> DataFrame:
+    """records with the base at each position (of a long enough sequence) moved to the next of ACGT."""
+    out = F.col(seq)
+    for p in positions:
+        base = F.substring(out, p + 1, 1)
+        out = F.when(F.length(out) > p, F.concat(F.substring(out, 1, p), F.translate(base, "ACGT", "CGTA"), F.substring(out, p + 2, 2**31 - 1))).otherwise(out)
+    return records.withColumn(seq, out)
