@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellica.llm._skew import join_spread
 from trellica.llm._store import cut, table
 from trellica.llm._text import SPACE, buffers, chunks, mix, prefix, span_hash
 
@@ -118,6 +119,17 @@ def suspects(docs: DataFrame, doc_id: str, text: str, least: int, filter_: np.nd
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, hash bigint, key string")
 
 
+def later_holders(found: DataFrame) -> DataFrame:
+    """(id, hash) of suspected lines that a document with a smaller id holds too.
+
+    Keys are confirmed by an aggregate that combines before its shuffle; the confirmed ones meet their lines by hash and
+    md5, so that the lines of a very common key need not gather in one task.
+    """
+    found = found.withColumn("md5", F.md5("key"))
+    repeated = found.groupBy("key", "md5", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last")
+    return join_spread(found.select("id", "hash", "md5"), repeated.select("hash", "md5", "first", "n"), ["hash", "md5"], "n").where("id > first").select("id", "hash")
+
+
 def thin(least: int) -> Callable[[Column, Column], Column]:
     """Column function: text without the lines whose key hash is listed, with line counts."""
 
@@ -154,8 +166,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     lines = docs.select(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
     bits = min(max_filter_bits, 1 << max(13, int(16 * lines - 1).bit_length()))
     found = cut(suspects(docs, doc_id, text, least, twice_seen(docs, text, least, bits)))
-    repeated = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    drop = found.join(repeated, "key").where("id > first").groupBy("id").agg(F.collect_set("hash").alias("__drop"))
+    drop = later_holders(found).groupBy("id").agg(F.collect_set("hash").alias("__drop"))
     joined = docs.join(drop.withColumnRenamed("id", "__id"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
     joined = joined.withColumn("__kept", thin(least)(F.col(text), F.col("__drop")))
     kept = [F.col("__kept.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
