@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellica.llm._skew import join_spread
 from trellica.llm._store import cut, table
 from trellica.llm._text import buffers, chunks, lists, mix, shingles
 from trellica.llm.components import components
@@ -189,8 +190,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = cut(shared.mapInArrow(sets(percent), schema))
     live = every.where("live")
     mark = ["mark1", "mark2", "n"]
-    groups = live.groupBy(*mark).agg(F.min("id").alias("rep"))
-    member = cut(live.select("id", *mark).join(groups, mark).select("id", "rep"))
+    groups = live.groupBy(*mark).agg(F.min("id").alias("rep"), F.count("*").alias("many"))
+    member = cut(join_spread(live.select("id", *mark), groups, mark, "many").select("id", "rep"))
     single = live.join(member.where("id = rep").select("id"), "id", "left_semi")
     bucket = single.select("id", "n", "shared", F.posexplode("front").alias("place", "gram")).select("gram", "id", "n", (F.col("shared") - F.col("place")).alias("rest"))
     centre = bucket.groupBy("gram").agg(F.min(F.struct("id", "n", "rest")).alias("c"), F.count("*").alias("many")).where("many > 1").select("gram", "c.*")
