@@ -23,12 +23,12 @@ def only(spark, query, target, mode, scoring=None, **options):
 @pytest.mark.parametrize(
     ("query", "target", "mode", "scoring", "options", "expected"),
     [
-        ("KITTEN", "SITTING", "edit-distance", None, {"engine": "hcp"}, {"distance": 3, "cigar": "1X3=1X1=1I"}),
+        ("KITTEN", "SITTING", "edit-distance", None, {"engine": "blocks"}, {"distance": 3, "cigar": "1X3=1X1=1I"}),
         ("", "ABC", "edit-distance", None, {}, {"distance": 3, "cigar": "3I"}),
         ("ACGTACGT", "ACGTTCGT", "edit-distance", None, {}, {"distance": 1, "backend": "adaptive-banded", "block_size": 0}),
-        ("AA", "AAA", "edit-distance", None, {"engine": "hcp", "block_size": 1}, {"distance": 1, "cigar": "1=1I1="}),
-        ("AA", "AAA", "edit-distance", None, {"engine": "hcp", "block_size": 2}, {"distance": 1, "cigar": "1I2="}),
-        ("AC", "A", "edit-distance", None, {"engine": "hcp", "block_size": 1}, {"distance": 1, "cigar": "1=1D"}),
+        ("AA", "AAA", "edit-distance", None, {"engine": "blocks", "block_size": 1}, {"distance": 1, "cigar": "1=1I1="}),
+        ("AA", "AAA", "edit-distance", None, {"engine": "blocks", "block_size": 2}, {"distance": 1, "cigar": "1I2="}),
+        ("AC", "A", "edit-distance", None, {"engine": "blocks", "block_size": 1}, {"distance": 1, "cigar": "1=1D"}),
         ("CCA", "C", "lcs", None, {}, {"score": 1}),
         ("ACCGGTCGAGTGCGCGGAAGCCGGCCGAA", "GTCGTTCGGAATGCCGTTGCTCTGTAAA", "lcs", None, {}, {"score": 20}),
         ("GATTACA", "GCATGCU", "global-linear", Scoring(1, 1, gap=-1), {}, {"score": 0}),
@@ -55,7 +55,7 @@ def test_known_answers(spark, query, target, mode, scoring, options, expected):
 
 def test_wide_affine_pair_falls_back(spark):
     row = only(spark, "AAAA", "AAAATTTT", "global-affine", engine="auto", band=2)
-    assert (row["score"], row["backend"], row["block_size"]) == (1, "hcp-linear", 1)
+    assert (row["score"], row["backend"], row["block_size"]) == (1, "linear-space", 1)
 
 
 def naive(q, t, mode, s):
@@ -100,7 +100,7 @@ def test_paths_are_optimal_for_every_block_size(spark, mode):
     scoring = {"edit-distance": EDIT, "lcs": LCS}.get(mode, Scoring())
     want = [abs(naive(q, t, mode, scoring)) if mode == "edit-distance" else naive(q, t, mode, scoring) for q, t in texts]
     for block in (1, 2, 3, 20):
-        out = A.align(pairs(spark, *texts), mode, engine="hcp", block_size=block, verify=True).orderBy("pair_index").collect()
+        out = A.align(pairs(spark, *texts), mode, engine="blocks", block_size=block, verify=True).orderBy("pair_index").collect()
         assert [r["path_score"] for r in out] == want
         assert {r["verification_status"] for r in out} == {"full"}
         for r in out:
@@ -126,14 +126,14 @@ def test_errors_become_rows(spark):
         A.align(df, "global-linear", fail_fast=True).collect()
 
 
-@pytest.mark.parametrize("options", [{"mode": "x"}, {"engine": "x"}, {"block_size": 0, "engine": "hcp"}, {"block_size": 2}, {"engine": "myers"}, {"engine": "fixed-banded"}, {"mode": "global-linear", "score_only": True}])
+@pytest.mark.parametrize("options", [{"mode": "x"}, {"engine": "x"}, {"block_size": 0, "engine": "blocks"}, {"block_size": 2}, {"engine": "myers"}, {"engine": "fixed-banded"}, {"mode": "global-linear", "score_only": True}])
 def test_options_are_checked(spark, options):
     with pytest.raises(ValueError):
         A.align(pairs(spark, ("A", "A")), **options)
 
 
 def test_operations(spark):
-    row = A.with_operations(A.align(pairs(spark, ("KITTEN", "SITTING")), "edit-distance", engine="hcp")).first()
+    row = A.with_operations(A.align(pairs(spark, ("KITTEN", "SITTING")), "edit-distance", engine="blocks")).first()
     assert [tuple(x) for x in row["operation_counts"]] == [("mismatch", 2), ("match", 4), ("insert", 1)]
     assert tuple(row["operations"][0]) == ("mismatch", 0, 0, "K", "S") and tuple(row["operations"][-1]) == ("insert", None, 6, None, "G")
 

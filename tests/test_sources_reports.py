@@ -42,7 +42,7 @@ def test_reports(spark):
     local = align(df, "local-linear", Scoring())
     assert reports.sam(local).orderBy("pair_index").first()["value"].split("\t")[:6] == ["q 1", "0", "t1", "1", "255", "2S2="]
     assert [r["value"] for r in reports.sam_header(local).orderBy("place").collect()] == ["@HD\tVN:1.6\tSO:unknown", "@SQ\tSN:t1\tLN:2", "@SQ\tSN:t2\tLN:3"]
-    edit = align(df, "edit-distance", engine="hcp")
+    edit = align(df, "edit-distance", engine="blocks")
     paf = reports.paf(edit).orderBy("pair_index").collect()[1]["value"].split("\t")
     assert paf[:12] == ["q2", "2", "0", "2", "+", "t2", "3", "0", "3", "2", "3", "255"] and "NM:i:1" in paf and "pi:i:1" in paf
     lines = [json.loads(r["value"]) for r in reports.json_lines(with_operations(edit, "summary")).orderBy("pair_index").collect()]

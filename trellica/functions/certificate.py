@@ -24,7 +24,7 @@ def certificate(parameters: str) -> Column:
     inputs = [F.sha2(F.coalesce(c, F.lit("")), 256) for c in ("query", "target")]
     settings = F.sha2(F.lit(parameters), 256)
     trace = framed_sha256(F.col("query_start"), F.col("query_end"), F.col("target_start"), F.col("target_end"), F.col("cigar"))
-    result = framed_sha256(F.col("mode"), F.coalesce("backend", F.lit("hcp")), F.col("score"), F.col("distance"), F.col("path_score"), F.col("verification_status"), F.col("verified"), F.col("block_size"))
+    result = framed_sha256(F.col("mode"), F.coalesce("backend", F.lit("blocks")), F.col("score"), F.col("distance"), F.col("path_score"), F.col("verification_status"), F.col("verified"), F.col("block_size"))
     names = ("query_sha256", "target_sha256", "parameters_sha256", "trace_sha256", "result_sha256")
     parts = [*inputs, settings, trace, result]
     return F.struct(*[p.alias(n) for p, n in zip(parts, names, strict=True)], framed_sha256(*parts).alias("certificate_sha256"))

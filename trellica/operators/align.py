@@ -147,11 +147,11 @@ def validated(pairs: DataFrame, scoring: Scoring) -> DataFrame:
 def check_options(mode: str, engine: str, block_size: int | None, score_only: bool, band: int | None) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    engines = {"edit-distance": ("auto", "hcp", "hcp-linear", "adaptive-banded", "fixed-banded", "myers", "myers-u64"), "global-affine": ("hcp", "wavefront", "auto")}.get(mode, ("hcp", "hcp-linear"))
+    engines = {"edit-distance": ("auto", "blocks", "linear-space", "adaptive-banded", "fixed-banded", "myers", "myers-u64"), "global-affine": ("blocks", "wavefront", "auto")}.get(mode, ("blocks", "linear-space"))
     if engine not in engines:
         raise ValueError(f"{mode} has the engines {', '.join(engines)}")
-    if block_size is not None and (block_size < 1 or engine != "hcp"):
-        raise ValueError("block_size needs the hcp engine and must be 1 or more")
+    if block_size is not None and (block_size < 1 or engine != "blocks"):
+        raise ValueError("block_size needs the blocks engine and must be 1 or more")
     if score_only and mode not in ("edit-distance", "lcs"):
         raise ValueError("score_only is for edit-distance and lcs")
     if engine.startswith("myers") and not score_only:
@@ -172,7 +172,7 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
     through. The transform has no state, so pairs may also be a stream.
     """
     scoring = mode_scoring(mode, scoring or Scoring())
-    engine = engine or ("auto" if mode == "edit-distance" else "hcp")
+    engine = engine or ("auto" if mode == "edit-distance" else "blocks")
     check_options(mode, engine, block_size, score_only, band)
     df = validated(spread(pairs), scoring)
     if fail_fast:
@@ -192,7 +192,7 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
         df = df.withColumns({"__objective": value, "query_start": F.lit(0), "query_end": F.length(query), "target_start": F.lit(0), "target_end": F.length(target), "cigar": F.lit(""), "path_score": F.lit(None).cast("long")})
     else:
         affine_band = F.when(F.col("backend") == "wavefront", band if band is not None else AFFINE_BAND)
-        df = df.withColumn("__trace", trace_column(mode, scoring, query, target, F.coalesce(F.when(F.col("backend") == "hcp-linear", 1), F.col("block_size").cast("int"), F.lit(0)), affine_band))
+        df = df.withColumn("__trace", trace_column(mode, scoring, query, target, F.coalesce(F.when(F.col("backend") == "linear-space", 1), F.col("block_size").cast("int"), F.lit(0)), affine_band))
         df = df.withColumns({"__objective": F.when(F.col("__trace.cigar").isNotNull(), F.col("__trace.score") * sign)} | {c: F.col(f"__trace.{c}") for c in ("query_start", "query_end", "target_start", "target_end", "cigar")})
         df = df.withColumn("aligned_query", C.aligned(F.col("cigar"), query, F.col("query_start").cast("int"), "I")).withColumn("aligned_target", C.aligned(F.col("cigar"), target, F.col("target_start").cast("int"), "D"))
         df = df.withColumn("path_score", C.rescore(F.col("cigar"), F.col("aligned_query"), F.col("aligned_target"), scoring, mode == "global-affine") * sign)
@@ -206,7 +206,7 @@ def routed(df: DataFrame, mode: str, engine: str, block_size: int | None, band:
     none = F.lit(None).cast("string")
     if mode == "edit-distance" and engine == "auto":
         inside = F.levenshtein(query, target) <= auto_band(query, target)
-        return df, F.when(inside, 0).otherwise(1), F.when(inside, "adaptive-banded").otherwise("hcp-linear")
+        return df, F.when(inside, 0).otherwise(1), F.when(inside, "adaptive-banded").otherwise("linear-space")
     if engine == "fixed-banded":
         near = banded_distance(query, target, band).isNotNull()
         return df.withColumns({s: F.when(near, F.col(s)) for s in ("query", "target")}), F.lit(0), F.lit(engine)
@@ -214,8 +214,8 @@ def routed(df: DataFrame, mode: str, engine: str, block_size: int | None, band:
         return df, F.lit(0), F.lit(engine)
     if mode == "global-affine" and engine == "auto":
         reach = F.abs(F.length(query) - F.length(target)) <= (band if band is not None else AFFINE_BAND)
-        return df, F.when(reach, 0).otherwise(1), F.when(reach, "wavefront").otherwise("hcp-linear")
-    if engine == "hcp-linear":
+        return df, F.when(reach, 0).otherwise(1), F.when(reach, "wavefront").otherwise("linear-space")
+    if engine == "linear-space":
         return df, F.lit(1), F.lit(engine)
     return df, F.lit(block_size) if block_size else block_rows(query), none
 

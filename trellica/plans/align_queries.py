@@ -53,7 +53,7 @@ def edit_distance_auto_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_operation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that the paths consume and the edits they hold, from the exploded operations."""
-    out = A.with_operations(A.align(part_pairs(spark, sf_dir), "edit-distance", engine="hcp"))
+    out = A.with_operations(A.align(part_pairs(spark, sf_dir), "edit-distance", engine="blocks"))
     op = out.select("pair_index", F.explode("operations").alias("o"))
     return op.groupBy("pair_index").agg(F.count("o.query_base").alias("query_symbols"), F.count("o.target_base").alias("target_symbols"), F.count_if(F.col("o.op") != "match").alias("edits"))
 
@@ -84,7 +84,7 @@ QUERIES = {
     "edit_distance_banded": edit_distance_banded,
     "edit_distance_auto_route": edit_distance_auto_route,
     "edit_distance_path_score": path_scores("edit-distance", LINEAR),
-    "edit_distance_linear_path_score": path_scores("edit-distance", LINEAR, engine="hcp-linear"),
+    "edit_distance_linear_path_score": path_scores("edit-distance", LINEAR, engine="linear-space"),
     "edit_operation_totals": edit_operation_totals,
     "lcs_len": scores("lcs", LCS_, length="score"),
     "lcs_path_score": path_scores("lcs", LCS_),
@@ -178,7 +178,7 @@ ORACLES = {
     "edit_distance_banded": f"WITH {PARTS} SELECT pair_index, CASE WHEN levenshtein(q, t) <= {BAND} THEN levenshtein(q, t) ELSE -1 END AS banded, CASE WHEN length(q) <= 64 THEN levenshtein(q, t) ELSE -1 END AS word FROM p",
     "edit_distance_auto_route": f"""WITH {ITEMS}, d AS (SELECT *, levenshtein(q, t) AS d, greatest(length(q), length(t)) AS m FROM p),
 b AS (SELECT *, least(greatest(abs(length(q) - length(t)), greatest(least(m // 32, 512), 8)), m) AS band FROM d)
-SELECT pair_index, band, d AS distance, CASE WHEN d <= band THEN 'adaptive-banded' ELSE 'hcp-linear' END AS backend, CASE WHEN d <= band THEN 0 ELSE 1 END AS block_size, d AS path_score, 'path_only' AS verification_status FROM b""",
+SELECT pair_index, band, d AS distance, CASE WHEN d <= band THEN 'adaptive-banded' ELSE 'linear-space' END AS backend, CASE WHEN d <= band THEN 0 ELSE 1 END AS block_size, d AS path_score, 'path_only' AS verification_status FROM b""",
     "edit_distance_path_score": f"WITH {PARTS} SELECT pair_index, levenshtein(q, t) AS path_score FROM p",
     "edit_distance_linear_path_score": f"WITH {PARTS} SELECT pair_index, levenshtein(q, t) AS path_score FROM p",
     "edit_operation_totals": f"WITH {PARTS} SELECT pair_index, length(q) AS query_symbols, length(t) AS target_symbols, levenshtein(q, t) AS edits FROM p",

@@ -67,5 +67,5 @@ ORACLES = {
     "flagship": """WITH p AS (SELECT a.item_id AS pair_index, regexp_replace(a.text, '[^ -~]', '', 'g') AS q, regexp_replace(b.text, '[^ -~]', '', 'g') AS t FROM benchmark AS a JOIN benchmark AS b ON b.item_id = a.item_id + 1),
 d AS (SELECT *, levenshtein(q, t) AS d, greatest(length(q), length(t)) AS m FROM p)
 SELECT pair_index, CAST(pair_index AS VARCHAR) AS query_id, CAST(pair_index + 1 AS VARCHAR) AS target_id, d AS distance, d AS path_score, 'full' AS verification_status,
-       CASE WHEN d <= least(greatest(abs(length(q) - length(t)), greatest(least(m // 32, 512), 8)), m) THEN 'adaptive-banded' ELSE 'hcp-linear' END AS backend FROM d""",
+       CASE WHEN d <= least(greatest(abs(length(q) - length(t)), greatest(least(m // 32, 512), 8)), m) THEN 'adaptive-banded' ELSE 'linear-space' END AS backend FROM d""",
 }
