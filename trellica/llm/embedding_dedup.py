@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellica.llm._skew import join_spread
 from trellica.llm._store import cut, table
 from trellica.llm._text import lists
 from trellica.llm.components import components
@@ -144,7 +145,9 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     degree = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
     label = components(found.where("a <> b").select("a", "b").distinct()).withColumnRenamed("id", "rep")
     stats = single.select(*marks, F.col("id").alias("rep"), "weight").join(degree, "rep", "left").join(label, "rep", "left")
-    out = rows.select("id", *marks).join(stats, marks, "left")
+    known = join_spread(rows.where("fine").select("id", *marks), stats, marks, "weight")
+    fields = ["id", "rep", "weight", "degree", "component"]
+    out = known.select(*fields).unionByName(rows.where(f"NOT fine OR size(vector) <> {dim}").select("id"), allowMissingColumns=True)
     links = F.coalesce(F.col("weight") - 1 + F.coalesce("degree", F.lit(0)), F.lit(0)).alias("n_links")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias("vec_id"), links, F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
