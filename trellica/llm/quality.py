@@ -36,7 +36,31 @@ def features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     text, bucket = key // buckets, key % buckets
     value = np.log1p(n)
     norm = np.sqrt(np.bincount(text, value**2, minlength=len(size)))
-    return text, bucket, value / norm[text]
+    shape_text, shape_bucket = shape(off, start, end, count, span_hash(prefix(data), start, end), buckets)
+    text, bucket, value = np.concatenate((text, shape_text)), np.concatenate((bucket, shape_bucket)), np.concatenate((value / norm[text], np.full(len(shape_text), SHAPE)))
+    order = np.argsort(text, kind="stable")
+    return text[order], bucket[order], value[order]
+
+
+#: Weight of each shape feature beside the text's own features, which have unit length together.
+SHAPE = 0.3
+
+
+def shape(off: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray, word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed levels of a text's length in words, share of distinct words, share of words that repeat the one before, and
+    mean word length; one feature of each kind for every text with words."""
+    text = np.flatnonzero(count > 0)
+    owner = np.repeat(np.arange(len(count)), count)
+    n = count[text]
+    _, first = np.unique(mix(word + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    distinct = np.bincount(owner[first], minlength=len(count))[text] / n
+    same = np.zeros(len(word))
+    same[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
+    repeats = np.bincount(owner, same, minlength=len(count))[text] / n
+    length = np.bincount(owner, end - start, minlength=len(count))[text] / n
+    levels = (np.log2(n), distinct * 20, np.ceil(repeats * 20), length * 2)
+    kinds = [mix(np.minimum(v, 60).astype(np.uint64) + np.uint64(1000 * i)) % np.uint64(buckets) for i, v in enumerate(levels)]
+    return np.tile(text, len(kinds)), np.concatenate(kinds).astype(np.int64)
 
 
 def sample_features(texts: list[str], buckets: int, piece: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
