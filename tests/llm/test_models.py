@@ -99,6 +99,21 @@ def test_near_vectors_match_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_finds_all_links_of_a_dense_group_in_many_cells(spark):
+    rng = np.random.default_rng(43)
+    centre = rng.normal(size=32)
+    group = centre / np.linalg.norm(centre) + rng.normal(scale=0.037, size=(3000, 32))
+    x = np.concatenate((group, rng.normal(size=(300, 32))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df, per_block=128).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == link.sum(1).tolist()
+    label = embedding_dedup.forest(*np.nonzero(link), len(x))
+    assert [got[i]["component_id"] for i in range(len(x))] == label.tolist()
+
+
 def test_block_forest():
     label = embedding_dedup.forest(np.array([3, 1, 5]), np.array([1, 0, 4]), 7)
     assert label.tolist() == [0, 0, 2, 0, 4, 4, 6]

@@ -1,20 +1,22 @@
 """Embedding near-duplicates by spherical k-means cells and blocked cosine products (operator 5).
 
-Spherical k-means on a bounded sample gives cell centres. Every vector is indexed: it lives in the cell of its nearest
-centre and also visits the next nearest ones. Inside a cell, blocks of residents are multiplied with all members in double
-precision. A pair is counted in exactly one cell, so link counts are exact for all pairs found; a pair is missed only if
-neither vector visits the other's cell. With one cell (few vectors) nothing is missed.
+Spherical k-means on a bounded sample gives cell centres, and every vector lives in the cell of its nearest centre. A vector
+x of cell h has a link in cell c only if x.h - x.c <= d |c - h|, where d is the distance of unit vectors whose cosine is the
+link's: the linked vector is at least as near to c as to h. Two blocks of vectors are compared unless this bound excludes
+it, so no link is missed, whatever the centres are; they only decide how many products are saved.
 
-Equal vectors are joined as one with a weight before anything is compared, and a block sends on link counts and a spanning
-forest of its links, never its pairs.
+Equal vectors are joined as one with a weight before anything is compared, and a task sends on link counts and a spanning
+forest of its links, never its pairs. Blocks of both sides are bounded and meet without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from trellica.llm._store import cut, table
 from trellica.llm._text import lists
 from trellica.llm.components import components
 
+#: Doubles in a block, blocks in a partition, and what rounding may add to the bound.
+BLOCK_VALUES, PART_BLOCKS, SLACK = 1 << 18, 16, 1e-9
 
 
 def cells_for(vectors: int, most: int = 8192) -> int:
@@ -64,47 +68,92 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def compare(least: float):
-    """Task: all members of one cell and one block of its residents, to link counts and spanning links."""
+def may_link(points: np.ndarray, home: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which points of the cell with centre `home` may have a link in the cells of the other centres (points x others)."""
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) * np.linalg.norm(others - home, axis=1)
+    return (points @ home)[:, None] - points @ others.T <= reach + SLACK
+
+
+def pack(centres: Broadcast, least: float) -> Callable:
+    """Group task: one block of a cell to one row, with the cells in which its vectors may have links."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        cell, block = key[0].as_py(), key[1].as_py()
-        ids, weight, home = (np.asarray(rows[c]) for c in ("id", "weight", "home"))
-        visits = np.asarray(rows["cells"].combine_chunks().flatten()).reshape(len(ids), -1)
-        vectors = np.asarray(rows["vector"].combine_chunks().flatten()).reshape(len(ids), -1)
-        resident = np.flatnonzero((home == cell) & (np.asarray(rows["block"]) == block) & np.asarray(rows["resident"]))
-        found_a, found_b, degree = [], [], np.zeros(len(ids), np.int64)
-        for i in range(0, len(resident), 1024):
-            own = resident[i : i + 1024]
-            for j in range(0, len(ids), 4096):
-                x, y = np.nonzero(vectors[own] @ vectors[j : j + 4096].T >= least)
-                x, y = own[x], y + j
-                both = home[y] == cell
-                back = (visits[x] == home[y][:, None]).any(axis=1)
-                take = np.where(both, ids[x] < ids[y], ~(back & (home[y] < cell)))
-                x, y = x[take], y[take]
-                np.add.at(degree, x, weight[y])
-                np.add.at(degree, y, weight[x])
-                label = forest(x, y, len(ids))
-                link = np.flatnonzero(label != np.arange(len(ids)))
-                found_a.append(ids[label[link]])
-                found_b.append(ids[link])
-        hit = np.flatnonzero(degree)
-        a, b = (np.concatenate(f) if f else np.empty(0, np.int64) for f in (found_a, found_b))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[hit], a))), pa.array(np.concatenate((ids[hit], b))), pa.array(np.concatenate((degree[hit], a * 0)))], ["a", "b", "degree"])
+        n = rows.num_rows
+        flat = rows["vector"].combine_chunks().flatten()
+        vectors = np.asarray(flat).reshape(n, -1)
+        first, own = centres.value[vectors.shape[1]]
+        home = own[key[0].as_py() - first]
+        cells = np.zeros(len(own), bool)
+        for i in range(0, n, 256):
+            cells |= may_link(vectors[i : i + 256], home, own, least).any(axis=0)
+        one = lambda x, kind: lists(np.asarray(x), np.array([len(x)]), kind)
+        columns = [one(first + np.flatnonzero(cells), pa.int32()), *[one(rows[c], pa.int64()) for c in ("id", "weight")], one(flat, pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + columns, ["home", "block", "cells", "ids", "weights", "vectors"])
+
+    return run
+
+
+def merged(degree: list, links: list) -> tuple[list, list]:
+    """One count for each id, and a spanning forest of the links, from those of many pairs of blocks."""
+    ids, at = np.unique(np.concatenate([d[0] for d in degree]), return_inverse=True)
+    count = np.zeros(len(ids), np.int64)
+    np.add.at(count, at, np.concatenate([d[1] for d in degree]))
+    a, b = (np.concatenate([x[i] for x in links]) for i in (0, 1))
+    label = forest(np.searchsorted(ids, a), np.searchsorted(ids, b), len(ids))
+    link = np.flatnonzero(label != np.arange(len(ids)))
+    return [(ids, count)], [(ids[label[link]], ids[link])]
+
+
+def compare(centres: Broadcast, least: float, most_held: int = 1 << 20) -> Callable:
+    """Task: pairs of blocks to link counts and spanning links."""
+
+    def block(batch: pa.RecordBatch, side: str, i: int) -> tuple:
+        ids, weight, vectors = (np.asarray(batch.column(f"{side}_{c}")[i].values) for c in ("ids", "weights", "vectors"))
+        vectors = vectors.reshape(len(ids), -1)
+        first, own = centres.value[vectors.shape[1]]
+        return ids, weight, vectors, own[batch.column(f"{side}_home")[i].as_py() - first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        degree, links, held = [], [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a_ids, a_weight, a, a_home), (b_ids, b_weight, b, b_home) = (block(batch, side, i) for side in "ab")
+                same = all(batch.column(f"a_{c}")[i].as_py() == batch.column(f"b_{c}")[i].as_py() for c in ("home", "block"))
+                left = np.flatnonzero(may_link(a, a_home, b_home[None], least)[:, 0])
+                right = np.flatnonzero(may_link(b, b_home, a_home[None], least)[:, 0])
+                for j in range(0, len(left), 1024):
+                    x, y = np.nonzero(a[left[j : j + 1024]] @ b[right].T >= least)
+                    x, y = left[j + x], right[y]
+                    if same:
+                        x, y = x[x < y], y[x < y]
+                    if not len(x):
+                        continue
+                    count = [np.bincount(x, b_weight[y], len(a_ids)).astype(np.int64), np.bincount(y, a_weight[x], len(b_ids)).astype(np.int64)]
+                    degree += [(ids[n > 0], n[n > 0]) for ids, n in zip((a_ids, b_ids), count, strict=True)]
+                    label = forest(x, y + len(a_ids), len(a_ids) + len(b_ids)) if not same else forest(x, y, len(a_ids))
+                    both = np.concatenate((a_ids, b_ids))
+                    link = np.flatnonzero(label != np.arange(len(label)))
+                    links.append((both[label[link]], both[link]))
+                    held += len(degree[-1][0]) + len(degree[-2][0])
+                    if held > most_held:
+                        degree, links = merged(degree, links)
+                        held = len(degree[0][0]) // 2
+        if degree:
+            [(ids, count)], [(a, b)] = merged(degree, links)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((ids, a), (ids, b), (count, a * 0))], ["a", "b", "degree"])
 
     return run
 
 
-def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95, probes: int = 6, per_block: int = 2048, sample_per_cell: int = 32, most_cells: int = 8192) -> DataFrame:
+def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95, per_block: int = 2048, sample_per_cell: int = 32, most_cells: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of the most common
     length only are compared (with several lengths a cosine is not defined across them, and each rarer length links with
     nothing). Rows without an id link with nothing and are kept. Rows that share an id and a vector count as separate
-    vectors. An empty table gives an empty result; other columns are not read. The centres are fitted on the
-    sample_per_cell * cells vectors that come first by a hash of the id.
+    vectors. An empty table gives an empty result; other columns are not read. The centres are fitted on
+    about sample_per_cell * cells vectors, drawn by a hash of the vector; links do not depend on them.
     """
     spark = df.sparkSession
     values = F.col("vector")
@@ -119,29 +168,41 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     dim = lengths[0]["dim"]
     marks = ["mark0", "mark1"]
     single = cut(rows.where(F.col("fine") & (F.size("vector") == dim)).groupBy(*marks).agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
-    many = single.count()
-    k = cells_for(many, most_cells)
-    sample = single.orderBy(F.xxhash64("id"), "id").limit(sample_per_cell * k).select("vector").toArrow()
-    centres = spark.sparkContext.broadcast(spherical_kmeans(unit(sample["vector"].combine_chunks(), dim), k))
+    lengths = {r["dim"]: r["count"] for r in single.groupBy(F.size("vector").alias("dim")).count().collect()}
+    size = {d: min(cells_for(n, most_cells), -(-2 * n // per_block)) for d, n in lengths.items()}
+    share = F.create_map(*[F.lit(x) for d, k in size.items() for x in (d, min(1.0, sample_per_cell * k / lengths[d]))])
+    drawn = single.where(F.pmod(F.xxhash64(*marks), F.lit(1 << 20)) < share[F.size("vector")] * (1 << 20)).select("vector").toArrow()["vector"].combine_chunks()
+    found_centres, first = {}, 0
+    for d in sorted(size):
+        sample = drawn.filter(pc.equal(pc.list_value_length(drawn), d))
+        if not len(sample):
+            sample = single.where(F.size("vector") == d).limit(1).select("vector").toArrow()["vector"].combine_chunks()
+        found_centres[d] = (first, spherical_kmeans(unit(sample, d), size[d]))
+        first += len(found_centres[d][1])
+    centres = spark.sparkContext.broadcast(found_centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            points = unit(batch.column("vector"), dim)
-            near = -(points @ centres.value.T)
-            top = min(probes, near.shape[1])
-            pick = np.argpartition(near, top - 1, axis=1)[:, :top]
-            pick = np.take_along_axis(pick, np.argsort(np.take_along_axis(near, pick, 1), axis=1), 1).astype(np.int32)
-            n = np.full(len(points), top)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), pa.array(pick[:, 0]), lists(pick.ravel(), n, pa.int32()), lists(points.ravel(), n * 0 + dim, pa.float64())], ["id", "weight", "home", "cells", "vector"])
-
-    placed = cut(single.select("id", "weight", "vector").mapInArrow(assign, "id bigint, weight bigint, home int, cells array<int>, vector array<double>"))
-    blocks = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
-    member = placed.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), "cell")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = member.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("resident", (F.col("home") == F.col("cell")) & (F.col("own") == F.col("block")))
-    found = cut(dealt.select("cell", "block", "id", "weight", "home", "cells", "vector", "resident").groupBy("cell", "block").applyInArrow(compare(least), "a bigint, b bigint, degree bigint"))
+            dims = pc.list_value_length(batch.column("vector"))
+            for d in pc.unique(dims).to_pylist():
+                rows = batch.filter(pc.equal(dims, d))
+                points = unit(rows.column("vector"), d)
+                start, own = centres.value[d]
+                home = (start + np.argmax(points @ own.T, axis=1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("weight"), pa.array(home), lists(points.ravel(), np.full(len(points), d), pa.float64())], ["id", "weight", "home", "vector"])
+
+    placed = cut(single.select("id", "weight", "vector").mapInArrow(assign, "id bigint, weight bigint, home int, vector array<double>"))
+    room = F.greatest(F.lit(1), F.least(F.lit(per_block), F.floor(F.lit(BLOCK_VALUES) / F.first(F.size("vector")))))
+    blocks = cut(placed.groupBy("home").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks")))
+    number = blocks.agg(F.sum("blocks")).first()[0]
+    parts = min(number, max(-(-number // PART_BLOCKS), 2 * int(np.ceil(np.sqrt(spark.sparkContext.defaultParallelism)))))
+    dealt = placed.join(F.broadcast(blocks), "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = dealt.select("home", "block", "id", "weight", "vector").groupBy("home", "block").applyInArrow(pack(centres, least), "home int, block int, cells array<int>, ids array<bigint>, weights array<bigint>, vectors array<double>")
+    packed = cut(packed.repartition(parts))
+    a, b = (packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
+    meet = (F.struct("a_home", "a_block") <= F.struct("b_home", "b_block")) & F.array_contains("a_cells", F.col("b_home")) & F.array_contains("b_cells", F.col("a_home"))
+    pairs = a.join(b.hint("shuffle_replicate_nl"), meet).drop("a_cells", "b_cells")
+    found = cut(pairs.mapInArrow(compare(centres, least), "a bigint, b bigint, degree bigint"))
     degree = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
     label = components(found.where("a <> b").select("a", "b").distinct()).withColumnRenamed("id", "rep")
     stats = single.select(*marks, F.col("id").alias("rep"), "weight").join(degree, "rep", "left").join(label, "rep", "left")
