@@ -114,6 +114,22 @@ def test_near_vectors_finds_all_links_of_a_dense_group_in_many_cells(spark):
     assert [got[i]["component_id"] for i in range(len(x))] == label.tolist()
 
 
+def test_near_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(47)
+    rows, expected, first = [], {}, 0
+    for dim, n in ((8, 60), (16, 50), (3, 2), (5, 1)):
+        x = np.repeat(rng.normal(size=(-(-n // 2), dim)), 2, axis=0)[:n] * rng.uniform(1, 2, (n, 1))
+        x /= np.linalg.norm(x, axis=1, keepdims=True) * rng.integers(1, 4, (n, 1))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        expected |= {first + i: int(c) - 1 for i, c in enumerate((unit @ unit.T >= 0.95).sum(1))}
+        rows += [(first + i, v.tolist()) for i, v in enumerate(x)]
+        first += n
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"per_block": 8}):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df, **options).collect()}
+        assert got == expected and min(sum(got[i] for i in part) for part in (range(60), range(60, 110), (110, 111))) > 0
+
+
 def test_block_forest():
     label = embedding_dedup.forest(np.array([3, 1, 5]), np.array([1, 0, 4]), 7)
     assert label.tolist() == [0, 0, 2, 0, 4, 4, 6]

@@ -149,9 +149,8 @@ def compare(centres: Broadcast, least: float, most_held: int = 1 << 20) -> Calla
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95, per_block: int = 2048, sample_per_cell: int = 32, most_cells: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of the most common
-    length only are compared (with several lengths a cosine is not defined across them, and each rarer length links with
-    nothing). Rows without an id link with nothing and are kept. Rows that share an id and a vector count as separate
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors are
+    compared with all others of their length, as a cosine is not defined across lengths. Rows without an id link with nothing and are kept. Rows that share an id and a vector count as separate
     vectors. An empty table gives an empty result; other columns are not read. The centres are fitted on
     about sample_per_cell * cells vectors, drawn by a hash of the vector; links do not depend on them.
     """
@@ -162,13 +161,11 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     mark = [F.when(F.col("fine"), F.xxhash64(F.lit(i), "vector")).alias(f"mark{i}") for i in (0, 1)]
     rows = rows.select("id", "fine", *mark, "vector")
-    lengths = rows.where("fine").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    if not lengths:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = lengths[0]["dim"]
     marks = ["mark0", "mark1"]
-    single = cut(rows.where(F.col("fine") & (F.size("vector") == dim)).groupBy(*marks).agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
+    single = cut(rows.where("fine").groupBy(*marks).agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
     lengths = {r["dim"]: r["count"] for r in single.groupBy(F.size("vector").alias("dim")).count().collect()}
+    if not lengths:
+        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     size = {d: min(cells_for(n, most_cells), -(-2 * n // per_block)) for d, n in lengths.items()}
     share = F.create_map(*[F.lit(x) for d, k in size.items() for x in (d, min(1.0, sample_per_cell * k / lengths[d]))])
     drawn = single.where(F.pmod(F.xxhash64(*marks), F.lit(1 << 20)) < share[F.size("vector")] * (1 << 20)).select("vector").toArrow()["vector"].combine_chunks()
@@ -208,7 +205,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     stats = single.select(*marks, F.col("id").alias("rep"), "weight").join(degree, "rep", "left").join(label, "rep", "left")
     known = join_spread(rows.where("fine").select("id", *marks), stats, marks, "weight")
     fields = ["id", "rep", "weight", "degree", "component"]
-    out = known.select(*fields).unionByName(rows.where(f"NOT fine OR size(vector) <> {dim}").select("id"), allowMissingColumns=True)
+    out = known.select(*fields).unionByName(rows.where("NOT fine").select("id"), allowMissingColumns=True)
     links = F.coalesce(F.col("weight") - 1 + F.coalesce("degree", F.lit(0)), F.lit(0)).alias("n_links")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias("vec_id"), links, F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
