@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-from trellica.llm import embedding_dedup, quality, toxicity
+from trellica.llm import _classify, embedding_dedup, quality, toxicity
 
 
 def prose(rng, n):
@@ -76,6 +76,16 @@ def test_quality_orders_several_grades(spark):
     assert (np.diff(tails, axis=1) <= 0).all()
 
 
+def test_long_labelled_texts_teach_where_short_ones_are_few(spark):
+    rows = [(i, "x" * (50 if i % 10 == 0 else 200)) for i in range(1, 101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 50)) for i in range(1, 201)], "doc_id long, toxic int")
+    texts, y = _classify.labelled_sample(docs, labels, "toxic", "doc_id", "text", 5, {1: 20, None: 4}, 100)
+    short = [sum(len(t) == 50 for i, t in rows if (i > 50) == value and plain.fold(i, 5) != 0) for value in (0, 1)]
+    assert [sum(len(t) == 50 for t, z in zip(texts, y, strict=True) if z == value) for value in (0, 1)] == [min(4, short[0]), short[1]]
+    assert sum(map(len, (t for t, z in zip(texts, y, strict=True) if z == 1))) > 1700 and y.count(1) <= 20
+
+
 def test_near_vectors_match_brute_force(spark):
     rng = np.random.default_rng(41)
     base = rng.normal(size=(300, 16))

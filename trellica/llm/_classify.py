@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellica.llm._store import cut
+
 
 def fold(doc_id: str, parts: int):
     """crc32 of the id as text, modulo parts."""
@@ -16,17 +16,27 @@ def fold(doc_id: str, parts: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, held_parts: int, most: dict, most_bytes: int) -> tuple[list[str], list]:
     """Texts and labels of a bounded training sample, none of the held-out fold (fold 0 of held_parts).
 
-    At most `most[label]` (or most[None]) labelled ids are drawn for each label, in the order of a hash of the id; of
-    these, texts that docs holds and that are not longer than `most_bytes` are used. So the ids broadcast and the bytes
-    collected are bounded by the parameters. Only the sample is bounded; scoring covers every row.
+    For each label, at most `most[label]` (or most[None]) labelled ids that docs holds are drawn in the order of a hash of
+    the id: first those of texts that are not longer than `most_bytes`, then longer ones. A text that would bring the
+    label beyond most * most_bytes in all is passed over. So the ids broadcast and the bytes collected are bounded by the
+    parameters. Only the sample is bounded; scoring covers every row.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).where(fold("__id", held_parts) != 0).distinct()
     values = sorted(r[0] for r in known.select("__label").distinct().limit(1000).collect())
     if not values:
         return [], []
-    drawn = [known.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(most.get(value, most.get(None))) for value in values]
-    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).where(F.octet_length("__text") <= most_bytes)
-    both = rows.join(F.broadcast(reduce(DataFrame.union, drawn)), "__id")
+    rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    sizes = cut(rows.select("__id", F.octet_length("__text").alias("__size")).join(known, "__id").groupBy("__id", "__label").agg(F.max("__size").alias("__size")))
+    drawn = []
+    for value in values:
+        limit, used = most.get(value, most.get(None)), 0
+        order = (F.col("__size") > most_bytes, F.xxhash64("__id"), "__id")
+        for r in sizes.where(F.col("__label") == value).orderBy(*order).limit(limit).collect():
+            if used + r["__size"] <= limit * most_bytes:
+                used += r["__size"]
+                drawn.append((r["__id"], value))
+    chosen = docs.sparkSession.createDataFrame(drawn, known.schema)
+    both = rows.join(F.broadcast(chosen), "__id")
     found = sorted((r[1], r[0], r[2]) for r in both.select("__id", "__label", "__text").collect())
     kept, left = [], dict.fromkeys(values, 0)
     for y, _, text_ in found:
