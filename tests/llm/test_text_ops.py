@@ -196,3 +196,10 @@ def test_sharding(spark):
     assert sharding.assign_shards(frame(spark, []), "doc_id", "text").count() == 0
     named = sharding.assign_shards(frame(spark, [(1, "a"), (2, None)]).withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text", 4)
     assert {r["shard"] for r in named.collect()} <= {0, 1, 2, 3}
+
+
+def test_op2_scores_with_order_three(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b c d a b c e" if i % 2 else "b c d e a") for i in range(60)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got, two, three = ({r[0]: r["score"] for r in x.collect()} for x in (lm_score.op2_lm_score(spark, str(tmp_path)), *[lm_score.score_documents(docs, order=k) for k in (2, 3)]))
+    assert all(abs(got[i] - three[i]) < 1e-9 for i in got) and any(abs(got[i] - two[i]) > 1e-3 for i in got)

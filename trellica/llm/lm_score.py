@@ -246,4 +246,4 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
-    return score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return score_documents(table(spark, sf_dir, "documents"), order=3).withColumnRenamed("id", "doc_id")
