@@ -203,3 +203,10 @@ def test_op2_scores_with_order_three(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got, two, three = ({r[0]: r["score"] for r in x.collect()} for x in (lm_score.op2_lm_score(spark, str(tmp_path)), *[lm_score.score_documents(docs, order=k) for k in (2, 3)]))
     assert all(abs(got[i] - three[i]) < 1e-9 for i in got) and any(abs(got[i] - two[i]) > 1e-3 for i in got)
+
+
+def test_lm_totals_beyond_32_bits():
+    one = [lm_score.planes(x) for x in (np.array([3], np.uint64), np.array([2**32 - 1], np.uint32))]
+    rows = [{"part": 0, "block": b, "grams": one[0], "counts": one[1]} for b in (2, 5)]
+    reply = next(lm_score.answer(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert lm_score.from_planes(reply["totals"][0].as_py(), np.uint64).tolist() == [2 * (2**32 - 1)] and reply["tokens"][0].as_py() == 2 * (2**32 - 1)

@@ -117,28 +117,25 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lead = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     per = np.diff(np.append(lead, len(run)))
     single = (run[lead] & np.uint64(1)).astype(bool)
-    totals = []
-    for part in (kind != HELD, kind == REST):
-        total = np.add.reduceat(np.where(part, n, 0)[order], lead)
-        back = np.empty(len(h), np.uint32)
-        back[order] = np.repeat(np.minimum(total, 2**32 - 1).astype(np.uint32), per)
-        totals.append((total, back))
-    (all_, all_back), (rest, rest_back) = totals
+    place = np.empty(len(h), np.int32)
+    place[order] = np.repeat(np.arange(len(lead), dtype=np.int32), per)
+    all_, rest = (np.add.reduceat(np.where(part, n, 0)[order], lead) for part in (kind != HELD, kind == REST))
+    back = lambda total, own: planes(total[place[own]].astype(np.uint64))
     names = ["part", "block", "totals", "others", "types", "tokens", "other_tokens"]
     long = lambda x: pa.array([x], pa.int64())
     end = np.cumsum(size)
     for i, r in enumerate(rows):
         own = slice(end[i] - size[i], end[i])
-        others = planes(np.ascontiguousarray(rest_back[own])) if r["block"] % 3 == DELETED else None
+        others = back(rest, own) if r["block"] % 3 == DELETED else None
         stats = (int((all_[single] > 0).sum()), int(all_[single].sum()), int(rest[single].sum())) if i == 0 else (0, 0, 0)
-        yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), long(r["block"]), pa.array([planes(np.ascontiguousarray(all_back[own]))]), pa.array([others], pa.binary()), *map(long, stats)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), long(r["block"]), pa.array([back(all_, own)]), pa.array([others], pa.binary()), *map(long, stats)], names)
 
 
 def estimates(texts: pa.Array, order: int, replies: list[bytes], total: float, types: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per token: the estimates (highest order first, then unigram, then base), bucket; tokens per text, unigram counts."""
     each, tokens = grams(texts, order)
     _, back = np.unique(np.concatenate(each), return_inverse=True)
-    counts = np.concatenate([from_planes(x, np.uint32) for x in replies]).astype(np.float64)[back].reshape(order, -1)
+    counts = np.concatenate([from_planes(x, np.uint64) for x in replies]).astype(np.float64)[back].reshape(order, -1)
     stop = np.cumsum(tokens)
     first = stop - tokens
     texts_seen = counts[0][stop[0] - 1]
@@ -224,7 +221,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(held_parts))
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, int(size // block_bytes))
-    bits = min(15, max(6, int(size // fragment_bytes).bit_length()))
+    bits = min(15, max(6, int(size * order // (2 * fragment_bytes)).bit_length()))
     kind = F.least(rest, F.lit(REST))
     deal = F.pmod(F.xxhash64(doc_id, F.lit(1)), F.when(kind == REST, blocks).otherwise(max(1, blocks // 8)))
     whole = F.coalesce(F.col(text), F.lit(""))
