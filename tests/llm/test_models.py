@@ -76,14 +76,41 @@ def test_quality_orders_several_grades(spark):
     assert (np.diff(tails, axis=1) <= 0).all()
 
 
-def test_long_labelled_texts_teach_where_short_ones_are_few(spark):
-    rows = [(i, "x" * (50 if i % 10 == 0 else 200)) for i in range(1, 101)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+def test_sample_is_drawn_whatever_the_length(spark):
+    """Rows by the hash of the id; whole texts fill the byte budget in that order."""
+    docs = spark.createDataFrame([(i, "x" * (50 if i % 10 == 0 else 200)) for i in range(1, 101)] + [(99, "y" * 10), (7, "x" * 200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i > 50)) for i in range(1, 201)], "doc_id long, toxic int")
-    texts, y = _classify.labelled_sample(docs, labels, "toxic", "doc_id", "text", 5, {1: 20, None: 4}, 100)
-    short = [sum(len(t) == 50 for i, t in rows if (i > 50) == value and plain.fold(i, 5) != 0) for value in (0, 1)]
-    assert [sum(len(t) == 50 for t, z in zip(texts, y, strict=True) if z == value) for value in (0, 1)] == [min(4, short[0]), short[1]]
-    assert sum(map(len, (t for t, z in zip(texts, y, strict=True) if z == 1))) > 1700 and y.count(1) <= 20
+    order = [r["doc_id"] for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    got = _classify.labelled_sample(docs, labels, "toxic", "doc_id", "text", 5, {1: 20, None: 4}, 100).collect()
+    for value, limit in ((0, 4), (1, 20)):
+        want, used = set(), 0
+        for i in [i for i in order if (i > 50) == value and plain.fold(i, 5)][:limit]:
+            size = 50 if i % 10 == 0 else 200
+            if used + size <= limit * 100:
+                used += size
+                want.add(i)
+        assert {r["id"] for r in got if r["label"] == value} == want and len(want) > 1
+    assert len(got) == len({r["id"] for r in got})
+
+
+def test_long_labelled_texts_alone_teach_both_classes(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(60):
+        words = prose(rng, 2000).split()
+        if i % 2:
+            words[rng.randrange(len(words))] = "zulgh"
+        rows.append((i, " ".join(words), i % 2))
+    assert min(len(t) for _, t, _ in rows) > 8000
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    out = toxicity.toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in out) > 50
+
+
+def test_labels_with_too_many_values_are_refused(spark):
+    rows = spark.range(6000).withColumnsRenamed({"id": "doc_id"}).withColumn("text", F.lit("a b")).withColumn("quality", F.col("doc_id"))
+    with pytest.raises(ValueError, match="more than"):
+        quality.quality(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
 
 
 def test_near_vectors_match_brute_force(spark):

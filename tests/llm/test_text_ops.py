@@ -61,6 +61,22 @@ def test_ngram_join_matches_plain_version(spark, corpus):
     assert ngram_join.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_ngram_join_takes_rows_of_one_id_as_one_document(spark):
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 40, 10**6) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (4, f"{b} end"), (5, c), (5, None), (6, c), (6, c), (7, ""), (7, "")]
+    union = {}
+    for i, t in rows:
+        union.setdefault(i, set()).update(plain.shingles(t))
+    ids = sorted(union)
+    links = [(x, y) for x in ids for y in ids if x < y and union[x] and 100 * len(union[x] & union[y]) >= 80 * len(union[x] | union[y])]
+    of = plain.components(ids, links)
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == sorted((i, len(union[i]), of[i]) for i in ids) and len(union[1]) == 72
+    named = frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(named).collect()) == sorted((f"d{i}", n, f"d{c}") for i, n, c in got)
+
+
 def test_ngram_join_finds_chains_and_minorities(spark):
     """A chain whose ends do not link, and two groups that share rare n-grams without linking."""
     rng = random.Random(5)

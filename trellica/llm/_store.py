@@ -6,18 +6,36 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Public Spark setting: an action's shuffle files go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where none is set (tests) a folder of our own."""
+    """Use the shared folder of spark.checkpoint.dir; only a local master (tests) gets a folder of our own where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared checkpoint folder, so later reads survive lost executors.
+
+    The shuffle files behind it are no longer needed then and go at once, so the disk holds those of one step at a time.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -59,7 +59,7 @@ def segments(k: int, bits: int):
             e_part, e_doc = part[lead], doc[lead]
             none = np.flatnonzero(n == 0)
             e_part, e_doc, count = np.concatenate((none * 0, e_part)), np.concatenate((none, e_doc)), np.concatenate((none * 0, count))
-            size = np.where(home[e_doc] == e_part, n[e_doc], -1)
+            size = np.where(home[e_doc] == e_part, n[e_doc], 0)
             yield pack(e_part, ids[e_doc], size, count, h, np.empty(0, np.int32))
 
     return run
@@ -86,11 +86,34 @@ def gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     return [np.concatenate(x).astype(t, copy=False) if x else np.empty(0, t) for x, t in zip(found, kinds, strict=True)]
 
 
+def repeats(ids: np.ndarray, entry: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Postings of a fragment that repeat an n-gram of their document, which rows with equal ids can do."""
+    names, at = np.unique(ids, return_inverse=True)
+    if len(names) == len(ids):
+        return np.empty(0, np.int64)
+    some = np.flatnonzero((np.bincount(at) > 1)[at][entry])
+    doc = at[entry[some]]
+    order = np.lexsort((doc, h[some]))
+    same = (h[some[order[1:]]] == h[some[order[:-1]]]) & (doc[order[1:]] == doc[order[:-1]])
+    return some[order[1:][same]]
+
+
 def frequencies(targets: int):
-    """Task: all postings of a fragment; keeps those of n-grams in two documents or more, with their frequency."""
+    """Task: all postings of a fragment; keeps those of n-grams in two documents or more, with their frequency.
+
+    Rows that share an id are one document: what they hold twice is counted once and taken off the document's size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, size, count, h, _ = gather(batches)
+        entry = np.repeat(np.arange(len(ids), dtype=np.int32), count)
+        empty = count == 0
+        again = repeats(ids, entry, h)
+        if len(again):
+            np.subtract.at(size, entry[again], 1)
+            keep = np.ones(len(h), bool)
+            keep[again] = False
+            entry, h = entry[keep], h[keep]
         order = np.argsort(h)
         run_ = h[order]
         lead = np.flatnonzero(np.concatenate(([True], run_[1:] != run_[:-1]))) if len(h) else np.empty(0, np.int64)
@@ -99,11 +122,10 @@ def frequencies(targets: int):
         df[order] = np.repeat(per, per)
         del order, run_
         keep = df > 1
-        entry = np.repeat(np.arange(len(ids)), count)[keep]
-        count = np.bincount(entry, minlength=len(ids))
+        count = np.bincount(entry[keep], minlength=len(ids))
         h, df = h[keep], df[keep]
         to = (mix(ids.view(np.uint64)) % np.uint64(targets)).astype(np.int64)
-        live = np.flatnonzero((count > 0) | (size >= 0))
+        live = np.flatnonzero((count > 0) | (size != 0) | empty)
         live = live[np.argsort(to[live], kind="stable")]
         first = np.cumsum(count) - count
         n = count[live]
@@ -120,13 +142,10 @@ def sets(percent: int):
         ids, size, count, h, df = gather(batches)
         names, at = np.unique(ids, return_inverse=True)
         n = np.zeros(len(names), np.int64)
-        np.maximum.at(n, at, size)
+        np.add.at(n, at, size)
         doc = np.repeat(at, count)
         order = np.lexsort((h, df, doc))
         doc, h, df = doc[order], h[order], df[order]
-        if len(h):
-            once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
-            doc, h, df = doc[once], h[once], df[once]
         shared = np.bincount(doc, minlength=len(names))
         least = need(n, percent)
         live = (n > 0) & (shared >= least)
@@ -178,10 +197,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Sets hold distinct k-word n-grams of the whole text with A-Z lower-cased; a shorter text is one n-gram, a text that is
     null or without words is the empty set and links with nothing. Rows without an id are left out; rows that share an id
-    are one document. An empty table gives an empty result; other columns are not read. n-grams are compared as 64-bit
-    hashes. Fragments hold about `fragment_bytes` of text each, 64 at least and 2**15 at most.
+    are one document, whose set is the union of theirs. Ids may be of any type that can be ordered: integers are used as
+    they are, others through a 64-bit hash. An empty table gives an empty result; other columns are not read. n-grams are
+    compared as 64-bit hashes. Fragments hold about `fragment_bytes` of text each, 64 at least and 2**15 at most.
     """
-    docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    whole = docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.col(doc_id).cast("long") if whole else F.xxhash64(F.col(doc_id))
+    docs = docs.where(F.col(doc_id).isNotNull())
+    found = groups(docs.select(key.alias("id"), F.col(text).alias("text")), k, percent, fragment_bytes)
+    if whole:
+        return found
+    named = found.join(docs.select(key.alias("id"), F.col(doc_id).alias("name")).distinct(), "id")
+    least = named.groupBy("component_id").agg(F.min("name").alias("least"))
+    return named.join(least, "component_id").select(F.col("name").alias("id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def groups(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> DataFrame:
+    """near_duplicates() of (id, text) with bigint ids."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(15, max(6, int(size // fragment_bytes).bit_length()))
     packed = docs.mapInArrow(segments(k, bits), PACK).repartition(1 << bits, "part")
@@ -190,13 +222,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = cut(shared.mapInArrow(sets(percent), schema))
     live = every.where("live")
     mark = ["mark1", "mark2", "n"]
-    groups = live.groupBy(*mark).agg(F.min("id").alias("rep"), F.count("*").alias("many"))
-    member = cut(join_spread(live.select("id", *mark), groups, mark, "many").select("id", "rep"))
-    single = live.join(member.where("id = rep").select("id"), "id", "left_semi")
+    alike = live.groupBy(*mark).agg(F.min("id").alias("rep"), F.count("*").alias("many"))
+    member = cut(join_spread(live.select("id", *mark), alike, mark, "many").select("id", "rep"))
+    single = cut(live.join(member.where("id = rep").select("id"), "id", "left_semi"))
     bucket = single.select("id", "n", "shared", F.posexplode("front").alias("place", "gram")).select("gram", "id", "n", (F.col("shared") - F.col("place")).alias("rest"))
     centre = bucket.groupBy("gram").agg(F.min(F.struct("id", "n", "rest")).alias("c"), F.count("*").alias("many")).where("many > 1").select("gram", "c.*")
     star = bucket.alias("y").join(centre.alias("x"), "gram").where((F.col("x.id") != F.col("y.id")) & possible(percent))
-    linked = overlaps(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), single, percent)
+    linked = cut(overlaps(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), single, percent))
     label = components(linked)
     named = bucket.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tally = named.groupBy("gram", "component").count().groupBy("gram").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
@@ -204,7 +236,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     minor = mixed.where("component <> main").alias("x")
     rest = minor.join(mixed.alias("y"), "gram").where((F.col("x.component") != F.col("y.component")) & possible(percent))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    late = overlaps(rest, single, percent)
+    late = cut(overlaps(rest, single, percent))
     return every.select("id", F.col("n").alias("n_shingles")).join(resolve(member, label, late), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 

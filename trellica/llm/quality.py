@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellica.llm._classify import fold, labelled_sample
+from trellica.llm._classify import fit_in_task, fold, labelled_sample
 from trellica.llm._store import table
 from trellica.llm._text import buffers, chunks, mix, prefix, span_hash, words
 
@@ -64,7 +64,7 @@ def shape(off: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray
 
 
 def sample_features(texts: list[str], buckets: int, piece: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """features() of many texts, a few at a time and in narrow types, which bounds the memory of the driver."""
+    """features() of many texts, a few at a time and in narrow types, which bounds the memory of the fitting task."""
     parts = []
     for a in range(0, len(texts), piece):
         text, bucket, value = features(pa.array(texts[a : a + piece], pa.string()), buckets)
@@ -163,12 +163,13 @@ def quality(docs: DataFrame, ratings: DataFrame, rating: str = "quality", doc_id
 
     Learns from a bounded sample of rated rows outside the held-out fold, the same number for each grade at most, weighted
     by how common each grade is; only texts are inputs. Null and empty texts have no features and get the thresholds' own probabilities; null ratings teach
-    nothing; without two grades every document gets the one grade seen. Existing columns of these names are replaced; an
+    nothing; more than 1,000 grades raise ValueError; without two grades every document gets the one grade seen. Existing columns of these names are replaced; an
     empty table gives an empty result.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "kept")])
-    shares = {r[0]: r[1] for r in ratings.where(F.col(rating).isNotNull()).groupBy(rating).count().collect()}
-    model = train(*labelled_sample(docs, ratings, rating, doc_id, text, held_parts, {None: most_per_grade}, most_bytes), shares)
+    sample = labelled_sample(docs, ratings, rating, doc_id, text, held_parts, {None: most_per_grade}, most_bytes)
+    shares = {r[0]: r[1] for r in ratings.where(F.col(rating).isNotNull() & (fold(doc_id, held_parts) != 0)).groupBy(rating).count().collect()}
+    model = fit_in_task(sample, lambda texts, y: train(texts, y, shares))
     out = grade(docs, model, text)
     return out.withColumn("held_out", fold(doc_id, held_parts) == 0).withColumn("kept", F.col("p_tail") >= select)
 

@@ -6,8 +6,10 @@ its words' vectors, and a linear softmax over two classes scores it. Embeddings
 words share n-grams with known ones, they share their vectors.
 
 A document is toxic if any passage is: it is cut into overlapping passages of WINDOW words and scored by its worst one, so
-a short insult in a long text is not averaged away. Training follows the same rule: first whole documents teach the
-vectors, then each document's worst passage carries its label.
+a short insult in a long text is not averaged away. Training follows the same rule: each document's worst passage, as the
+model of the moment sees it, carries the document's label. A passage's mean is taken over WINDOW words, of which missing
+ones and those that repeat a word just before count as zero vectors, so that a single word does not make a strong passage.
+The embeddings start from a direction that contrasts the buckets of the two classes; joint training does the rest.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellica.llm._classify import fold, labelled_sample
+from trellica.llm._classify import fit_in_task, fold, labelled_sample
 from trellica.llm._store import table
 from trellica.llm._text import buffers, chunks, prefix, span_hash, words
 
@@ -156,7 +158,7 @@ def contrast(vocabulary: Vocabulary, y: np.ndarray, buckets: int) -> np.ndarray:
     return (share[1] - share[0]) / np.sqrt((1 / (seen + 0.5)).sum(0))
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 12, whole: int = 0, least_steps: int = 400, rate: float = 0.5, seed: int = 11) -> SubwordSoftmax:
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 12, least_steps: int = 400, rate: float = 0.5, seed: int = 11) -> SubwordSoftmax:
     """Joint Adagrad training of embeddings and softmax; small samples get more rounds, up to `least_steps` updates.
 
     Embeddings start from a random table plus one direction that contrasts the buckets of toxic and clean texts, so that
@@ -172,18 +174,14 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
     model.embedding[:, 0] += 0.5 * contrast(vocabulary, y, buckets)
     model.weights[0] += (-1.0, 1.0)
     word_first = np.cumsum(vocabulary.per_word) - vocabulary.per_word
-    text_first = np.cumsum(vocabulary.per_text) - vocabulary.per_text
     square = [np.full(x.shape, 1e-6) for x in (model.embedding, model.weights, model.bias)]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     group = int(np.clip(len(y) // 24, 8, 256))
     more = max(0, least_steps // max(1, len(y) // group) - epochs)
-    for epoch in range(epochs + more):
-        if epoch < whole:
-            a, b = text_first.copy(), text_first + np.minimum(vocabulary.per_text, 200)
-        else:
-            _, a, b = worst(vocabulary, *model.compact())
+    for _ in range(epochs + more):
+        _, a, b = worst(vocabulary, *model.compact())
         order = rng.permutation(np.flatnonzero(b > a))
-        for batch in np.array_split(order, max(1, len(order) // min(group, 64 if epoch < whole else 256))):
+        for batch in np.array_split(order, max(1, len(order) // group)):
             n = b[batch] - a[batch]
             at = np.repeat(a[batch] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             token, fresh, size = vocabulary.tokens[at], vocabulary.fresh[at][:, None], np.maximum(n, WINDOW)[:, None]
@@ -212,9 +210,9 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
     return model
 
 
-def score_texts(docs: DataFrame, text: str, model: SubwordSoftmax, out: str = "score") -> DataFrame:
-    """docs with the model's score of each whole text; the model is a bounded table and broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.compact())
+def score_texts(docs: DataFrame, text: str, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
+    """docs with the score of each whole text by a model's compact() form, a bounded table that is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -229,9 +227,10 @@ def score_texts(docs: DataFrame, text: str, model: SubwordSoftmax, out: str = "s
     return docs.withColumn(out, score(F.col(text)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", held_parts: int = 5, most_toxic: int = 2000, most_clean: int = 3000, most_bytes: int = 10_000) -> SubwordSoftmax:
-    """Model learnt from a bounded labelled sample outside the held-out fold; see labelled_sample()."""
-    return train(*labelled_sample(docs, labels, label, doc_id, text, held_parts, {1: most_toxic, None: most_clean}, most_bytes))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", held_parts: int = 5, most_toxic: int = 2000, most_clean: int = 3000, most_bytes: int = 10_000) -> tuple[np.ndarray, float]:
+    """compact() form of a model that one task learns from a bounded labelled sample; see labelled_sample()."""
+    sample = labelled_sample(docs, labels, label, doc_id, text, held_parts, {1: most_toxic, None: most_clean}, most_bytes)
+    return fit_in_task(sample, lambda texts, y: train(texts, y).compact())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
