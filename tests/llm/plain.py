@@ -64,3 +64,48 @@ def language_base(docs):
     train = Counter(x for i, ts in tokens.items() if fold(i, 10) for x in ts)
     n, v = sum(train.values()), len(train)
     return {i: (fold(i, 10) == 0, len(ts), sum(train[x] > 0 for x in ts), n, sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ts)) for i, ts in tokens.items()}
+
+
+def deleted_interpolation(docs, order, levels=16, rounds=60):
+    """(id, tokens, log10 probability) of every text; weights by expectation-maximisation over single tokens."""
+    tokens = [(i, [*words(t), None]) for i, t in docs]
+
+    def count(keep):
+        found = Counter()
+        for i, ts in tokens:
+            if keep(fold(i, 10)):
+                for at in range(len(ts)):
+                    for k in range(1, order + 1):
+                        found[gram(ts, at, k)] += 1
+        return found
+
+    def gram(ts, at, k):
+        return (ts[at],) if k == 1 else (f"<start {k}>", ts[at]) if at == 0 else (*gram(ts, at - 1, k - 1), ts[at])
+
+    def parts(counts, n, types, ts):
+        seen = counts[(None,)]
+        for at in range(len(ts)):
+            one = counts[gram(ts, at, 1)]
+            base, found, bucket = (one + 0.1) / (n + 0.1 * (types + 1)), [one / max(n, 1)], 0
+            for k in range(2, order + 1):
+                context = seen if at == 0 else counts[gram(ts, at - 1, k - 1)]
+                found.insert(0, counts[gram(ts, at, k)] / context if context else 0.0)
+                if context:
+                    bucket = 1 + (k - 2) * levels + min(int(math.log2(context)), levels - 1)
+            yield bucket, [*found, base]
+
+    every, rest = count(lambda f: f), count(lambda f: f > 1)
+    sums = lambda c: sum(v for g, v in c.items() if len(g) == 1)
+    types = sum(len(g) == 1 for g in every)
+    usable = {b: range(order - (1 if b == 0 else 2 + (b - 1) // levels), order + 1) for b in range(1 + (order - 1) * levels)}
+    weights = {b: [1 / len(u) if j in u else 0.0 for j in range(order + 1)] for b, u in usable.items()}
+    held = [x for i, ts in tokens if fold(i, 10) == 1 for x in parts(rest, sums(rest), types, ts)]
+    for _ in range(rounds if held else 0):
+        found = {b: [float(j in u) for j in range(order + 1)] for b, u in usable.items()}
+        for b, f in held:
+            p = sum(w * x for w, x in zip(weights[b], f, strict=True))
+            for j in range(order + 1):
+                found[b][j] += weights[b][j] * f[j] / p
+        weights = {b: [x / sum(v) for x in v] for b, v in found.items()}
+    for i, ts in tokens:
+        yield i, len(ts), sum(math.log10(sum(w * x for w, x in zip(weights[b], f, strict=True))) for b, f in parts(every, sums(every), types, ts))

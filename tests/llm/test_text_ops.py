@@ -223,6 +223,16 @@ def test_op2_scores_with_order_three(spark, tmp_path):
 
 def test_lm_totals_beyond_32_bits():
     one = [lm_score.planes(x) for x in (np.array([3], np.uint64), np.array([2**32 - 1], np.uint32))]
-    rows = [{"part": 0, "block": b, "grams": one[0], "counts": one[1]} for b in (2, 5)]
+    rows = [{"part": 0, "block": b, "size": 1, "grams": one[0], "counts": one[1]} for b in (2, 5)]
     reply = next(lm_score.answer(iter([pa.RecordBatch.from_pylist(rows)])))
-    assert lm_score.from_planes(reply["totals"][0].as_py(), np.uint64).tolist() == [2 * (2**32 - 1)] and reply["tokens"][0].as_py() == 2 * (2**32 - 1)
+    assert lm_score.from_planes(reply["totals"][0].as_py(), np.uint64, 1).tolist() == [2 * (2**32 - 1)] and reply["tokens"][0].as_py() == 2 * (2**32 - 1)
+
+
+def test_language_model_scores_match_a_plain_deleted_interpolation(spark):
+    rng = random.Random(17)
+    rows = [(i % 70 if i > 100 else i, " ".join(rng.choices("ab bc cd de ef".split(), weights=[5, 3, 2, 1, 1], k=rng.randint(0, 12)))) for i in range(140)] + [(None, None), (None, "ab bc"), (None, "ab bc")]
+    for order in (2, 3):
+        got = sorted((str(r["id"]), r["n_tokens"], r["score"]) for r in lm_score.score_documents(frame(spark, rows), order=order).collect())
+        want = sorted((str(i), n, s) for i, n, s in plain.deleted_interpolation(rows, order))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=0.01)
