@@ -50,10 +50,13 @@ def fit_in_task(sample: DataFrame, train: Callable):
     """What train(texts, labels) gives, computed by one task over a bounded sample; only the result reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["label"], r["id"], r["text"]) for b in batches for r in b.to_pylist())
-        texts, labels = [r[2] for r in rows], [r[0] for r in rows]
-        del rows
+        held = list(batches)
+        texts, labels = [], []
+        if held:
+            rows = pa.Table.from_batches(held).sort_by([("label", "ascending"), ("id", "ascending")])
+            texts, labels = rows["text"].combine_chunks(), rows["label"].to_pylist()
+            del rows, held
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()  # an empty sample may have no partition
     return pickle.loads(found["model"]) if found else train([], [])

@@ -1,23 +1,24 @@
 """Embedding near-duplicates by spherical k-means cells and blocked cosine products (operator 5).
 
-Spherical k-means on a bounded sample gives cell centres, and every vector lives in the cell of its nearest centre. A vector
-x of cell h has a link in cell c only if x.h - x.c <= d |c - h|, where d is the distance of unit vectors whose cosine is the
-link's: the linked vector is at least as near to c as to h. Two blocks of vectors are compared unless this bound excludes
-it, so no link is missed, whatever the centres are; they only decide how many products are saved.
-
-Equal vectors are joined as one with a weight before anything is compared, and a task sends on link counts and a spanning
-forest of its links, never its pairs. Blocks of both sides are bounded and meet without a shuffle.
+Spherical k-means on a bounded sample gives cell centres; centres that would link with each other are merged, so a dense
+group is one cell. Every vector lives in the cell of its nearest centre. A vector x of cell h has a link in cell c only if
+x.h - x.c <= d |c - h|, where d is the distance of unit vectors whose cosine is the link's: the linked vector is at least as
+near to c as to h. x visits the cells that this bound leaves, so no link is missed, whatever the centres are; they only
+decide how many products are saved.
+
+Cells are joined by key in blocks of bounded size on both sides. Equal vectors are joined as one with a weight before
+anything is compared. The core of a cell, its vectors within half the link's angle of the centre, links throughout, so a
+group of near copies costs no products inside its core. Tasks send on link counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellica.llm._skew import join_spread
@@ -25,8 +26,8 @@ from trellica.llm._store import cut, table
 from trellica.llm._text import lists
 from trellica.llm.components import components
 
-#: Doubles in a block, blocks in a partition, and what rounding may add to the bound.
-BLOCK_VALUES, PART_BLOCKS, SLACK = 1 << 18, 16, 1e-9
+#: Doubles in a block at most, and what rounding may add to a bound.
+BLOCK_VALUES, SLACK = 1 << 19, 1e-9
 
 
 def cells_for(vectors: int, most: int = 8192) -> int:
@@ -50,8 +51,23 @@ def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 3
     return centres
 
 
+def merge_centres(centres: np.ndarray, least: float) -> np.ndarray:
+    """Centres of which no two would link: each joins the first one left that it would link with."""
+    left = np.ones(len(centres), bool)
+    out = []
+    for i in range(len(centres)):
+        if left[i]:
+            near = left & (centres @ centres[i] >= least)
+            left[near] = False
+            total = centres[near].sum(axis=0)
+            out.append(total / np.linalg.norm(total))
+    return np.stack(out)
+
+
 def unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of length one; they are scaled by their largest component first, so that no square overflows."""
     rows = np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -68,147 +84,162 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def may_link(points: np.ndarray, home: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
-    """Which points of the cell with centre `home` may have a link in the cells of the other centres (points x others)."""
-    reach = np.sqrt(max(0.0, 2 - 2 * least)) * np.linalg.norm(others - home, axis=1)
-    return (points @ home)[:, None] - points @ others.T <= reach + SLACK
+def visits(points: np.ndarray, home: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
+    """Which later cells each point may have a link in (points x centres); a pair of cells is compared in the later one."""
+    dots = points @ centres.T
+    out = np.zeros(dots.shape, bool)
+    for h in np.unique(home):
+        own = np.flatnonzero(home == h)
+        reach = np.sqrt(max(0.0, 2 - 2 * least)) * np.linalg.norm(centres - centres[h], axis=1) + SLACK
+        out[own, h + 1 :] = (dots[own, h : h + 1] - dots[own] <= reach)[:, h + 1 :]
+    return out
 
 
-def pack(centres: Broadcast, least: float) -> Callable:
-    """Group task: one block of a cell to one row, with the cells in which its vectors may have links."""
+def compare(least: float):
+    """Group task: the two blocks of a tile to link counts by vector and a spanning forest of links by node."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        n = rows.num_rows
-        flat = rows["vector"].combine_chunks().flatten()
-        vectors = np.asarray(flat).reshape(n, -1)
-        first, own = centres.value[vectors.shape[1]]
-        home = own[key[0].as_py() - first]
-        cells = np.zeros(len(own), bool)
-        for i in range(0, n, 256):
-            cells |= may_link(vectors[i : i + 256], home, own, least).any(axis=0)
-        one = lambda x, kind: lists(np.asarray(x), np.array([len(x)]), kind)
-        columns = [one(first + np.flatnonzero(cells), pa.int32()), *[one(rows[c], pa.int64()) for c in ("id", "weight")], one(flat, pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + columns, ["home", "block", "cells", "ids", "weights", "vectors"])
+        side, ids, nodes, weight = (np.asarray(rows[c]) for c in ("side", "id", "node", "weight"))
+        vectors = np.asarray(rows["vector"].combine_chunks().flatten()).reshape(len(ids), -1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = key[1].as_py() == key[2].as_py()
+        if same:
+            right = left
+        count = np.zeros(len(ids), np.int64)
+        names, at = np.unique(nodes, return_inverse=True)
+        label = np.arange(len(names))
+        b = vectors[right]
+        for j in range(0, len(left), 1024):
+            x, y = np.nonzero(vectors[left[j : j + 1024]] @ b.T >= least)
+            x, y = left[j + x], right[y]
+            if same:
+                x, y = x[x < y], y[x < y]
+            np.add.at(count, x, weight[y])
+            np.add.at(count, y, weight[x])
+            label = forest(np.concatenate((at[x], np.arange(len(names)))), np.concatenate((at[y], label)), len(names))
+        link, some = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(count)
+        columns = (ids[some], names[label[link]]), (ids[some], names[link]), (count[some], link * 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["a", "b", "degree"])
 
     return run
 
 
-def merged(degree: list, links: list) -> tuple[list, list]:
-    """One count for each id, and a spanning forest of the links, from those of many pairs of blocks."""
-    ids, at = np.unique(np.concatenate([d[0] for d in degree]), return_inverse=True)
-    count = np.zeros(len(ids), np.int64)
-    np.add.at(count, at, np.concatenate([d[1] for d in degree]))
-    a, b = (np.concatenate([x[i] for x in links]) for i in (0, 1))
-    label = forest(np.searchsorted(ids, a), np.searchsorted(ids, b), len(ids))
-    link = np.flatnonzero(label != np.arange(len(ids)))
-    return [(ids, count)], [(ids[label[link]], ids[link])]
-
-
-def compare(centres: Broadcast, least: float, most_held: int = 1 << 20) -> Callable:
-    """Task: pairs of blocks to link counts and spanning links."""
+def upto(n: Column) -> Column:
+    """0 to n - 1; empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def block(batch: pa.RecordBatch, side: str, i: int) -> tuple:
-        ids, weight, vectors = (np.asarray(batch.column(f"{side}_{c}")[i].values) for c in ("ids", "weights", "vectors"))
-        vectors = vectors.reshape(len(ids), -1)
-        first, own = centres.value[vectors.shape[1]]
-        return ids, weight, vectors, own[batch.column(f"{side}_home")[i].as_py() - first]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        degree, links, held = [], [], 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (a_ids, a_weight, a, a_home), (b_ids, b_weight, b, b_home) = (block(batch, side, i) for side in "ab")
-                same = all(batch.column(f"a_{c}")[i].as_py() == batch.column(f"b_{c}")[i].as_py() for c in ("home", "block"))
-                left = np.flatnonzero(may_link(a, a_home, b_home[None], least)[:, 0])
-                right = np.flatnonzero(may_link(b, b_home, a_home[None], least)[:, 0])
-                for j in range(0, len(left), 1024):
-                    x, y = np.nonzero(a[left[j : j + 1024]] @ b[right].T >= least)
-                    x, y = left[j + x], right[y]
-                    if same:
-                        x, y = x[x < y], y[x < y]
-                    if not len(x):
-                        continue
-                    count = [np.bincount(x, b_weight[y], len(a_ids)).astype(np.int64), np.bincount(y, a_weight[x], len(b_ids)).astype(np.int64)]
-                    degree += [(ids[n > 0], n[n > 0]) for ids, n in zip((a_ids, b_ids), count, strict=True)]
-                    label = forest(x, y + len(a_ids), len(a_ids) + len(b_ids)) if not same else forest(x, y, len(a_ids))
-                    both = np.concatenate((a_ids, b_ids))
-                    link = np.flatnonzero(label != np.arange(len(label)))
-                    links.append((both[label[link]], both[link]))
-                    held += len(degree[-1][0]) + len(degree[-2][0])
-                    if held > most_held:
-                        degree, links = merged(degree, links)
-                        held = len(degree[0][0]) // 2
-        if degree:
-            [(ids, count)], [(a, b)] = merged(degree, links)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((ids, a), (ids, b), (count, a * 0))], ["a", "b", "degree"])
-
-    return run
 
+def tiles(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """Each vector once for every tile (cell, i, j) it takes part in, on side 0 or 1.
 
-def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95, per_block: int = 2048, sample_per_cell: int = 32, most_cells: int = 8192) -> DataFrame:
+    Residents of a cell are dealt into `cores` blocks of its core and `others` of the rest, visitors into `guests`. Blocks
+    meet in pairs i <= j, but for two of the core; the visitors' blocks count from -1 downwards. `cells` has one row a cell.
+    """
+    blocks = F.col("cores") + F.col("others")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    pair = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    own = placed.drop("visits").join(F.broadcast(cells), "home")
+    own = own.withColumn("own", F.when(F.col("core"), deal(F.col("cores"))).otherwise(F.col("cores") + deal(F.col("others"))))
+    met = F.filter(upto(blocks), lambda j: ~F.col("core") | (j >= F.col("cores")))
+    inner = F.transform(met, lambda j: pair(F.least("own", j), F.greatest("own", j), (F.col("own") > j)))
+    outer = F.transform(upto(F.col("guests")), lambda v: pair(F.col("own"), -1 - v, F.lit(0)))
+    residents = own.withColumn("tile", F.explode(F.concat(inner, outer)))
+    guests = placed.withColumn("cell", F.explode("visits")).drop("visits", "home").join(F.broadcast(cells.withColumnRenamed("home", "cell")), "cell").withColumnRenamed("cell", "home")
+    guests = guests.withColumn("own", deal(F.col("guests")))
+    guests = guests.withColumn("tile", F.explode(F.transform(upto(blocks), lambda i: pair(i, -1 - F.col("own"), F.lit(1)))))
+    fields = ["home", "tile.i", "tile.j", "tile.side", "id", "node", "weight", "vector"]
+    return residents.select(*fields).unionByName(guests.select(*fields))
+
+
+def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95, per_block: int = 4096, sample_per_cell: int = 32, most_cells: int = 8192, sample_bytes: int = 64 << 20) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors are
-    compared with all others of their length, as a cosine is not defined across lengths. Rows without an id link with nothing and are kept. Rows that share an id and a vector count as separate
-    vectors. An empty table gives an empty result; other columns are not read. The centres are fitted on
-    about sample_per_cell * cells vectors, drawn by a hash of the vector; links do not depend on them.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors are compared with
+    all others of their length, as a cosine is not defined across lengths. Rows without an id link with nothing and are
+    kept. Rows that share an id and a vector count as separate vectors. Ids may be of any type that can be ordered:
+    integers are used as they are, others through a 64-bit hash. An empty table gives an empty result; other columns are
+    not read. The centres are fitted on about sample_per_cell * cells vectors and sample_bytes at most, drawn by a hash of
+    the vector; links do not depend on them.
     """
-    spark = df.sparkSession
+    whole = df.schema[vec_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.col(vec_id).cast("long") if whole else F.when(F.col(vec_id).isNotNull(), F.xxhash64(F.col(vec_id)))
+    found = linked(df.select(key.alias("id"), F.col(vector).cast("array<double>").alias("vector")), least, per_block, sample_per_cell, most_cells, sample_bytes)
+    if not whole:
+        names = df.where(F.col(vec_id).isNotNull()).select(key.alias("id"), F.col(vec_id).alias("name")).distinct()
+        named = found.join(names, "id", "left")
+        first = named.groupBy("component").agg(F.min("name").alias("first"))
+        found = named.join(first, "component", "left").select(F.col("name").alias("id"), "n_links", F.col("first").alias("component"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def fit_centres(single: DataFrame, least: float, per_block: int, sample_per_cell: int, most_cells: int, sample_bytes: int) -> dict[int, tuple[int, np.ndarray]]:
+    """For each vector length the number of its first cell and the centres of its cells."""
+    lengths = {r["dim"]: r for r in single.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.min_by("vector", "mark0").alias("some")).collect()}
+    if not lengths:
+        return {}
+    size = {d: min(cells_for(r["n"], most_cells), -(-4 * r["n"] // per_block)) for d, r in lengths.items()}
+    wanted = {d: min(sample_per_cell * k, max(1, sample_bytes // (8 * d * len(lengths)))) for d, k in size.items()}
+    share = F.create_map(*[F.lit(x) for d, n in wanted.items() for x in (d, min(1.0, n / lengths[d]["n"]))])
+    drawn = single.where(F.pmod(F.xxhash64("mark0", "mark1"), F.lit(1 << 20)) < share[F.size("vector")] * (1 << 20)).select("vector").toArrow()["vector"].combine_chunks()
+    out, first = {}, 0
+    for d in sorted(size):
+        sample = drawn.filter(pc.equal(pc.list_value_length(drawn), d))
+        sample = sample if len(sample) else pa.array([lengths[d]["some"]], pa.list_(pa.float64()))
+        out[d] = (first, merge_centres(spherical_kmeans(unit(sample, d), size[d]), least))
+        first += len(out[d][1])
+    return out
+
+
+def linked(rows: DataFrame, least: float, per_block: int, sample_per_cell: int, most_cells: int, sample_bytes: int) -> DataFrame:
+    """(id, n_links, component) for (id bigint, vector array<double>)."""
     values = F.col("vector")
     fine = F.col("id").isNotNull() & values.isNotNull() & (F.size(values) > 0) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0)
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     mark = [F.when(F.col("fine"), F.xxhash64(F.lit(i), "vector")).alias(f"mark{i}") for i in (0, 1)]
     rows = rows.select("id", "fine", *mark, "vector")
     marks = ["mark0", "mark1"]
     single = cut(rows.where("fine").groupBy(*marks).agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
-    lengths = {r["dim"]: r["count"] for r in single.groupBy(F.size("vector").alias("dim")).count().collect()}
-    if not lengths:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    size = {d: min(cells_for(n, most_cells), -(-2 * n // per_block)) for d, n in lengths.items()}
-    share = F.create_map(*[F.lit(x) for d, k in size.items() for x in (d, min(1.0, sample_per_cell * k / lengths[d]))])
-    drawn = single.where(F.pmod(F.xxhash64(*marks), F.lit(1 << 20)) < share[F.size("vector")] * (1 << 20)).select("vector").toArrow()["vector"].combine_chunks()
-    found_centres, first = {}, 0
-    for d in sorted(size):
-        sample = drawn.filter(pc.equal(pc.list_value_length(drawn), d))
-        if not len(sample):
-            sample = single.where(F.size("vector") == d).limit(1).select("vector").toArrow()["vector"].combine_chunks()
-        found_centres[d] = (first, spherical_kmeans(unit(sample, d), size[d]))
-        first += len(found_centres[d][1])
-    centres = spark.sparkContext.broadcast(found_centres)
+    fitted = fit_centres(single, least, per_block, sample_per_cell, most_cells, sample_bytes)
+    if not fitted:
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    shared = rows.sparkSession.sparkContext.broadcast(fitted)
+    inside = np.sqrt((1 + least) / 2) + SLACK
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = pc.list_value_length(batch.column("vector"))
             for d in pc.unique(dims).to_pylist():
-                rows = batch.filter(pc.equal(dims, d))
-                points = unit(rows.column("vector"), d)
-                start, own = centres.value[d]
-                home = (start + np.argmax(points @ own.T, axis=1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("weight"), pa.array(home), lists(points.ravel(), np.full(len(points), d), pa.float64())], ["id", "weight", "home", "vector"])
-
-    placed = cut(single.select("id", "weight", "vector").mapInArrow(assign, "id bigint, weight bigint, home int, vector array<double>"))
-    room = F.greatest(F.lit(1), F.least(F.lit(per_block), F.floor(F.lit(BLOCK_VALUES) / F.first(F.size("vector")))))
-    blocks = cut(placed.groupBy("home").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks")))
-    number = blocks.agg(F.sum("blocks")).first()[0]
-    parts = min(number, max(-(-number // PART_BLOCKS), 2 * int(np.ceil(np.sqrt(spark.sparkContext.defaultParallelism)))))
-    dealt = placed.join(F.broadcast(blocks), "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    packed = dealt.select("home", "block", "id", "weight", "vector").groupBy("home", "block").applyInArrow(pack(centres, least), "home int, block int, cells array<int>, ids array<bigint>, weights array<bigint>, vectors array<double>")
-    packed = cut(packed.repartition(parts))
-    a, b = (packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]) for side in "ab")
-    meet = (F.struct("a_home", "a_block") <= F.struct("b_home", "b_block")) & F.array_contains("a_cells", F.col("b_home")) & F.array_contains("b_cells", F.col("a_home"))
-    pairs = a.join(b.hint("shuffle_replicate_nl"), meet).drop("a_cells", "b_cells")
-    found = cut(pairs.mapInArrow(compare(centres, least), "a bigint, b bigint, degree bigint"))
+                own = batch.filter(pc.equal(dims, d))
+                start, centres = shared.value[d]
+                for a in range(0, own.num_rows, 1024):
+                    part = own.slice(a, 1024)
+                    points = unit(part.column("vector"), d)
+                    near = points @ centres.T
+                    home = np.argmax(near, axis=1)
+                    core = near[np.arange(len(home)), home] >= inside
+                    seen = visits(points, home, centres, least)
+                    columns = [part.column("id"), part.column("weight"), pa.array((start + home).astype(np.int32)), pa.array(core), lists((start + np.nonzero(seen)[1]).astype(np.int32), seen.sum(axis=1), pa.int32()), lists(points.ravel(), np.full(len(points), d), pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "weight", "home", "core", "visits", "vector"])
+
+    placed = cut(single.select("id", "weight", "vector").mapInArrow(assign, "id bigint, weight bigint, home int, core boolean, visits array<int>, vector array<double>"))
+    inner = placed.groupBy("home").agg(F.count_if("core").alias("in_core"), F.count_if(~F.col("core")).alias("in_rest"), F.max(F.size("vector")).alias("dim"), F.min(F.when(F.col("core"), F.col("id"))).alias("core_node"), F.sum(F.when(F.col("core"), F.col("weight"))).alias("core_weight"))
+    guests = placed.select(F.explode("visits").alias("home")).groupBy("home").agg(F.count("*").alias("seen"))
+    room = F.greatest(F.lit(1), F.least(F.lit(per_block), F.floor(F.lit(BLOCK_VALUES) / F.col("dim"))))
+    many = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / room).cast("int")
+    cells = cut(inner.join(guests, "home", "left").select("home", "core_node", "core_weight", many("in_core").alias("cores"), many("in_rest").alias("others"), many("seen").alias("guests")))
+    placed = placed.join(F.broadcast(cells.select("home", "core_node", "core_weight")), "home")
+    placed = placed.withColumn("node", F.when(F.col("core"), F.col("core_node")).otherwise(F.col("id"))).withColumn("implied", F.when(F.col("core"), F.col("core_weight") - F.col("weight")).otherwise(0))
+    dealt = tiles(placed.drop("core_node", "core_weight", "implied"), cells.drop("core_node", "core_weight"))
+    found = cut(dealt.groupBy("home", "i", "j").applyInArrow(compare(least), "a bigint, b bigint, degree bigint"))
     degree = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
-    label = components(found.where("a <> b").select("a", "b").distinct()).withColumnRenamed("id", "rep")
-    stats = single.select(*marks, F.col("id").alias("rep"), "weight").join(degree, "rep", "left").join(label, "rep", "left")
-    known = join_spread(rows.where("fine").select("id", *marks), stats, marks, "weight")
-    fields = ["id", "rep", "weight", "degree", "component"]
-    out = known.select(*fields).unionByName(rows.where("NOT fine").select("id"), allowMissingColumns=True)
-    links = F.coalesce(F.col("weight") - 1 + F.coalesce("degree", F.lit(0)), F.lit(0)).alias("n_links")
-    component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias("vec_id"), links, F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    label = components(found.where("a <> b").select("a", "b").distinct()).withColumnRenamed("id", "node")
+    node = cut(placed.select(F.col("id").alias("rep"), "node", "implied"))
+    of_node = node.groupBy("node").agg(F.count("*").alias("many")).join(label, "node", "left")
+    stats = single.select(*marks, F.col("id").alias("rep"), "weight").join(join_spread(node, of_node, ["node"], "many"), "rep").join(degree, "rep", "left")
+    links = F.col("weight") - 1 + F.col("implied") + F.coalesce("degree", F.lit(0))
+    known = join_spread(cut(rows.where("fine").select("id", *marks)), stats.select(*marks, "weight", links.alias("n_links"), F.coalesce("component", "node").alias("component")), marks, "weight")
+    return known.select("id", "n_links", "component").unionByName(rows.where("NOT fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

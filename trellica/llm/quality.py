@@ -63,11 +63,12 @@ def shape(off: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray
     return np.tile(text, len(kinds)), np.concatenate(kinds).astype(np.int64)
 
 
-def sample_features(texts: list[str], buckets: int, piece: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sample_features(texts: list[str] | pa.Array, buckets: int, piece: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """features() of many texts, a few at a time and in narrow types, which bounds the memory of the fitting task."""
     parts = []
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     for a in range(0, len(texts), piece):
-        text, bucket, value = features(pa.array(texts[a : a + piece], pa.string()), buckets)
+        text, bucket, value = features(texts[a : a + piece], buckets)
         parts.append(((text + a).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -89,7 +90,7 @@ class CumulativeLink:
         return self.grades[0] + tails @ steps if len(self.grades) else np.zeros(len(tails))
 
 
-def train(texts: list[str], grades: list[int], shares: dict[int, float] | None = None, buckets: int = 1 << 18, epochs: int = 20, rate: float = 0.5, decay: float = 1e-6, seed: int = 5) -> CumulativeLink:
+def train(texts: list[str] | pa.Array, grades: list[int], shares: dict[int, float] | None = None, buckets: int = 1 << 18, epochs: int = 20, rate: float = 0.5, decay: float = 1e-6, seed: int = 5) -> CumulativeLink:
     """Maximum likelihood by Adagrad; thresholds are kept ordered by their gaps. One or no grade gives a constant model.
 
     `shares` says how common each grade really is, where the sample is drawn by grade.

@@ -29,6 +29,8 @@ from trellica.llm._text import buffers, chunks, prefix, span_hash, words
 WINDOW, STEP, REPEAT = 16, 8, 3
 #: Words whose n-grams are hashed at a time, which bounds the memory of long batches.
 PIECE = 20_000
+#: Tokens whose passages are scored at a time.
+TOKENS = 1 << 18
 GRAMS = (3, 4, 5)
 
 
@@ -88,19 +90,24 @@ class Vocabulary:
             counts.append(count)
         if not hashes:
             return Vocabulary(*[np.empty(0, np.int64) for _ in range(5)])
-        order = np.argsort(known)
-        tokens = order[np.searchsorted(known, np.concatenate(hashes), sorter=order)] if len(known) else np.empty(0, np.int64)
-        count = np.concatenate(counts)
+        order = np.argsort(known).astype(np.int32)
+        tokens = [order[np.searchsorted(known, hashes.pop(0), sorter=order)] for _ in range(len(hashes))] if len(known) else [np.empty(0, np.int32)]
+        tokens, count = np.concatenate(tokens), np.concatenate(counts)
         fresh = np.ones(len(tokens), np.float32)
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count)
+        place = np.arange(len(tokens), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
         for back in range(1, min(REPEAT, len(tokens) - 1) + 1):
             fresh[back:][(tokens[back:] == tokens[:-back]) & (place[back:] >= back)] = 0
         return Vocabulary(tokens, fresh, count, np.concatenate(ids), np.concatenate(per))
 
     def word_means(self, values: np.ndarray) -> np.ndarray:
-        """Mean of a per-bucket value over each word's subwords."""
-        at = np.cumsum(self.per_word) - self.per_word
-        return np.add.reduceat(values[self.buckets], at, axis=0) / self.per_word.reshape(-1, *[1] * (values.ndim - 1)) if len(at) else values[:0]
+        """Mean of a per-bucket value over each word's subwords, PIECE words at a time."""
+        ends = np.cumsum(self.per_word)
+        out = np.empty((len(ends), *values.shape[1:]))
+        for a in range(0, len(ends), PIECE):
+            n = self.per_word[a : a + PIECE]
+            own = slice(int(ends[a] - n[0]), int(ends[a + len(n) - 1]))
+            out[a : a + PIECE] = np.add.reduceat(values[self.buckets[own]], np.cumsum(n) - n, axis=0) / n.reshape(-1, *[1] * (values.ndim - 1))
+        return out
 
 
 def passages(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,28 +135,41 @@ class SubwordSoftmax:
 
 
 def worst(vocabulary: Vocabulary, bucket_lean: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Highest passage log-odds of each text (bias alone without words), and that passage's token span."""
-    lean = vocabulary.word_means(bucket_lean)[vocabulary.tokens] * vocabulary.fresh
-    total = np.concatenate(([0.0], np.cumsum(lean)))
-    start, end, text = passages(vocabulary.per_text)
-    value = (total[end] - total[start]) / WINDOW + bias
-    out = np.full(len(vocabulary.per_text), bias)
+    """Highest passage log-odds of each text (bias alone without words), and that passage's token span.
+
+    Texts are taken about TOKENS tokens at a time, a longer one alone.
+    """
+    word_lean = vocabulary.word_means(bucket_lean)
+    ends = np.cumsum(vocabulary.per_text)
+    out = np.full(len(ends), bias)
     a, b = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64)
-    if len(text):
-        order = np.lexsort((value, text))
-        last = np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)
-        pick = order[last]
-        out[text[pick]], a[text[pick]], b[text[pick]] = value[pick], start[pick], end[pick]
+    at = 0
+    while at < len(ends):
+        base = int(ends[at] - vocabulary.per_text[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + TOKENS, "right")))
+        own = slice(base, int(ends[to - 1]))
+        total = np.concatenate(([0.0], np.cumsum(word_lean[vocabulary.tokens[own]] * vocabulary.fresh[own])))
+        start, end, text = passages(vocabulary.per_text[at:to])
+        if len(text):
+            value = (total[end] - total[start]) / WINDOW + bias
+            order = np.lexsort((value, text))
+            pick = order[np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)]
+            out[at + text[pick]], a[at + text[pick]], b[at + text[pick]] = value[pick], base + start[pick], base + end[pick]
+        at = to
     return out, a, b
 
 
 def contrast(vocabulary: Vocabulary, y: np.ndarray, buckets: int) -> np.ndarray:
     """How much oftener toxic texts hold each bucket than clean ones: the log ratio of document shares over its error."""
-    texts = np.repeat(np.arange(len(y)), vocabulary.per_text)
-    held = np.unique(texts * len(vocabulary.per_word) + vocabulary.tokens)
     seen = np.zeros((2, buckets))
     word_first = np.cumsum(vocabulary.per_word) - vocabulary.per_word
-    for part in np.array_split(held, len(held) // 50_000 + 1):
+    ends = np.cumsum(vocabulary.per_text)
+    for own in np.array_split(np.arange(len(y)), int(ends[-1]) // 50_000 + 1):
+        if not len(own):
+            continue
+        n = vocabulary.per_text[own]
+        tokens = vocabulary.tokens[int(ends[own[0]] - n[0]) : int(ends[own[-1]])]
+        part = np.unique(np.repeat(own, n) * len(vocabulary.per_word) + tokens)
         text, word = part // len(vocabulary.per_word), part % len(vocabulary.per_word)
         n = vocabulary.per_word[word]
         bucket = vocabulary.buckets[np.repeat(word_first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -158,7 +178,7 @@ def contrast(vocabulary: Vocabulary, y: np.ndarray, buckets: int) -> np.ndarray:
     return (share[1] - share[0]) / np.sqrt((1 / (seen + 0.5)).sum(0))
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 12, least_steps: int = 400, rate: float = 0.5, seed: int = 11) -> SubwordSoftmax:
+def train(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 12, least_steps: int = 400, rate: float = 0.5, seed: int = 11) -> SubwordSoftmax:
     """Joint Adagrad training of embeddings and softmax; small samples get more rounds, up to `least_steps` updates.
 
     Embeddings start from a random table plus one direction that contrasts the buckets of toxic and clean texts, so that
@@ -170,7 +190,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return SubwordSoftmax(np.zeros((buckets, dim)), np.zeros((dim, 2)), np.array([0.0, -8.0 if not len(y) or y[0] == 0 else 8.0]))
-    vocabulary = Vocabulary.of(pa.array(texts, pa.string()), buckets, 1 << 19)
+    vocabulary = Vocabulary.of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), buckets, 1 << 19)
     model.embedding[:, 0] += 0.5 * contrast(vocabulary, y, buckets)
     model.weights[0] += (-1.0, 1.0)
     word_first = np.cumsum(vocabulary.per_word) - vocabulary.per_word
