@@ -20,13 +20,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, chain: bool = False) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so later reads survive lost executors.
 
-    The shuffle files behind it are no longer needed then and go at once, so the disk holds those of one step at a time.
+    `chain` says that df is one chain of steps without joins: no stage of it can outlive the action then, and the shuffle
+    files behind it go at once, so the disk holds those of one step at a time.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    if not chain:
+        return df.checkpoint(eager=True)
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:

@@ -219,7 +219,7 @@ def groups(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> DataFr
     packed = docs.mapInArrow(segments(k, bits), PACK).repartition(1 << bits, "part")
     shared = packed.mapInArrow(frequencies(1 << bits), PACK).repartition(1 << bits, "part")
     schema = "id bigint, n bigint, shared bigint, mark1 bigint, mark2 bigint, front array<bigint>, parts array<array<bigint>>, live boolean"
-    every = cut(shared.mapInArrow(sets(percent), schema))
+    every = cut(shared.mapInArrow(sets(percent), schema), chain=True)
     live = every.where("live")
     mark = ["mark1", "mark2", "n"]
     alike = live.groupBy(*mark).agg(F.min("id").alias("rep"), F.count("*").alias("many"))
