@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parameters(mode: str, scoring, matrix_sha256: str | None = None, seeding: tuple[int, int, int] | None = None) -> str:
+    """Scoring parameters as compact JSON, tagged by kind; the text that parameters_sha256 digests."""
+    if mode in ("edit-distance", "lcs"):
+        return json.dumps({"kind": mode} | ({"substitution": 1, "insertion": 1, "deletion": 1} if mode == "edit-distance" else {}), separators=(",", ":"))
+    pairs = {"type": "match-mismatch", "match_score": scoring.match, "mismatch_penalty": scoring.mismatch}
+    if scoring.matrix is not None:
+        pairs = {"type": "matrix", "name": scoring.matrix.name} | ({"source_sha256": matrix_sha256} if matrix_sha256 else {})
+    if mode == "global-affine":
+        return json.dumps({"kind": "affine", "substitution": pairs, "gap_open": scoring.gap_open, "gap_extend": scoring.gap_extend}, separators=(",", ":"))
+    seeds = dict(zip(("seed_k", "seed_window", "seed_flank"), seeding, strict=True)) if seeding else {}
+    return json.dumps({"kind": "seeded-linear" if seeding else "linear", "substitution": pairs, "gap": scoring.gap} | seeds, separators=(",", ":"))
+
+
 def frame(value: Column) -> Column:
     """Byte length as eight little-endian bytes, then the bytes; a missing value is framed as <none>."""
     raw = F.encode(F.coalesce(value.cast("string"), F.lit("<none>")), "UTF-8")
@@ -18,11 +33,12 @@ def framed_sha256(*fields: Column) -> Column:
     return F.sha2(F.concat(*[frame(f) for f in fields]), 256)
 
 
-def certificate(parameters: str) -> Column:
+def certificate(settings_json: str) -> Column:
     """struct<query_sha256, target_sha256, parameters_sha256, trace_sha256, result_sha256, certificate_sha256> of a result
-    row of align(). Times are never hashed; the verification outcome is."""
+    row of align(); a score-only row has the empty operation string as its trace. Times are never hashed; the verification
+    outcome is."""
     inputs = [F.sha2(F.coalesce(c, F.lit("")), 256) for c in ("query", "target")]
-    settings = F.sha2(F.lit(parameters), 256)
+    settings = F.sha2(F.lit(settings_json), 256)
     trace = framed_sha256(F.col("query_start"), F.col("query_end"), F.col("target_start"), F.col("target_end"), F.col("cigar"))
     result = framed_sha256(F.col("mode"), F.coalesce("backend", F.lit("blocks")), F.col("score"), F.col("distance"), F.col("path_score"), F.col("verification_status"), F.col("verified"), F.col("block_size"))
     names = ("query_sha256", "target_sha256", "parameters_sha256", "trace_sha256", "result_sha256")

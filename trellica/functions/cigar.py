@@ -72,6 +72,11 @@ def operations(cigar: Column, query: Column, target: Column, query_start: Column
     return F.flatten(F.transform(run_list(cigar), spread))
 
 
+def common_subsequence(cigar: Column, query: Column, query_start: Column) -> Column:
+    """The symbols that a path matches, in order: a longest common subsequence for a path of mode lcs."""
+    return F.array_join(F.transform(F.filter(run_list(cigar), lambda r: r["op"] == "="), lambda r: F.substring(query, query_start + r["q"] + 1, r["n"])), "")
+
+
 def aligned(cigar: Column, sequence: Column, start: Column, gap_op: str) -> Column:
     """The sequence with - where the other side has a symbol of its own; gap_op is I for the query, D for the target."""
     offset = "q" if gap_op == "I" else "t"
@@ -86,8 +91,9 @@ def rescore(cigar: Column, aligned_query: Column, aligned_target: Column, scorin
         score = lambda x: F.when(x["a"] == x["b"], scoring.match).otherwise(-scoring.mismatch)
     else:
         m = scoring.matrix
-        entries = [x for a, row in zip(m.alphabet.upper(), m.rows, strict=True) for b, v in zip(m.alphabet.upper(), row, strict=True) for x in (F.lit(a + b), F.lit(v))]
-        score = lambda x: F.element_at(F.create_map(*entries), F.upper(F.concat(x["a"], x["b"])))
+        flat = F.array(*[F.lit(v) for row in m.rows for v in row])
+        place = lambda c: F.instr(F.lit(m.alphabet.upper()), F.upper(c)) - 1
+        score = lambda x: F.get(flat, place(x["a"]) * len(m.alphabet) + place(x["b"]))
     pairs = F.aggregate(F.filter(symbols, lambda x: (x["a"] != "-") & (x["b"] != "-")), F.lit(0).cast("long"), lambda acc, x: acc + score(x))
     gaps = total(cigar, "DI")
     opened = F.size(F.regexp_extract_all(cigar, F.lit(r"([DI])"), F.lit(1)))

@@ -137,10 +137,18 @@ def affine_rows(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int,
 
 
 def warp_costs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Dynamic time warping cost of two integer series under absolute differences; both must be non-empty."""
+    """Dynamic time warping cost of two integer series under absolute differences, in two rows; both must be non-empty."""
     out = np.zeros(len(pairs), np.int64)
     for k, (q, t) in enumerate(pairs):
-        out[k] = warp_table(np.asarray(q, np.int64), np.asarray(t, np.int64))[-1, -1]
+        q, t = np.asarray(q, np.int64), np.asarray(t, np.int64)
+        row = np.full(len(t) + 1, 2**60, np.int64)
+        row[0] = 0
+        for x in q:
+            cost = np.abs(x - t)
+            total = np.cumsum(cost)
+            row[1:] = np.minimum.accumulate(np.minimum(row[1:], row[:-1]) - (total - cost)) + total
+            row[0] = 2**60
+        out[k] = row[-1]
     return out
 
 
@@ -270,12 +278,40 @@ def trace_linear(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int, bloc
     return "".join(walk_linear(q[i:k], t[j:m], table, gap) for (i, j), (k, m) in zip(stops[:-1], stops[1:], strict=True))
 
 
+def affine_band(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, band: int) -> np.ndarray:
+    """Scores (row, lane, offset) of the cells with |row - column| <= band; column = row + offset - band. Lanes: match, D, I."""
+    n, m, width = len(q), len(t), 2 * band + 1
+    out = np.full((n + 1, 3, width), NEG, np.int32)
+    offset = np.arange(width)
+    step = gap_extend * offset
+    out[0, 0, band] = 0
+    for i in range(n + 1):
+        column = i + offset - band
+        inside = (column >= 0) & (column <= m)
+        match, down, right = out[i]
+        if i:
+            match[:] = out[i - 1].max(axis=0) + table[q[i - 1], t[np.clip(column - 1, 0, max(m - 1, 0))]] if m else NEG
+            match[~inside | (column == 0)] = NEG
+            down[:-1] = np.maximum(out[i - 1, 0, 1:] + gap_open, out[i - 1, 1, 1:]) + gap_extend
+            down[~inside] = NEG
+        right[1:] = np.maximum.accumulate(match - step)[:-1] + gap_open + step[1:]
+        right[~inside] = NEG
+        np.maximum(out[i], NEG, out=out[i])
+    return out
+
+
 def trace_affine(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, band: int | None) -> tuple[int, str] | None:
-    """Score and operations of an optimal affine path; ties prefer match, then D, then I. None if out of the band."""
-    lanes = [np.stack([x[0] for x in row[1:]]) for row in affine_rows(q[None, :], t[None, :], table, gap_open, gap_extend, band)]
+    """Score and operations of an optimal affine path; ties prefer match, then D, then I. None if out of the band.
+
+    Memory is the query's length times the band.
+    """
     i, j = len(q), len(t)
-    state = int(np.argmax(lanes[i][:, j]))
-    score = int(lanes[i][state, j])
+    band = min(max(i, j), max(i, j) if band is None else band)
+    if abs(i - j) > band:
+        return None
+    lanes = affine_band(q, t, table, gap_open, gap_extend, band)
+    state = int(np.argmax(lanes[i, :, j - i + band]))
+    score = int(lanes[i, state, j - i + band])
     if score <= NEG // 2:
         return None
     ops, here = [], score
@@ -286,12 +322,116 @@ def trace_affine(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int,
         ops.append("DI"[was - 1] if was else "=" if q[i] == t[j] else "X")
         for state in (0, 1, 2):
             cost = pair if was == 0 else change.get((was, state))
-            if cost is not None and int(lanes[i][state, j]) + cost == here:
+            if cost is not None and abs(j - i) <= band and int(lanes[i, state, j - i + band]) + cost == here:
                 break
-        here = int(lanes[i][state, j])
+        here = int(lanes[i, state, j - i + band])
     return score, "".join(reversed(ops))
 
 
+def common_run(q: bytes, t: bytes, i: int, j: int) -> int:
+    """How many symbols from q[i] and t[j] on are equal."""
+    most, done, size = min(len(q) - i, len(t) - j), 0, 16
+    if most <= 0 or q[i] != t[j]:
+        return 0
+    while done + size <= most and q[i + done : i + done + size] == t[j + done : j + done + size]:
+        done += size
+        size *= 2
+    while size:
+        if done + size <= most and q[i + done : i + done + size] == t[j + done : j + done + size]:
+            done += size
+        size //= 2
+    return done
+
+
+def trace_edits(q: bytes, t: bytes, most: int) -> tuple[int, str] | None:
+    """Edit distance and operations if the distance is at most `most`, else None.
+
+    For each number of edits the furthest row on every diagonal is kept (Ukkonen, 1985), so time grows with the square of
+    the distance and the length of equal runs, not with the product of the lengths. Ties prefer X, then D, then I.
+    """
+    n, m = len(q), len(t)
+    reach: list[dict[int, int]] = []
+    for edits in range(most + 1):
+        row = {}
+        for k in range(-min(edits, n), min(edits, m) + 1):
+            i = entry(reach[-1], k, n, m)[0] if reach else 0
+            if i >= 0:
+                row[k] = i + common_run(q, t, i, i + k)
+        reach.append(row)
+        if row.get(m - n, -1) == n:
+            break
+    else:
+        return None
+    ops, k, i = [], m - n, n
+    for row in reach[-2::-1]:
+        start, op = entry(row, k, n, m)
+        ops.append((i - start, op))
+        k, i = k + {"X": 0, "D": 1, "I": -1}[op], start - (op != "I")
+    return len(reach) - 1, "=" * i + "".join(op + "=" * run for run, op in reversed(ops))
+
+
+def entry(before: dict[int, int], k: int, n: int, m: int) -> tuple[int, str]:
+    """Furthest row at which one more edit enters diagonal k, and that edit; -1 if none does."""
+    best, op = -1, ""
+    for kind, at, more in (("X", k, 1), ("D", k + 1, 1), ("I", k - 1, 0)):
+        i = before.get(at, -2) + more
+        if best < i <= n and 0 <= i + k <= m and before.get(at) is not None:
+            best, op = i, kind
+    return best, op
+
+
+def lcs_bits(q: bytes, t: bytes) -> int:
+    """Length of a longest common subsequence by one addition on whole-row bit vectors a query symbol."""
+    place: dict[int, int] = {}
+    for j, c in enumerate(t):
+        place[c] = place.get(c, 0) | 1 << j
+    full = (1 << len(t)) - 1
+    row = full
+    for c in q:
+        hit = row & place.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(t) - row.bit_count()
+
+
+def second_score(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int, free: bool = False, local: bool = False) -> int:
+    """Score of a linear-gap alignment by antidiagonals: a recurrence of its own, for verification."""
+    n, m = len(q), len(t)
+    far, near, best = np.full(n + 2, NEG, np.int64), np.full(n + 2, NEG, np.int64), 0 if local else NEG
+    for d in range(n + m + 1):
+        i = np.arange(max(0, d - m), min(n, d) + 1)
+        j = d - i
+        now = np.full(n + 2, NEG, np.int64)
+        inner = (i > 0) & (j > 0)
+        value = np.full(len(i), NEG, np.int64)
+        value[inner] = far[i[inner] - 1] + table[q[i[inner] - 1], t[j[inner] - 1]]
+        value = np.maximum(value, np.where(i > 0, near[i - 1], NEG) + gap)
+        value = np.maximum(value, np.where(j > 0, near[i], NEG) + gap)
+        value[i == 0] = 0 if free or local else gap * j[i == 0]
+        if local:
+            value = np.maximum(value, 0)
+            best = max(best, int(value.max()))
+        elif free and i[-1] == n:
+            best = max(best, int(value[-1]))
+        now[i] = value
+        far, near = near, now
+    return best if free or local else int(near[n])
+
+
+def second_affine(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int) -> int:
+    """Score of a global affine alignment by columns over plain lists, for verification."""
+    n = len(q)
+    match, down, right = [0] + [NEG] * n, [NEG] + [gap_open + gap_extend * i for i in range(1, n + 1)], [NEG] * (n + 1)
+    for c in t:
+        gain = table[q, c].tolist()
+        new_match, new_down, new_right = [NEG], [NEG], [max(match[0] + gap_open, right[0]) + gap_extend]
+        for i in range(1, n + 1):
+            new_match.append(max(match[i - 1], down[i - 1], right[i - 1]) + gain[i - 1])
+            new_right.append(max(match[i] + gap_open, right[i]) + gap_extend)
+            new_down.append(max(new_match[i - 1] + gap_open, new_down[i - 1]) + gap_extend)
+        match, down, right = new_match, new_down, new_right
+    return max(match[n], down[n], right[n])
+
+
 def trace_warp(q: np.ndarray, t: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     """Cost and cells of an optimal warping path from (0, 0); ties prefer diagonal, then up, then left."""
     h = warp_table(q, t)

@@ -8,10 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where none is set (tests, one machine) a folder of our own."""
+    """Use the shared folder of spark.checkpoint.dir; only a local master (tests) gets a folder of our own where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
 
 
 def session(app: str = "trellica", **conf: str) -> SparkSession:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,18 @@ class Matrix:
         return Matrix(name, "".join(header), tuple(tuple(int(x) for x in r[1:]) for r in body))
 
 
+def read_matrix(spark, named: Matrix | None = None, path: str | None = None) -> tuple[Matrix, str | None]:
+    """A given matrix, or one read from a file by Spark with its SHA-256; the file's stem is its name."""
+    if (named is None) == (path is None):
+        raise ValueError("give a matrix or a matrix file, not both and not neither")
+    if named is not None:
+        return named, None
+    text = spark.read.text(path, wholetext=True).first()[0]
+    stem = path.rstrip("/").rsplit("/", 1)[-1]
+    stem = stem.rsplit(".", 1)[0] or stem
+    return Matrix.parse(stem or "custom", text), hashlib.sha256(text.encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class Scoring:
     """Scores of symbol pairs and gaps. Penalties follow the usual signs: gaps negative, mismatch a positive penalty."""

@@ -84,9 +84,15 @@ def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, blo
         elif mode == "semiglobal-linear":
             ends[:, [0, 3, 4]] = K.global_scores(pairs, table, s.gap, free=True)
         elif mode != "global-affine":
-            ends[:, 0] = K.global_scores(pairs, table, s.gap)[:, 0]
+            wide = [k for k, block_ in enumerate(blocks) if mode != "edit-distance" or block_]
+            ends[wide, 0] = K.global_scores([pairs[k] for k in wide], table, s.gap)[:, 0]
         ops: list[str | None] = []
         for k, ((q, t), block_, band_) in enumerate(zip(pairs, blocks, bands, strict=True)):
+            if mode == "edit-distance" and not block_:
+                found = K.trace_edits(q, t, max(len(q), len(t)) if band_ is None else band_)
+                ends[k, 0], path = (-found[0], found[1]) if found else (K.NEG, None)
+                ops.append(None if path is None else K.runs(path))
+                continue
             q, t = np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8)
             if mode == "global-affine":
                 found = K.trace_affine(q, t, table, s.gap_open, s.gap_extend, band_)
@@ -107,6 +113,36 @@ def auto_band(query: Column, target: Column) -> Column:
     return F.least(F.greatest(F.abs(F.length(query) - F.length(target)), share), longest)
 
 
+def final_band(query: Column, target: Column, distance: Column) -> Column:
+    """Band at which doubling from the length difference (b to 2 b + 1) first reaches the distance, within the longer length."""
+    longest, least = F.greatest(F.length(query), F.length(target)), F.abs(F.length(query) - F.length(target))
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(31)), least.cast("long"), lambda b, _: F.when(b < distance, 2 * b + 1).otherwise(b))
+    return F.least(grown, longest.cast("long"))
+
+
+def lcs_bit_length(query: Column, target: Column) -> Column:
+    """Length of a longest common subsequence for a target of at most 128 symbols, else null."""
+    short = F.when(F.length(target) <= 128, target)
+    return on_pairs(lambda pairs: pa.array([K.lcs_bits(q, t) for q, t in pairs], pa.int64()), "bigint")(query, short)
+
+
+def second_score_column(mode: str, scoring: Scoring, query: Column, target: Column) -> Column:
+    """Objective by a recurrence that shares nothing with the kernels of score and trace; edit distance by Spark itself."""
+    if mode == "edit-distance":
+        return -F.levenshtein(query, target).cast("long")
+
+    def run(pairs: list) -> pa.Array:
+        table, out = scoring.table(), []
+        for q, t in ((np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8)) for q, t in pairs):
+            if mode == "global-affine":
+                out.append(K.second_affine(q, t, table, scoring.gap_open, scoring.gap_extend))
+            else:
+                out.append(K.second_score(q, t, table, scoring.gap, mode == "semiglobal-linear", mode == "local-linear"))
+        return pa.array(out, pa.int64())
+
+    return on_pairs(run, "bigint")(query, target)
+
+
 def block_rows(query: Column) -> Column:
     """Default block: the root of the number of rows, rounded up; 1 for up to one row."""
     return F.greatest(F.lit(1), F.ceil(F.sqrt(F.length(query))).cast("int"))
@@ -167,7 +203,7 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
 
     A pair that cannot be aligned keeps its row, with `error` set and status `failed`; with fail_fast the query fails
     instead. `score` is the objective of the scoring modes, `distance` of edit-distance. `path_score` is computed from the
-    aligned symbols alone; status is `full` if it equals the objective of an independent score kernel too, `path_only` if
+    aligned symbols alone; `band` is the band that a banded engine needed; status is `full` if it equals the objective of an independent score kernel too, `path_only` if
     only the path was checked, `score_only` without a path, `failed` if anything disagrees. Columns named in keep pass
     through. The transform has no state, so pairs may also be a stream.
     """
@@ -191,11 +227,18 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
             value = banded_distance(query, target, band).cast("long")
         df = df.withColumns({"__objective": value, "query_start": F.lit(0), "query_end": F.length(query), "target_start": F.lit(0), "target_end": F.length(target), "cigar": F.lit(""), "path_score": F.lit(None).cast("long")})
     else:
-        affine_band = F.when(F.col("backend") == "wavefront", band if band is not None else AFFINE_BAND)
-        df = df.withColumn("__trace", trace_column(mode, scoring, query, target, F.coalesce(F.when(F.col("backend") == "linear-space", 1), F.col("block_size").cast("int"), F.lit(0)), affine_band))
+        limit = F.when(F.col("backend") == "wavefront", band if band is not None else AFFINE_BAND)
+        if engine == "fixed-banded":
+            limit = F.lit(band)
+        df = df.withColumn("__trace", trace_column(mode, scoring, query, target, F.coalesce(F.when(F.col("backend") == "linear-space", 1), F.col("block_size").cast("int"), F.lit(0)), limit))
         df = df.withColumns({"__objective": F.when(F.col("__trace.cigar").isNotNull(), F.col("__trace.score") * sign)} | {c: F.col(f"__trace.{c}") for c in ("query_start", "query_end", "target_start", "target_end", "cigar")})
         df = df.withColumn("aligned_query", C.aligned(F.col("cigar"), query, F.col("query_start").cast("int"), "I")).withColumn("aligned_target", C.aligned(F.col("cigar"), target, F.col("target_start").cast("int"), "D"))
         df = df.withColumn("path_score", C.rescore(F.col("cigar"), F.col("aligned_query"), F.col("aligned_target"), scoring, mode == "global-affine") * sign)
+    used = {"adaptive-banded": final_band(query, target, F.col("__objective")), "fixed-banded": F.lit(band), "wavefront": F.lit(band if band is not None else AFFINE_BAND)}
+    named = F.lit(None).cast("long")
+    for name, value in used.items():
+        named = F.when(F.col("backend") == name, value.cast("long")).otherwise(named)
+    df = df.withColumn("band", F.when(F.col("__objective").isNotNull(), named))
     df = df.withColumn("error", F.coalesce("error", F.when(F.col("__objective").isNull(), F.lit("no alignment inside the band"))))
     return verified(df, mode, scoring, score_only, sign, verify, keep)
 
@@ -207,10 +250,7 @@ def routed(df: DataFrame, mode: str, engine: str, block_size: int | None, band:
     if mode == "edit-distance" and engine == "auto":
         inside = F.levenshtein(query, target) <= auto_band(query, target)
         return df, F.when(inside, 0).otherwise(1), F.when(inside, "adaptive-banded").otherwise("linear-space")
-    if engine == "fixed-banded":
-        near = banded_distance(query, target, band).isNotNull()
-        return df.withColumns({s: F.when(near, F.col(s)) for s in ("query", "target")}), F.lit(0), F.lit(engine)
-    if engine in ("adaptive-banded", "myers", "myers-u64", "wavefront"):
+    if engine in ("adaptive-banded", "fixed-banded", "myers", "myers-u64", "wavefront"):
         return df, F.lit(0), F.lit(engine)
     if mode == "global-affine" and engine == "auto":
         reach = F.abs(F.length(query) - F.length(target)) <= (band if band is not None else AFFINE_BAND)
@@ -226,7 +266,7 @@ def verified(df: DataFrame, mode: str, scoring: Scoring, score_only: bool, sign:
     baseline = F.lit(None).cast("long")
     if verify:
         gated = [F.when(F.col("__verify"), F.col(c)) for c in ("query", "target")]
-        baseline = score_column(mode, scoring, *gated)["score"] * sign
+        baseline = second_score_column(mode, scoring, *gated) * sign
     df = df.withColumn("__baseline", baseline)
     sound = F.lit(True) if score_only else path.eqNullSafe(objective)
     agrees = F.col("__baseline").isNull() | (F.col("__baseline") == objective)
@@ -238,7 +278,7 @@ def verified(df: DataFrame, mode: str, scoring: Scoring, score_only: bool, sign:
     return df.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), "pair_index", "query_id", "target_id", F.lit(mode).alias("mode"),
         (none if distance else objective).alias("score"), (objective if distance else none).alias("distance"), "path_score", "verification_status", "verified",
-        *[F.col(c).cast("long").alias(c) for c in ("query_start", "query_end", "target_start", "target_end")], "cigar", "backend", "block_size",
+        *[F.col(c).cast("long").alias(c) for c in ("query_start", "query_end", "target_start", "target_end")], "cigar", "backend", "block_size", "band",
         (C.total(F.col("cigar"), "=XDI") + F.lit(0 if score_only else 1)).alias("path_length"), *names, "error", "query_length", "target_length", "query", "target", *keep,
     )
 

@@ -50,6 +50,17 @@ def path_score(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.groupBy("dag_id").agg(F.when(F.count_if(F.col("gain").isNull()) == 0, F.sum("gain")).alias("path_score"))
 
 
+def viterbi_problems(initial: Column, transitions: Column, emissions: Column) -> Column:
+    """array<string>: what keeps a row from being decoded; empty for a sound one."""
+    states = F.size(initial)
+    return F.array_compact(F.array(
+        F.when(F.coalesce(states, F.lit(0)) < 1, "no state"),
+        F.when(F.coalesce(F.size(emissions), F.lit(0)) < 1, "no observation"),
+        F.when((F.size(transitions) != states) | F.exists(transitions, lambda r: F.size(r) != states), "transitions are not square over the states"),
+        F.when(F.exists(emissions, lambda r: F.size(r) != states), "an observation lacks a score for each state"),
+    ))
+
+
 def viterbi(initial: Column, transitions: Column, emissions: Column) -> Column:
     """struct<score, start, end, path> of the best path from the best initial state (the last one on ties).
 

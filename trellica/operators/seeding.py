@@ -45,8 +45,9 @@ def check_parameters(k: int, window: int) -> None:
 def kmers(rows: DataFrame, id_: str, text: str, k: int) -> DataFrame:
     """(id, pos, kmer, n_kmers): every k-mer of every text of at least k symbols."""
     count = F.length(text) - k + 1
-    at = rows.where(F.length(text) >= k).select(F.col(id_), F.col(text), count.alias("n_kmers"), F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"))
-    return at.select(id_, "pos", F.substring(F.col(text), F.col("pos") + 1, F.lit(k)).alias("kmer"), "n_kmers")
+    each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col(text), i + 1, F.lit(k)))
+    at = rows.where(F.length(text) >= k).select(F.col(id_), count.alias("n_kmers"), each.alias("kmers"))
+    return at.select(id_, "n_kmers", F.posexplode("kmers").alias("pos", "kmer")).select(id_, "pos", "kmer", "n_kmers")
 
 
 def minimizers(rows: DataFrame, id_: str, text: str, k: int = DEFAULT_K, window: int = DEFAULT_WINDOW) -> DataFrame:
@@ -119,9 +120,10 @@ def align_seeded(pairs: DataFrame, scoring: Scoring | None = None, k: int = DEFA
     """
     windows = seeded_windows(pairs, k, window, flank)
     piece = {s: F.substring(F.col(s), F.col(f"{s}_from") + 1, F.col(f"{s}_to") - F.col(f"{s}_from")) for s in ("query", "target")}
-    inner = align(windows.select("pair_index", "query_id", "target_id", *[v.alias(s) for s, v in piece.items()]), "global-linear", scoring, **options)
-    spans = windows.select("pair_index", "query_from", "target_from", F.col("query").alias("whole_query"), F.col("target").alias("whole_target"), "chain")
-    moved = inner.join(spans, "pair_index").withColumns({f"{s}_{e}": F.col(f"{s}_{e}") + F.col(f"{s}_from") for s in ("query", "target") for e in ("start", "end")})
+    spans = {"query_from": "query_from", "target_from": "target_from", "whole_query": "query", "whole_target": "target", "chain": "chain"}
+    kept = windows.select("pair_index", "query_id", "target_id", *[v.alias(s) for s, v in piece.items()], *[F.col(c).alias(n) for n, c in spans.items()])
+    inner = align(kept, "global-linear", scoring, **options, keep=tuple(spans))
+    moved = inner.withColumns({f"{s}_{e}": F.col(f"{s}_{e}") + F.col(f"{s}_from") for s in ("query", "target") for e in ("start", "end")})
     moved = moved.withColumns({"error": F.when(F.col("chain").isNull(), "no shared seed").otherwise(F.col("error")), "mode": F.lit("seeded-global-linear"), "backend": F.lit("minimizer-seeded")})
     moved = moved.withColumns({s: F.col(f"whole_{s}") for s in ("query", "target")} | {f"{s}_length": F.length(f"whole_{s}") for s in ("query", "target")})
-    return moved.select(*inner.columns)
+    return moved.select(*[c for c in inner.columns if c not in spans])

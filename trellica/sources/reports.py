@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from trellica.functions import cigar as C
 
 #: Result fields that are left out when absent; all others are written as null.
-OPTIONAL = ("backend", "operation_counts", "operations", "certificate", "aligned_query", "aligned_target", "error")
-TSV_FIELDS = ("pair_index", "query_id", "target_id", "mode", "score", "distance", "path_score", "verification_status", "query_start", "query_end", "target_start", "target_end", "cigar", "block_size", "path_length")
+OPTIONAL = ("backend", "band", "operation_counts", "operations", "certificate", "aligned_query", "aligned_target", "error")
+#: Time columns of the tab-separated format; a Spark job has no time of its own for a record, so they are empty.
+TIMES = ("summary_build_ms", "reconstruction_ms", "verification_ms", "elapsed_ms")
+TSV_FIELDS = ("pair_index", "query_id", "target_id", "mode", "score", "distance", "path_score", "verification_status", "query_start", "query_end", "target_start", "target_end", "cigar", "block_size", "path_length", *TIMES)
 CIGAR_FIELDS = ("pair_index", "query_id", "target_id", "mode", "score", "distance", "query_start", "query_end", "target_start", "target_end", "verification_status", "path_length", "cigar")
 
 
@@ -19,7 +21,7 @@ def plain(text: Column) -> Column:
 
 
 def tabbed(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    return df.select("pair_index", F.concat_ws("\t", *[plain(F.col(c)) for c in fields]).alias("value"))
+    return df.select("pair_index", F.concat_ws("\t", *[plain(F.col(c) if c not in TIMES else F.lit(None)) for c in fields]).alias("value"))
 
 
 def tsv(aligned: DataFrame) -> DataFrame:
@@ -45,6 +47,17 @@ def json_lines(aligned: DataFrame) -> DataFrame:
     return aligned.select("pair_index", joined.alias("value"))
 
 
+def json_document(aligned: DataFrame) -> DataFrame:
+    """(place, value): the lines of one JSON document, an object for a single record and an array otherwise."""
+    n, last = aligned.agg(F.count("*"), F.max("pair_index")).first()
+    lines = json_lines(aligned).withColumnRenamed("pair_index", "place")
+    if n == 1:
+        return lines
+    inner = lines.select("place", F.when(F.col("place") == last, F.col("value")).otherwise(F.concat("value", F.lit(","))).alias("value"))
+    ends = aligned.sparkSession.createDataFrame([(-1, "["), ((-1 if last is None else last) + 1, "]")], "place long, value string")
+    return inner.unionByName(ends)
+
+
 def text(aligned: DataFrame) -> DataFrame:
     """Readable block of each pair."""
     value = F.concat_ws(

@@ -6,7 +6,7 @@ file is one row while it is split into records, as the format has no record inde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space without the vertical tab (fixed by the format's definition).
@@ -68,13 +68,20 @@ def read_sequences(spark: SparkSession, path: str | None = None, inline: str | N
     return parse(files)
 
 
-def zip_pairs(query: DataFrame, target: DataFrame) -> DataFrame:
-    """Pairs of records with equal ordinals; unequal numbers of records fail the query.
+def numbered(records: DataFrame) -> DataFrame:
+    """records with pair_index, their ordinal over all files in the order of the files' names.
 
-    Both sides come from one file each; a full join on the ordinal shows a record without a partner.
+    Only one count per file is brought together, never the records.
     """
-    left = query.select(F.col("idx").alias("pair_index"), F.col("id").alias("query_id"), F.col("seq").alias("query"))
-    right = target.select(F.col("idx").alias("pair_index"), F.col("id").alias("target_id"), F.col("seq").alias("target"))
+    per = records.groupBy("source").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return records.join(per.select("source", ahead.alias("ahead")), "source").withColumn("pair_index", F.col("ahead") + F.col("idx"))
+
+
+def zip_pairs(query: DataFrame, target: DataFrame) -> DataFrame:
+    """Pairs of records with equal ordinals over all files of a side; unequal numbers of records fail the query."""
+    left = numbered(query).select("pair_index", F.col("id").alias("query_id"), F.col("seq").alias("query"))
+    right = numbered(target).select("pair_index", F.col("id").alias("target_id"), F.col("seq").alias("target"))
     both = left.join(right, "pair_index", "full")
     lone = F.col("query").isNull() | F.col("target").isNull()
     return both.select(F.when(lone, F.raise_error(F.lit("query and target have unequal numbers of records")).cast("long")).otherwise(F.col("pair_index")).cast("long").alias("pair_index"), "query_id", "query", "target_id", "target")
