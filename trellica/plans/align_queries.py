@@ -14,7 +14,8 @@ BAND = 12
 #: A small asymmetric matrix over the vowels and one class for every consonant, made by rule.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 VOWEL = lambda c: c in "AEIOU"
-CLASSES = Matrix("classes", ALPHABET, tuple(tuple(4 if a == b else 1 if VOWEL(a) and VOWEL(b) else -1 if VOWEL(a) else -2 for b in ALPHABET) for a in ALPHABET))
+CLASS_LINES = [f"{a} " + " ".join(str(4 if a == b else 1 if VOWEL(a) and VOWEL(b) else -1 if VOWEL(a) else -2) for b in ALPHABET) for a in ALPHABET]
+CLASSES = Matrix.parse("classes", "# vowels and consonants\n" + " ".join(ALPHABET) + "\n" + "\n".join(CLASS_LINES) + "\n")
 
 
 def scores(mode: str, scoring: Scoring, source=part_pairs, **names: str):
@@ -46,6 +47,7 @@ def edit_distance_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_distance_auto_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing over benchmark texts, reduced to printable ASCII as the mode compares bytes."""
     df = item_pairs(spark, sf_dir)
     out = A.align(df, "edit-distance")
     return out.select("pair_index", A.auto_band(F.col("query"), F.col("target")).cast("long").alias("band"), "distance", "backend", "block_size", "path_score", "verification_status")

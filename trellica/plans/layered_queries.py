@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellica.functions.certificate import framed_sha256
 from trellica.operators import layered as L
+from trellica.plans.align_queries import PARTS
 from trellica.plans.pairs import part_pairs, table, user_series
 from trellica.sources import sequences
 
@@ -84,7 +85,10 @@ _NEXT = ", ".join("greatest(" + ", ".join(f"h[{i + 1}] + ({TRANSITIONS[i][j]})"
 _BEST = max(range(3), key=lambda s: (INITIAL[s], s))
 _ENDS = "CASE WHEN h[3] = list_max(h) THEN 2 WHEN h[2] = list_max(h) THEN 1 ELSE 0 END"
 
+_FRAME = lambda x: f"unhex(format('{{:02x}}{{:02x}}000000000000', octet_length(encode({x})) % 256, octet_length(encode({x})) // 256)) || encode({x})"
+
 ORACLES = {
+    "sha256_inputs": f"WITH {PARTS} SELECT pair_index, sha256(q) AS query_sha256, sha256(t) AS target_sha256, sha256({_FRAME('q')} || {_FRAME('t')}) AS framed_sha256 FROM p",
     "dag_longest_path": f"""WITH RECURSIVE {EDGES},
 r AS (SELECT DISTINCT dag_id, CAST(0 AS BIGINT) AS layer, CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS score FROM e
   UNION ALL SELECT r.dag_id, r.layer + 1, e.t, max(r.score + e.score) FROM r JOIN e ON e.dag_id = r.dag_id AND e.layer = r.layer AND e.f = r.node GROUP BY r.dag_id, r.layer, e.t)
