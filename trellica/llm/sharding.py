@@ -64,13 +64,12 @@ def assign_shards(df: DataFrame, key: str, text: str, shards: int = 8, keep_text
 def number_slots(df: DataFrame, group: str, order: list[str], rows_per_bucket: int) -> DataFrame:
     """A gapless `slot` from 0 inside each value of `group`, in the given order, without gathering a group in one task.
 
-    Rows are sorted globally, ties by a hash of their other columns (the text stands in by its checksum); a random last key
-    only lets many rows that are equal in all of them spread. They are materialised with a row id and cut into even runs of that id; each run is numbered by itself and a small table of run counts (groups x
-    rows / rows_per_bucket) gives its first slot. The cut also fixes the row ids, which a recomputed task could deal anew.
+    Rows are sorted globally, ties by a hash of their other columns; a random last key only lets many rows that are equal in
+    all of them spread. They are materialised with a row id and cut into even runs of that id; each run is numbered by
+    itself and a small table of run counts (groups x rows / rows_per_bucket) gives its first slot. The cut also fixes the row ids, which a recomputed task could deal anew.
     """
-    content = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in order and kind.partition("<")[0] not in ("map", "string", "variant")]
-    short = [F.substring(F.col(f"`{c}`"), 1, 200) for c, kind in df.dtypes if c not in order and kind == "string"]
-    df = df.withColumns({"__content": F.xxhash64(F.lit(0), *content, *short), "__tie": F.rand(7)})
+    content = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in order and "map<" not in kind and "variant" not in kind]
+    df = df.withColumns({"__content": F.xxhash64(F.lit(0), *content), "__tie": F.rand(7)})
     df = cut(df.orderBy(*order, "__content", "__tie").drop("__content", "__tie").withColumn("__row", F.monotonically_increasing_id()))
     df = df.withColumn("__run", F.floor(F.col("__row") / rows_per_bucket))
     counts = df.groupBy(group, "__run").count()
