@@ -36,6 +36,11 @@ def test_minimizers_match_plain_version(spark):
         got.setdefault(r["id"], []).append(r["pos"])
         assert r["hash"] == fnv(r["kmer"]) - 2**63
     assert {i: sorted(set(x)) for i, t in enumerate(texts) if (x := plain_minimizers(t, 3, 4))} == {i: sorted(set(x)) for i, x in got.items()}
+    for group in (1, 2, 7):
+        again = {}
+        for r in S.minimizers(df, "id", "text", 3, 4, starts=group).collect():
+            again.setdefault(r["id"], []).append(r["pos"])
+        assert {i: sorted(x) for i, x in again.items()} == {i: sorted(x) for i, x in got.items()}
     with pytest.raises(ValueError):
         S.minimizers(df, "id", "text", 0, 1)
 

@@ -50,15 +50,29 @@ def kmers(rows: DataFrame, id_: str, text: str, k: int) -> DataFrame:
     return at.select(id_, "n_kmers", F.posexplode("kmers").alias("pos", "kmer")).select(id_, "pos", "kmer", "n_kmers")
 
 
-def minimizers(rows: DataFrame, id_: str, text: str, k: int = DEFAULT_K, window: int = DEFAULT_WINDOW) -> DataFrame:
+#: Window starts that one group of a window function holds, however long the sequence is.
+STARTS_PER_GROUP = 4096
+
+
+def minimizers(rows: DataFrame, id_: str, text: str, k: int = DEFAULT_K, window: int = DEFAULT_WINDOW, starts: int = STARTS_PER_GROUP) -> DataFrame:
     """(id, pos, hash, kmer): the least k-mer hash of each window, leftmost on ties; a window that picks the same position
-    as the one before adds nothing. A text shorter than the window has one window."""
+    as the one before adds nothing. A text shorter than the window has one window.
+
+    Windows are taken in groups of `starts` consecutive starts. A group also holds the k-mers that its last window reaches
+    and the start before its first, so groups are independent and a long sequence spreads over many tasks.
+    """
     check_parameters(k, window)
+    if starts < 1:
+        raise ValueError("starts must be 1 or more")
+    last = F.greatest(F.col("n_kmers") - window, F.lit(0))
+    groups = F.sequence(F.greatest(F.floor((F.col("pos") - window + 1) / starts), F.lit(0)), F.floor(F.least(F.col("pos") + 1, last) / starts))
     each = kmers(rows, id_, text, k).withColumn("hash", fnv1a(F.col("kmer")))
-    order = Window.partitionBy(id_).orderBy("pos")
+    each = each.select("*", F.explode(F.when(F.floor((F.col("pos") - window + 1) / starts) <= F.floor(last / starts), groups)).alias("__group"))
+    order = Window.partitionBy(id_, "__group").orderBy("pos")
     least = F.min(F.struct("hash", "pos", "kmer")).over(order.rowsBetween(0, window - 1))
-    full = each.withColumn("m", least).where(F.col("pos") <= F.greatest(F.col("n_kmers") - window, F.lit(0)))
-    changed = full.withColumn("before", F.lag("m.pos").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("m.pos")))
+    full = each.withColumn("m", least).where(F.col("pos") <= last).withColumn("before", F.lag("m.pos").over(order))
+    own = F.floor(F.col("pos") / starts) == F.col("__group")
+    changed = full.where(own & (F.col("before").isNull() | (F.col("before") != F.col("m.pos"))))
     return changed.select(id_, F.col("m.pos").alias("pos"), F.col("m.hash").alias("hash"), F.col("m.kmer").alias("kmer"))
 
 

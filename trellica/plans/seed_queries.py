@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trellica.functions.scoring import Scoring
 from trellica.operators import seeding as S
-from trellica.plans.align_queries import PARTS
+from trellica.plans.align_queries import PARTS, linear_sql, simple
 from trellica.plans.pairs import part_pairs, table
 
 K, WINDOW, FLANK = 4, 3, 2
@@ -32,15 +32,15 @@ def seed_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many pairs have a window, and the clipping law, over all pairs."""
+    """The window of every pair, null where query and target share no seed."""
     out = S.seeded_windows(part_pairs(spark, sf_dir), K, WINDOW, FLANK)
-    inside = (F.col("query_from") >= 0) & (F.col("query_to") <= F.length("query")) & (F.col("target_from") >= 0) & (F.col("target_to") <= F.length("target"))
-    return out.select("pair_index", F.col("chain").isNotNull().alias("seeded"), F.coalesce(inside, F.lit(True)).alias("inside"))
+    return out.select("pair_index", F.col("chain").isNotNull().alias("seeded"), *[F.col(f"{s}_{e}").cast("long").alias(f"{s}_{e}") for s in ("query", "target") for e in ("from", "to")])
 
 
 def seeded_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of every pair inside its window; the score recomputed from its path must be the optimum."""
     out = S.align_seeded(part_pairs(spark, sf_dir), Scoring(), K, WINDOW, FLANK, verify=True)
-    return out.select("pair_index", "score", "path_score", "verification_status", "query_start", "query_end", "target_start", "target_end", "cigar", "error")
+    return out.select("pair_index", "score", "path_score", "verification_status", *[F.col(f"{s}_{e}").cast("long").alias(f"{s}_{e}") for s in ("query", "target") for e in ("start", "end")], "error")
 
 
 QUERIES = {f.__name__: f for f in (kmer_hashes, minimizers, minimizer_hits, seed_chain, seeded_windows, seeded_global)}
@@ -52,6 +52,15 @@ z AS (SELECT id, side, m.p AS pos, m.h AS h, m.s AS kmer, lag(m.p) OVER (PARTITI
 mini AS (SELECT id, side, pos, CAST(h - 9223372036854775808::HUGEINT AS BIGINT) AS hash, kmer FROM z WHERE before IS NULL OR before <> pos)""".format(fnv=FNV, k=K, window=WINDOW, last=WINDOW - 1)
 BOTH = f"WITH RECURSIVE {PARTS}, x AS (SELECT pair_index AS id, 'q' AS side, q AS text FROM p UNION ALL SELECT pair_index, 't', t FROM p), {HASHED}"
 HITS = BOTH + f", hits AS (SELECT DISTINCT a.id AS pair_index, a.pos AS query_pos, b.pos AS target_pos, {K} AS length FROM mini AS a JOIN mini AS b ON a.id = b.id AND a.side = 'q' AND b.side = 't' AND a.hash = b.hash AND a.kmer = b.kmer)"
+#: The earliest longest chain of each pair, by one list of lengths and of first hits, and the window around it.
+WINDOWS = HITS + f""", l AS (SELECT pair_index, list(query_pos ORDER BY query_pos, target_pos) AS a, list(target_pos ORDER BY query_pos, target_pos) AS b FROM hits GROUP BY pair_index),
+c AS (SELECT pair_index, a, b, 1 AS i, [CAST(1 AS BIGINT)] AS n, [CAST(1 AS BIGINT)] AS head FROM l
+  UNION ALL SELECT pair_index, a, b, i + 1, list_append(n, list_max(fit) + 1), list_append(head, CASE WHEN list_max(fit) = 0 THEN i + 1 ELSE head[list_position(fit, list_max(fit))] END)
+  FROM (SELECT *, list_transform(range(1, i + 1), lambda j: CASE WHEN a[j] < a[i + 1] AND b[j] < b[i + 1] THEN n[j] ELSE 0 END) AS fit FROM c WHERE i < len(a))),
+e AS (SELECT pair_index, a, b, head, list_position(n, list_max(n)) AS e FROM c WHERE i = len(a)),
+spans AS (SELECT p.pair_index, q, t, greatest(0, a[head[e]] - {FLANK}) AS query_from, least(length(q), a[e] + {K + FLANK}) AS query_to,
+             greatest(0, b[head[e]] - {FLANK}) AS target_from, least(length(t), b[e] + {K + FLANK}) AS target_to FROM e JOIN p ON p.pair_index = e.pair_index)"""
+INSIDE = linear_sql(simple(2, 1), -2, "CAST(h[len(h)] AS BIGINT) AS score, 'full' AS status", "p AS (SELECT pair_index, substr(q, query_from + 1, query_to - query_from) AS q, substr(t, target_from + 1, target_to - target_from) AS t FROM spans)")
 
 ORACLES = {
     "kmer_hashes": f"WITH x AS (SELECT p_partkey AS id, 'q' AS side, upper(p_name) AS text FROM part), {HASHED} SELECT id AS p_partkey, pos, CAST(h - 9223372036854775808::HUGEINT AS BIGINT) AS hash FROM k",
@@ -60,5 +69,8 @@ ORACLES = {
     "seed_chain": HITS + """, c AS (SELECT pair_index, query_pos, target_pos, 1 AS n FROM hits
   UNION SELECT c.pair_index, h.query_pos, h.target_pos, c.n + 1 FROM c JOIN hits AS h ON h.pair_index = c.pair_index AND h.query_pos > c.query_pos AND h.target_pos > c.target_pos)
 SELECT pair_index, max(n) AS seeds FROM c GROUP BY pair_index""",
-    "seeded_windows": HITS + " SELECT p.pair_index, EXISTS (SELECT 1 FROM hits AS h WHERE h.pair_index = p.pair_index) AS seeded, true AS inside FROM p",
+    "seeded_windows": WINDOWS + " SELECT p.pair_index, w.pair_index IS NOT NULL AS seeded, query_from, query_to, target_from, target_to FROM p LEFT JOIN spans AS w ON w.pair_index = p.pair_index",
+    "seeded_global": WINDOWS + f""" SELECT p.pair_index, n.score, n.score AS path_score, n.status AS verification_status,
+  query_from AS query_start, query_to AS query_end, target_from AS target_start, target_to AS target_end, CASE WHEN w.pair_index IS NULL THEN 'no shared seed' END AS error
+FROM p LEFT JOIN spans AS w ON w.pair_index = p.pair_index LEFT JOIN ({INSIDE}) AS n ON n.pair_index = p.pair_index""",
 }
