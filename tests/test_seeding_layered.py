@@ -77,6 +77,27 @@ def test_viterbi(spark):
     assert (out["score"], out["start"], out["end"], len(out["path"])) == (9, 0, 0, 4)
 
 
+def test_viterbi_in_blocks_gives_the_same_path(spark):
+    rng = random.Random(12)
+    initial, grid = [0, 3, 3], [[rng.randint(-2, 2) for _ in range(3)] for _ in range(3)]
+    rows = [(p, i, [rng.randint(-2, 2) for _ in range(3)]) for p, n in enumerate((1, 2, 7, 40)) for i in range(n)]
+    steps = spark.createDataFrame(rows, "p int, i int, e array<long>")
+    array = lambda x: F.array(*[F.lit(v) for v in x])
+    whole = steps.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("es"))
+    want = {r["p"]: r["v"] for r in whole.select("p", L.viterbi(array(initial), F.array(*[array(r) for r in grid]), F.col("es")).alias("v")).collect()}
+    for block in (1, 3, 100):
+        found, path = {}, {}
+        for r in L.viterbi_blocks(steps, "p", "i", "e", initial, grid, block).orderBy("p", "block").collect():
+            found[r["p"]] = (r["score"], r["start"], r["end"])
+            whole_path = path.setdefault(r["p"], r["states"][:1])
+            assert whole_path[-1] == r["states"][0]
+            whole_path.extend(r["states"][1:])
+        assert found == {p: (v["score"], v["start"], v["end"]) for p, v in want.items()}
+        assert path == {p: v["path"] for p, v in want.items()}
+    with pytest.raises(ValueError):
+        L.viterbi_blocks(steps, "p", "i", "e", [0], [[0, 1]])
+
+
 def test_ordered_fold_equals_plain_fold(spark):
     rng = random.Random(8)
     steps = [(p, i, [[rng.randint(0, 9) for _ in range(2)] for _ in range(2)]) for p in range(3) for i in range(23)]

@@ -87,6 +87,57 @@ def viterbi(initial: Column, transitions: Column, emissions: Column) -> Column:
     return F.aggregate(emissions, zero, step, finish)
 
 
+def enter_states(scores: Column, emission: Column, grid: Column) -> Column:
+    """array<struct<score, back>>: the best score of each state after one step and its first best predecessor."""
+    states = F.sequence(F.lit(0), F.size(scores) - 1)
+    best = F.transform(states, lambda to: F.array_max(F.transform(scores, lambda v, s: F.struct((v + F.get(F.get(grid, s), to)).alias("score"), (-s).alias("first")))))
+    return F.transform(best, lambda b, to: F.struct((b["score"] + F.get(emission, to)).cast("long").alias("score"), (-b["first"]).cast("int").alias("back")))
+
+
+def viterbi_blocks(steps: DataFrame, series: str, order: str, emission: str, initial: list[int], transitions: list[list[int]], block: int = 256) -> DataFrame:
+    """(series, block, score, start, end, states): the path of viterbi() in pieces, one row for each block of steps.
+
+    steps: one row per step with `order` gapless from 0 in each series. `states` holds the state in which the block is
+    entered and then the state after each of its steps; score, start and end are those of the whole series. No task holds
+    more of a series than one block of steps and states x states numbers for each of its blocks: blocks are first folded
+    to matrices, the scores that enter each block follow from those, each block is then traced back from every state, and
+    at last the states between blocks are chosen from the end.
+    """
+    states, grid = len(initial), F.array(*[F.array(*[F.lit(v).cast("long") for v in row]) for row in transitions])
+    if not states or any(len(row) != states for row in (transitions, *transitions)):
+        raise ValueError("transitions are not square over the states")
+    if block < 1:
+        raise ValueError("block must be 1 or more")
+    start = max(range(states), key=lambda s: (initial[s], s))
+    nothing = F.lit(None).cast("long")
+    values = lambda row: F.transform(row, lambda x: x["score"])
+    each = steps.select(F.col(series), F.floor(F.col(order) / block).alias("block"), F.struct(F.col(order).alias("at"), F.col(emission).alias("e")).alias("x"))
+    held = each.groupBy(series, "block").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("steps"))
+    ensure_checkpoint_dir(steps.sparkSession)
+    held = held.checkpoint()
+
+    unit = F.array(*[F.array(*[F.lit(0).cast("long") if s == t else nothing for t in range(states)]) for s in range(states)])
+    matrix = F.aggregate("steps", unit, lambda rows, e: F.transform(rows, lambda row: values(enter_states(row, e, grid))))
+    first = F.array(*[F.lit(initial[s]).cast("long") if s == start else nothing for s in range(states)])
+    through = lambda at, m: F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda to: F.array_max(F.transform(at, lambda v, s: v + F.get(F.get(m, s), to))))
+    blocks = held.select(series, F.struct("block", matrix.alias("m")).alias("b")).groupBy(series).agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    entries = F.aggregate("bs", F.array(first), lambda acc, b: F.concat(acc, F.array(through(F.element_at(acc, -1), b["m"]))))
+    entered = blocks.select(series, F.posexplode(F.slice(entries, 1, F.size("bs"))).alias("block", "at"))
+
+    rows = F.aggregate("steps", F.array(F.transform("at", lambda v: F.struct(v.alias("score"), F.lit(-1).alias("back")))), lambda acc, e: F.concat(acc, F.array(enter_states(values(F.element_at(acc, -1)), e, grid))))
+    ends = F.array(*[F.array(F.lit(s)) for s in range(states)])
+    back = lambda paths, row: F.transform(paths, lambda p: F.concat(F.array(F.get(row, F.get(p, F.lit(0)))["back"]), p))
+    traced = held.join(entered, [series, "block"]).select(series, "block", rows.alias("rows"))
+    traced = traced.select(series, "block", values(F.element_at("rows", -1)).alias("scores"), F.aggregate(F.reverse(F.slice("rows", 2, F.size("rows") - 1)), ends, back).alias("paths")).checkpoint()
+
+    last = F.array_max(F.transform(F.element_at("bs", 1)["scores"], lambda v, s: F.struct(v.alias("score"), s.alias("end"))))
+    kept = F.struct((-F.col("block")).alias("from_end"), "scores", F.transform("paths", lambda p: F.get(p, F.lit(0))).alias("first"))
+    chosen = traced.select(series, kept.alias("b")).groupBy(series).agg(F.array_sort(F.collect_list("b")).alias("bs")).withColumn("last", last)
+    borders = F.aggregate("bs", F.array(F.col("last.end")), lambda acc, b: F.concat(F.array(F.get(b["first"], F.get(acc, F.lit(0)))), acc))
+    chosen = chosen.select(series, F.col("last.score").alias("score"), F.col("last.end").alias("end"), F.posexplode(F.slice(borders, 2, F.size("bs"))).alias("block", "leave"))
+    return traced.join(chosen, [series, "block"]).select(series, "block", "score", F.lit(start).alias("start"), "end", F.get("paths", F.col("leave")).alias("states"))
+
+
 def fold_matrices(steps: DataFrame, problem: str, order: str, matrix: str, states: int, block: int = 1000) -> DataFrame:
     """(problem, total): ordered min-plus product of states x states matrices, as a flat array by row.
 
