@@ -197,3 +197,57 @@ def test_vocabulary_in_pieces_is_the_same():
     lean = np.random.default_rng(1).normal(size=1 << 12)
     one, many = (toxicity.worst(toxicity.Vocabulary.of(texts, 1 << 12, most), lean, 0.1)[0] for most in (1 << 22, 300))
     assert np.allclose(one, many)
+
+
+def test_likelihood_slopes_match_finite_differences():
+    rng = np.random.default_rng(3)
+    linear, cuts, y, weight = rng.normal(size=9), np.array([-1.0, 0.2, 1.5]), np.arange(9) % 4, rng.uniform(0.5, 2, 9)
+
+    def loss(linear, cuts):
+        tails = [[1.0] + [1 / (1 + np.exp(t - x)) for t in cuts] + [0.0] for x in linear]
+        return -sum(w * np.log(t[g] - t[g + 1]) for t, g, w in zip(tails, y, weight, strict=True)) / len(y)
+
+    to_linear, to_cut = quality.slopes(linear, y, cuts, weight)
+    for i, got in enumerate(to_linear):
+        step = np.eye(len(linear))[i] * 1e-6
+        assert got == pytest.approx((loss(linear + step, cuts) - loss(linear - step, cuts)) / 2e-6, abs=1e-7)
+    for i, got in enumerate(to_cut):
+        step = np.eye(len(cuts))[i] * 1e-6
+        assert got == pytest.approx((loss(linear, cuts + step) - loss(linear, cuts - step)) / 2e-6, abs=1e-7)
+
+
+def test_softmax_slopes_match_finite_differences():
+    rng = np.random.default_rng(4)
+    texts, dim, buckets = ["zulgh ba lo ba", "ti en ra " * 8, "lo lo lo zulghs"], 3, 64
+    vocabulary = toxicity.Vocabulary.of(pa.array(texts), buckets)
+    ends = np.cumsum(vocabulary.per_text)
+    a, y, weight = ends - vocabulary.per_text, np.array([1, 0, 1]), np.array([0.5, 2.0, 1.0])
+    b = np.minimum(ends, a + toxicity.WINDOW)
+    first = np.cumsum(vocabulary.per_word) - vocabulary.per_word
+    parts = [rng.normal(size=(buckets, dim)), rng.normal(size=(dim, 2)), rng.normal(size=2)]
+
+    def loss():
+        total = 0.0
+        for i in range(len(y)):
+            mean = np.zeros(dim)
+            for at in range(a[i], b[i]):
+                word = vocabulary.tokens[at]
+                own = vocabulary.buckets[first[word] : first[word] + vocabulary.per_word[word]]
+                repeats = any(vocabulary.tokens[x] == word for x in range(max(a[i], at - toxicity.REPEAT), at))
+                mean += (0 if repeats else 1) * parts[0][own].mean(0)
+            logit = mean / max(b[i] - a[i], toxicity.WINDOW) @ parts[1] + parts[2]
+            total -= weight[i] * (logit[y[i]] - np.log(np.exp(logit).sum()))
+        return total / len(y)
+
+    names, grad, to_weights, to_bias = toxicity.slopes(toxicity.SubwordSoftmax(*parts), vocabulary, first, a, b, y, weight)
+    dense = np.zeros((buckets, dim))
+    dense[names] = grad
+    for part, got in zip(parts, (dense, to_weights, to_bias), strict=True):
+        for at in np.ndindex(part.shape):
+            keep = part[at]
+            part[at] = keep + 1e-6
+            up = loss()
+            part[at] = keep - 1e-6
+            down = loss()
+            part[at] = keep
+            assert got[at] == pytest.approx((up - down) / 2e-6, abs=1e-7)

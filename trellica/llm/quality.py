@@ -90,6 +90,20 @@ class CumulativeLink:
         return self.grades[0] + tails @ steps if len(self.grades) else np.zeros(len(tails))
 
 
+def slopes(linear: np.ndarray, y: np.ndarray, cuts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the mean weighted negative log-likelihood by each text's linear score and by each threshold."""
+    row = np.arange(len(y))
+    tails = 1 / (1 + np.exp(-np.clip(linear[:, None] - cuts[None, :], -60, 60)))
+    full = np.concatenate((np.ones((len(y), 1)), tails, np.zeros((len(y), 1))), axis=1)
+    upper, lower = full[row, y], full[row, y + 1]
+    p = np.maximum(upper - lower, 1e-9)
+    d_upper, d_lower = upper * (1 - upper) / p * weight, lower * (1 - lower) / p * weight
+    to_cut = np.zeros((len(y), len(cuts) + 2))
+    to_cut[row, y] += d_upper
+    to_cut[row, y + 1] -= d_lower
+    return (d_lower - d_upper) / len(y), to_cut[:, 1:-1].sum(0) / len(y)
+
+
 def train(texts: list[str] | pa.Array, grades: list[int], shares: dict[int, float] | None = None, buckets: int = 1 << 18, epochs: int = 20, rate: float = 0.5, decay: float = 1e-6, seed: int = 5) -> CumulativeLink:
     """Maximum likelihood by Adagrad; thresholds are kept ordered by their gaps. One or no grade gives a constant model.
 
@@ -119,17 +133,7 @@ def train(texts: list[str] | pa.Array, grades: list[int], shares: dict[int, floa
             row = np.repeat(np.arange(len(batch)), n)
             linear = np.bincount(row, value[at] * w[bucket[at]], minlength=len(batch))
             cuts = np.concatenate((low, low + np.cumsum(np.exp(gap))))
-            full = np.concatenate((np.ones((len(batch), 1)), CumulativeLink(names, w, cuts).tails(linear), np.zeros((len(batch), 1))), axis=1)
-            own = y[batch]
-            upper, lower = full[np.arange(len(batch)), own], full[np.arange(len(batch)), own + 1]
-            p = np.maximum(upper - lower, 1e-9)
-            d_upper, d_lower = upper * (1 - upper) / p, lower * (1 - lower) / p
-            d_upper, d_lower = d_upper * weight[batch], d_lower * weight[batch]
-            to_linear = (d_lower - d_upper) / len(batch)
-            to_cut = np.zeros((len(batch), len(cuts) + 2))
-            to_cut[np.arange(len(batch)), own] += d_upper
-            to_cut[np.arange(len(batch)), own + 1] -= d_lower
-            to_cut = to_cut[:, 1:-1].sum(0) / len(batch)
+            to_linear, to_cut = slopes(linear, y[batch], cuts, weight[batch])
             used, pos = np.unique(bucket[at], return_inverse=True)
             grads = (np.bincount(pos, value[at] * to_linear[row], minlength=len(used)) + decay * w[used], to_cut.sum(keepdims=True), np.array([to_cut[i + 1 :].sum() * np.exp(gap[i]) for i in range(len(gap))]))
             for part, sq, g, where in zip((w, low, gap), square, grads, (used, slice(None), slice(None)), strict=True):

@@ -178,12 +178,37 @@ def contrast(vocabulary: Vocabulary, y: np.ndarray, buckets: int) -> np.ndarray:
     return (share[1] - share[0]) / np.sqrt((1 / (seen + 0.5)).sum(0))
 
 
+def slopes(model: SubwordSoftmax, vocabulary: Vocabulary, word_first: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Derivatives of the mean weighted cross-entropy of the passages [a, b) by embedding rows (numbers and values),
+    softmax weights and bias."""
+    n = b - a
+    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    token, fresh, size = vocabulary.tokens[at], vocabulary.fresh[at][:, None], np.maximum(n, WINDOW)[:, None]
+    used, word_at = np.unique(token, return_inverse=True)
+    m = vocabulary.per_word[used]
+    bucket = vocabulary.buckets[np.repeat(word_first[used] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+    vector = np.add.reduceat(model.embedding[bucket], np.cumsum(m) - m, axis=0) / m[:, None]
+    mean = np.add.reduceat(vector[word_at] * fresh, np.cumsum(n) - n, axis=0) / size
+    logit = mean @ model.weights + model.bias
+    p = np.exp(logit - logit.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p *= (weight / len(y))[:, None]
+    to_mean = (p @ model.weights.T) / size
+    to_word = np.zeros((len(used), model.embedding.shape[1]))
+    np.add.at(to_word, word_at, np.repeat(to_mean, n, axis=0) * fresh)
+    to_bucket = np.repeat(to_word / m[:, None], m, axis=0)
+    names, at = np.unique(bucket, return_inverse=True)
+    grad = np.zeros((len(names), model.embedding.shape[1]))
+    np.add.at(grad, at, to_bucket)
+    return names, grad, mean.T @ p, p.sum(0)
+
+
 def train(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 18, dim: int = 8, epochs: int = 12, least_steps: int = 400, rate: float = 0.5, seed: int = 11) -> SubwordSoftmax:
     """Joint Adagrad training of embeddings and softmax; small samples get more rounds, up to `least_steps` updates.
 
     Embeddings start from a random table plus one direction that contrasts the buckets of toxic and clean texts, so that
-    the first worst passages are already meaningful. `whole` first rounds may take up to 200 words of each text instead.
-    Without both classes the model gives the one class seen (0 without any) to every text.
+    the first worst passages are already meaningful. Without both classes the model gives the one class seen (0 without any) to every text.
     """
     rng = np.random.default_rng(seed)
     model = SubwordSoftmax(rng.uniform(-1 / dim, 1 / dim, (buckets, dim)), rng.normal(0, 0.1, (dim, 2)), np.array([0.0, 0.0]))
@@ -202,29 +227,10 @@ def train(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 18
         _, a, b = worst(vocabulary, *model.compact())
         order = rng.permutation(np.flatnonzero(b > a))
         for batch in np.array_split(order, max(1, len(order) // group)):
-            n = b[batch] - a[batch]
-            at = np.repeat(a[batch] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            token, fresh, size = vocabulary.tokens[at], vocabulary.fresh[at][:, None], np.maximum(n, WINDOW)[:, None]
-            used, word_at = np.unique(token, return_inverse=True)
-            m = vocabulary.per_word[used]
-            bucket = vocabulary.buckets[np.repeat(word_first[used] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-            vector = np.add.reduceat(model.embedding[bucket], np.cumsum(m) - m, axis=0) / m[:, None]
-            mean = np.add.reduceat(vector[word_at] * fresh, np.cumsum(n) - n, axis=0) / size
-            logit = mean @ model.weights + model.bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(batch)), y[batch]] -= 1
-            p *= (weight[batch] / len(batch))[:, None]
-            to_mean = (p @ model.weights.T) / size
-            to_word = np.zeros((len(used), dim))
-            np.add.at(to_word, word_at, np.repeat(to_mean, n, axis=0) * fresh)
-            to_bucket = np.repeat(to_word / m[:, None], m, axis=0)
-            names, at = np.unique(bucket, return_inverse=True)
-            grad = np.zeros((len(names), dim))
-            np.add.at(grad, at, to_bucket)
+            names, grad, to_weights, to_bias = slopes(model, vocabulary, word_first, a[batch], b[batch], y[batch], weight[batch])
             square[0][names] += grad**2
             model.embedding[names] -= rate * grad / np.sqrt(square[0][names])
-            for i, (part, g) in enumerate(((model.weights, mean.T @ p), (model.bias, p.sum(0)))):
+            for i, (part, g) in enumerate(((model.weights, to_weights), (model.bias, to_bias))):
                 square[i + 1] += g**2
                 part -= 0.2 * rate * g / np.sqrt(square[i + 1])
     return model
