@@ -161,6 +161,14 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows) and decontaminate.contained_items(docs.limit(0), bench).count() == 0
 
 
+def test_mixing_of_many_sources_is_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "big" if i % 3 else f"s{i % 30}", "x") for i in range(600)] + [(700, None, "x")], "doc_id long, source string, text string")
+    run = lambda: sorted(map(tuple, mixing.mix_sources(docs, {"big": 2.0}).collect()), key=str)
+    few = run()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert few and run() == few
+
+
 def test_mixing(spark):
     rows = [(i, f"text {i}", "big" if i % 3 else "small", "x") for i in range(3000)] + [(None, None, None, "x")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate string")

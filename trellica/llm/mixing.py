@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellica.llm._skew import join_spread
 from trellica.llm._store import table
 
-#: More sources than this are joined by a shuffle; fewer are a small table and broadcast.
+#: More sources than this are joined by a shuffle, but for the large ones among them; fewer are a small table and broadcast.
 BROADCAST_SOURCES = 20_000
 
 
@@ -63,9 +64,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1.0, s
         given = F.when(F.col("__source") == f"={known}", float(weight)).otherwise(given)
     counts = counts.withColumn("weight", given)
     sources, all_rows, all_weight = counts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-    rates = counts.select("__source", (F.col("weight") / F.nullif(F.lit(all_weight), F.lit(0.0)) * F.lit(all_rows * float(size)) / F.col("rows")).alias("rate"))
+    rates = counts.select("__source", "rows", (F.col("weight") / F.nullif(F.lit(all_weight), F.lit(0.0)) * F.lit(all_rows * float(size)) / F.col("rows")).alias("rate"))
+    rates, named = rates.withColumnRenamed("rows", "__rows"), docs.withColumn("__source", name)
     few = sources <= BROADCAST_SOURCES
-    joined = docs.withColumn("__source", name).join(F.broadcast(rates) if few else rates, "__source").drop("__source")
+    joined = named.join(F.broadcast(rates), "__source") if few else join_spread(named, rates, ["__source"], "__rows")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "rate")
     key = F.col(doc_id)
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.nullif(poisson_count(seed, key, F.col("rate")), F.lit(0)))))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed} order"), F.coalesce(key.cast("string"), F.lit("")), F.col("copy"))))
