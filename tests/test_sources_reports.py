@@ -89,3 +89,26 @@ def test_generators(spark):
 def test_status_counts(spark):
     df = spark.createDataFrame([(0, "q", "AC", "t", "A"), (1, "q", None, "t", "A"), (2, "q", "AC", "t", "C")], PAIR)
     assert {r["status"]: r["n"] for r in reports.status_counts(align(df)).collect()} == {"path_only": 2, "failed": 1}
+
+
+def test_fasta_in_splits_equals_whole_files(spark, tmp_path):
+    texts = [
+        ">a x\nACGT\nAC\n>b\nGG\n" * 9,
+        "\n\n>c\r\nAC\r\nGT\r\n>\r\nTT\r\n",
+        ">only\n" + "ACGT\n" * 50,
+        " >d\nA>C\n>\n>e",
+    ]
+    for i, text in enumerate(texts):
+        (tmp_path / f"f{i}.fa").write_bytes(text.encode())
+    want = sorted((r["source"][-5:], r["idx"], r["id"], r["seq"]) for r in sequences.read_sequences(spark, str(tmp_path)).collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("40", "150", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted((r["source"][-5:], r["idx"], r["id"], r["seq"]) for r in sequences.read_fasta(spark, str(tmp_path)).collect())
+            assert got == want
+        (tmp_path / "bad.fa").write_text("ACGT")
+        with pytest.raises(Exception, match="starts with"):
+            sequences.read_fasta(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

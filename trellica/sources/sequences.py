@@ -1,7 +1,8 @@
 """Readers of sequence files: FASTA, FASTQ and raw text, parsed by Spark expressions.
 
 A record is (source, idx, id, seq): the file, the record's ordinal in it from 0, its id and its normalised symbols. A
-file is one row while it is split into records, as the format has no record index; use many files for parallelism.
+file is one row while parse() splits it into records, as it finds the format by the first symbol; read_fasta() reads
+FASTA files of any size in splits.
 """
 
 from __future__ import annotations
@@ -68,6 +69,26 @@ def read_sequences(spark: SparkSession, path: str | None = None, inline: str | N
     return parse(files)
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """Records of FASTA files, read in splits: a record, not a file, is the largest row.
+
+    Gives what parse() gives for the same files. A record's ordinal is its place in its file block plus the number of
+    records in the blocks before, of which one row each is brought together. A file that does not start with > fails.
+    """
+    scan = spark.read.option("lineSep", "\n>").text(path)
+    rows = scan.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    bare = F.regexp_replace("value", rf"^{BLANK}+", "")
+    blocks = rows.groupBy("source", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min_by(bare == "", "at").alias("blank"))
+    within = Window.partitionBy("source").orderBy("block")
+    ahead = F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("source", "block", "first", (ahead - F.first("blank").over(within).cast("int")).alias("ahead"))
+    each = rows.join(blocks, ["source", "block"]).select("source", (F.col("ahead") + F.col("at") - F.col("first")).cast("int").alias("idx"), (F.col("block") == 0) & (F.col("at") == F.col("first")), "value").toDF("source", "idx", "head", "value")
+    marked = F.when(bare.startswith(">"), F.substring(bare, 2, 2**31 - 1)).otherwise(F.raise_error(F.concat("source", F.lit(": a FASTA file starts with >"))).cast("string"))
+    each = each.where("idx >= 0").select("source", "idx", F.when(F.col("head"), marked).otherwise(F.col("value")).alias("part"))
+    header = F.regexp_extract("part", r"^([^\n]*)", 1)
+    return each.select("source", "idx", record_id(header, F.col("idx")).alias("id"), normalise(F.regexp_replace("part", r"^[^\n]*\n?", ""), F.col("source")).alias("seq"))
+
+
 def numbered(records: DataFrame) -> DataFrame:
     """records with pair_index, their ordinal over all files in the order of the files' names.
 
