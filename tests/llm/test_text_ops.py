@@ -103,7 +103,7 @@ def test_line_dedup_matches_plain_version(spark, corpus):
     rng = random.Random(6)
     pool = [prose(rng, 5) for _ in range(15)] + ["short", "", "  "]
     rows = [(i, "\n".join(x.upper() + " " if rng.random() < 0.2 else x for x in rng.choices(pool, k=rng.randint(1, 8)))) for i in range(60)] + [(100 + i, t) for i, t in corpus]
-    for bits in (1 << 30, 1 << 13):
+    for bits in (1 << 30, 1 << 13, 1 << 10):
         got = line_dedup.dedup_lines(frame(spark, rows), max_filter_bits=bits).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"), "score").collect()
         assert sorted(tuple(r)[:4] for r in got) == plain.line_dedup(rows) and {r["score"] for r in got} == {"x"}
     null = line_dedup.dedup_lines(frame(spark, [(None, pool[0]), (1, pool[0]), (1, pool[0]), (2, pool[0])])).orderBy("doc_id").collect()

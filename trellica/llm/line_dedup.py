@@ -3,6 +3,10 @@
 One filter holds the hashes seen at least once, the other those seen at least twice. Partial filters of the tasks merge as
 (a1|b1, a2|b2|(a1&b1)), which is associative and never loses a repeat. Only lines that the second filter suspects are
 shuffled, as exact keys, to confirm them and to find the smallest document that holds each.
+
+The second filter is broadcast while 16 bits for every line stay within a bound. Beyond it the hashes are dealt by range:
+every range has both filters of its own, so the bits a line gets do not fall as lines grow, and answers with the hashes that
+it suspects. These meet the hashes of the lines by a join; texts and keys still move for suspected lines only.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from trellica.llm._text import SPACE, buffers, chunks, mix, prefix, span_hash
 
 PROBES = 3
 CHUNK_BITS = 1 << 19
+LINE_BITS = 16
+#: Bits of one filter of a range of hashes.
+RANGE_BITS = 1 << 23
 
 
 def line_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,20 +73,33 @@ def put(filter_: np.ndarray, hashes: np.ndarray) -> None:
         np.bitwise_or.at(filter_, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
 
+def by_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """One number for a hash and the place of its text in the batch."""
+    return mix(hashes + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def held(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the keys of `least` code points or more, and how many of the texts hold each."""
+    _, _, _, points, hashes, per = line_keys(texts)
+    wide = points >= least
+    hashes, doc = hashes[wide], np.repeat(np.arange(len(per)), per)[wide]
+    _, at = np.unique(by_text(hashes, doc), return_index=True)
+    return np.unique(hashes[at], return_counts=True)
+
+
+def see(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> None:
+    """Enter distinct hashes, each held by n texts, into both filters."""
+    put(twice, hashes[(n > 1) | in_filter(once, hashes)])
+    put(once, hashes)
+
+
 def twice_seen(docs: DataFrame, text: str, least: int, bits: int) -> np.ndarray:
     """The merged filter of hashes that at least two documents (or one twice, by chance) hold; `bits` bounds its size."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in chunks(batches, text):
-            _, _, _, points, hashes, per = line_keys(batch.column(0))
-            doc = np.repeat(np.arange(len(per), dtype=np.uint64), per)
-            wide = points >= least
-            hashes, doc = hashes[wide], doc[wide]
-            _, at = np.unique(mix(hashes + doc * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            hashes, n = np.unique(hashes[at], return_counts=True)
-            put(twice, hashes[(n > 1) | in_filter(once, hashes)])
-            put(once, hashes)
+            see(once, twice, *held(batch.column(0), least))
         size = min(CHUNK_BITS, bits) // 8
         for k in range(0, bits // 8, size):
             if once[k : k + size].any():
@@ -101,22 +121,77 @@ def twice_seen(docs: DataFrame, text: str, least: int, bits: int) -> np.ndarray:
     return out
 
 
-def suspects(docs: DataFrame, doc_id: str, text: str, least: int, filter_: np.ndarray) -> DataFrame:
-    """Rows (id, hash, key) of the lines that the twice-seen filter holds."""
+def picked(id_: pa.Array, texts: pa.Array, least: int, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """(id, hash, key) of the lines that `choose` takes, given the hashes of keys and the places of their texts."""
+    data, a, b, points, hashes, per = line_keys(texts)
+    doc = np.repeat(np.arange(len(per)), per)
+    hit = np.flatnonzero(points >= least)
+    hit = hit[choose(hashes[hit], doc[hit])]
+    raw = data.tobytes()
+    keys = pa.array([raw[x:y] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([id_.take(pa.array(doc[hit])), pa.array(hashes[hit].view(np.int64)), keys], ["id", "hash", "key"])
+
+
+def suspects(docs: DataFrame, least: int, filter_: np.ndarray) -> DataFrame:
+    """Rows (id, hash, key) of the lines that the twice-seen filter holds; docs are (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            data, a, b, points, hashes, per = line_keys(batch.column(1))
-            hit = np.flatnonzero(points >= least)
-            hit = hit[in_filter(shared.value, hashes[hit])]
-            doc = np.repeat(np.arange(len(per)), per)[hit]
-            raw = data.tobytes()
-            keys = pa.array([raw[x:y] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(hashes[hit].view(np.int64)), keys], ["id", "hash", "key"])
+            yield picked(batch.column(0), batch.column(1), least, lambda hashes, _: in_filter(shared.value, hashes))
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, hash bigint, key string")
+
+
+def range_suspects(docs: DataFrame, least: int, lines: int, bits: int) -> DataFrame:
+    """(hash, n): hashes that the filters of their range suspect; n, about how many rows hold each. docs are (id, text).
+
+    A task sends a hash once for some megabytes of text, so that a very common line makes few rows in its range.
+    """
+    width = max(1, (LINE_BITS * lines // bits).bit_length())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            hashes, n = held(batch.column(0), least)
+            home = (hashes >> np.uint64(64 - width)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["range", "hash", "n"])
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            hashes, at = np.unique(np.asarray(batch.column("hash")).view(np.uint64), return_inverse=True)
+            n = np.zeros(len(hashes), np.int64)
+            np.add.at(n, at, np.asarray(batch.column("n")))
+            see(once, twice, hashes, n)
+            hit = in_filter(twice, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[hit].view(np.int64)), pa.array(n[hit])], ["hash", "n"])
+
+    sent = docs.select("text").mapInArrow(send, "range bigint, hash bigint, n bigint")
+    return sent.groupBy("range").applyInArrow(meet, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def joined_suspects(docs: DataFrame, least: int, hashes: DataFrame) -> DataFrame:
+    """Rows (id, hash, key) of the lines whose hash is in `hashes` (hash, n), found by joins; docs are (id, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            _, _, _, points, found, per = line_keys(batch.column(1))
+            wide = points >= least
+            found, doc = found[wide], np.repeat(np.arange(len(per)), per)[wide]
+            _, at = np.unique(by_text(found, doc), return_index=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array(found[at].view(np.int64))], ["id", "hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            listed = batch.column(2)
+            places = np.repeat(np.arange(len(listed)), np.diff(np.asarray(listed.offsets)))
+            wanted = by_text(np.asarray(listed.flatten()).view(np.uint64), places)
+            yield picked(batch.column(0), batch.column(1), least, lambda hashes, doc, wanted=wanted: np.isin(by_text(hashes, doc), wanted))
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, hash bigint, key string")
+    lines = cut(docs.mapInArrow(own, f"id {kind}, hash bigint"))
+    listed = join_spread(lines, hashes, ["hash"], "n").groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    return docs.join(listed, "id").select("id", "text", "hashes").mapInArrow(run, f"id {kind}, hash bigint, key string")
 
 
 def later_holders(found: DataFrame) -> DataFrame:
@@ -156,16 +231,20 @@ def thin(least: int) -> Callable[[Column, Column], Column]:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 10, max_filter_bits: int = 1 << 30) -> DataFrame:
     """Remove every line whose key another document with a smaller id already holds; add n_lines and n_dropped.
 
-    The key is the line stripped of [\\x20\\x09-\\x0D] with A-Z lower-cased; keys under `least` code points stay. The filter
-    takes 16 bits a line, at most `max_filter_bits` (then more lines are suspected and confirmed exactly; results do not
-    change). A null text stays null and counts as one empty line; rows with a null id are neither thinned nor counted as a
+    The key is the line stripped of [\\x20\\x09-\\x0D] with A-Z lower-cased; keys under `least` code points stay. Filters
+    have 16 bits a line; the broadcast one takes at most `max_filter_bits`, and more lines meet filters by range of hash,
+    with the same results. A null text stays null and counts as one empty line; rows with a null id are neither thinned nor counted as a
     document; rows that share an id are one document. An empty table gives an empty result; other columns stay, existing
     n_lines and n_dropped are replaced.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")])
     lines = docs.select(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = min(max_filter_bits, 1 << max(13, int(16 * lines - 1).bit_length()))
-    found = cut(suspects(docs, doc_id, text, least, twice_seen(docs, text, least, bits)))
+    bits = 1 << max(13, int(LINE_BITS * lines - 1).bit_length())
+    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    if bits <= max_filter_bits:
+        found = cut(suspects(named, least, twice_seen(docs, text, least, bits)))
+    else:
+        found = cut(joined_suspects(named, least, cut(range_suspects(named, least, lines, min(RANGE_BITS, max_filter_bits)))))
     drop = later_holders(found).groupBy("id").agg(F.collect_set("hash").alias("__drop"))
     joined = docs.join(drop.withColumnRenamed("id", "__id"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
     joined = joined.withColumn("__kept", thin(least)(F.col(text), F.col("__drop")))
