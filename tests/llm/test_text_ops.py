@@ -91,6 +91,24 @@ def test_ngram_join_finds_chains_and_minorities(spark):
     assert got == plain.near_duplicates(rows)
 
 
+def test_parity_sketches_exclude_no_link_and_most_other_pairs():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 120)
+    sets_ = [np.concatenate((rng.permutation(common)[: rng.integers(40, 120)], rng.integers(0, 2**63, rng.integers(1, 80)))) for _ in range(80)]
+    sketch = ngram_join.parity(np.repeat(np.arange(80), [len(x) for x in sets_]), np.concatenate(sets_), 80)
+    apart = tried = 0
+    for i in range(80):
+        for j in range(i):
+            x, y = set(sets_[i].tolist()), set(sets_[j].tolist())
+            differ = sum(int(a).bit_count() for a in (sketch[i] ^ sketch[j]).view(np.uint64))
+            assert differ <= len(x ^ y)
+            least = -(-(len(x) + len(y)) * 80 // 180)
+            if len(x & y) < least:
+                tried += 1
+                apart += len(x) + len(y) - differ < 2 * least
+    assert apart > 0.9 * tried > 1000
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]

@@ -7,8 +7,9 @@ only if enough of its n-grams are shared for a link at all; it is then a candida
 (prefix filtering). Overlaps of candidate pairs are counted per fragment and summed per pair.
 
 Groups of copies: documents with equal sets are joined as one. Inside a large group of near copies most documents link to
-one centre; pairs within a component need no further check, so only pairs between different components are tried, and all
-of those. Links are therefore never lost, while the pairs tried stay linear in a group that one component fills.
+one centre; pairs within a component need no further check, so only pairs between different components are compared, and
+all of those. Links are therefore never lost, while the pairs stay linear in a group that one component fills. Of the
+others the join lets out only pairs whose parity sketches leave room for a link, an exact bound (see within_sketch()).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from trellica.llm.components import components
 PACK = "part int, ids array<bigint>, sizes array<int>, counts array<int>, hashes array<bigint>, df array<int>"
 #: Fragments in which the overlap of a candidate pair is counted, as a power of two.
 COUNT_BITS = 3
+#: Words of 64 bits in the parity sketch of a document.
+SKETCH = 4
 
 
 def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -135,6 +138,14 @@ def frequencies(targets: int):
     return run
 
 
+def parity(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
+    """A row of SKETCH words for each document; bit i is the parity of the number of its hashes that fall on i."""
+    out = np.zeros((docs, SKETCH), np.uint64)
+    h = h.view(np.uint64)
+    np.bitwise_xor.at(out.reshape(-1), doc * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), np.uint64(1) << (h // np.uint64(SKETCH) % np.uint64(64)))
+    return out.view(np.int64)
+
+
 def sets(percent: int):
     """Task: all shared n-grams of its documents, rarest first; documents that cannot link keep only their size."""
 
@@ -158,6 +169,7 @@ def sets(percent: int):
             np.add.at(marks[i], doc, mix(h.view(np.uint64) + np.uint64(i + 1)))
             whole = shared == n
             marks[i] = np.where(whole, marks[i], mix(names.view(np.uint64) + np.uint64(i)))
+        sketch = parity(doc, h, len(names))
         part = (h.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
         inner = np.argsort(doc * (1 << COUNT_BITS) + part, kind="stable")
         seg = np.bincount(doc * (1 << COUNT_BITS) + part, minlength=len(names) << COUNT_BITS)
@@ -169,8 +181,8 @@ def sets(percent: int):
             dead = pa.array(~live[own])
             inner_lists = lists(h[inner[pick]], seg[own.start << COUNT_BITS : own.stop << COUNT_BITS], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[own]), pa.array(n[own]), pa.array(shared[own], pa.int64()), pa.array(marks[0][own].view(np.int64)), pa.array(marks[1][own].view(np.int64)), lists(h[pick][f], lead[own], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(own.stop - own.start + 1, dtype=np.int32) << COUNT_BITS), inner_lists)],
-                ["id", "n", "shared", "mark1", "mark2", "front", "parts"],
+                [pa.array(names[own]), pa.array(n[own]), pa.array(shared[own], pa.int64()), pa.array(marks[0][own].view(np.int64)), pa.array(marks[1][own].view(np.int64)), lists(h[pick][f], lead[own], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(own.stop - own.start + 1, dtype=np.int32) << COUNT_BITS), inner_lists), lists(sketch[own][live[own]].ravel(), live[own] * SKETCH, pa.int64())],
+                ["id", "n", "shared", "mark1", "mark2", "front", "parts", "sketch"],
             ).append_column("live", pc.invert(dead))
 
     return run
@@ -192,6 +204,17 @@ def possible(percent: int):
     return (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.least("x.rest", "y.rest") >= least)
 
 
+def within_sketch(percent: int):
+    """Condition on two rows x and y: the sketches leave room for a link.
+
+    A hash that both hold cancels in the exclusive or of the sketches, so each bit left is at least one hash that only one
+    of the two holds: no link is ever excluded.
+    """
+    least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    differ = sum(F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH))
+    return F.col("x.shared") + F.col("y.shared") - differ >= least * 2
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, fragment_bytes: int = 8 << 20) -> DataFrame:
     """(id, n_shingles, component_id) for every document; links need 100 * overlap >= percent * union.
 
@@ -218,7 +241,7 @@ def groups(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> DataFr
     bits = min(15, max(6, int(size // fragment_bytes).bit_length()))
     packed = docs.mapInArrow(segments(k, bits), PACK).repartition(1 << bits, "part")
     shared = packed.mapInArrow(frequencies(1 << bits), PACK).repartition(1 << bits, "part")
-    schema = "id bigint, n bigint, shared bigint, mark1 bigint, mark2 bigint, front array<bigint>, parts array<array<bigint>>, live boolean"
+    schema = "id bigint, n bigint, shared bigint, mark1 bigint, mark2 bigint, front array<bigint>, parts array<array<bigint>>, sketch array<bigint>, live boolean"
     every = cut(shared.mapInArrow(sets(percent), schema), chain=True)
     live = every.where("live")
     mark = ["mark1", "mark2", "n"]
@@ -232,9 +255,9 @@ def groups(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> DataFr
     label = components(linked)
     named = bucket.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tally = named.groupBy("gram", "component").count().groupBy("gram").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    mixed = cut(named.join(tally, "gram"))
+    mixed = cut(named.join(tally, "gram").join(single.select("id", "shared", "sketch"), "id"))
     minor = mixed.where("component <> main").alias("x")
-    rest = minor.join(mixed.alias("y"), "gram").where((F.col("x.component") != F.col("y.component")) & possible(percent))
+    rest = minor.join(mixed.alias("y"), "gram").where((F.col("x.component") != F.col("y.component")) & possible(percent) & within_sketch(percent))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     late = cut(overlaps(rest, single, percent))
     return every.select("id", F.col("n").alias("n_shingles")).join(resolve(member, label, late), "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
