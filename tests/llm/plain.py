@@ -1,5 +1,6 @@
 """Plain versions of the operators' contracts, for small tables."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -109,3 +110,48 @@ def deleted_interpolation(docs, order, levels=16, rounds=60):
         weights = {b: [x / sum(v) for x in v] for b, v in found.items()}
     for i, ts in tokens:
         yield i, len(ts), sum(math.log10(sum(w * x for w, x in zip(weights[b], f, strict=True))) for b, f in parts(every, sums(every), types, ts))
+
+
+def top_products(vectors, queries, k, scale):
+    whole = lambda v: None if v is None or any(x is None or not math.isfinite(x) for x in v) else [math.floor(scale * x) for x in v]
+    base = [(i, w) for i, v in vectors if (w := whole(v)) is not None]
+    out = []
+    for q, w in {(i, tuple(w)) for i, v in queries if i is not None and (w := whole(v)) is not None}:
+        found = sorted((-sum(a * b for a, b in zip(w, x, strict=True)), i is None, i or 0) for i, x in base if i != q and len(x) == len(w))
+        out += [(q, n + 1, None if gone else i, -s) for n, (s, gone, i) in enumerate(found[:k])]
+    return sorted(out, key=str)
+
+
+def ranked(docs, items, k):
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    held = [(i, Counter(terms(t))) for i, t in docs]
+    size = [sum(c.values()) for _, c in held]
+    n, total = sum(s > 0 for s in size), sum(size)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in set(items):
+        scores = []
+        for (i, c), s in zip(held, size, strict=True):
+            m = 75 + 25 * s * n // total if total else 0
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text) if c[t])
+            if score > 0:
+                scores.append((-score, i is None, i or 0))
+        out += [(item, r + 1, None if gone else i, -s) for r, (s, gone, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=str)
+
+
+def lloyd(vectors, k, rounds, dim, scale):
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in vectors if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    mark = lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1])
+    centres = [v for _, v in sorted(kept, key=mark)[:k]]
+    apart = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c, strict=True))
+    near = lambda v: min(range(len(centres)), key=lambda c: (apart(v, centres[c]), c))
+    for _ in range(rounds):
+        own = [near(v) for _, v in kept]
+        groups = {c: [v for (_, v), o in zip(kept, own, strict=True) if o == c] for c in set(own)}
+        centres = [[sum(x) // len(groups[c]) for x in zip(*groups[c], strict=True)] if c in groups else z for c, z in enumerate(centres)]
+    rows = [(i, near(v), apart(v, centres[near(v)])) for i, v in kept]
+    within = Counter()
+    for _, c, d in rows:
+        within[c] += d
+    return sorted(((i, c, d, within[c], sum(within.values()), hashlib.sha256(",".join(map(str, centres[c])).encode()).hexdigest()) for i, c, d in rows), key=str)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellica.llm import chat_format, decontaminate, embedding_dedup, line_dedup, lm_score, mixing, ngram_join, quality, sharding, toxicity
+from trellica.llm import centroids, chat_format, decontaminate, embedding_dedup, lexical_search, line_dedup, lm_score, mixing, ngram_join, quality, sharding, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_sharding": sharding.op10_sharding,
+    "op11_topk_search": topk_search.op11_topk_search,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +32,7 @@ ORACLES: dict[str, str] = {
     "op8_ngram_join": ngram_join.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_sharding": sharding.ORACLE,
+    "op11_topk_search": topk_search.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
