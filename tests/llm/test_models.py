@@ -251,3 +251,22 @@ def test_softmax_slopes_match_finite_differences():
             down = loss()
             part[at] = keep
             assert got[at] == pytest.approx((up - down) / 2e-6, abs=1e-7)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("fitted", [64, 1, 0])
+def test_near_vectors_that_share_ids_are_vectors_of_their_own(spark, kind, fitted, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "FITTED_LENGTHS", fitted)
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(12, 4))
+    rows = [(int(rng.integers(0, 9)), (base[rng.integers(0, 12)] + rng.choice([0.0, 0.12]) * rng.normal(size=4)).tolist()) for _ in range(120)]
+    rows += [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (1, [1.0, 0.0]), (4, [-1.0, 0.0]), (4, None), (4, [3.0])]
+    name = (lambda i: i) if kind == "long" else (lambda i: "id%d" % i)
+    unit = [None if v is None else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    of = plain.components(range(len(rows)), links)
+    least = {c: min(name(rows[i][0]) for i in of if of[i] == c) for c in of.values()}
+    want = sorted((name(i), sum(a == n for a, _ in links), least[of[n]], name(i) == least[of[n]]) for n, (i, _) in enumerate(rows))
+    df = spark.createDataFrame([(name(i), v) for i, v in rows], f"vec_id {kind}, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df, per_block=16).collect())
+    assert got == want

@@ -26,8 +26,8 @@ from trellica.llm._store import cut, table
 from trellica.llm._text import lists
 from trellica.llm.components import components
 
-#: Doubles in a block at most, and what rounding may add to a bound.
-BLOCK_VALUES, SLACK = 1 << 19, 1e-9
+#: Doubles in a block at most, what rounding may add to a bound, and lengths of vectors that get centres of their own.
+BLOCK_VALUES, SLACK, FITTED_LENGTHS = 1 << 19, 1e-9, 64
 
 
 def cells_for(vectors: int, most: int = 8192) -> int:
@@ -87,12 +87,10 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def visits(points: np.ndarray, home: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
     """Which later cells each point may have a link in (points x centres); a pair of cells is compared in the later one."""
     dots = points @ centres.T
-    out = np.zeros(dots.shape, bool)
-    for h in np.unique(home):
-        own = np.flatnonzero(home == h)
-        reach = np.sqrt(max(0.0, 2 - 2 * least)) * np.linalg.norm(centres - centres[h], axis=1) + SLACK
-        out[own, h + 1 :] = (dots[own, h : h + 1] - dots[own] <= reach)[:, h + 1 :]
-    return out
+    homes, at = np.unique(home, return_inverse=True)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[homes] @ centres.T)) + SLACK * SLACK)
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) * apart + SLACK
+    return (dots[np.arange(len(home)), home][:, None] - dots <= reach[at]) & (np.arange(len(centres)) > home[:, None])
 
 
 def compare(least: float):
@@ -157,52 +155,45 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors are compared with
     all others of their length, as a cosine is not defined across lengths. Rows without an id link with nothing and are
-    kept. Rows that share an id and a vector count as separate vectors. Ids may be of any type that can be ordered:
-    integers are used as they are, others through a 64-bit hash. An empty table gives an empty result; other columns are
-    not read. The centres are fitted on about sample_per_cell * cells vectors and sample_bytes at most, drawn by a hash of
-    the vector; links do not depend on them.
+    kept. Every row is a vector of its own: rows that share an id are not joined by it, each counts its own links and is in
+    the component that its vector links into, which takes its name from the smallest id in it; kept compares that name with
+    the row's id, so of rows that share an id all, some or none may be kept. Ids may be of any type that can be ordered. An
+    empty table gives an empty result; other columns are not read. The centres are fitted on about sample_per_cell * cells
+    vectors and sample_bytes at most, drawn by a hash of the vector; links do not depend on them.
     """
-    whole = df.schema[vec_id].dataType.typeName() in ("byte", "short", "integer", "long")
-    key = F.col(vec_id).cast("long") if whole else F.when(F.col(vec_id).isNotNull(), F.xxhash64(F.col(vec_id)))
-    found = linked(df.select(key.alias("id"), F.col(vector).cast("array<double>").alias("vector")), least, per_block, sample_per_cell, most_cells, sample_bytes)
-    if not whole:
-        names = df.where(F.col(vec_id).isNotNull()).select(key.alias("id"), F.col(vec_id).alias("name")).distinct()
-        named = found.join(names, "id", "left")
-        first = named.groupBy("component").agg(F.min("name").alias("first"))
-        found = named.join(first, "component", "left").select(F.col("name").alias("id"), "n_links", F.col("first").alias("component"))
+    found = linked(df.select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("vector")), least, per_block, sample_per_cell, most_cells, sample_bytes)
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def fit_centres(single: DataFrame, least: float, per_block: int, sample_per_cell: int, most_cells: int, sample_bytes: int) -> dict[int, tuple[int, np.ndarray]]:
-    """For each vector length the number of its first cell and the centres of its cells."""
-    lengths = {r["dim"]: r for r in single.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.min_by("vector", "mark0").alias("some")).collect()}
-    if not lengths:
+    """For the most frequent vector lengths the number of the first cell and the centres of the cells."""
+    found = single.groupBy(F.size("vector").alias("dim")).count().orderBy(F.col("count").desc(), "dim").limit(FITTED_LENGTHS).collect()
+    many = {r["dim"]: r["count"] for r in found}
+    size = {d: min(cells_for(n, most_cells), -(-4 * n // per_block)) for d, n in many.items()}
+    wanted = {d: min(sample_per_cell * k, max(1, sample_bytes // (8 * d * len(many)))) for d, k in size.items()}
+    if not many:
         return {}
-    size = {d: min(cells_for(r["n"], most_cells), -(-4 * r["n"] // per_block)) for d, r in lengths.items()}
-    wanted = {d: min(sample_per_cell * k, max(1, sample_bytes // (8 * d * len(lengths)))) for d, k in size.items()}
-    share = F.create_map(*[F.lit(x) for d, n in wanted.items() for x in (d, min(1.0, n / lengths[d]["n"]))])
+    share = F.create_map(*[F.lit(x) for d, n in wanted.items() for x in (d, min(1.0, n / many[d]))])
     drawn = single.where(F.pmod(F.xxhash64("mark0", "mark1"), F.lit(1 << 20)) < share[F.size("vector")] * (1 << 20)).select("vector").toArrow()["vector"].combine_chunks()
     out, first = {}, 0
     for d in sorted(size):
         sample = drawn.filter(pc.equal(pc.list_value_length(drawn), d))
-        sample = sample if len(sample) else pa.array([lengths[d]["some"]], pa.list_(pa.float64()))
-        out[d] = (first, merge_centres(spherical_kmeans(unit(sample, d), size[d]), least))
-        first += len(out[d][1])
+        if len(sample):
+            out[d] = (first, merge_centres(spherical_kmeans(unit(sample, d), size[d]), least))
+            first += len(out[d][1])
     return out
 
 
 def linked(rows: DataFrame, least: float, per_block: int, sample_per_cell: int, most_cells: int, sample_bytes: int) -> DataFrame:
-    """(id, n_links, component) for (id bigint, vector array<double>)."""
+    """(id, n_links, component) for (id, vector array<double>). Distinct vectors are told apart by a number, never by an id."""
     values = F.col("vector")
     fine = F.col("id").isNotNull() & values.isNotNull() & (F.size(values) > 0) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(values, lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     mark = [F.when(F.col("fine"), F.xxhash64(F.lit(i), "vector")).alias(f"mark{i}") for i in (0, 1)]
     rows = rows.select("id", "fine", *mark, "vector")
     marks = ["mark0", "mark1"]
-    single = cut(rows.where("fine").groupBy(*marks).agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
+    single = cut(rows.where("fine").groupBy(*marks).agg(F.min("id").alias("least_id"), F.count("*").alias("weight"), F.first("vector").alias("vector")).withColumn("id", F.monotonically_increasing_id()))
     fitted = fit_centres(single, least, per_block, sample_per_cell, most_cells, sample_bytes)
-    if not fitted:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     shared = rows.sparkSession.sparkContext.broadcast(fitted)
     inside = np.sqrt((1 + least) / 2) + SLACK
 
@@ -211,14 +202,14 @@ def linked(rows: DataFrame, least: float, per_block: int, sample_per_cell: int,
             dims = pc.list_value_length(batch.column("vector"))
             for d in pc.unique(dims).to_pylist():
                 own = batch.filter(pc.equal(dims, d))
-                start, centres = shared.value[d]
+                start, centres = shared.value.get(d, (-d, None))  # a length without centres is one cell, without a core
                 for a in range(0, own.num_rows, 1024):
                     part = own.slice(a, 1024)
                     points = unit(part.column("vector"), d)
-                    near = points @ centres.T
+                    near = np.full((len(points), 1), -1.0) if centres is None else points @ centres.T
                     home = np.argmax(near, axis=1)
                     core = near[np.arange(len(home)), home] >= inside
-                    seen = visits(points, home, centres, least)
+                    seen = np.zeros(near.shape, bool) if centres is None else visits(points, home, centres, least)
                     columns = [part.column("id"), part.column("weight"), pa.array((start + home).astype(np.int32)), pa.array(core), lists((start + np.nonzero(seen)[1]).astype(np.int32), seen.sum(axis=1), pa.int32()), lists(points.ravel(), np.full(len(points), d), pa.float64())]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "weight", "home", "core", "visits", "vector"])
 
@@ -236,9 +227,12 @@ def linked(rows: DataFrame, least: float, per_block: int, sample_per_cell: int,
     label = components(found.where("a <> b").select("a", "b").distinct()).withColumnRenamed("id", "node")
     node = cut(placed.select(F.col("id").alias("rep"), "node", "implied"))
     of_node = node.groupBy("node").agg(F.count("*").alias("many")).join(label, "node", "left")
-    stats = single.select(*marks, F.col("id").alias("rep"), "weight").join(join_spread(node, of_node, ["node"], "many"), "rep").join(degree, "rep", "left")
     links = F.col("weight") - 1 + F.col("implied") + F.coalesce("degree", F.lit(0))
-    known = join_spread(cut(rows.where("fine").select("id", *marks)), stats.select(*marks, "weight", links.alias("n_links"), F.coalesce("component", "node").alias("component")), marks, "weight")
+    stats = single.select(*marks, F.col("id").alias("rep"), "least_id", "weight").join(join_spread(node, of_node, ["node"], "many"), "rep").join(degree, "rep", "left")
+    stats = cut(stats.select(*marks, "least_id", "weight", links.alias("n_links"), F.coalesce("component", "node").alias("root")))
+    name = stats.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("vectors"))
+    named = join_spread(stats, name, ["root"], "vectors").select(*marks, "weight", "n_links", "component")
+    known = join_spread(cut(rows.where("fine").select("id", *marks)), named, marks, "weight")
     return known.select("id", "n_links", "component").unionByName(rows.where("NOT fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
