@@ -196,13 +196,13 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str
     edges = np.unique(np.array(edges or [], np.float64))
     base = base.withColumn("bucket", above(edges)(F.col("norm")))
     buckets = cut(base.groupBy("bucket").agg(F.sum(F.col("dim") + 1).alias("held"), F.max("norm").alias("longest")))
-    asked = cut(asked.withColumn("least", F.lit(LEAST)).withColumn("values", F.col("dim") + 1))
     longest = {r["bucket"]: r["longest"] for r in buckets.select("bucket", "longest").collect()}
     if not longest:
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("score")).where(F.lit(False))
-    seeds = met(base, asked.withColumn("bucket", F.lit(min(longest))), buckets, k, kind, every=False)
+    asked = cut(asked.withColumns({"least": F.lit(LEAST), "values": F.col("dim") + 1, "bucket": F.lit(min(longest))}))
+    seeds = met(base, asked, buckets, k, kind, every=False)
     least = seeds.groupBy("query", "mark").agg(F.sort_array(F.collect_list("score"), False).alias("s")).where(F.size("s") >= k).select(F.col("query").alias("id"), "mark", F.element_at("s", k).alias("least"))
-    raised = asked.drop("least").join(least, ["id", "mark"], "left").withColumn("least", F.coalesce("least", F.lit(LEAST)))
+    raised = asked.drop("least", "bucket").join(least, ["id", "mark"], "left").withColumn("least", F.coalesce("least", F.lit(LEAST)))
     shortest = np.array([longest[b] for b in sorted(longest, reverse=True)]) * (1 + SLACK)
     reached = F.when(F.col("least") > 0, above(shortest)(F.col("least") / F.greatest("norm", F.lit(1.0)))).otherwise(len(shortest))
     some = raised.withColumn("bucket", F.explode(F.slice(F.lit(np.array(sorted(longest), np.int32)), F.lit(1), reached)))
