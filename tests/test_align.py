@@ -152,16 +152,25 @@ def test_warp(spark):
     assert tuple(out[0]["path"][0]) == (0, 0) and tuple(out[0]["path"][-1]) == (3, 3)
 
 
-def test_warp_table_matches_plain_recurrence():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        q, t = rng.integers(-5, 6, rng.integers(1, 7)), rng.integers(-5, 6, rng.integers(1, 7))
-        h = np.full((len(q) + 1, len(t) + 1), 10**9)
-        h[0, 0] = 0
-        for i in range(1, len(q) + 1):
-            for j in range(1, len(t) + 1):
-                h[i, j] = abs(q[i - 1] - t[j - 1]) + min(h[i - 1, j - 1], h[i - 1, j], h[i, j - 1])
-        assert K.warp_table(q, t)[-1, -1] == h[-1, -1]
+HYPHENS = [("A-BC", "A-BC"), ("A-B", "AXB"), ("AXB", "A-B"), ("--", "-"), ("-A-", "A--"), ("", "--"), ("-", "")]
+
+
+@pytest.mark.parametrize("mode", A.MODES)
+def test_hyphens_are_symbols(spark, mode):
+    scoring = {"edit-distance": EDIT, "lcs": LCS}.get(mode, Scoring())
+    out = A.align(pairs(spark, *HYPHENS), mode, Scoring(), verify=True).orderBy("pair_index").collect()
+    assert [r["verification_status"] for r in out] == ["full"] * len(HYPHENS)
+    assert [abs(r["path_score"]) for r in out] == [abs(naive(q, t, mode, scoring)) for q, t in HYPHENS]
+    if not mode.startswith(("lcs", "edit")):
+        m = Matrix("m", "ABCX-", tuple(tuple(3 if a == b else -1 for b in range(5)) for a in range(5)))
+        out = A.align(pairs(spark, *HYPHENS), mode, Scoring(gap=-2, matrix=m), verify=True).collect()
+        assert {r["verification_status"] for r in out} == {"full"}
+
+
+def test_paths_that_contradict_their_pair_have_no_score(spark):
+    df = spark.createDataFrame([("2=", "AC", "AC", 2), ("1=1X", "AC", "AC", 2), ("1X1=", "AC", "GC", 2), ("2=", "AC", "AG", 2), ("1=", "AC", "AC", 2), ("2=1D", "AC", "AC", 2), ("2X", "AC", "CC", 2)], "c string, q string, t string, n int")
+    span = [F.lit(0), F.col("n"), F.lit(0), F.col("n")]
+    assert [r[0] for r in df.select(C.rescore(F.col("c"), F.col("q"), F.col("t"), span, Scoring())).collect()] == [4, None, 1, None, None, None, None]
 
 
 def test_matrix_parsing():

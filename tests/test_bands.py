@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -40,10 +41,10 @@ def test_kernels_agree_with_plain_recurrences():
         assert d == distance(q, t) == sum(op != "=" for op in ops) and consumed(ops, q, t) == (len(q), len(t))
         assert d == 0 or K.trace_edits(q, t, d - 1) is None
         assert K.lcs_bits(q, t) == K.global_scores([(q, t)], lcs, 0)[0, 0]
-        assert K.second_score(x, y, linear, -2) == K.global_scores([(q, t)], linear, -2)[0, 0]
-        assert K.second_score(x, y, linear, -2, free=True) == K.global_scores([(q, t)], linear, -2, free=True)[0, 0]
-        assert K.second_score(x, y, linear, -2, local=True) == K.local_scores([(q, t)], linear, -2)[0, 0]
-        assert K.second_affine(x, y, affine, -3, -1) == K.affine_scores([(q, t)], affine, -3, -1)[0] == K.trace_affine(x, y, affine, -3, -1, None)[0]
+        assert K.second_scores([(q, t)], linear, -2)[0] == K.global_scores([(q, t)], linear, -2)[0, 0]
+        assert K.second_scores([(q, t)], linear, -2, free=True)[0] == K.global_scores([(q, t)], linear, -2, free=True)[0, 0]
+        assert K.second_scores([(q, t)], linear, -2, local=True)[0] == K.local_scores([(q, t)], linear, -2)[0, 0]
+        assert K.second_affine_scores([(q, t)], affine, -3, -1)[0] == K.affine_scores([(q, t)], affine, -3, -1)[0] == K.trace_affine(x, y, affine, -3, -1, None)[0]
         for band in (1, 3):
             found = K.trace_affine(x, y, affine, -3, -1, band)
             assert (found[0] if found else K.NEG) == K.affine_scores([(q, t)], affine, -3, -1, band)[0]
@@ -57,11 +58,73 @@ def test_few_edits_in_long_sequences_are_quick():
     assert d == 3 and consumed(ops, q, t) == (2048, len(t)) and time.perf_counter() - began < 0.05
 
 
-def test_warp_cost_in_two_rows():
+def affine_value(ops, q, t, table, gap_open, gap_extend):
+    i = j = total = 0
+    before = ""
+    for op in ops:
+        total += table[q[i], t[j]] if op in "=X" else gap_extend + (gap_open if op != before else 0)
+        i, j, before = i + (op != "I"), j + (op != "D"), op
+    assert "DI" not in ops and "ID" not in ops
+    return total
+
+
+def test_affine_paths_split_in_linear_space(monkeypatch):
+    rng = random.Random(9)
+    for cells in (0, 6, 40):
+        monkeypatch.setattr(K, "AFFINE_CELLS", cells)
+        for opened, extend in ((-3, -1), (-1, -2), (0, -1), (-9, 0)):
+            table = Scoring(2, 1).table()
+            for _ in range(60):
+                q, t = (bytes(rng.choices(b"ACG", k=rng.choice([0, 1, 3, 9, 17]))) for _ in range(2))
+                x, y = np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8)
+                score, ops = K.affine_split(x, y, table, opened, extend)
+                assert score == K.affine_scores([(q, t)], table, opened, extend)[0] == affine_value(ops, q, t, table, opened, extend)
+                assert consumed(ops, q, t) == (len(q), len(t))
+
+
+def test_a_long_affine_pair_needs_little_memory():
+    rng = random.Random(2)
+    q = bytes(rng.choices(b"ACGT", k=3000))
+    t = q[:700] + bytes(rng.choices(b"ACGT", k=400)) + q[700:1900] + q[2100:]
+    table = Scoring(2, 1).table()
+    tracemalloc.start()
+    score, ops = K.affine_split(np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8), table, -3, -1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 < 3 * 8 * len(q) * len(t)
+    assert score == K.second_affine_scores([(q, t)], table, -3, -1)[0] == affine_value(ops, q, t, table, -3, -1)
+
+
+def test_second_scores_of_batches():
+    rng = random.Random(13)
+    pairs = [tuple(bytes(rng.choices(b"ACGT", k=rng.randint(0, 30))) for _ in range(2)) for _ in range(300)]
+    table = Scoring(2, 1, -2).table()
+    assert (K.second_scores(pairs, table, -2) == K.global_scores(pairs, table, -2)[:, 0]).all()
+    assert (K.second_scores(pairs, table, -2, free=True) == K.global_scores(pairs, table, -2, free=True)[:, 0]).all()
+    assert (K.second_scores(pairs, table, -2, local=True) == K.local_scores(pairs, table, -2)[:, 0]).all()
+    assert (K.second_affine_scores(pairs, table, -3, -1) == K.affine_scores(pairs, table, -3, -1)).all()
+
+
+def warp_table(q, t):
+    h = np.full((len(q) + 1, len(t) + 1), 10**9)
+    h[0, 0] = 0
+    for i in range(1, len(q) + 1):
+        for j in range(1, len(t) + 1):
+            h[i, j] = abs(q[i - 1] - t[j - 1]) + min(h[i - 1, j - 1], h[i - 1, j], h[i, j - 1])
+    return h[-1, -1]
+
+
+def test_warping_paths_split_and_batched(monkeypatch):
     rng = np.random.default_rng(7)
-    for _ in range(30):
-        q, t = (rng.integers(-9, 9, rng.integers(1, 12)) for _ in range(2))
-        assert K.warp_costs([(q, t)])[0] == K.warp_table(q, t)[-1, -1]
+    pairs = [tuple(rng.integers(-9, 9, rng.integers(1, 40)) for _ in range(2)) for _ in range(80)]
+    want = [warp_table(q, t) for q, t in pairs]
+    assert K.warp_costs(pairs).tolist() == want
+    for cells in (4096, 50, 0):
+        monkeypatch.setattr(K, "WARP_CELLS", cells)
+        for (q, t), path, cost in zip(pairs, K.warp_paths(pairs), want, strict=True):
+            assert path[0].tolist() == [0, 0] and path[1].tolist() == [1, 1] and path[-1].tolist() == [len(q), len(t)]
+            assert all(tuple(d) in ((0, 1), (1, 0), (1, 1)) for d in np.diff(path, axis=0).tolist())
+            assert sum(abs(q[i - 1] - t[j - 1]) for i, j in path[1:]) == cost
 
 
 def test_pairs_over_several_files(spark, tmp_path):

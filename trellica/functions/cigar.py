@@ -83,23 +83,31 @@ def aligned(cigar: Column, sequence: Column, start: Column, gap_op: str) -> Colu
     return F.array_join(F.transform(run_list(cigar), lambda r: F.when(r["op"] == gap_op, F.repeat(F.lit("-"), r["n"])).otherwise(F.substring(sequence, start + r[offset] + 1, r["n"]))), "")
 
 
-def rescore(cigar: Column, aligned_query: Column, aligned_target: Column, scoring: Scoring, affine: bool = False) -> Column:
-    """Score of a path from its aligned symbols, independent of the kernel; null if = or X contradict the symbols."""
-    symbols = F.zip_with(F.split(aligned_query, ""), F.split(aligned_target, ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    symbols = F.when(F.length(aligned_query) > 0, symbols).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+def rescore(cigar: Column, query: Column, target: Column, span: list[Column], scoring: Scoring, affine: bool = False) -> Column:
+    """Score of a path from its runs and the symbols they pair, independent of the kernel.
+
+    span: start and end in the query, start and end in the target. Null if the runs do not fill the span, or if = or X
+    contradict the symbols. No symbol stands for a gap, so sequences may hold any, - included.
+    """
+    runs = run_list(cigar)
+    query_piece = lambda r: F.substring(query, span[0] + r["q"] + 1, r["n"])
+    target_piece = lambda r: F.substring(target, span[2] + r["t"] + 1, r["n"])
+    paired = lambda r, f: F.zip_with(F.split(query_piece(r), ""), F.split(target_piece(r), ""), f)
+    agrees = lambda r: F.when(r["op"] == "=", query_piece(r) == target_piece(r)).when(r["op"] == "X", F.forall(paired(r, lambda a, b: ~a.eqNullSafe(b)), lambda x: x)).otherwise(True)
+    fills = (total(cigar, "=XD") == span[1] - span[0]) & (total(cigar, "=XI") == span[3] - span[2]) & (span[1] <= F.length(query)) & (span[3] <= F.length(target))
     if scoring.matrix is None:
-        score = lambda x: F.when(x["a"] == x["b"], scoring.match).otherwise(-scoring.mismatch)
+        pairs = total(cigar, "=") * scoring.match - total(cigar, "X") * scoring.mismatch
     else:
         m = scoring.matrix
         flat = F.array(*[F.lit(v) for row in m.rows for v in row])
         place = lambda c: F.instr(F.lit(m.alphabet.upper()), F.upper(c)) - 1
-        score = lambda x: F.get(flat, place(x["a"]) * len(m.alphabet) + place(x["b"]))
-    pairs = F.aggregate(F.filter(symbols, lambda x: (x["a"] != "-") & (x["b"] != "-")), F.lit(0).cast("long"), lambda acc, x: acc + score(x))
+        both = F.filter(runs, lambda r: r["op"].isin("=", "X"))
+        scores = F.flatten(F.transform(both, lambda r: paired(r, lambda a, b: F.get(flat, place(a) * len(m.alphabet) + place(b)))))
+        pairs = F.aggregate(scores, F.lit(0).cast("long"), lambda acc, x: acc + x)
     gaps = total(cigar, "DI")
     opened = F.size(F.regexp_extract_all(cigar, F.lit(r"([DI])"), F.lit(1)))
     cost = opened * scoring.gap_open + gaps * scoring.gap_extend if affine else gaps * scoring.gap
-    same = F.size(F.filter(symbols, lambda x: (x["a"] == x["b"]) & (x["a"] != "-")))
-    return F.when((same == total(cigar, "=")) & valid(cigar), pairs + cost)
+    return F.when(valid(cigar) & fills & F.forall(runs, agrees), pairs + cost)
 
 
 def swap_gaps(cigar: Column) -> Column:

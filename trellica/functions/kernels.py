@@ -136,32 +136,93 @@ def affine_rows(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int,
         yield i, match, down, right
 
 
+def stacked(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Integer series as rows of one array, filled up on the right, with their lengths."""
+    size = np.array([len(x) for x in series], np.int64)
+    out = np.zeros((len(series), int(size.max(initial=0))), np.int64)
+    for row, x in zip(out, series, strict=True):
+        row[: len(x)] = x
+    return out, size
+
+
+def warp_rows(q: np.ndarray, t: np.ndarray) -> Iterator[np.ndarray]:
+    """Costs of warping each prefix of q's rows onto every prefix of t's, row after row, for a batch of series."""
+    row = None
+    for i in range(q.shape[1]):
+        cost = np.abs(q[:, i, None] - t)
+        total = np.cumsum(cost, axis=1)
+        if row is None:
+            row = total
+        else:
+            enter = row.copy()
+            enter[:, 1:] = np.minimum(row[:, 1:], row[:, :-1])
+            row = np.minimum.accumulate(enter - (total - cost), axis=1) + total
+        yield row
+
+
 def warp_costs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Dynamic time warping cost of two integer series under absolute differences, in two rows; both must be non-empty."""
+    """Dynamic time warping cost of integer series under absolute differences, in two rows; none may be empty."""
     out = np.zeros(len(pairs), np.int64)
-    for k, (q, t) in enumerate(pairs):
-        q, t = np.asarray(q, np.int64), np.asarray(t, np.int64)
-        row = np.full(len(t) + 1, 2**60, np.int64)
-        row[0] = 0
-        for x in q:
-            cost = np.abs(x - t)
-            total = np.cumsum(cost)
-            row[1:] = np.minimum.accumulate(np.minimum(row[1:], row[:-1]) - (total - cost)) + total
-            row[0] = 2**60
-        out[k] = row[-1]
+    for pick in bunches(pairs):
+        (q, n), (t, m) = stacked([pairs[i][0] for i in pick]), stacked([pairs[i][1] for i in pick])
+        for i, row in enumerate(warp_rows(q, t)):
+            for b in np.flatnonzero(n == i + 1):
+                out[pick[b]] = row[b, m[b] - 1]
+    return out
+
+
+#: Cells of a piece of two series that is walked back over its own costs; larger pieces are split.
+WARP_CELLS = 4096
+
+
+def warp_walks(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Cells (row, column) from 0 of optimal warping paths of short series; ties prefer diagonal, then up, then left."""
+    out: list = [None] * len(pairs)
+    for pick in bunches(pairs, 8 * WARP_CELLS):
+        (q, n), (t, m) = stacked([pairs[i][0] for i in pick]), stacked([pairs[i][1] for i in pick])
+        cost = np.full((len(pick), q.shape[1] + 1, t.shape[1] + 1), 2**60, np.int64)
+        for i, row in enumerate(warp_rows(q, t)):
+            cost[:, i + 1, 1:] = row
+        cost[:, 0, 0] = -1  # the first cell ends every path
+        at, i, j, steps = np.arange(len(pick)), n.copy(), m.copy(), []
+        while i.any():
+            steps.append(np.stack((i, j), axis=1))
+            a, b = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+            move = np.argmin(np.stack((cost[at, a, b], cost[at, a, j], cost[at, i, b])), axis=0)
+            live = i > 0
+            i, j = np.where(live & (move != 2), a, i), np.where(live & (move != 1), b, j)
+        walked = np.stack(steps, axis=1)
+        for k, p in enumerate(pick):
+            own = walked[k]
+            out[p] = own[own[:, 0] > 0][::-1] - 1
     return out
 
 
-def warp_table(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    far = 2**60
-    table = np.full((len(q) + 1, len(t) + 1), far, np.int64)
-    table[0, 0] = 0
-    for i in range(1, len(q) + 1):
-        cost = np.abs(q[i - 1] - t)
-        total = np.cumsum(cost)
-        enter = np.minimum(table[i - 1, 1:], table[i - 1, :-1])
-        table[i, 1:] = np.minimum.accumulate(enter - (total - cost)) + total
-    return table
+def warp_path(q: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """Pieces of an optimal warping path in order, in memory linear in the lengths.
+
+    The costs of both halves of the rows meet between two rows: the cheapest step there splits the path.
+    """
+    if len(q) * len(t) <= WARP_CELLS or len(q) == 1:
+        return warp_walks([(q, t)])
+    mid = len(q) // 2
+    for ahead in warp_rows(q[None, :mid], t[None]):
+        pass
+    for back in warp_rows(q[None, mid:][:, ::-1], t[None, ::-1]):
+        pass
+    ahead, back = ahead[0], back[0, ::-1]
+    straight, diagonal = ahead + back, ahead[:-1] + back[1:]
+    slant = len(diagonal) > 0 and diagonal.min() <= straight.min()
+    at = int(np.argmin(diagonal if slant else straight))
+    to = at + 1 if slant else at
+    return [*warp_path(q[:mid], t[: at + 1]), *[p + (mid, to) for p in warp_path(q[mid:], t[to:])]]
+
+
+def warp_paths(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Optimal warping paths as cells (row, column) counted from 1, the first being (0, 0)."""
+    short = [k for k, (q, t) in enumerate(pairs) if len(q) * len(t) <= WARP_CELLS]
+    found = dict(zip(short, warp_walks([pairs[k] for k in short]), strict=True))
+    return [np.concatenate((np.zeros((1, 2), np.int64), 1 + (found[k] if k in found else np.concatenate(warp_path(q, t))))) for k, (q, t) in enumerate(pairs)]
 
 
 def runs(ops: str) -> str:
@@ -301,12 +362,14 @@ def affine_band(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int,
 
 
 def trace_affine(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, band: int | None) -> tuple[int, str] | None:
-    """Score and operations of an optimal affine path; ties prefer match, then D, then I. None if out of the band.
+    """Score and operations of an optimal affine path within a band, None if it is out of reach; without a band affine_split().
 
-    Memory is the query's length times the band.
+    Memory is the query's length times the band; ties prefer match, then D, then I.
     """
+    if band is None:
+        return affine_split(q, t, table, gap_open, gap_extend)
     i, j = len(q), len(t)
-    band = min(max(i, j), max(i, j) if band is None else band)
+    band = min(max(i, j), band)
     if abs(i - j) > band:
         return None
     lanes = affine_band(q, t, table, gap_open, gap_extend, band)
@@ -328,6 +391,77 @@ def trace_affine(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int,
     return score, "".join(reversed(ops))
 
 
+#: Cells of a piece whose affine table is filled and walked back; larger pieces are split.
+AFFINE_CELLS = 1 << 16
+
+
+def affine_ahead(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, start: int) -> Iterator[np.ndarray]:
+    """Rows (state, column) of the best scores from the first cell, entered in state `start` (match, D, I)."""
+    step = gap_extend * np.arange(len(t) + 1)
+    row = np.full((3, len(t) + 1), NEG, np.int64)
+    row[start, 0] = 0
+    row[2, 1:] = np.maximum(np.maximum.accumulate(row[0] - step)[:-1] + gap_open, row[2, 0]) + step[1:]
+    yield row
+    for c in q:
+        new = np.full_like(row, NEG)
+        new[0, 1:] = row.max(axis=0)[:-1] + table[c, t]
+        new[1] = np.maximum(row[0] + gap_open, row[1]) + gap_extend
+        new[2, 1:] = np.maximum.accumulate(new[0] - step)[:-1] + gap_open + step[1:]
+        row = np.maximum(new, NEG)
+        yield row
+
+
+def affine_behind(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, ends: tuple[int, ...]) -> np.ndarray:
+    """Scores (state, column) of the best way from each cell of the first row to the last cell, left in one of `ends`."""
+    step = gap_extend * np.arange(len(t) + 1)
+    row = np.full((3, len(t) + 1), NEG, np.int64)
+    row[list(ends), -1] = 0
+    row[2] = row[2, -1] + step[-1] - step
+    row[0, :-1] = np.maximum(row[0, :-1], row[2, 1:] + gap_open + gap_extend)
+    for c in q[::-1]:
+        pair = np.full(len(t) + 1, NEG, np.int64)
+        pair[:-1] = table[c, t] + row[0, 1:]
+        new = np.empty_like(row)
+        new[2] = np.maximum.accumulate((pair + step)[::-1])[::-1] - step
+        new[1] = np.maximum(pair, row[1] + gap_extend)
+        new[0] = np.maximum(pair, row[1] + gap_open + gap_extend)
+        new[0, :-1] = np.maximum(new[0, :-1], new[2, 1:] + gap_open + gap_extend)
+        row = np.maximum(new, NEG)
+    return row
+
+
+def affine_walk(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, start: int, ends: tuple[int, ...]) -> tuple[int, str]:
+    """Score and operations of a piece from its whole table; ties prefer match, then D, then I."""
+    rows = np.stack(list(affine_ahead(q, t, table, gap_open, gap_extend, start)))
+    i, j = len(q), len(t)
+    state = max(ends, key=lambda s: (rows[i, s, j], -s))
+    score, ops = int(rows[i, state, j]), []
+    while i or j:
+        here = rows[i, state, j]
+        i, j, was = i - (state != 2), j - (state != 1), state
+        ops.append("DI"[was - 1] if was else "=" if q[i] == t[j] else "X")
+        gains = (table[q[i], t[j]],) * 3 if was == 0 else tuple(gap_extend + (gap_open if s == 0 else 0) if s in (0, was) else None for s in (0, 1, 2))
+        state = next(s for s in (0, 1, 2) if gains[s] is not None and rows[i, s, j] + gains[s] == here and rows[i, s, j] > NEG // 2)
+    return score, "".join(reversed(ops))
+
+
+def affine_split(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, start: int = 0, ends: tuple[int, ...] = (0, 1, 2)) -> tuple[int, str]:
+    """Score and operations of an optimal affine path in memory linear in both lengths.
+
+    The best scores from both sides meet at the middle row; the column and the state of the gap in which they sum to the
+    optimum are carried into both halves, so a gap across the cut is opened once.
+    """
+    if len(q) < 2 or len(q) * len(t) <= AFFINE_CELLS:
+        return affine_walk(q, t, table, gap_open, gap_extend, start, ends)
+    mid = len(q) // 2
+    for row in affine_ahead(q[:mid], t, table, gap_open, gap_extend, start):
+        pass
+    meet = (row + affine_behind(q[mid:], t, table, gap_open, gap_extend, ends)).T
+    at, state = divmod(int(np.argmax(meet)), 3)
+    left = affine_split(q[:mid], t[:at], table, gap_open, gap_extend, start, (state,))[1]
+    return int(meet[at, state]), left + affine_split(q[mid:], t[at:], table, gap_open, gap_extend, state, ends)[1]
+
+
 def common_run(q: bytes, t: bytes, i: int, j: int) -> int:
     """How many symbols from q[i] and t[j] on are equal."""
     most, done, size = min(len(q) - i, len(t) - j), 0, 16
@@ -393,57 +527,56 @@ def lcs_bits(q: bytes, t: bytes) -> int:
     return len(t) - row.bit_count()
 
 
-def second_score(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int, free: bool = False, local: bool = False) -> int:
-    """Score of a linear-gap alignment by antidiagonals: a recurrence of its own, for verification."""
-    n, m = len(q), len(t)
-    far, near, best = np.full(n + 2, NEG, np.int64), np.full(n + 2, NEG, np.int64), 0 if local else NEG
-    for d in range(n + m + 1):
-        i = np.arange(max(0, d - m), min(n, d) + 1)
-        j = d - i
-        now = np.full(n + 2, NEG, np.int64)
-        inner = (i > 0) & (j > 0)
-        value = np.full(len(i), NEG, np.int64)
-        value[inner] = far[i[inner] - 1] + table[q[i[inner] - 1], t[j[inner] - 1]]
-        value = np.maximum(value, np.where(i > 0, near[i - 1], NEG) + gap)
-        value = np.maximum(value, np.where(j > 0, near[i], NEG) + gap)
-        value[i == 0] = 0 if free or local else gap * j[i == 0]
-        if local:
-            value = np.maximum(value, 0)
-            best = max(best, int(value.max()))
-        elif free and i[-1] == n:
-            best = max(best, int(value[-1]))
-        now[i] = value
-        far, near = near, now
-    return best if free or local else int(near[n])
-
-
-def second_affine(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int) -> int:
-    """Score of a global affine alignment by columns over plain lists, for verification."""
-    n = len(q)
-    match, down, right = [0] + [NEG] * n, [NEG] + [gap_open + gap_extend * i for i in range(1, n + 1)], [NEG] * (n + 1)
-    for c in t:
-        gain = table[q, c].tolist()
-        new_match, new_down, new_right = [NEG], [NEG], [max(match[0] + gap_open, right[0]) + gap_extend]
-        for i in range(1, n + 1):
-            new_match.append(max(match[i - 1], down[i - 1], right[i - 1]) + gain[i - 1])
-            new_right.append(max(match[i] + gap_open, right[i]) + gap_extend)
-            new_down.append(max(new_match[i - 1] + gap_open, new_down[i - 1]) + gap_extend)
-        match, down, right = new_match, new_down, new_right
-    return max(match[n], down[n], right[n])
-
-
-def trace_warp(q: np.ndarray, t: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
-    """Cost and cells of an optimal warping path from (0, 0); ties prefer diagonal, then up, then left."""
-    h = warp_table(q, t)
-    i, j, path = len(q), len(t), []
-    cells = h.tolist()
-    while i or j:
-        path.append((i, j))
-        before = cells[i][j] - abs(int(q[i - 1]) - int(t[j - 1]))
-        if cells[i - 1][j - 1] == before:
-            i, j = i - 1, j - 1
-        elif cells[i - 1][j] == before:
-            i -= 1
-        else:
-            j -= 1
-    return int(h[-1, -1]), [(0, 0), *reversed(path)]
+def second_scores(pairs: list[tuple[bytes, bytes]], table: np.ndarray, gap: int, free: bool = False, local: bool = False) -> np.ndarray:
+    """Scores of linear-gap alignments by antidiagonals, a recurrence of its own for verification, for a batch of pairs."""
+    out = np.zeros(len(pairs), np.int64)
+    for pick in bunches(pairs):
+        (q, n), (t, m) = padded([pairs[i][0] for i in pick]), padded([pairs[i][1] for i in pick])
+        far = near = np.full((len(pick), q.shape[1] + 1), NEG, np.int64)
+        best = np.full(len(pick), 0 if local else NEG, np.int64)
+        for d, lo, hi, gain in antidiagonals(q, t, table):
+            now = np.full_like(far, NEG)
+            now[:, max(lo, 1) : min(hi, d - 1) + 1] = far[:, max(lo, 1) - 1 : max(min(hi, d - 1), 0)] + gain
+            now[:, max(lo, 1) : hi + 1] = np.maximum(now[:, max(lo, 1) : hi + 1], near[:, max(lo, 1) - 1 : hi] + gap)
+            now[:, lo : min(hi, d - 1) + 1] = np.maximum(now[:, lo : min(hi, d - 1) + 1], near[:, lo : min(hi, d - 1) + 1] + gap)
+            if lo == 0:
+                now[:, 0] = 0 if free or local else gap * d
+            if local:
+                i = np.arange(lo, hi + 1)
+                now[:, lo : hi + 1] = np.maximum(now[:, lo : hi + 1], 0)
+                best = np.maximum(best, np.where((i <= n[:, None]) & (d - i <= m[:, None]), now[:, lo : hi + 1], 0).max(axis=1))
+            else:
+                at = np.flatnonzero((d >= n) & (d - n <= m) if free else n + m == d)
+                best[at] = np.maximum(best[at], now[at, n[at]])
+            far, near = near, now
+        out[pick] = best
+    return out
+
+
+def antidiagonals(q: np.ndarray, t: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """For each antidiagonal its number, first and last row, and the scores of the symbols that its inner cells pair."""
+    for d in range(q.shape[1] + t.shape[1] + 1):
+        lo, hi = max(0, d - t.shape[1]), min(q.shape[1], d)
+        a, b = max(lo, 1), min(hi, d - 1)
+        yield d, lo, hi, table[q[:, a - 1 : b], t[:, d - b - 1 : d - a][:, ::-1]] if a <= b else np.zeros((len(q), 0), np.int64)
+
+
+def second_affine_scores(pairs: list[tuple[bytes, bytes]], table: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
+    """Scores of global affine alignments by antidiagonals over three states, for verification."""
+    out = np.zeros(len(pairs), np.int64)
+    for pick in bunches(pairs):
+        (q, n), (t, m) = padded([pairs[i][0] for i in pick]), padded([pairs[i][1] for i in pick])
+        blank = np.full((3, len(pick), q.shape[1] + 1), NEG, np.int64)
+        far = near = blank
+        for d, lo, hi, gain in antidiagonals(q, t, table):
+            now = blank.copy()
+            up, left = slice(max(lo, 1), hi + 1), slice(lo, min(hi, d - 1) + 1)
+            now[0, :, max(lo, 1) : min(hi, d - 1) + 1] = far[:, :, max(lo, 1) - 1 : max(min(hi, d - 1), 0)].max(axis=0) + gain
+            now[1, :, up] = np.maximum(near[0, :, max(lo, 1) - 1 : hi] + gap_open, near[1, :, max(lo, 1) - 1 : hi]) + gap_extend
+            now[2, :, left] = np.maximum(near[0, :, left] + gap_open, near[2, :, left]) + gap_extend
+            if d == 0:
+                now[0, :, 0] = 0
+            at = np.flatnonzero(n + m == d)
+            out[pick[at]] = now[:, at, n[at]].max(axis=0)
+            far, near = near, now
+    return out

@@ -38,10 +38,7 @@ def on_pairs(kernel: Callable[[list, list], pa.Array], kind: str) -> Callable[..
         both = np.flatnonzero(np.asarray(query.is_valid()) & np.asarray(target.is_valid()))
         pick = pa.array(both)
         pairs = list(zip(query.take(pick).cast(pa.binary()).to_pylist(), target.take(pick).cast(pa.binary()).to_pylist(), strict=True))
-        found = kernel(pairs, *[r.take(pick).to_pylist() for r in rest])
-        place = np.full(len(query), -1)
-        place[both] = np.arange(len(both))
-        return found.take(pa.array(place, mask=place < 0))
+        return placed(kernel(pairs, *[r.take(pick).to_pylist() for r in rest]), both, len(query))
 
     return run
 
@@ -132,13 +129,9 @@ def second_score_column(mode: str, scoring: Scoring, query: Column, target: Colu
         return -F.levenshtein(query, target).cast("long")
 
     def run(pairs: list) -> pa.Array:
-        table, out = scoring.table(), []
-        for q, t in ((np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8)) for q, t in pairs):
-            if mode == "global-affine":
-                out.append(K.second_affine(q, t, table, scoring.gap_open, scoring.gap_extend))
-            else:
-                out.append(K.second_score(q, t, table, scoring.gap, mode == "semiglobal-linear", mode == "local-linear"))
-        return pa.array(out, pa.int64())
+        if mode == "global-affine":
+            return pa.array(K.second_affine_scores(pairs, scoring.table(), scoring.gap_open, scoring.gap_extend))
+        return pa.array(K.second_scores(pairs, scoring.table(), scoring.gap, mode == "semiglobal-linear", mode == "local-linear"))
 
     return on_pairs(run, "bigint")(query, target)
 
@@ -203,7 +196,7 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
 
     A pair that cannot be aligned keeps its row, with `error` set and status `failed`; with fail_fast the query fails
     instead. `score` is the objective of the scoring modes, `distance` of edit-distance. `path_score` is computed from the
-    aligned symbols alone; `band` is the band that a banded engine needed; status is `full` if it equals the objective of an independent score kernel too, `path_only` if
+    operations and the symbols they pair; `band` is the band that a banded engine needed; status is `full` if it equals the objective of an independent score kernel too, `path_only` if
     only the path was checked, `score_only` without a path, `failed` if anything disagrees. Columns named in keep pass
     through. The transform has no state, so pairs may also be a stream.
     """
@@ -233,7 +226,7 @@ def align(pairs: DataFrame, mode: str = "edit-distance", scoring: Scoring | None
         df = df.withColumn("__trace", trace_column(mode, scoring, query, target, F.coalesce(F.when(F.col("backend") == "linear-space", 1), F.col("block_size").cast("int"), F.lit(0)), limit))
         df = df.withColumns({"__objective": F.when(F.col("__trace.cigar").isNotNull(), F.col("__trace.score") * sign)} | {c: F.col(f"__trace.{c}") for c in ("query_start", "query_end", "target_start", "target_end", "cigar")})
         df = df.withColumn("aligned_query", C.aligned(F.col("cigar"), query, F.col("query_start").cast("int"), "I")).withColumn("aligned_target", C.aligned(F.col("cigar"), target, F.col("target_start").cast("int"), "D"))
-        df = df.withColumn("path_score", C.rescore(F.col("cigar"), F.col("aligned_query"), F.col("aligned_target"), scoring, mode == "global-affine") * sign)
+        df = df.withColumn("path_score", C.rescore(F.col("cigar"), query, target, [F.col(c).cast("int") for c in ("query_start", "query_end", "target_start", "target_end")], scoring, mode == "global-affine") * sign)
     used = {"adaptive-banded": final_band(query, target, F.col("__objective")), "fixed-banded": F.lit(band), "wavefront": F.lit(band if band is not None else AFFINE_BAND)}
     named = F.lit(None).cast("long")
     for name, value in used.items():
@@ -303,14 +296,13 @@ def warp(pairs: DataFrame, query: str = "query", target: str = "target") -> Data
 
     @F.arrow_udf("struct<cost bigint, path array<struct<row int, col int>>>")
     def run(q: pa.Array, t: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(q.to_pylist(), t.to_pylist(), strict=True):
-            if not a or not b:
-                out.append(None)
-                continue
-            cost, path = K.trace_warp(np.asarray(a, np.int64), np.asarray(b, np.int64))
-            out.append({"cost": cost, "path": [{"row": i, "col": j} for i, j in path]})
-        return pa.array(out, pa.struct([("cost", pa.int64()), ("path", pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32())])))]))
+        some, both = sound_series(q, t)
+        paths, costs = K.warp_paths(both), K.warp_costs(both)
+        cells = np.concatenate([np.zeros((0, 2), np.int64), *paths])
+        made = pa.StructArray.from_arrays([pa.array(cells[:, c], pa.int32()) for c in (0, 1)], ["row", "col"])
+        off = np.concatenate(([0], np.cumsum([len(p) for p in paths], dtype=np.int64))).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(costs), pa.ListArray.from_arrays(pa.array(off), made)], ["cost", "path"])
+        return placed(found, some, len(q))
 
     df = pairs.withColumn("__warp", run(F.col(query), F.col(target)))
     steps = F.slice("__warp.path", 2, F.greatest(F.size("__warp.path") - 1, F.lit(0)))
@@ -323,7 +315,20 @@ def warp_cost(query: Column, target: Column) -> Column:
 
     @F.arrow_udf("bigint")
     def run(q: pa.Array, t: pa.Array) -> pa.Array:
-        pairs = list(zip(q.to_pylist(), t.to_pylist(), strict=True))
-        return pa.array([int(K.warp_costs([(np.asarray(a), np.asarray(b))])[0]) if a and b else None for a, b in pairs], pa.int64())
+        some, both = sound_series(q, t)
+        return placed(pa.array(K.warp_costs(both)), some, len(q))
 
     return run(query, target)
+
+
+def sound_series(query: pa.Array, target: pa.Array) -> tuple[np.ndarray, list]:
+    """Rows in which neither series is null or empty, and their series."""
+    some = np.flatnonzero([bool(q.is_valid and t.is_valid and len(q) and len(t)) for q, t in zip(query, target, strict=True)])
+    return some, [(np.asarray(query[i].values, np.int64), np.asarray(target[i].values, np.int64)) for i in some.tolist()]
+
+
+def placed(found: pa.Array, some: np.ndarray, rows: int) -> pa.Array:
+    """found at the rows `some`, null elsewhere."""
+    place = np.full(rows, -1)
+    place[some] = np.arange(len(some))
+    return found.take(pa.array(place, mask=place < 0))
