@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,9 +46,42 @@ def test_minimizers_match_plain_version(spark):
         S.minimizers(df, "id", "text", 0, 1)
 
 
+def test_minimizers_count_symbols_not_bytes(spark):
+    df = spark.createDataFrame([("a", "ACÉGTÉÉACGT日CA"), ("b", "ÉÉÉÉÉÉÉÉÉÉ"), ("c", None)], "id string, text string")
+    for group in (1, 3, 100):
+        got = sorted((r["id"], r["pos"], r["kmer"]) for r in S.minimizers(df, "id", "text", 3, 4, starts=group).collect())
+        assert got == sorted((i, p, t[p : p + 3]) for i, t in (("a", "ACÉGTÉÉACGT日CA"), ("b", "ÉÉÉÉÉÉÉÉÉÉ")) for p in plain_minimizers(t, 3, 4))
+
+
+def plain_chain(hits):
+    length, before = [1] * len(hits), [-1] * len(hits)
+    for i, (q, t) in enumerate(hits):
+        for j in range(i):
+            if hits[j][0] < q and hits[j][1] < t and length[j] + 1 > length[i]:
+                length[i], before[i] = length[j] + 1, j
+    at, out = length.index(max(length)), []
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
 def test_chain():
     assert S.best_chain([(0, 5), (2, 1), (4, 3)]) == [1, 2]
     assert S.best_chain([(0, 0)]) == [0]
+    rng = random.Random(6)
+    for size in (3, 10, 60):
+        for _ in range(100):
+            hits = sorted({(rng.randrange(size), rng.randrange(size // 2 + 1)) for _ in range(size)})
+            assert S.best_chain(hits) == plain_chain(hits)
+
+
+def test_a_chain_of_many_hits_takes_seconds():
+    rng = random.Random(1)
+    hits = sorted({(rng.randrange(200_000), rng.randrange(200_000)) for _ in range(100_000)})
+    began = time.perf_counter()
+    chain = S.best_chain(hits)
+    assert all(hits[a][0] < hits[b][0] and hits[a][1] < hits[b][1] for a, b in zip(chain, chain[1:])) and time.perf_counter() - began < 10
 
 
 def test_seeded_alignment(spark):

@@ -86,10 +86,12 @@ def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, blo
         ops: list[str | None] = []
         for k, ((q, t), block_, band_) in enumerate(zip(pairs, blocks, bands, strict=True)):
             if mode == "edit-distance" and not block_:
-                found = K.trace_edits(q, t, max(len(q), len(t)) if band_ is None else band_)
-                ends[k, 0], path = (-found[0], found[1]) if found else (K.NEG, None)
-                ops.append(None if path is None else K.runs(path))
-                continue
+                found = K.trace_edits(q, t, automatic_band(len(q), len(t)) if band_ is None else band_)
+                if found or band_ is not None:
+                    ends[k, 0], path = (-found[0], found[1]) if found else (K.NEG, None)
+                    ops.append(None if path is None else K.runs(path))
+                    continue
+                ends[k, 0] = K.global_scores([(q, t)], table, s.gap)[0, 0]  # many edits: their rows would outgrow a block of one
             q, t = np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8)
             if mode == "global-affine":
                 found = K.trace_affine(q, t, table, s.gap_open, s.gap_extend, band_)
@@ -97,7 +99,7 @@ def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, blo
                 ops.append(None if path is None else K.runs(path))
             else:
                 _, a, b, p, c = ends[k]
-                ops.append(K.runs(K.trace_linear(q, t, table, s.gap, block_, (int(a), int(p), int(b), int(c)))))
+                ops.append(K.runs(K.trace_linear(q, t, table, s.gap, block_ or int(mode == "edit-distance"), (int(a), int(p), int(b), int(c)))))
         return structs(score=ends[:, 0], query_start=ends[:, 1], query_end=ends[:, 2], target_start=ends[:, 3], target_end=ends[:, 4], cigar=np.array(ops, object))
 
     return on_pairs(run, kind)(query, target, block, F.lit(None).cast("int") if band is None else band)
@@ -110,6 +112,19 @@ def auto_band(query: Column, target: Column) -> Column:
     return F.least(F.greatest(F.abs(F.length(query) - F.length(target)), share), longest)
 
 
+def automatic_band(n: int, m: int) -> int:
+    """auto_band() of two lengths."""
+    return min(max(abs(n - m), min(max(n, m) // AUTO_BAND_DIVISOR, AUTO_BAND_MOST), AUTO_BAND_LEAST), max(n, m))
+
+
+def within_auto_band(query: Column, target: Column) -> Column:
+    """Whether the edit distance is within auto_band(); unlike pairs of similar length are given up early."""
+    close = F.levenshtein(query, target, AUTO_BAND_MOST)
+    near = F.abs(F.length(query) - F.length(target)) <= AUTO_BAND_MOST
+    band = auto_band(query, target)
+    return F.when(near, (close >= 0) & (close <= band)).otherwise(F.levenshtein(query, target) <= band)
+
+
 def final_band(query: Column, target: Column, distance: Column) -> Column:
     """Band at which doubling from the length difference (b to 2 b + 1) first reaches the distance, within the longer length."""
     longest, least = F.greatest(F.length(query), F.length(target)), F.abs(F.length(query) - F.length(target))
@@ -241,7 +256,7 @@ def routed(df: DataFrame, mode: str, engine: str, block_size: int | None, band:
     query, target = F.col("query"), F.col("target")
     none = F.lit(None).cast("string")
     if mode == "edit-distance" and engine == "auto":
-        inside = F.levenshtein(query, target) <= auto_band(query, target)
+        inside = within_auto_band(query, target)
         return df, F.when(inside, 0).otherwise(1), F.when(inside, "adaptive-banded").otherwise("linear-space")
     if engine in ("adaptive-banded", "fixed-banded", "myers", "myers-u64", "wavefront"):
         return df, F.lit(0), F.lit(engine)

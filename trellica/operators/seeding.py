@@ -1,13 +1,15 @@
-"""Seeded alignment: minimizers, hits, chain and window as joins and windows, then an exact alignment of the window.
+"""Seeded alignment: minimizers by one pass over pieces of the sequences, hits, chain and window as joins, then an exact alignment of the window.
 
 Hashes are FNV-1a over the k-mer's bytes, kept as a long with the sign bit flipped, so that signed order is unsigned order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellica.functions.scoring import Scoring
@@ -50,30 +52,74 @@ def kmers(rows: DataFrame, id_: str, text: str, k: int) -> DataFrame:
     return at.select(id_, "n_kmers", F.posexplode("kmers").alias("pos", "kmer")).select(id_, "pos", "kmer", "n_kmers")
 
 
-#: Window starts that one group of a window function holds, however long the sequence is.
-STARTS_PER_GROUP = 4096
+#: Window starts that one piece of a sequence holds, however long the sequence is.
+STARTS_PER_PIECE = 4096
+
+
+def hashes_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """FNV-1a of the byte spans [start, end), sign-flipped."""
+    out, size = np.full(len(start), FNV_OFFSET, np.uint64), end - start
+    for j in range(int(size.max(initial=0))):
+        out = np.where(size > j, (out ^ data[np.minimum(start + j, len(data) - 1)]) * FNV_PRIME, out)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def minimizers(rows: DataFrame, id_: str, text: str, k: int = DEFAULT_K, window: int = DEFAULT_WINDOW, starts: int = STARTS_PER_GROUP) -> DataFrame:
+def least_places(values: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Place of the leftmost least value among the `window` values from each place on that are in its group.
+
+    Spans double while they fit into the window, then two of them that overlap cover it.
+    """
+    n, place, span = len(values), np.arange(len(values)), 1
+    last = np.searchsorted(group, group, "right") - 1
+    lower = lambda a, b: np.where(values[b] < values[a], b, a)
+    while 2 * span <= window:
+        place = lower(place, place[np.minimum(np.arange(n) + span, last)])
+        span *= 2
+    return lower(place, place[np.minimum(np.arange(n) + window - span, last)]) if n else place
+
+
+def minimizers(rows: DataFrame, id_: str, text: str, k: int = DEFAULT_K, window: int = DEFAULT_WINDOW, starts: int = STARTS_PER_PIECE) -> DataFrame:
     """(id, pos, hash, kmer): the least k-mer hash of each window, leftmost on ties; a window that picks the same position
     as the one before adds nothing. A text shorter than the window has one window.
 
-    Windows are taken in groups of `starts` consecutive starts. A group also holds the k-mers that its last window reaches
-    and the start before its first, so groups are independent and a long sequence spreads over many tasks.
+    A text is cut into overlapping pieces of `starts` windows: a piece also holds the symbols that its last window reaches
+    and the start before its first, so pieces are independent and a long sequence spreads over many tasks. One pass over a
+    batch of pieces hashes and slides; k-mers become rows and strings only where a window picks them.
     """
     check_parameters(k, window)
     if starts < 1:
         raise ValueError("starts must be 1 or more")
-    last = F.greatest(F.col("n_kmers") - window, F.lit(0))
-    groups = F.sequence(F.greatest(F.floor((F.col("pos") - window + 1) / starts), F.lit(0)), F.floor(F.least(F.col("pos") + 1, last) / starts))
-    each = kmers(rows, id_, text, k).withColumn("hash", fnv1a(F.col("kmer")))
-    each = each.select("*", F.explode(F.when(F.floor((F.col("pos") - window + 1) / starts) <= F.floor(last / starts), groups)).alias("__group"))
-    order = Window.partitionBy(id_, "__group").orderBy("pos")
-    least = F.min(F.struct("hash", "pos", "kmer")).over(order.rowsBetween(0, window - 1))
-    full = each.withColumn("m", least).where(F.col("pos") <= last).withColumn("before", F.lag("m.pos").over(order))
-    own = F.floor(F.col("pos") / starts) == F.col("__group")
-    changed = full.where(own & (F.col("before").isNull() | (F.col("before") != F.col("m.pos"))))
-    return changed.select(id_, F.col("m.pos").alias("pos"), F.col("m.hash").alias("hash"), F.col("m.kmer").alias("kmer"))
+    kind = rows.schema[id_].dataType
+    windows = F.greatest(F.length(text) - k + 1 - window, F.lit(0)) + 1
+    first = F.greatest(F.col("piece") * starts - 1, F.lit(0))
+    pieces = rows.where(F.length(text) >= k).select(F.col(id_).alias("id"), F.col(text).alias("text"), F.explode(F.sequence(F.lit(0), F.floor((windows - 1) / starts))).alias("piece"))
+    pieces = pieces.select("id", first.cast("long").alias("first"), (F.col("piece") > 0).alias("inner"), F.substring("text", (first + 1).cast("int"), F.lit(starts + window + k - 1)).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+            off = off - off[0]
+            symbol = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes at which symbols begin
+            lead = np.searchsorted(symbol, off)
+            count = np.diff(lead) - k + 1  # k-mers of each piece
+            piece = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)  # place in its piece
+            start = np.repeat(lead[:-1], count) + at
+            hashes = hashes_at(data, symbol[start], symbol[start + k])
+            least = least_places(hashes, piece, window)
+            inner = np.asarray(batch.column("inner")).astype(np.int64)[piece]
+            full = np.maximum(count - window, 0)[piece]
+            own = (at >= inner) & (at <= np.minimum(full, starts - 1 + inner))
+            changed = own & ((at == 0) | (least != np.concatenate(([-1], least[:-1]))))
+            to = least[changed]
+            kmers_ = pa.array([data[a:b].tobytes() for a, b in zip(symbol[start[to]], symbol[start[to] + k], strict=True)], pa.binary()).cast(pa.string())
+            ids = batch.column("id").take(pa.array(piece[to]))
+            pos = np.asarray(batch.column("first"))[piece[to]] + at[to]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int32()), pa.array(hashes[to]), kmers_], [id_, "pos", "hash", "kmer"])
+
+    return pieces.mapInArrow(run, f"`{id_}` {kind.simpleString()}, pos int, hash bigint, kmer string")
 
 
 def minimizer_hits(pairs: DataFrame, k: int = DEFAULT_K, window: int = DEFAULT_WINDOW) -> DataFrame:
@@ -85,15 +131,34 @@ def minimizer_hits(pairs: DataFrame, k: int = DEFAULT_K, window: int = DEFAULT_W
 
 
 def best_chain(hits: list[tuple[int, int]]) -> list[int]:
-    """Numbers of the hits of the longest chain that grows in both positions; earliest predecessor and end on ties."""
-    q, t = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
-    length, before = np.ones(len(hits), np.int64), np.full(len(hits), -1)
-    for i in range(1, len(hits)):
-        fit = np.where((q[:i] < q[i]) & (t[:i] < t[i]), length[:i], 0)
-        if fit.max() > 0:
-            before[i] = int(np.argmax(fit))
-            length[i] = fit[before[i]] + 1
-    at, chain = int(np.argmax(length)), []
+    """Numbers of the hits of the longest chain that grows in both positions; earliest predecessor and end on ties.
+
+    hits are sorted. A Fenwick tree over the ranks of target positions keeps the longest chain that ends before each, the
+    earliest on ties; hits of one query position enter it together, after all of them have asked.
+    """
+    size = len(hits)
+    ranks = (np.unique([t for _, t in hits], return_inverse=True)[1] + 1).tolist()
+    tree = [0] * (max(ranks, default=0) + 1)  # (length, earlier hits larger) in one number
+    length, before = [1] * size, [-1] * size
+    at = 0
+    while at < size:
+        to = at
+        while to < size and hits[to][0] == hits[at][0]:
+            best, rank = 0, ranks[to] - 1
+            while rank:
+                best = max(best, tree[rank])
+                rank &= rank - 1
+            if best:
+                more, late = divmod(best, size + 1)
+                length[to], before[to] = more + 1, size - late
+            to += 1
+        for i in range(at, to):
+            value, rank = length[i] * (size + 1) + size - i, ranks[i]
+            while rank < len(tree):
+                tree[rank] = max(tree[rank], value)
+                rank += rank & -rank
+        at = to
+    at, chain = length.index(max(length)), []
     while at >= 0:
         chain.append(at)
         at = before[at]
