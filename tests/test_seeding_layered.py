@@ -96,19 +96,28 @@ def test_dag(spark):
     rows = [(d, *e) for d in ("a", "b") for e in edges if not (d == "b" and e[0] == 2)]
     edges = spark.createDataFrame(rows, "dag_id string, layer int, edge_ord int, from int, to int, score int")
     ends = spark.createDataFrame([("a", 0, 0), ("b", 0, 0)], "dag_id string, start int, end int")
-    found = L.longest_paths(edges, ends, 3, cut_every=2)
+    found = L.longest_paths(edges, ends, 3)
     assert {r["dag_id"]: (r["score"], r["path"]) for r in found.collect()} == {"a": (11, [0, 0, 0, 0]), "b": (None, None)}
-    assert {r["dag_id"]: r["path_score"] for r in L.path_score(found, edges).collect()} == {"a": 11}
+    steps = L.longest_path_steps(edges, ends, 3)[1]
+    assert {r["dag_id"]: r["path_score"] for r in L.path_score(steps, edges).collect()} == {"a": 11}
     widths = ends.withColumn("widths", F.array(F.lit(1), F.lit(1), F.lit(1), F.lit(0)))
     problems = {r["problem"] for r in L.dag_problems(edges, widths).collect()}
     assert problems == {"a layer is empty", "end outside the last layer", "edge outside its layers"}
 
 
-def test_viterbi(spark):
-    array = lambda x: F.array(*[F.lit(v) for v in x])
-    grid = lambda x: F.array(*[array(r) for r in x])
-    out = spark.range(1).select(L.viterbi(array([0, -4]), grid([[3, -2], [-1, 2]]), grid([[2, -3], [-4, 3], [2, -2]])).alias("v")).first()["v"]
-    assert (out["score"], out["start"], out["end"], len(out["path"])) == (9, 0, 0, 4)
+def decode(initial, grid, emissions):
+    """Score, start, end and path by the plain recurrence: last best initial and final state, first best predecessor."""
+    n = range(len(initial))
+    start = max(n, key=lambda s: (initial[s], s))
+    scores, back = [initial[s] if s == start else None for s in n], []
+    for e in emissions:
+        best = [max((s for s in n if scores[s] is not None), key=lambda s: (scores[s] + grid[s][to], -s)) for to in n]
+        scores, back = [scores[best[to]] + grid[best[to]][to] + e[to] for to in n], [*back, best]
+    end = max(n, key=lambda s: (scores[s], s))
+    path = [end]
+    for best in reversed(back):
+        path.append(best[path[-1]])
+    return scores[end], start, end, path[::-1]
 
 
 def test_viterbi_in_blocks_gives_the_same_path(spark):
@@ -116,18 +125,17 @@ def test_viterbi_in_blocks_gives_the_same_path(spark):
     initial, grid = [0, 3, 3], [[rng.randint(-2, 2) for _ in range(3)] for _ in range(3)]
     rows = [(p, i, [rng.randint(-2, 2) for _ in range(3)]) for p, n in enumerate((1, 2, 7, 40)) for i in range(n)]
     steps = spark.createDataFrame(rows, "p int, i int, e array<long>")
-    array = lambda x: F.array(*[F.lit(v) for v in x])
-    whole = steps.groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("es"))
-    want = {r["p"]: r["v"] for r in whole.select("p", L.viterbi(array(initial), F.array(*[array(r) for r in grid]), F.col("es")).alias("v")).collect()}
-    for block in (1, 3, 100):
+    want = {p: decode(initial, grid, [e for q, _, e in rows if q == p]) for p in range(4)}
+    assert decode([0, -4], [[3, -2], [-1, 2]], [[2, -3], [-4, 3], [2, -2]])[:3] == (9, 0, 0)
+    for block, fanout in ((1, 2), (3, 3), (100, 256)):
         found, path = {}, {}
-        for r in L.viterbi_blocks(steps, "p", "i", "e", initial, grid, block).orderBy("p", "block").collect():
+        for r in L.viterbi_blocks(steps, "p", "i", "e", initial, grid, block, fanout).orderBy("p", "block").collect():
             found[r["p"]] = (r["score"], r["start"], r["end"])
             whole_path = path.setdefault(r["p"], r["states"][:1])
             assert whole_path[-1] == r["states"][0]
             whole_path.extend(r["states"][1:])
-        assert found == {p: (v["score"], v["start"], v["end"]) for p, v in want.items()}
-        assert path == {p: v["path"] for p, v in want.items()}
+        assert found == {p: v[:3] for p, v in want.items()}
+        assert path == {p: v[3] for p, v in want.items()}
     with pytest.raises(ValueError):
         L.viterbi_blocks(steps, "p", "i", "e", [0], [[0, 1]])
 
@@ -142,3 +150,21 @@ def test_ordered_fold_equals_plain_fold(spark):
         want[p] = [x for r in m for x in r] if t is None else [min(t[a * 2 + k] + m[k][b] for k in (0, 1)) for a in (0, 1) for b in (0, 1)]
     for block in (2, 5, 100):
         assert {r["p"]: r["total"] for r in L.fold_matrices(df, "p", "i", "m", 2, block).collect()} == want
+
+
+def test_steps_are_numbered_across_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "hot", "hot", "hot", "z"]), rng.randrange(1000), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for adaptive, parts in (("false", "7"), ("true", "5"), ("false", "1")):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = sorted(((r["k"], r["step"], r["t"], r["i"]) for r in L.number_steps(df, "k", ["t", "i"]).collect()), key=str)
+            want = [(k, n, t, i) for k in (None, "a", "hot", "z") for n, (t, i) in enumerate(sorted((t, i) for q, t, i in rows if q == k))]
+            assert got == sorted(want, key=str)
+            assert L.number_steps(df.limit(0), "k", ["t"]).count() == 0
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def session(app: str = "trellica", **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; anything already set on the cluster wins."""
     builder = SparkSession.builder.appName(app)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellica.functions.certificate import framed_sha256
 from trellica.operators import layered as L
 from trellica.plans.align_queries import PARTS
-from trellica.plans.pairs import part_pairs, table, user_series
+from trellica.plans.pairs import part_pairs, table
 from trellica.sources import sequences
 
 NODES, LAYERS = 5, 7
@@ -27,8 +27,8 @@ def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def dag_longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, ends = part_graph(spark, sf_dir)
-    found = L.longest_paths(edges, ends, LAYERS)
-    return found.join(L.path_score(found, edges), "dag_id", "left").select("dag_id", "score", "path_score")
+    scores, steps = L.longest_path_steps(edges, ends, LAYERS)
+    return scores.join(L.path_score(steps, edges), "dag_id", "left").select("dag_id", "score", "path_score")
 
 
 def dag_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,35 +38,33 @@ def dag_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.dag_problems(edges, widths)
 
 
-def viterbi_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    array = lambda x: F.array(*[F.lit(v) for v in x])
-    by_type = F.create_map(*[x for t in TYPES for x in (F.lit(t), array(EMISSIONS[t]))])
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(ordered, lambda e: F.element_at(by_type, e["event_type"])).alias("emissions"))
-    best = rows.select("user_id", "emissions", L.viterbi(array(INITIAL), F.array(*[array(r) for r in TRANSITIONS]), F.col("emissions")).alias("v"))
-    steps = F.sequence(F.lit(0), F.size("emissions") - 1)
-    gain = lambda acc, i: acc + F.get(F.get(F.array(*[array(r) for r in TRANSITIONS]), F.get("v.path", i)), F.get("v.path", i + 1)) + F.get(F.get("emissions", i), F.get("v.path", i + 1))
-    path = F.aggregate(steps, F.get(array(INITIAL), F.get("v.path", F.lit(0))).cast("long"), gain)
-    return best.select("user_id", "v.score", "v.start", "v.end", path.alias("path_score"))
-
-
-def viterbi_block_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same decoding in blocks of steps, with the score recomputed from the states of all blocks."""
+def decoded(spark: SparkSession, sf_dir: str, block: int, fanout: int) -> DataFrame:
+    """Decoding of every user's events in blocks, with the score recomputed from the states of all blocks."""
     array = lambda x: F.array(*[F.lit(v) for v in x])
     by_type = F.create_map(*[x for t in TYPES for x in (F.lit(t), array(EMISSIONS[t]))])
-    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    steps = table(spark, sf_dir, "events").select("user_id", step.alias("step"), F.element_at(by_type, F.col("event_type")).alias("emission"))
-    found = L.viterbi_blocks(steps, "user_id", "step", "emission", INITIAL, TRANSITIONS, block=4)
+    steps = L.number_steps(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"])
+    steps = steps.select("user_id", "step", F.element_at(by_type, F.col("event_type")).alias("emission"))
+    found = L.viterbi_blocks(steps, "user_id", "step", "emission", INITIAL, TRANSITIONS, block, fanout)
     moves = found.select("*", F.posexplode(F.slice("states", 2, F.size("states") - 1)).alias("no", "state"))
-    moves = moves.select("user_id", "score", "start", "end", "state", (F.col("block") * 4 + F.col("no")).alias("step"), F.get("states", F.col("no")).alias("before"))
+    moves = moves.select("user_id", "score", "start", "end", "state", (F.col("block") * block + F.col("no")).alias("step"), F.get("states", F.col("no")).alias("before"))
     gain = F.get(F.get(F.array(*[array(r) for r in TRANSITIONS]), F.col("before")), F.col("state")) + F.get("emission", F.col("state"))
     first = F.when(F.col("step") == 0, F.get(array(INITIAL), F.col("before"))).otherwise(0)
     return moves.join(steps, ["user_id", "step"]).groupBy("user_id", "score", "start", "end").agg(F.sum(gain + first).alias("path_score"))
 
 
+def viterbi_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decoded(spark, sf_dir, 256, 256)
+
+
+def viterbi_block_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decoding in blocks of few steps, whose matrices are joined three at a time."""
+    return decoded(spark, sf_dir, 4, 3)
+
+
 def two_state_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("v").cast("long")
-    steps = user_series(spark, sf_dir).select("id", F.posexplode("series").alias("step", "v"))
+    v = F.col("v")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts", "event_id", F.floor("value").alias("v"))
+    steps = L.number_steps(events, "id", ["ts", "event_id"])
     cost = F.array(F.array(v % 7, v % 5 + 1), F.array(v % 3 + 2, v % 11))
     total = L.fold_matrices(steps.withColumn("cost", cost), "id", "step", "cost", 2, block=16)
     return total.select(F.col("id").alias("user_id"), F.get("total", F.lit(0)).alias("to_first"), F.get("total", F.lit(1)).alias("to_second"))
