@@ -9,6 +9,8 @@ import pytest
 
 from trellica.functions import kernels as K
 from trellica.functions.scoring import Scoring, read_matrix
+from trellica.operators.align import mode_scoring
+from trellica.operators.tiles import tiled_scores
 from trellica.sources.sequences import read_sequences, zip_pairs
 
 
@@ -147,3 +149,18 @@ def test_matrix_files(spark, tmp_path):
     assert read_matrix(spark, matrix) == (matrix, None)
     with pytest.raises(ValueError):
         read_matrix(spark)
+
+
+@pytest.mark.parametrize("mode", ["global-linear", "local-linear", "semiglobal-linear", "edit-distance", "lcs"])
+def test_tiles_give_the_score_of_the_whole_pair(spark, mode):
+    rng = random.Random(mode)
+    texts = [("".join(rng.choices("ACGT", k=rng.choice([0, 1, 7, 20]))), "".join(rng.choices("ACGT", k=rng.choice([0, 3, 6, 15])))) for _ in range(25)]
+    rows = [(i, "q", q, "t", t) for i, (q, t) in enumerate(texts)] + [(99, "q", None, "t", "A")]
+    df = spark.createDataFrame(rows, "pair_index long, query_id string, query string, target_id string, target string")
+    scoring = mode_scoring(mode, Scoring())
+    both = [(q.encode(), t.encode()) for q, t in texts]
+    want = K.local_scores(both, scoring.table(), scoring.gap)[:, 0] if mode == "local-linear" else K.global_scores(both, scoring.table(), scoring.gap, mode == "semiglobal-linear")[:, 0]
+    got = {r["pair_index"]: r["score"] for r in tiled_scores(df, mode, tile=6).collect()}
+    assert got == {**dict(enumerate(want.tolist())), 99: None}
+    with pytest.raises(ValueError):
+        tiled_scores(df, "global-affine")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trellica.functions import cigar as C
 from trellica.functions.scoring import Matrix, Scoring
 from trellica.operators import align as A
+from trellica.operators.tiles import tiled_scores
 from trellica.plans.pairs import item_pairs, letter_pairs, part_pairs, series_pairs, table
 
 BAND = 12
@@ -37,6 +38,29 @@ def path_scores(mode: str, scoring: Scoring, source=part_pairs, **options):
     return run
 
 
+def tiled(mode: str, scoring: Scoring, tile: int):
+    """Query that gives scores computed in small tiles of the table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tiled_scores(part_pairs(spark, sf_dir), mode, scoring, tile)
+
+    return run
+
+
+def hyphen_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions joined by hyphens, which are symbols like any other: paths and their independent checks."""
+    dashed = {c: F.translate(c, " ", "-") for c in ("query", "target")}
+    out = A.align(part_pairs(spark, sf_dir).withColumns(dashed), "global-linear", LINEAR, verify=True)
+    return out.select("pair_index", "score", "path_score", "verification_status")
+
+
+def affine_fallback_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other target is longer by more than the band, so its pair falls back to linear space."""
+    longer = F.when(F.col("pair_index") % 2 == 0, F.concat("target", F.repeat(F.lit("~"), 2 * A.AFFINE_BAND))).otherwise(F.col("target"))
+    out = A.align(part_pairs(spark, sf_dir).withColumn("target", longer), "global-affine", AFFINE, engine="auto", verify=True)
+    return out.select("pair_index", "path_score", "backend", "block_size", "verification_status")
+
+
 def edit_distance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.align(part_pairs(spark, sf_dir), "edit-distance", score_only=True, engine="myers").select("pair_index", F.col("distance").cast("long").alias("distance"))
 
@@ -103,6 +127,11 @@ QUERIES = {
     "dtw_cost": dtw_cost,
     "verification_status": verification,
     "cigar_stats": cigar_stats,
+    "tiled_nw_score": tiled("global-linear", LINEAR, 24),
+    "tiled_sw_score": tiled("local-linear", Scoring(), 32),
+    "tiled_semiglobal_score": tiled("semiglobal-linear", Scoring(), 20),
+    "hyphen_path_score": hyphen_path_score,
+    "affine_fallback_path": affine_fallback_path,
 }
 
 PARTS = "p AS (SELECT a.p_partkey AS pair_index, upper(concat_ws(' ', a.p_name, a.p_brand, a.p_type)) AS q, upper(concat_ws(' ', b.p_name, b.p_brand, b.p_type)) AS t FROM part AS a JOIN part AS b ON b.p_partkey = a.p_partkey + 1)"
@@ -201,4 +230,9 @@ SELECT pair_index, band, d AS distance, CASE WHEN d <= band THEN 'adaptive-bande
     "cigar_stats": """WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, CAST(trunc(l_quantity) AS BIGINT) + 1 AS a, l_linenumber + 1 AS b, l_suppkey + 1 AS c FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, 2 * a AS matches, 2 * a + 2 * b + c AS block_len, 2 * b + c AS edit_ops, concat(a, '=', b, 'X', c, 'I', b, 'D', a, '=') AS paf_cigar,
        concat('match:', 2 * a, ',mismatch:', b, ',delete:', c, ',insert:', b) AS counts FROM l""",
+    "tiled_nw_score": linear_sql(simple(1, 1), -1, LAST + "score"),
+    "tiled_sw_score": carried_sql(False, -2, "SELECT pair_index, max(x[1]) AS score FROM c GROUP BY pair_index"),
+    "tiled_semiglobal_score": carried_sql(True, -2, "SELECT pair_index, max(x[1]) AS score FROM c WHERE i = length(q) GROUP BY pair_index"),
+    "hyphen_path_score": linear_sql(simple(1, 1), -1, LAST + "score, " + LAST + "path_score, 'full' AS verification_status", PARTS.replace("upper(", "translate(upper(").replace(")) AS", ")), ' ', '-') AS")),
+    "affine_fallback_path": "SELECT pair_index, path_score, CASE WHEN pair_index % 2 = 0 THEN 'linear-space' ELSE 'wavefront' END AS backend, CASE WHEN pair_index % 2 = 0 THEN 1 ELSE 0 END AS block_size, 'full' AS verification_status FROM (" + (AFFINE_SQL % "path_score").replace(PARTS, PARTS.replace("p AS", "p0 AS") + f", p AS (SELECT pair_index, q, CASE WHEN pair_index % 2 = 0 THEN t || repeat('~', {2 * A.AFFINE_BAND}) ELSE t END AS t FROM p0)") + ")",
 }
