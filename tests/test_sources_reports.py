@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from trellica.functions.certificate import certificate, framed_sha256
-from trellica.functions.scoring import Scoring
+from trellica.functions.certificate import certificate, framed_sha256, parameters
+from trellica.functions.scoring import EDIT, Matrix, Scoring
 from trellica.operators.align import align, with_operations
-from trellica.sources import reports, sequences
+from trellica.sources import reports, sequences, sink
 from trellica.streaming.align_stream import align_stream, status_by_window
 
 PAIR = "pair_index long, query_id string, query string, target_id string, target string"
@@ -112,3 +112,60 @@ def test_fasta_in_splits_equals_whole_files(spark, tmp_path):
             sequences.read_fasta(spark, str(tmp_path)).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_fastq_in_splits_and_mixed_folders_equal_whole_files(spark, tmp_path):
+    record = lambda i, end="\n": f"@r{i} x{end}ac{'g' * (i % 7)}t{end}+{end}II@I{end}" + ("\n \t\n" if i % 3 == 0 else "")
+    files = {"a.fq": "".join(map(record, range(60))), "b.fq": "\n\n" + "".join(record(i, "\r\n") for i in range(9)), "c.fq": record(1).rstrip("\n")}
+    (tmp_path / "fq").mkdir()
+    (tmp_path / "mixed").mkdir()
+    for name, text in files.items():
+        (tmp_path / "fq" / name).write_bytes(text.encode())
+    for name, text in {"a.fq": files["a.fq"], "odd name.fa": " \n>x\nAC\n>\nGT\n", "r.txt": "\nac\n@gt\n"}.items():
+        (tmp_path / "mixed" / name).write_text(text)
+    told = lambda df: sorted((r["source"][-4:], r["idx"], r["id"], r["seq"]) for r in df.collect())
+    want, both = (told(sequences.read_sequences(spark, str(tmp_path / d))) for d in ("fq", "mixed"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("30", "170", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert told(sequences.read_fastq(spark, str(tmp_path / "fq"))) == want
+            assert [x[1:] for x in told(sequences.read_records(spark, str(tmp_path / "mixed")))] == [x[1:] for x in both]
+        for bad, message in (("@r\nAC\n+\n", "four lines"), ("@r\nAC\nx\nII\n", "needs @")):
+            (tmp_path / "bad.fq").write_text(bad)
+            with pytest.raises(Exception, match=message):
+                sequences.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_report_files(spark, tmp_path):
+    rows = [(i, f"q{i}", "ACGT" * (i % 3 + 1), f"t{i}", "ACCT" * (i % 3 + 1)) for i in range(40)]
+    done = align(spark.createDataFrame(rows, PAIR), "edit-distance")
+    for form in ("tsv", "cigar", "text", "json", "paf", "sam"):
+        path = tmp_path / form
+        assert sink.write_report(done, str(path), form) == {"full": 0, "path_only": 40, "score_only": 0, "failed": 0}
+        text = "".join(p.read_text() for p in sorted(path.glob("part-*")))
+        want = sorted((r["place"], r["value"]) for r in sink.lines(done, form).collect())
+        assert text == "".join(v + "\n" for _, v in want)
+        assert form not in ("tsv", "sam") or text.startswith(("pair_index\t", "@HD\t"))
+    with pytest.raises(Exception, match="exists"):
+        sink.write_report(done, str(tmp_path / "tsv"), "tsv")
+    bad = align(spark.createDataFrame([*rows, (99, "q", None, "t", "A")], PAIR), "edit-distance")
+    assert sink.exit_status(sink.write_report(bad, str(tmp_path / "bad.tsv"), "tsv")) == 1 and sink.exit_status({"failed": 0}) == 0
+    for batch in (bad, align(spark.createDataFrame(rows, PAIR), "edit-distance", score_only=True)):
+        with pytest.raises(ValueError, match="cannot hold"):
+            sink.write_report(batch, str(tmp_path / "never"), "paf")
+        assert not (tmp_path / "never").exists()
+    with pytest.raises(ValueError, match="form"):
+        sink.write_report(done, str(tmp_path / "never"), "x")
+
+
+def test_parameter_text():
+    m = Matrix("m", "AC", ((1, 0), (0, 1)))
+    assert parameters("edit-distance", EDIT) == '{"kind":"edit-distance","substitution":1,"insertion":1,"deletion":1}'
+    assert parameters("global-linear", Scoring(1, 1, gap=-1)) == '{"kind":"linear","substitution":{"type":"match-mismatch","match_score":1,"mismatch_penalty":1},"gap":-1}'
+    assert parameters("global-affine", Scoring(2, 1, gap_open=-3, gap_extend=-1)) == '{"kind":"affine","substitution":{"type":"match-mismatch","match_score":2,"mismatch_penalty":1},"gap_open":-3,"gap_extend":-1}'
+    assert parameters("local-linear", Scoring(gap=-4, matrix=m), "00ff") == '{"kind":"linear","substitution":{"type":"matrix","name":"m","source_sha256":"00ff"},"gap":-4}'
+    assert parameters("global-linear", Scoring(), seeding=(15, 10, 128)).endswith('"gap":-2,"seed_k":15,"seed_window":10,"seed_flank":128}')
+    assert Scoring(matrix=m).label() == "matrix:m" and Scoring(1, 1).label() == "match:1,mismatch:1"

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellica.functions import cigar as C
 from trellica.functions.certificate import certificate, parameters
+from trellica.functions.runtime import scratch
 from trellica.functions.scoring import Scoring
 from trellica.operators import align as A
 from trellica.operators import layered as L
 from trellica.plans.align_queries import AFFINE, AFFINE_SQL, CLASSES, LAST, LINEAR, PARTS, linear_sql, simple
 from trellica.plans.pairs import neighbours, part_pairs, table
-from trellica.sources import reports, sequences
+from trellica.sources import reports, sequences, sink
 
 NARROW, AFFINE_WIDTH = 32, 6
 
@@ -116,16 +117,11 @@ def lcs_bit_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_pairs(spark, sf_dir).select("pair_index", told(A.lcs_bit_length(q, long)).alias("length"))
 
 
-def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_pairs(spark, sf_dir).select("pair_index", A.block_rows(F.col("query")).cast("long").alias("block"))
-
-
 def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pairs of whole, unreduced document texts end in each status; symbols outside ASCII fail a pair."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat("text", F.when(F.col("item_id") % 3 == 0, "é").otherwise("")).alias("seq"))
     out = A.align(neighbours(rows), "edit-distance", score_only=True, verify=True)
-    sound = reports.all_sound(out).first()["sound"]
-    return reports.status_counts(out).withColumn("sound", F.lit(sound))
+    return reports.status_counts(out).withColumn("sound", F.bool_and(F.col("status") != "failed").over(Window.partitionBy()))
 
 
 def input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,23 +160,57 @@ def zip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.zip_pairs(side("p_brand"), side("p_size")).select("pair_index", "query_id", "target_id", "query", "target")
 
 
-def generated_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark inputs of several sizes, with three mutated positions."""
-    out = None
-    for n in (1, 64, 257):
-        row = sequences.mutated(sequences.dna(spark, n), [0, 40, 200]).select(F.lit(n).alias("n"), "seq")
-        row = row.join(sequences.series(spark, n)).withColumnRenamed("series", "first").join(sequences.series(spark, n, 5))
-        row = row.select("n", "seq", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"), F.array_join(F.transform("series", lambda x: x.cast("string")), ",").alias("second"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def written(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """Lines of a report that was written to files and read again."""
+    path = scratch(spark, form)
+    sink.write_report(edited(spark, sf_dir), path, form)
+    return spark.read.text(path)
+
+
+def paf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "paf")
+
+
+def sam_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "sam")
+
+
+def tsv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "tsv")
+
+
+def record_files(rows: DataFrame, key: str, order: str, record: Column) -> str:
+    """Folder of one text file for each key, written by Spark in the order of another column."""
+    path = scratch(rows.sparkSession, "records")
+    rows.select(F.col(key).cast("string").alias("key"), F.col(order).alias("__order"), record.alias("value")).repartition("key").sortWithinPartitions("key", "__order").select("key", "value").write.partitionBy("key").text(path)
+    return path
+
+
+def read_back(records: DataFrame) -> DataFrame:
+    return records.select(F.regexp_extract("source", "key=([^/]*)/", 1).alias("source"), F.col("idx").cast("long").alias("idx"), "id", "seq")
+
+
+def fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers in one FASTQ file a nation, read in splits."""
+    record = F.concat(F.lit("@"), F.col("s_suppkey"), F.lit("\n"), F.lower("s_name"), F.lit("\r\n+\nIIII\n"))
+    return read_back(sequences.read_fastq(spark, record_files(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", record)))
+
+
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts in one FASTA file a size, read in splits."""
+    record = F.concat(F.lit(">"), F.col("p_partkey"), F.lit(" "), F.col("p_type"), F.lit("\n"), F.regexp_replace("p_name", " ", "\n"))
+    return read_back(sequences.read_fasta(spark, record_files(table(spark, sf_dir, "part"), "p_size", "p_partkey", record)))
 
 
-def parameter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [("edit", parameters("edit-distance", LINEAR)), ("linear", parameters("global-linear", LINEAR)), ("affine", parameters("global-affine", AFFINE)), ("matrix", parameters("local-linear", Scoring(gap=-4, matrix=CLASSES), "00ff")), ("seeded", parameters("global-linear", Scoring(), seeding=(15, 10, 128)))]
-    return spark.createDataFrame(texts, "name string, parameters string").withColumn("label", F.when(F.col("name") == "matrix", Scoring(matrix=CLASSES).label()).otherwise(LINEAR.label()))
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in one file a nation: FASTA, FASTQ or raw by the nation's number, found by the files' first symbols."""
+    kind = F.col("c_nationkey") % 3
+    record = F.when(kind == 0, F.concat(F.lit(">"), "c_custkey", F.lit("\n"), "c_name")).when(kind == 1, F.concat(F.lit("@"), "c_custkey", F.lit("\n"), "c_name", F.lit("\n+\n!"))).otherwise(F.col("c_name"))
+    found = read_back(sequences.read_records(spark, record_files(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", record)))
+    return found.withColumn("id", F.when(F.col("source").cast("int") % 3 == 2, "raw").otherwise(F.col("id")))
 
 
-QUERIES = {f.__name__: f for f in (paf_lines, sam_lines, tsv_lines, cigar_lines, text_blocks, json_lines, json_document, certificates, score_only_certificates, lcs_subsequence, path_cells, adaptive_band_path, fixed_band_path, affine_band_path, affine_auto_path, lcs_bit_len, block_sizes, batch_status, input_errors, viterbi_checks, raw_parse, zip_records, generated_inputs, parameter_json)}
+QUERIES = {f.__name__: f for f in (paf_lines, sam_lines, tsv_lines, cigar_lines, text_blocks, json_lines, json_document, certificates, score_only_certificates, lcs_subsequence, path_cells, adaptive_band_path, fixed_band_path, affine_band_path, affine_auto_path, lcs_bit_len, batch_status, input_errors, viterbi_checks, raw_parse, zip_records, paf_files, sam_files, tsv_files, fastq_files, fasta_files, mixed_files)}
 
 EDITED = """b AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, upper(concat_ws(' ', p_name, p_brand, p_type)) AS b FROM part),
 e AS (SELECT k, kind, length(b) AS n, CASE WHEN kind = 2 THEN concat(substr(b, 1, 5), '~', substr(b, 6)) ELSE b END AS q,
@@ -216,7 +246,6 @@ _JSON = """concat('{"schema_version":"', 'SCHEMA', '","pair_index":', k, ',"quer
  '],"aligned_query":"', CASE WHEN kind = 1 THEN concat(substr(q, 1, 5), '-', substr(q, 6)) ELSE q END, '","aligned_target":"', CASE WHEN kind = 2 THEN concat(substr(t, 1, 5), '-', substr(t, 6)) ELSE t END, '"}')""".replace("SCHEMA", A.SCHEMA_VERSION)
 _BANDED = AFFINE_SQL.replace("CASE WHEN j = 0 THEN", f"CASE WHEN j > {AFFINE_WIDTH} THEN [-1000000, -1000000, -1000000] WHEN j = 0 THEN").replace("list_append(acc, [list_max", f"list_append(acc, CASE WHEN abs(i + 1 - j[1][1]) > {AFFINE_WIDTH} THEN [CAST(-1000000 AS BIGINT), -1000000, -1000000] ELSE [list_max").replace("greatest(acc[len(acc)][1] - 4, acc[len(acc)][3] - 1)]),", "greatest(acc[len(acc)][1] - 4, acc[len(acc)][3] - 1)] END),").replace("[[CAST(-1000000 AS BIGINT), greatest(h[1][1] - 4, h[1][2] - 1), -1000000]]", f"[[CAST(-1000000 AS BIGINT), CASE WHEN i + 1 > {AFFINE_WIDTH} THEN -1000000 ELSE greatest(h[1][1] - 4, h[1][2] - 1) END, -1000000]]")
 _BANDED = "SELECT pair_index, CASE WHEN s > -500000 THEN s ELSE -1000000 END AS score, CASE WHEN s > -500000 THEN s ELSE -1000000 END AS path_score, CASE WHEN s > -500000 THEN 'path_only' ELSE 'failed' END AS verification_status FROM (" + _BANDED % "s" + ")"
-_DNA = "substr('ACGT', CAST((i * 7 + 3) % 4 + 1 AS INTEGER), 1)"
 
 ORACLES = {
     "paf_lines": f"WITH {EDITED} SELECT k AS pair_index, " + line("k", "length(q)", "0", "length(q)", "'+'", "concat('t', k)", "length(t)", "0", "length(t)", "n - CASE WHEN kind = 3 THEN 1 ELSE 0 END", "steps", "255", "concat('NM:i:', d)", "concat('cg:Z:', swapped)", "'vs:Z:path_only'", "concat('pi:i:', k)") + " AS value FROM e",
@@ -239,7 +268,6 @@ SELECT pair_index, d AS distance, d AS path_score, max(b) AS band, 'adaptive-ban
     "affine_band_path": _BANDED,
     "affine_auto_path": "SELECT pair_index, path_score, 'wavefront' AS backend, 'full' AS verification_status FROM (" + AFFINE_SQL % "path_score" + ")",
     "lcs_bit_len": "SELECT pair_index, CASE WHEN length(t) <= 128 THEN n ELSE -1000000 END AS length FROM (" + linear_sql(simple(1, 1000000), 0, "t, " + LAST + "n", PARTS.replace("AS t FROM", "AS t0 FROM").replace("p AS (SELECT a.p", "p0 AS (SELECT a.p") + ", p AS (SELECT pair_index, q, CASE WHEN pair_index % 5 = 0 THEN repeat(t0, 4) ELSE t0 END AS t FROM p0)") + ")",
-    "block_sizes": f"WITH {PARTS} SELECT pair_index, CAST(greatest(1, ceil(sqrt(length(q)))) AS BIGINT) AS block FROM p",
     "batch_status": """WITH p AS (SELECT concat(a.text, CASE WHEN a.item_id % 3 = 0 THEN 'é' ELSE '' END) AS q, concat(b.text, CASE WHEN b.item_id % 3 = 0 THEN 'é' ELSE '' END) AS t FROM benchmark AS a JOIN benchmark AS b ON b.item_id = a.item_id + 1),
 s AS (SELECT CASE WHEN octet_length(encode(q)) > length(q) OR octet_length(encode(t)) > length(t) THEN 'failed' WHEN greatest(length(q), length(t)) <= 2048 THEN 'full' ELSE 'score_only' END AS status FROM p)
 SELECT status, count(*) AS n, (SELECT bool_and(status <> 'failed') FROM s) AS sound FROM s GROUP BY status""",
@@ -250,13 +278,11 @@ CASE WHEN pair_index % 4 = 3 THEN 'path_only' ELSE 'failed' END AS verification_
     "zip_records": """WITH a AS (SELECT row_number() OVER (ORDER BY concat(p_brand, '.fa'), p_partkey) - 1 AS i, p_partkey AS k, upper(replace(p_name, ' ', '')) AS s FROM part),
 b AS (SELECT row_number() OVER (ORDER BY concat(p_size, '.fa'), p_partkey) - 1 AS i, p_partkey AS k, upper(replace(p_name, ' ', '')) AS s FROM part)
 SELECT a.i AS pair_index, CAST(a.k AS VARCHAR) AS query_id, CAST(b.k AS VARCHAR) AS target_id, a.s AS query, b.s AS target FROM a JOIN b ON a.i = b.i""",
-    "generated_inputs": f"""WITH i AS (SELECT n, unnest(range(n)) AS i FROM (VALUES (1), (64), (257)) AS v(n)),
-m AS (SELECT n, i, CASE WHEN i IN (0, 40, 200) THEN translate({_DNA}, 'ACGT', 'CGTA') ELSE {_DNA} END AS c, (i * 17 + 11) % 31 - 15 + i % 7 - 3 AS x, ((i + 5) * 13 + 5) % 29 - 14 + (i + 5) % 5 - 2 AS y FROM i)
-SELECT n, string_agg(c, '' ORDER BY i) AS seq, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i) AS first, string_agg(CAST(y AS VARCHAR), ',' ORDER BY i) AS second FROM m GROUP BY n""",
-    "parameter_json": """SELECT * FROM (VALUES
- ('edit', '{"kind":"edit-distance","substitution":1,"insertion":1,"deletion":1}', 'match:1,mismatch:1'),
- ('linear', '{"kind":"linear","substitution":{"type":"match-mismatch","match_score":1,"mismatch_penalty":1},"gap":-1}', 'match:1,mismatch:1'),
- ('affine', '{"kind":"affine","substitution":{"type":"match-mismatch","match_score":2,"mismatch_penalty":1},"gap_open":-3,"gap_extend":-1}', 'match:1,mismatch:1'),
- ('matrix', '{"kind":"linear","substitution":{"type":"matrix","name":"classes","source_sha256":"00ff"},"gap":-4}', 'matrix:classes'),
- ('seeded', '{"kind":"seeded-linear","substitution":{"type":"match-mismatch","match_score":2,"mismatch_penalty":1},"gap":-2,"seed_k":15,"seed_window":10,"seed_flank":128}', 'match:1,mismatch:1')) AS v(name, parameters, label)""",
+    "fastq_files": "SELECT CAST(s_nationkey AS VARCHAR) AS source, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS idx, CAST(s_suppkey AS VARCHAR) AS id, upper(s_name) AS seq FROM supplier",
+    "fasta_files": "SELECT CAST(p_size AS VARCHAR) AS source, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS idx, CAST(p_partkey AS VARCHAR) AS id, upper(replace(p_name, ' ', '')) AS seq FROM part",
+    "mixed_files": """SELECT CAST(c_nationkey AS VARCHAR) AS source, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, CAST(c_custkey AS VARCHAR) AS id, upper(c_name) AS seq FROM customer WHERE c_nationkey % 3 < 2
+UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 0, 'raw', upper(string_agg(c_name, '' ORDER BY c_custkey)) FROM customer WHERE c_nationkey % 3 = 2 GROUP BY c_nationkey""",
 }
+ORACLES["paf_files"] = f"SELECT value FROM ({ORACLES['paf_lines']})"
+ORACLES["sam_files"] = f"SELECT value FROM ({ORACLES['sam_lines']}) UNION ALL SELECT concat('@HD', {TAB}, 'VN:1.6', {TAB}, 'SO:unknown') UNION ALL SELECT * FROM (WITH {EDITED} SELECT concat('@SQ', {TAB}, 'SN:t', k, {TAB}, 'LN:', length(t)) FROM e)"
+ORACLES["tsv_files"] = f"SELECT value FROM ({ORACLES['tsv_lines']}) UNION ALL SELECT '{reports.header(reports.TSV_FIELDS)}'"

@@ -1,12 +1,14 @@
 """Readers of sequence files: FASTA, FASTQ and raw text, parsed by Spark expressions.
 
-A record is (source, idx, id, seq): the file, the record's ordinal in it from 0, its id and its normalised symbols. A
-file is one row while parse() splits it into records, as it finds the format by the first symbol; read_fasta() reads
-FASTA files of any size in splits.
+A record is (source, idx, id, seq): the file, the record's ordinal in it from 0, its id and its normalised symbols.
+read_fasta() and read_fastq() read files of any size in splits, read_records() files of both kinds by their first symbol;
+parse() takes whole texts that are rows already.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def parse_fasta(kinds: DataFrame) -> DataFrame:
 
 def parse_fastq(kinds: DataFrame) -> DataFrame:
     """Four lines a record, blank lines skipped; qualities are read over and not checked."""
-    lines = F.filter(F.split("body", r"\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split("body", r"\r?\n"), lambda x: F.regexp_replace(x, BLANK, "") != "")
     sound = F.when(F.size("lines") % 4 != 0, F.raise_error(F.concat("source", F.lit(": a FASTQ record has four lines"))).cast("int")).otherwise(F.size("lines"))
     each = kinds.select("source", lines.alias("lines")).withColumn("n", sound)
     each = each.select("source", F.posexplode(F.transform(F.sequence(F.lit(0), (F.col("n") / 4).cast("int") - 1), lambda i: F.slice("lines", i * 4 + 1, 4))).alias("idx", "r"))
@@ -69,19 +71,32 @@ def read_sequences(spark: SparkSession, path: str | None = None, inline: str | N
     return parse(files)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def lines_by_block(spark: SparkSession, path: str | list[str], separator: str) -> DataFrame:
+    """(source, block, at, value): pieces of files between separators; `at` grows along each file block without gaps."""
+    scan = spark.read.option("lineSep", separator).text(path)
+    rows = scan.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), "value")
+    if separator == "\n":
+        rows = rows.where(F.regexp_replace("value", BLANK, "") != "")
+    return rows.select("source", "block", F.monotonically_increasing_id().alias("at"), "value")
+
+
+def ahead_of_block(n: str = "n") -> Column:
+    """Sum of n over the earlier blocks of a file, for a table of one row a block."""
+    within = Window.partitionBy("source").orderBy("block")
+    return F.coalesce(F.sum(n).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records of FASTA files, read in splits: a record, not a file, is the largest row.
 
     Gives what parse() gives for the same files. A record's ordinal is its place in its file block plus the number of
     records in the blocks before, of which one row each is brought together. A file that does not start with > fails.
     """
-    scan = spark.read.option("lineSep", "\n>").text(path)
-    rows = scan.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = lines_by_block(spark, path, "\n>")
     bare = F.regexp_replace("value", rf"^{BLANK}+", "")
     blocks = rows.groupBy("source", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min_by(bare == "", "at").alias("blank"))
-    within = Window.partitionBy("source").orderBy("block")
-    ahead = F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("source", "block", "first", (ahead - F.first("blank").over(within).cast("int")).alias("ahead"))
+    ahead = ahead_of_block() - F.first("blank").over(Window.partitionBy("source").orderBy("block")).cast("int")
+    blocks = blocks.select("source", "block", "first", ahead.alias("ahead"))
     each = rows.join(blocks, ["source", "block"]).select("source", (F.col("ahead") + F.col("at") - F.col("first")).cast("int").alias("idx"), (F.col("block") == 0) & (F.col("at") == F.col("first")), "value").toDF("source", "idx", "head", "value")
     marked = F.when(bare.startswith(">"), F.substring(bare, 2, 2**31 - 1)).otherwise(F.raise_error(F.concat("source", F.lit(": a FASTA file starts with >"))).cast("string"))
     each = each.where("idx >= 0").select("source", "idx", F.when(F.col("head"), marked).otherwise(F.col("value")).alias("part"))
@@ -89,6 +104,42 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return each.select("source", "idx", record_id(header, F.col("idx")).alias("id"), normalise(F.regexp_replace("part", r"^[^\n]*\n?", ""), F.col("source")).alias("seq"))
 
 
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of FASTQ files, read in splits by lines; blank lines are skipped, qualities are counted but not kept.
+
+    Gives what parse() gives for the same files. Lines are numbered along a file from the counts of its blocks before, of
+    which one row each is brought together; four of them are a record, wherever a split falls, and meet by its number.
+    """
+    rows = lines_by_block(spark, path, "\n")
+    blocks = rows.groupBy("source", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("source"))
+    sound = F.when(whole % 4 != 0, F.raise_error(F.concat("source", F.lit(": a FASTQ record has four lines"))).cast("long")).otherwise(ahead_of_block())
+    blocks = blocks.select("source", "block", "first", sound.alias("ahead"))
+    line = F.col("ahead") + F.col("at") - F.col("first")
+    each = rows.join(blocks, ["source", "block"]).select("source", F.floor(line / 4).cast("int").alias("idx"), (line % 4).alias("place"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    part = lambda n: F.max(F.when(F.col("place") == n, F.col("value"))).alias(("head", "seq", "plus")[n])
+    each = each.where("place < 3").groupBy("source", "idx").agg(part(0), part(1), part(2))
+    head = F.when(F.col("head").startswith("@") & F.col("plus").startswith("+"), F.substring("head", 2, 2**31 - 1)).otherwise(F.raise_error(F.concat("source", F.lit(": a FASTQ record needs @ and + lines"))).cast("string"))
+    return each.select("source", "idx", record_id(head, F.col("idx")).alias("id"), normalise(F.col("seq"), F.col("source")).alias("seq"))
+
+
+def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of FASTA, FASTQ and raw files together; a file's first symbol that is not blank tells its format.
+
+    FASTA and FASTQ files are read in splits. A raw file is one sequence and so one row. The driver holds the names of the
+    files, as it does to list them.
+    """
+    first = lines_by_block(spark, path, "\n").where("block = 0").groupBy("source").agg(F.min_by(F.substring(F.regexp_replace("value", rf"^{BLANK}+", ""), 1, 1), "at").alias("mark"))
+    names: dict[str, list[str]] = {"fasta": [], "fastq": [], "raw": []}
+    for r in first.collect():
+        names[{">": "fasta", "@": "fastq"}.get(r["mark"], "raw")].append(unquote(r["source"]))
+    found = spark.createDataFrame([], "source string, idx int, id string, seq string")
+    for kind, read in (("fasta", read_fasta), ("fastq", read_fastq), ("raw", lambda s, p: parse(s.read.text(p, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))))):
+        if names[kind]:
+            found = found.unionByName(read(spark, names[kind]))
+    return found
+
+
 def numbered(records: DataFrame) -> DataFrame:
     """records with pair_index, their ordinal over all files in the order of the files' names.
 
