@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trellica.functions import cigar as C
 from trellica.functions import kernels as K
-from trellica.functions.scoring import EDIT, LCS, Matrix, Scoring
+from trellica.functions.scoring import EDIT, LCS, Matrix, Scoring, blosum62
 from trellica.operators import align as A
 
 PAIR = "pair_index long, query_id string, query string, target_id string, target string"
@@ -182,6 +182,16 @@ def test_matrix_parsing():
             Matrix.parse("m", bad)
 
 
+def test_blosum62():
+    m = blosum62()
+    cell = lambda a, b: m.rows[m.alphabet.index(a)][m.alphabet.index(b)]
+    assert m.alphabet == "ARNDCQEGHILKMFPSTWYVBZX*" and m.rows == tuple(zip(*m.rows, strict=True))
+    assert [cell(a, a) for a in m.alphabet] == [4, 5, 6, 6, 9, 5, 5, 6, 8, 4, 4, 5, 5, 6, 7, 4, 5, 11, 7, 4, 4, 4, -1, 1]
+    assert [cell("B", b) for b in m.alphabet] == [-2, -1, 3, 4, -3, 0, 1, -1, 0, -3, -4, 0, -3, -3, -2, 0, -1, -4, -3, -3, 4, 1, -1, -4]
+    assert [cell("Z", b) for b in m.alphabet] == [-1, 0, 0, 1, -3, 3, 4, -2, 0, -3, -3, 1, -1, -3, -1, 0, -1, -3, -2, -2, 1, 4, -1, -4]
+    assert [cell("X", b) for b in m.alphabet] == [0, -1, -1, -1, -2, -1, -1, -1, -1, -1, -1, -1, -1, -1, -2, 0, 0, -2, -1, -1, -1, -1, -1, -4]
+
+
 def test_split_columns_read_off_at_once_are_those_of_splitting(monkeypatch):
     rng = np.random.default_rng(3)
     for scoring in (EDIT, LCS, Scoring(), Scoring(1, 3, gap=-1)):

@@ -59,6 +59,8 @@ def test_certificates(spark):
     df = spark.createDataFrame([(0, "q", "AC", "t", "A"), (1, "q", "AC", "t", "A"), (2, "q", "AC", "t", "C")], PAIR)
     out = [r["c"]["certificate_sha256"] for r in align(df).select("pair_index", certificate("{}").alias("c")).orderBy("pair_index").collect()]
     assert out[0] == out[1] != out[2]
+    bare = align(df, score_only=True).select(certificate("{}").alias("c")).first()["c"]
+    assert bare["trace_sha256"] is None and len(bare["certificate_sha256"]) == len(bare["result_sha256"]) == 64
     two = spark.range(1).select(framed_sha256(F.lit("ab"), F.lit("c")).alias("x"), framed_sha256(F.lit("a"), F.lit("bc")).alias("y")).first()
     assert two["x"] != two["y"]
 

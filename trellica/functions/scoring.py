@@ -38,6 +38,58 @@ class Matrix:
         return Matrix(name, "".join(header), tuple(tuple(int(x) for x in r[1:]) for r in body))
 
 
+#: BLOSUM62 (fixed values, published): scores of each amino acid with itself and those before it.
+BLOSUM62_ROWS = """
+A  4
+R -1  5
+N -2  0  6
+D -2 -2  1  6
+C  0 -3 -3 -3  9
+Q -1  1  0  0 -3  5
+E -1  0  0  2 -4  2  5
+G  0 -2  0 -1 -3 -2 -2  6
+H -2  0  1 -1 -3  0  0 -2  8
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+"""
+#: Published scores of the ambiguity codes that differ from the rule of blosum62() (fixed values).
+BLOSUM62_OTHER = {"BD": 4, "BK": 0, "BB": 4, "BZ": 1, "ZC": -3, "ZE": 4, "ZZ": 4, "XA": 0, "XS": 0, "XT": 0, "XC": -2, "XP": -2, "XW": -2, "**": 1}
+
+
+def blosum62() -> Matrix:
+    """The 24 x 24 matrix over amino acids, B (N or D), Z (Q or E), X (any) and * (stop).
+
+    B and Z score the mean of their two amino acids, rounded down, X scores -1 and * scores -4, but for BLOSUM62_OTHER.
+    """
+    lines = [r.split() for r in BLOSUM62_ROWS.strip().splitlines()]
+    cell = {a + lines[j][0]: int(v) for a, *values in lines for j, v in enumerate(values)}
+    cell |= {k[::-1]: v for k, v in cell.items()}
+    alphabet = "".join(r[0] for r in lines) + "BZX*"
+
+    def score(a: str, b: str) -> int:
+        for k in (a + b, b + a):
+            if k in BLOSUM62_OTHER:
+                return BLOSUM62_OTHER[k]
+        if "*" in a + b:
+            return -4
+        if "X" in a + b:
+            return -1
+        means = {"B": "ND", "Z": "QE"}
+        both = [cell[x + y] for x in means.get(a, a) for y in means.get(b, b)]
+        return sum(both) // len(both)
+
+    return Matrix("BLOSUM62", alphabet, tuple(tuple(score(a, b) for b in alphabet) for a in alphabet))
+
+
 def read_matrix(spark, named: Matrix | None = None, path: str | None = None) -> tuple[Matrix, str | None]:
     """A given matrix, or one read from a file by Spark with its SHA-256; the file's stem is its name."""
     if (named is None) == (path is None):

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellica.functions import cigar as C
-from trellica.functions.scoring import Matrix, Scoring
+from trellica.functions.runtime import scratch
+from trellica.functions.scoring import Matrix, Scoring, blosum62, read_matrix
 from trellica.operators import align as A
 from trellica.operators.tiles import tiled_scores
 from trellica.plans.pairs import item_pairs, letter_pairs, part_pairs, series_pairs, table
@@ -47,6 +48,28 @@ def tiled(mode: str, scoring: Scoring, tile: int):
     return run
 
 
+def nw_blosum62(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters scored as amino acids, those that are none as X."""
+    codes = {c: F.translate(c, "JOU", "XXX") for c in ("query", "target")}
+    out = A.align(letter_pairs(spark, sf_dir).withColumns(codes), "global-linear", Scoring(gap=-4, matrix=PROTEIN), verify=True)
+    return out.select("pair_index", "score", "path_score", "verification_status")
+
+
+def matrix_file_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores under a matrix that is read from a file."""
+    path = scratch(spark, "matrix")
+    spark.createDataFrame([("\n".join(["# vowels and consonants", " ".join(ALPHABET), *CLASS_LINES]),)], "value string").coalesce(1).write.text(path)
+    matrix, _ = read_matrix(spark, path=path)
+    return scores("global-linear", Scoring(gap=-4, matrix=matrix), letter_pairs, score="score")(spark, sf_dir)
+
+
+def cigar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which operation strings, made from lineitem, are well formed: counts of 1 or more, an operation each."""
+    n, kind = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    text = F.when(kind == 1, F.format_string("%d=", n)).when(kind == 2, F.format_string("%d", n)).when(kind == 3, F.format_string("%dM%dX", n, n)).when(kind == 4, F.lit("")).when(kind == 5, F.format_string("0%dD", n)).when(kind == 6, F.format_string("=%dI", n)).otherwise(F.format_string("%d=%dX%dD%dI", n, n, n, n))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", C.valid(text).alias("valid"))
+
+
 def hyphen_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions joined by hyphens, which are symbols like any other: paths and their independent checks."""
     dashed = {c: F.translate(c, " ", "-") for c in ("query", "target")}
@@ -104,6 +127,7 @@ def dtw_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINEAR, AFFINE, LCS_ = Scoring(1, 1, gap=-1), Scoring(2, 1, gap_open=-3, gap_extend=-1), Scoring()
 MATRIX = Scoring(gap=-4, matrix=CLASSES)
+PROTEIN = blosum62()
 
 QUERIES = {
     "edit_distance_score": edit_distance_score,
@@ -130,6 +154,9 @@ QUERIES = {
     "tiled_nw_score": tiled("global-linear", LINEAR, 24),
     "tiled_sw_score": tiled("local-linear", Scoring(), 32),
     "tiled_semiglobal_score": tiled("semiglobal-linear", Scoring(), 20),
+    "nw_blosum62": nw_blosum62,
+    "matrix_file_score": matrix_file_score,
+    "cigar_checks": cigar_checks,
     "hyphen_path_score": hyphen_path_score,
     "affine_fallback_path": affine_fallback_path,
 }
@@ -233,6 +260,9 @@ SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, 2 * a AS matches, 2 * a
     "tiled_nw_score": linear_sql(simple(1, 1), -1, LAST + "score"),
     "tiled_sw_score": carried_sql(False, -2, "SELECT pair_index, max(x[1]) AS score FROM c GROUP BY pair_index"),
     "tiled_semiglobal_score": carried_sql(True, -2, "SELECT pair_index, max(x[1]) AS score FROM c WHERE i = length(q) GROUP BY pair_index"),
+    "nw_blosum62": linear_sql(f"{[list(r) for r in PROTEIN.rows]}[instr('{PROTEIN.alphabet}', q[i + 1])][instr('{PROTEIN.alphabet}', t[j[1]])]", -4, LAST + "score, " + LAST + "path_score, 'full' AS verification_status", LETTERS.replace("regexp_replace(", "translate(regexp_replace(").replace("'g')", "'g'), 'JOU', 'XXX')")),
+    "matrix_file_score": linear_sql(CLASS_PAIR, -4, LAST + "score", LETTERS),
+    "cigar_checks": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_linenumber IN (1, 4, 7) AS valid FROM lineitem",
     "hyphen_path_score": linear_sql(simple(1, 1), -1, LAST + "score, " + LAST + "path_score, 'full' AS verification_status", PARTS.replace("upper(", "translate(upper(").replace(")) AS", ")), ' ', '-') AS")),
     "affine_fallback_path": "SELECT pair_index, path_score, CASE WHEN pair_index % 2 = 0 THEN 'linear-space' ELSE 'wavefront' END AS backend, CASE WHEN pair_index % 2 = 0 THEN 1 ELSE 0 END AS block_size, 'full' AS verification_status FROM (" + (AFFINE_SQL % "path_score").replace(PARTS, PARTS.replace("p AS", "p0 AS") + f", p AS (SELECT pair_index, q, CASE WHEN pair_index % 2 = 0 THEN t || repeat('~', {2 * A.AFFINE_BAND}) ELSE t END AS t FROM p0)") + ")",
 }

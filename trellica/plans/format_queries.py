@@ -160,6 +160,22 @@ def zip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.zip_pairs(side("p_brand"), side("p_size")).select("pair_index", "query_id", "target_id", "query", "target")
 
 
+def sam_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local alignments of a description inside a longer query, whose ends the SAM line clips."""
+    pairs = edited_pairs(spark, sf_dir).where("query = target").withColumn("query", F.concat(F.repeat(F.lit("~"), F.pmod("pair_index", F.lit(3)).cast("int")), "query", F.lit("^^")))
+    return reports.sam(A.align(pairs, "local-linear", Scoring()))
+
+
+def dag_shape_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps graphs from being layered: one graph a supplier, its shape by the key."""
+    kind = F.col("s_suppkey") % 6
+    ints = lambda *x: F.array(*[F.lit(v) for v in x])
+    widths = F.when(kind == 1, ints(3)).when(kind == 2, ints(2, 0, 2)).when(kind == 3, F.array().cast("array<int>")).otherwise(ints(2, 3, 2))
+    graphs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("dag_id"), widths.alias("widths"), F.when(kind == 4, 2).otherwise(0).alias("start"), F.when(kind == 5, -1).otherwise(1).alias("end"))
+    edges = graphs.select("dag_id", F.lit(0).alias("layer"), F.lit(1).alias("from"), F.lit(1).alias("to"))
+    return L.dag_problems(edges, graphs)
+
+
 def written(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     """Lines of a report that was written to files and read again."""
     path = scratch(spark, form)
@@ -210,7 +226,7 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("id", F.when(F.col("source").cast("int") % 3 == 2, "raw").otherwise(F.col("id")))
 
 
-QUERIES = {f.__name__: f for f in (paf_lines, sam_lines, tsv_lines, cigar_lines, text_blocks, json_lines, json_document, certificates, score_only_certificates, lcs_subsequence, path_cells, adaptive_band_path, fixed_band_path, affine_band_path, affine_auto_path, lcs_bit_len, batch_status, input_errors, viterbi_checks, raw_parse, zip_records, paf_files, sam_files, tsv_files, fastq_files, fasta_files, mixed_files)}
+QUERIES = {f.__name__: f for f in (paf_lines, sam_lines, tsv_lines, cigar_lines, text_blocks, json_lines, json_document, certificates, score_only_certificates, lcs_subsequence, path_cells, adaptive_band_path, fixed_band_path, affine_band_path, affine_auto_path, lcs_bit_len, batch_status, input_errors, viterbi_checks, raw_parse, zip_records, sam_clips, dag_shape_problems, paf_files, sam_files, tsv_files, fastq_files, fasta_files, mixed_files)}
 
 EDITED = """b AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, upper(concat_ws(' ', p_name, p_brand, p_type)) AS b FROM part),
 e AS (SELECT k, kind, length(b) AS n, CASE WHEN kind = 2 THEN concat(substr(b, 1, 5), '~', substr(b, 6)) ELSE b END AS q,
@@ -231,15 +247,17 @@ def framed(*fields: str) -> str:
     return "sha256(" + " || ".join(one(x) for x in fields) + ")"
 
 
-def certificate_sql(query: str, target: str, trace: list[str], result: list[str], source: str) -> str:
+def certificate_sql(query: str, target: str, trace: str, result: list[str], source: str) -> str:
     settings = "'" + parameters("edit-distance", LINEAR) + "'"
-    return f"""{source}, h AS (SELECT pair_index, sha256({query}) AS query_sha256, sha256({target}) AS target_sha256, sha256({settings}) AS parameters_sha256, {framed(*trace)} AS trace_sha256, {framed(*result)} AS result_sha256 FROM x)
-SELECT *, {framed("query_sha256", "target_sha256", "parameters_sha256", "trace_sha256", "result_sha256")} AS certificate_sha256 FROM h"""
+    return f"""{source}, g AS (SELECT *, sha256({query}) AS query_sha256, sha256({target}) AS target_sha256, sha256({settings}) AS parameters_sha256, CAST({trace} AS VARCHAR) AS trace_sha256 FROM x),
+h AS (SELECT pair_index, query_sha256, target_sha256, parameters_sha256, trace_sha256, {framed(*result)} AS result_sha256 FROM g)
+SELECT *, {framed("query_sha256", "target_sha256", "parameters_sha256", "coalesce(trace_sha256, '<none>')", "result_sha256")} AS certificate_sha256 FROM h"""
 
 
 _COMMON = ("k", "k", "concat('t', k)")
 _SPAN = ("0", "length(q)", "0", "length(t)")
 _SAYS = lambda x: f"CAST({x} AS VARCHAR)"
+_GAPPED = ("CASE WHEN kind = 1 THEN concat(substr(q, 1, 5), '-', substr(q, 6)) ELSE q END", "CASE WHEN kind = 2 THEN concat(substr(t, 1, 5), '-', substr(t, 6)) ELSE t END")
 _JSON = """concat('{"schema_version":"', 'SCHEMA', '","pair_index":', k, ',"query_id":"', k, '","target_id":"t', k, '","mode":"edit-distance","score":null,"distance":', d, ',"path_score":', d,
  ',"verification_status":"path_only","verified":null,"query_start":0,"query_end":', length(q), ',"target_start":0,"target_end":', length(t), ',"cigar":"', c, '","block_size":0,"path_length":', steps + 1,
  ',"backend":"adaptive-banded","band":', CASE WHEN kind IN (1, 2, 3) THEN 1 ELSE 0 END, ',"operation_counts":[{"op":"match","count":', n - CASE WHEN kind = 3 THEN 1 ELSE 0 END, '}', CASE kind WHEN 1 THEN ',{"op":"insert","count":1}' WHEN 2 THEN ',{"op":"delete","count":1}' WHEN 3 THEN ',{"op":"mismatch","count":1}' ELSE '' END,
@@ -247,20 +265,26 @@ _JSON = """concat('{"schema_version":"', 'SCHEMA', '","pair_index":', k, ',"quer
 _BANDED = AFFINE_SQL.replace("CASE WHEN j = 0 THEN", f"CASE WHEN j > {AFFINE_WIDTH} THEN [-1000000, -1000000, -1000000] WHEN j = 0 THEN").replace("list_append(acc, [list_max", f"list_append(acc, CASE WHEN abs(i + 1 - j[1][1]) > {AFFINE_WIDTH} THEN [CAST(-1000000 AS BIGINT), -1000000, -1000000] ELSE [list_max").replace("greatest(acc[len(acc)][1] - 4, acc[len(acc)][3] - 1)]),", "greatest(acc[len(acc)][1] - 4, acc[len(acc)][3] - 1)] END),").replace("[[CAST(-1000000 AS BIGINT), greatest(h[1][1] - 4, h[1][2] - 1), -1000000]]", f"[[CAST(-1000000 AS BIGINT), CASE WHEN i + 1 > {AFFINE_WIDTH} THEN -1000000 ELSE greatest(h[1][1] - 4, h[1][2] - 1) END, -1000000]]")
 _BANDED = "SELECT pair_index, CASE WHEN s > -500000 THEN s ELSE -1000000 END AS score, CASE WHEN s > -500000 THEN s ELSE -1000000 END AS path_score, CASE WHEN s > -500000 THEN 'path_only' ELSE 'failed' END AS verification_status FROM (" + _BANDED % "s" + ")"
 
+#: Every step of the paths of edited pairs.
+_STEPS = """s AS (SELECT *, unnest(range(steps)) AS step FROM e),
+o AS (SELECT *, CASE WHEN step = 5 THEN ['match', 'insert', 'delete', 'mismatch'][kind + 1] ELSE 'match' END AS op, step - CASE WHEN kind = 1 AND step > 5 THEN 1 ELSE 0 END AS a, step - CASE WHEN kind = 2 AND step > 5 THEN 1 ELSE 0 END AS z FROM s)"""
+_STEP = "concat_ws(chr(9), step, op, CASE WHEN op <> 'insert' THEN CAST(a AS VARCHAR) ELSE '<none>' END, CASE WHEN op <> 'delete' THEN CAST(z AS VARCHAR) ELSE '<none>' END, CASE WHEN op <> 'insert' THEN q[a + 1] ELSE '<none>' END, CASE WHEN op <> 'delete' THEN t[z + 1] ELSE '<none>' END)"
+_TRACED = f"WITH {EDITED}, {_STEPS}, x AS (SELECT k AS pair_index, any_value(q) AS q, any_value(t) AS t, any_value(c) AS c, any_value(d) AS d, any_value(steps) AS steps, string_agg({_STEP}, chr(10) ORDER BY step) AS trace FROM o GROUP BY k)"
+
 ORACLES = {
     "paf_lines": f"WITH {EDITED} SELECT k AS pair_index, " + line("k", "length(q)", "0", "length(q)", "'+'", "concat('t', k)", "length(t)", "0", "length(t)", "n - CASE WHEN kind = 3 THEN 1 ELSE 0 END", "steps", "255", "concat('NM:i:', d)", "concat('cg:Z:', swapped)", "'vs:Z:path_only'", "concat('pi:i:', k)") + " AS value FROM e",
     "sam_lines": f"WITH {EDITED} SELECT k AS pair_index, " + line("k", "0", "concat('t', k)", "1", "255", "swapped", "'*'", "0", "0", "q", "'*'", "concat('NM:i:', d)", "'VS:Z:path_only'", "concat('PI:i:', k)") + " AS value FROM e",
     "tsv_lines": f"WITH {EDITED} SELECT k AS pair_index, " + line(*_COMMON, "'edit-distance'", "''", "d", "d", "'path_only'", *_SPAN, "c", "0", "steps + 1", *["''"] * 4) + " AS value FROM e",
     "cigar_lines": f"WITH {EDITED} SELECT k AS pair_index, " + line(*_COMMON, "'edit-distance'", "''", "d", *_SPAN, "'path_only'", "steps + 1", "c") + " AS value FROM e",
-    "text_blocks": f"WITH {EDITED} SELECT k AS pair_index, concat_ws(chr(10), concat('pair ', k, ': ', k, ' x t', k, ' (edit-distance)'), concat('  distance: ', d), concat('  query 0-', length(q), ', target 0-', length(t)), concat('  cigar: ', c), '  verification: path_only') AS value FROM e",
+    "text_blocks": f"""WITH {EDITED} SELECT k AS pair_index, concat_ws(chr(10), concat('pair ', k, ': ', k, ' vs t', k), 'mode: edit-distance', concat('distance: ', d), 'backend: adaptive-banded', concat('path_score: ', d),
+  'verification_status: path_only', 'verified: not_full', concat('query: ', k, ' [0..', length(q), '), target: t', k, ' [0..', length(t), ')'), concat('cigar: ', c), 'block_size: 0', concat('path_length: ', steps + 1),
+  concat('aligned_query: ', {_GAPPED[0]}), concat('aligned_target: ', {_GAPPED[1]}), '') AS value FROM e""",
     "json_lines": f"WITH {EDITED} SELECT k AS pair_index, {_JSON} AS value FROM e",
     "json_document": f"WITH {EDITED} SELECT k AS place, '{{' AS opens, k < max(k) OVER () AS goes_on, CAST(d AS BIGINT) AS distance FROM e UNION ALL SELECT -1, '[', false, -1000000 UNION ALL SELECT max(k) + 1, ']', false, -1000000 FROM e",
-    "certificates": certificate_sql("q", "t", [_SAYS(x) for x in (*_SPAN, "c")], ["'edit-distance'", "'adaptive-banded'", "'<none>'", _SAYS("d"), _SAYS("d"), "'path_only'", "'<none>'", "'0'"], f"WITH {EDITED}, x AS (SELECT *, k AS pair_index FROM e)"),
-    "score_only_certificates": certificate_sql("q", "t", [*[_SAYS(x) for x in _SPAN], "''"], ["'edit-distance'", "'myers'", "'<none>'", _SAYS("levenshtein(q, t)"), "'<none>'", "'score_only'", "'<none>'", "'0'"], f"WITH {PARTS}, x AS (SELECT * FROM p)"),
+    "certificates": certificate_sql("q", "t", framed("CAST(steps AS VARCHAR)", "trace"), ["'edit-distance'", "'adaptive-banded'", "'<none>'", _SAYS("d"), _SAYS("d"), "'path_only'", "'<none>'", "'0'", *[_SAYS(x) for x in (*_SPAN, "c", "steps + 1")], "trace_sha256"], _TRACED),
+    "score_only_certificates": certificate_sql("q", "t", "NULL", ["'edit-distance'", "'myers'", "'<none>'", _SAYS("levenshtein(q, t)"), "'<none>'", "'score_only'", "'<none>'", "'0'", *[_SAYS(x) for x in _SPAN], "''", "'0'", "'<none>'"], f"WITH {PARTS}, x AS (SELECT * FROM p)"),
     "lcs_subsequence": f"WITH {EDITED} SELECT k AS pair_index, n - CASE WHEN kind = 3 THEN 1 ELSE 0 END AS score, CASE kind WHEN 2 THEN t WHEN 3 THEN concat(substr(q, 1, 5), substr(q, 7)) ELSE q END AS common FROM e",
-    "path_cells": f"""WITH {EDITED}, s AS (SELECT *, unnest(range(steps)) AS step FROM e),
-x AS (SELECT *, CASE WHEN step = 5 THEN ['match', 'insert', 'delete', 'mismatch'][kind + 1] ELSE 'match' END AS op, step - CASE WHEN kind = 1 AND step > 5 THEN 1 ELSE 0 END AS a, step - CASE WHEN kind = 2 AND step > 5 THEN 1 ELSE 0 END AS z FROM s)
-SELECT k AS pair_index, step, op, CASE WHEN op <> 'insert' THEN a ELSE -1000000 END AS query_pos, CASE WHEN op <> 'delete' THEN z ELSE -1000000 END AS target_pos, CASE WHEN op <> 'insert' THEN q[a + 1] ELSE '' END AS query_base, CASE WHEN op <> 'delete' THEN t[z + 1] ELSE '' END AS target_base FROM x""",
+    "path_cells": f"WITH {EDITED}, {_STEPS} SELECT k AS pair_index, step, op, CASE WHEN op <> 'insert' THEN a ELSE -1000000 END AS query_pos, CASE WHEN op <> 'delete' THEN z ELSE -1000000 END AS target_pos, CASE WHEN op <> 'insert' THEN q[a + 1] ELSE '' END AS query_base, CASE WHEN op <> 'delete' THEN t[z + 1] ELSE '' END AS target_base FROM o",
     "adaptive_band_path": f"""WITH RECURSIVE {PARTS}, d AS (SELECT *, levenshtein(q, t) AS d, abs(length(q) - length(t)) AS low, greatest(length(q), length(t)) AS m FROM p),
 g AS (SELECT pair_index, d, m, low AS b FROM d UNION ALL SELECT pair_index, d, m, least(2 * b + 1, m) FROM g WHERE b < d)
 SELECT pair_index, d AS distance, d AS path_score, max(b) AS band, 'adaptive-banded' AS backend, CASE WHEN m <= {A.VERIFY_LIMIT} THEN 'full' ELSE 'path_only' END AS verification_status FROM g GROUP BY pair_index, d, m""",
@@ -278,6 +302,9 @@ CASE WHEN pair_index % 4 = 3 THEN 'path_only' ELSE 'failed' END AS verification_
     "zip_records": """WITH a AS (SELECT row_number() OVER (ORDER BY concat(p_brand, '.fa'), p_partkey) - 1 AS i, p_partkey AS k, upper(replace(p_name, ' ', '')) AS s FROM part),
 b AS (SELECT row_number() OVER (ORDER BY concat(p_size, '.fa'), p_partkey) - 1 AS i, p_partkey AS k, upper(replace(p_name, ' ', '')) AS s FROM part)
 SELECT a.i AS pair_index, CAST(a.k AS VARCHAR) AS query_id, CAST(b.k AS VARCHAR) AS target_id, a.s AS query, b.s AS target FROM a JOIN b ON a.i = b.i""",
+    "sam_clips": f"WITH {EDITED} SELECT k AS pair_index, " + line("k", "0", "concat('t', k)", "1", "255", "concat(CASE WHEN k % 3 > 0 THEN concat(k % 3, 'S') ELSE '' END, n, '=2S')", "'*'", "0", "0", "concat(repeat('~', k % 3), q, '^^')", "'*'", "concat('AS:i:', 2 * n)", "'NM:i:0'", "'VS:Z:path_only'", "concat('PI:i:', k)") + " AS value FROM e WHERE kind = 0",
+    "dag_shape_problems": """SELECT s_suppkey AS dag_id, unnest(CASE s_suppkey % 6 WHEN 1 THEN ['needs two layers or more', 'edge outside its layers'] WHEN 2 THEN ['a layer is empty', 'edge outside its layers'] WHEN 3 THEN ['needs two layers or more', 'edge outside its layers']
+  WHEN 4 THEN ['start outside the first layer'] WHEN 5 THEN ['end outside the last layer'] ELSE [] END) AS problem FROM supplier""",
     "fastq_files": "SELECT CAST(s_nationkey AS VARCHAR) AS source, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS idx, CAST(s_suppkey AS VARCHAR) AS id, upper(s_name) AS seq FROM supplier",
     "fasta_files": "SELECT CAST(p_size AS VARCHAR) AS source, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS idx, CAST(p_partkey AS VARCHAR) AS id, upper(replace(p_name, ' ', '')) AS seq FROM part",
     "mixed_files": """SELECT CAST(c_nationkey AS VARCHAR) AS source, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, CAST(c_custkey AS VARCHAR) AS id, upper(c_name) AS seq FROM customer WHERE c_nationkey % 3 < 2

@@ -59,13 +59,17 @@ def json_document(aligned: DataFrame) -> DataFrame:
 
 
 def text(aligned: DataFrame) -> DataFrame:
-    """Readable block of each pair."""
+    """Readable block of each pair, a field a line and an empty line after it; absent fields have no line."""
+    said = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
+    checked = F.when(F.col("verified"), "true").when(~F.col("verified"), "false").otherwise("not_full")
     value = F.concat_ws(
         "\n",
-        F.format_string("pair %d: %s x %s (%s)", "pair_index", "query_id", "target_id", "mode"),
-        F.when(F.col("error").isNotNull(), F.format_string("  error: %s", "error")),
-        F.when(F.col("score").isNotNull(), F.format_string("  score: %d", "score")), F.when(F.col("distance").isNotNull(), F.format_string("  distance: %d", "distance")),
-        F.format_string("  query %d-%d, target %d-%d", "query_start", "query_end", "target_start", "target_end"), F.format_string("  cigar: %s", "cigar"), F.format_string("  verification: %s", "verification_status"),
+        F.format_string("pair %d: %s vs %s", "pair_index", "query_id", "target_id"),
+        *[said(c, c) for c in ("mode", "score", "distance", "backend", "path_score", "verification_status")],
+        F.concat(F.lit("verified: "), checked),
+        F.format_string("query: %s [%d..%d), target: %s [%d..%d)", "query_id", "query_start", "query_end", "target_id", "target_start", "target_end"),
+        *[said(c, c) for c in ("cigar", "block_size", "path_length", "error", "aligned_query", "aligned_target") if c in aligned.columns],
+        F.lit(""),
     )
     return aligned.select("pair_index", value.alias("value"))
 
