@@ -5,7 +5,8 @@ searched from the item's side instead. Items are partitioned by the number of th
 keeps a bottom-k MinHash sketch, its k least shingle hashes; each partition has a threshold, the largest hash in any of its
 sketches, and a document is sketched for that partition by its shingle hashes up to the threshold. The share of an item's
 sketch found in the document's sketch estimates its containment; items that reach a lower bound of the wanted containment
-are candidates. Candidates are verified by exact containment of all the item's shingles in the whole document.
+are candidates. Candidates are verified by exact containment of all the item's shingles in the whole document: a candidate
+pair asks for its item's shingles, so a shingle that many items hold is counted for the pairs that are candidates alone.
 """
 
 from __future__ import annotations
@@ -56,9 +57,11 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     seen = hit.groupBy("id", "item", "k").agg(F.count_distinct("h").alias("found"))
     pairs = cut(seen.where(F.col("found") >= F.when(F.col("k") < sketch, F.col("k") * least).otherwise(F.col("k") * loose)).select("id", "item"))
     whole = docs.join(small(pairs.select(F.col("id").alias(doc_id)).distinct()), doc_id, "left_semi")
-    shared = with_shingles(whole, doc_id, text, k).join(small(cut(of_item.select(F.col("id").alias("item"), "h"))), "h")
-    total = shared.groupBy("id", "item").agg(F.count_distinct("h").alias("n_shared"))
-    exact = total.join(pairs, ["id", "item"], "left_semi").join(small(sized.select(F.col("id").alias("item"), "n_item")), "item")
+    of_item = cut(of_item.select(F.col("id").alias("item"), "h"))
+    wanted = pairs.join(small(of_item), "item")
+    held = with_shingles(whole, doc_id, text, k).join(small(of_item.select("h").distinct()), "h", "left_semi").distinct()
+    total = held.join(wanted, ["id", "h"]).groupBy("id", "item").agg(F.count("*").alias("n_shared"))
+    exact = total.join(small(sized.select(F.col("id").alias("item"), "n_item")), "item")
     return exact.where(F.col("n_shared") >= F.col("n_item") * least).select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "n_shared", "n_item")
 
 

@@ -2,7 +2,8 @@
 
 One filter holds the hashes seen at least once, the other those seen at least twice. Partial filters of the tasks merge as
 (a1|b1, a2|b2|(a1&b1)), which is associative and never loses a repeat. Only lines that the second filter suspects are
-shuffled, as exact keys, to confirm them and to find the smallest document that holds each.
+shuffled, as exact keys, to confirm them and to find the smallest document that holds each. Only documents that lose a line
+then meet their lines by a shuffle: a third filter, of their ids, lets all others pass where they are.
 
 The second filter is broadcast while 16 bits for every line stay within a bound. Beyond it the hashes are dealt by range:
 every range has both filters of its own, so the bits a line gets do not fall as lines grow, and answers with the hashes that
@@ -205,6 +206,44 @@ def later_holders(found: DataFrame) -> DataFrame:
     return join_spread(found.select("id", "hash", "md5"), repeated.select("hash", "md5", "first", "n"), ["hash", "md5"], "n").where("id > first").select("id", "hash")
 
 
+def id_filter(drop: DataFrame, most_bits: int) -> np.ndarray:
+    """A filter of the ids that lose lines, of 16 bits each and most_bits at most; beyond, it only lets more others through."""
+    bits = min(most_bits, 1 << max(13, int(LINE_BITS * drop.count() - 1).bit_length()))
+    size = min(CHUNK_BITS, bits) // 8
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            put(own, np.asarray(batch.column(0)).view(np.uint64))
+        for k in range(0, bits // 8, size):
+            if own[k : k + size].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // size], pa.int32()), pa.array([own[k : k + size].tobytes()])], ["chunk", "bits"])
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, np.uint8)
+        for batch in batches:
+            for x in batch.column("bits"):
+                own |= np.frombuffer(x.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([own.tobytes()])], ["chunk", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    parts = drop.select("__mark").mapInArrow(partial, "chunk int, bits binary")
+    for row in parts.groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").toLocalIterator():
+        out[row.chunk * size : row.chunk * size + size] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def may_hold(filter_: np.ndarray, spark: SparkSession) -> Callable[[Column], Column]:
+    """Column function: whether a filter may hold a hash."""
+    shared = spark.sparkContext.broadcast(filter_)
+
+    @F.arrow_udf("boolean")
+    def run(marks: pa.Array) -> pa.Array:
+        return pa.array(in_filter(shared.value, np.asarray(marks.fill_null(0)).view(np.uint64)))
+
+    return run
+
+
 def thin(least: int) -> Callable[[Column, Column], Column]:
     """Column function: text without the lines whose key hash is listed, with line counts."""
 
@@ -245,8 +284,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         found = cut(suspects(named, least, twice_seen(docs, text, least, bits)))
     else:
         found = cut(joined_suspects(named, least, cut(range_suspects(named, least, lines, min(RANGE_BITS, max_filter_bits)))))
-    drop = later_holders(found).groupBy("id").agg(F.collect_set("hash").alias("__drop"))
-    joined = docs.join(drop.withColumnRenamed("id", "__id"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    drop = cut(later_holders(found).groupBy("id").agg(F.collect_set("hash").alias("__drop")).withColumn("__mark", F.xxhash64("id")))
+    touched = may_hold(id_filter(drop, max_filter_bits), docs.sparkSession)(F.xxhash64(doc_id))
+    marked = docs.withColumn("__touched", F.coalesce(touched, F.lit(False)))
+    hit = marked.where("__touched").join(drop.select(F.col("id").alias("__id"), "__drop"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    joined = hit.unionByName(marked.where("NOT __touched").withColumn("__drop", F.lit(None).cast("array<bigint>"))).drop("__touched")
     joined = joined.withColumn("__kept", thin(least)(F.col(text), F.col("__drop")))
     kept = [F.col("__kept.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*kept, F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped"))
