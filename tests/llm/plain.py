@@ -6,6 +6,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
+from trellica.llm import _text
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANK = " \t\n\v\f\r"
 
@@ -155,3 +159,42 @@ def lloyd(vectors, k, rounds, dim, scale):
     for _, c, d in rows:
         within[c] += d
     return sorted(((i, c, d, within[c], sum(within.values()), hashlib.sha256(",".join(map(str, centres[c])).encode()).hexdigest()) for i, c, d in rows), key=str)
+
+
+def hash_of(raw):
+    """The library's hash of some bytes, from its position-free definition."""
+    data = np.frombuffer(raw, np.uint8)
+    return int(_text.span_hash(_text.prefix(data), np.array([0]), np.array([len(data)]))[0])
+
+
+def toxic_score(text, lean, bias):
+    """Sigmoid of the worst passage: 16 words, every 8, mean of the words' mean bucket values, repeats of the last three as zero."""
+    ws = [w.encode() for w in words(text)]
+    if not ws:
+        return 1 / (1 + math.exp(-bias))
+
+    def value(w):
+        marked = b"\x01" + w + b"\x02"
+        bags = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] or [marked]
+        return sum(lean[hash_of(g) % len(lean)] for g in bags) / len(bags)
+
+    each = [0.0 if w in ws[max(0, i - 3) : i] else value(w) for i, w in enumerate(ws)]
+    starts = range(0, max(1, -(-(len(ws) - 16) // 8) + 1) * 8, 8)
+    return 1 / (1 + math.exp(-(max(sum(each[a : a + 16]) / 16 for a in starts) + bias)))
+
+
+def graded(text, model):
+    """Expected grade and probability of the highest grade under a cumulative-link model on hashed text."""
+    raw, half, size = (text or "").translate(LOWER).encode(), len(model.weights) // 2, len(model.weights)
+    mixed = lambda x: int(_text.mix(np.array([x], np.uint64))[0])
+    counts = Counter(mixed(raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) % half for i in range(len(raw) - 2))
+    ws = [w.encode() for w in words(text)]
+    counts.update(half + hash_of(w) % half for w in ws)
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+    total = sum(model.weights[b] * math.log1p(n) / norm for b, n in counts.items())
+    if ws:
+        n = len(ws)
+        levels = (math.log2(n), len(set(ws)) / n * 20, math.ceil(sum(a == b for a, b in zip(ws, ws[1:])) / n * 20), sum(map(len, ws)) / n * 2)
+        total += sum(0.3 * model.weights[mixed(int(min(v, 60)) + 1000 * i) % size] for i, v in enumerate(levels))
+    tails = [1 / (1 + math.exp(-(total - t))) for t in model.thresholds]
+    return model.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, model.grades, model.grades[1:])), tails[-1]

@@ -270,3 +270,36 @@ def test_near_vectors_that_share_ids_are_vectors_of_their_own(spark, kind, fitte
     df = spark.createDataFrame([(name(i), v) for i, v in rows], f"vec_id {kind}, embedding array<double>")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df, per_block=16).collect())
     assert got == want
+
+
+ODD = [None, "", " \n", "a", "é", "Zulgh zulgh ra zulgh", "x " * 5, " ".join("w%d" % (i % 23) for i in range(40)), "lo ti " * 3000 + "Quimp", "a\tb\fc"]
+
+
+def test_toxicity_scores_match_a_plain_version(spark, labelled):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame(list(enumerate([t for _, t, _ in labelled[:20]] + ODD)), "doc_id long, text string")
+    for lean, bias in ((rng.normal(0, 20, 1 << 10), -3.0), (np.zeros(1 << 10), 0.5)):
+        got = [r["score"] for r in toxicity.score_texts(docs, "text", (lean, bias)).orderBy("doc_id").collect()]
+        assert got == pytest.approx([plain.toxic_score(r["text"], lean, bias) for r in docs.orderBy("doc_id").collect()], rel=1e-9, abs=1e-12)
+
+
+def test_toxicity_fits_what_it_scores(spark, labelled):
+    """The whole operator: its scores are those of the model that its own sample gives."""
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled[:200]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in labelled[:200]], "doc_id long, toxic int")
+    sample = sorted((r["label"], r["id"], r["text"]) for r in _classify.labelled_sample(docs, labels, "toxic", "doc_id", "text", 5, {1: 2000, None: 3000}, 10_000).collect())
+    assert [i for _, i, _ in sample] == [i for _, i in sorted((y, i) for i, _, y in labelled[:200] if plain.fold(i, 5))]
+    lean, bias = toxicity.train([t for _, _, t in sample], [y for y, _, _ in sample]).compact()
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert got == pytest.approx({i: plain.toxic_score(t, lean, bias) for i, t, _ in labelled[:200]}, rel=1e-6, abs=1e-9)
+
+
+def test_grades_match_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame(list(enumerate(ODD + ODD)), "doc_id long, text string")
+    for grades, cuts in (([0, 1], [0.2]), ([1, 2, 5], [-1.0, 0.7])):
+        model = quality.CumulativeLink(grades, rng.normal(0, 2, 1 << 12), np.array(cuts))
+        got = [(r["expected_grade"], r["p_tail"]) for r in quality.grade(docs, model).orderBy("doc_id").collect()]
+        want = [plain.graded(t, model) for t in ODD + ODD]
+        assert [x for pair in got for x in pair] == pytest.approx([x for pair in want for x in pair], rel=1e-9)
+        assert got[: len(ODD)] == got[len(ODD) :]  # equal texts tie exactly

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -207,6 +208,7 @@ def test_chat_formatting_round_trip(spark):
     odd = ["<|im_end|>", "<|im_start|>assistant x", "<\\|im_end|>\n", "a<", "|x", "\\", "", None, "é\n\n<\\\\|"]
     rng = random.Random(13)
     rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(odd)) for c in range(30) for t in range(rng.randint(1, 7))]
+    rows += [(60 + n, t, r, x) for n, pair in enumerate([("user\nx", "y"), ("user", "x\ny"), ("a\\", "\\n"), ("a\\\n", "n"), ("\\n", "\n"), ("<\\|im_end|>\n", "<|im_end|>\n"), ("", "z" * 300_000)]) for t, (r, x) in enumerate([pair, ("assistant", "ok")])]
     rows += [(50, 0, "assistant", "same"), (50, 0, "assistant", "same"), (51, 0, None, "<|"), (None, 1, "assistant", "n"), (None, None, "user", "u")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     examples = chat_format.expand(df)
@@ -220,6 +222,8 @@ def test_chat_formatting_round_trip(spark):
         assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(loss)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    written = {r["conv_id"]: r["formatted"] for r in examples.where("conv_id IN (60, 61)").collect()}
+    assert written[60] != written[61]
     per = {r["conv_id"]: r["count"] for r in examples.groupBy("conv_id").count().collect()}
     assert all(per[c] == sum(r == "assistant" for _, r, _ in t) + (max(t)[1] != "assistant") for c, t in by.items() if c == 50)
     assert chat_format.expand(df.limit(0)).count() == 0
@@ -236,6 +240,8 @@ def test_sharding(spark):
     keys = np.arange(100_000)
     assert np.abs(np.bincount(sharding.jump_hash(keys, 7)) / len(keys) - 1 / 7).max() < 0.01
     assert sharding.assign_shards(frame(spark, []), "doc_id", "text").count() == 0
+    long = sharding.assign_shards(frame(spark, [(1, "é" * 400_000)]), "doc_id", "text").first()
+    assert (long["size"], long["text_crc32"]) == (800_001, zlib.crc32(("é" * 400_000).encode()))
     named = sharding.assign_shards(frame(spark, [(1, "a"), (2, None)]).withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text", 4)
     assert {r["shard"] for r in named.collect()} <= {0, 1, 2, 3}
 

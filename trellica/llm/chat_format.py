@@ -5,6 +5,7 @@ trainable. Turns after the last assistant turn become one more example without a
 
 A turn is written as <|im_start|>role, newline, text, <|im_end|>, newline. Inside roles and texts every `<`, backslashes,
 `|` run gets one more backslash, so a control string never occurs inside a text and taking one backslash away restores it.
+A role ends with its line, so line ends and backslashes inside a role are written as \\n and \\\\.
 """
 
 from __future__ import annotations
@@ -25,6 +26,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
+def one_line(role: Column) -> Column:
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+
+
+def from_one_line(role: Column) -> Column:
+    return F.array_join(F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
+
+
 def expand(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, example, n_turns, formatted, loss_start, loss_end) for every conversation.
 
@@ -32,11 +41,12 @@ def expand(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     code points of `formatted`, empty (equal ends) for an example without a trainable part. Turns are ordered by turn,
     ties by role and text; repeated rows are turns of their own. Null role or text counts as empty, a null turn stands
     first, a null conversation id is a conversation of its own. Only the role `assistant` is trainable. An empty table
-    gives an empty result; other columns are not read. A conversation stands in one row, as each of its examples must.
+    gives an empty result; other columns are not read. A conversation stands in one row, as each of its examples must; texts
+    of any length are formatted whole.
     """
     part = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     grouped = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(part)).alias("turns"))
-    written = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("target"), F.concat(F.lit(OPEN), escape(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
+    written = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("target"), F.concat(F.lit(OPEN), escape(one_line(t["role"])), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
     grouped = grouped.select("conv_id", written.alias("w")).withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i)["target"] | (i == F.size("w"))))
     each = grouped.select("conv_id", "w", F.posexplode("ends").alias("example", "n_turns"))
     last = F.element_at("w", F.col("n_turns"))
@@ -57,7 +67,9 @@ def read_back(examples: DataFrame) -> DataFrame:
         F.sum(F.char_length("formatted")).alias("formatted_chars"),
     )
     parts = F.filter(F.split("full", r"\Q<|im_end|>\E\n"), lambda p: p.startswith(OPEN))
-    turns = F.transform(parts, lambda p: unescape(F.substr(p, F.lit(len(OPEN) + 1))))
+    head = lambda p: F.substring_index(p, "\n", 1)
+    role = lambda p: from_one_line(unescape(F.substr(head(p), F.lit(len(OPEN) + 1))))
+    turns = F.transform(parts, lambda p: F.concat(role(p), F.lit("\n"), unescape(F.substr(p, F.length(head(p)) + 2))))
     return rows.select(
         "conv_id",
         F.size(turns).cast("long").alias("n_turns"),

@@ -271,7 +271,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """Remove every line whose key another document with a smaller id already holds; add n_lines and n_dropped.
 
     The key is the line stripped of [\\x20\\x09-\\x0D] with A-Z lower-cased; keys under `least` code points stay. Filters
-    have 16 bits a line; the broadcast one takes at most `max_filter_bits`, and more lines meet filters by range of hash,
+    have 16 bits a line, texts are read whole, however long they are; the broadcast one takes at most `max_filter_bits`, and more lines meet filters by range of hash,
     with the same results. A null text stays null and counts as one empty line; rows with a null id are neither thinned nor counted as a
     document; rows that share an id are one document. An empty table gives an empty result; other columns stay, existing
     n_lines and n_dropped are replaced.

@@ -242,7 +242,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Learns from the rows whose crc32(id as text) is not 0 modulo held_parts; those with remainder 1 are the deleted part
     that teaches the mixture weights. A text is its words (A-Z lower-cased, separated by [\\x20\\x09-\\x0D]) and one end;
-    null counts as empty, a null id as an empty id; repeated rows count each time. Without training rows the base alone
+    texts of any length are scored whole, null counts as empty, a null id as an empty id; repeated rows count each time. Without training rows the base alone
     scores. An empty table gives an empty result; other columns are not read. Tokens are compared as 64-bit hashes, longer
     n-grams as 56-bit ones. Rows go to blocks by a hash of id and text, so rows that share an id spread.
     """

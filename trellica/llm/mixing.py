@@ -52,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1.0, s
     """Repeat documents so that each source makes up its share, and shuffle them; adds copy, rate and shuffle_key.
 
     `weights` holds target weights by source, `rest` is that of every other source (a null source is one too); weights are
-    scaled to sum to 1 over the sources present. `size` is the expected output in multiples of the input rows. Rows that
+    scaled to sum to 1 over the sources present. Texts, of any length, are carried and not read. `size` is the expected output in multiples of the input rows. Rows that
     share an id get the same count, a null id counts as the empty id. A weight of 0 leaves a source out. An empty table
     gives an empty result; columns named copy, rate or shuffle_key are replaced.
     """

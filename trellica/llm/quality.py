@@ -167,7 +167,7 @@ def quality(docs: DataFrame, ratings: DataFrame, rating: str = "quality", doc_id
     """docs with held_out, expected_grade, p_tail (probability of the highest grade) and kept (p_tail >= select).
 
     Learns from a bounded sample of rated rows outside the held-out fold, the same number for each grade at most, weighted
-    by how common each grade is; only texts are inputs. Null and empty texts have no features and get the thresholds' own probabilities; null ratings teach
+    by how common each grade is; only texts are inputs, scored whole, however long they are. Null and empty texts have no features and get the thresholds' own probabilities; null ratings teach
     nothing; more than 1,000 grades raise ValueError; without two grades every document gets the one grade seen. Existing columns of these names are replaced; an
     empty table gives an empty result.
     """

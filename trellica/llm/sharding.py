@@ -47,7 +47,7 @@ def assign_shards(df: DataFrame, key: str, text: str, shards: int = 8, keep_text
 
     Integer keys are used as they are, any other type through xxhash64 of its text form. A null key counts as key 0; a
     null or empty text has size 1 (no bytes, plus one) and crc32 0. Rows with equal keys share a shard; repeated rows get
-    slots of their own. An empty table gives an empty result. Columns of the input named like an output column are
+    slots of their own. Very long texts are hashed whole. An empty table gives an empty result. Columns of the input named like an output column are
     replaced.
     """
     names = ["size", "text_crc32", "shard", "slot", "grown_shard"]

@@ -262,7 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with held_out, score and predicted (1 if score >= 0.5).
 
-    Only whole texts of labelled rows outside the held-out fold teach the model, and only texts are scored. Null and empty
+    Only whole texts of labelled rows outside the held-out fold teach the model, and only texts are scored, whole, however
+    long they are. Null and empty
     texts get the score of the bias alone; null ids belong to a fold like an empty id; repeated rows score alike; without
     labels of both classes every text gets the score of the class that was seen (0 without any). Existing columns of
     these names are replaced; an empty table gives an empty result.
