@@ -287,11 +287,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     drop = cut(later_holders(found).groupBy("id").agg(F.collect_set("hash").alias("__drop")).withColumn("__mark", F.xxhash64("id")))
     touched = may_hold(id_filter(drop, max_filter_bits), docs.sparkSession)(F.xxhash64(doc_id))
     marked = docs.withColumn("__touched", F.coalesce(touched, F.lit(False)))
-    hit = marked.where("__touched").join(drop.select(F.col("id").alias("__id"), "__drop"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
-    joined = hit.unionByName(marked.where("NOT __touched").withColumn("__drop", F.lit(None).cast("array<bigint>"))).drop("__touched")
-    joined = joined.withColumn("__kept", thin(least)(F.col(text), F.col("__drop")))
+    hit = marked.where("__touched").join(drop.select(F.col("id").alias("__id"), "__drop"), F.col(doc_id) == F.col("__id"), "left").withColumn("__kept", thin(least)(F.col(text), F.col("__drop")))
     kept = [F.col("__kept.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*kept, F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped"))
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    whole = marked.where("NOT __touched").select(*[f"`{c}`" for c in docs.columns], (F.coalesce(breaks, F.lit(0)) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return hit.select(*kept, F.col("__kept.n_lines").alias("n_lines"), F.col("__kept.n_dropped").alias("n_dropped")).unionByName(whole)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
