@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trellica.__main__ import main
 from trellica.functions.certificate import certificate, framed_sha256, parameters
 from trellica.functions.scoring import EDIT, Matrix, Scoring
 from trellica.operators.align import align, with_operations
@@ -171,3 +172,23 @@ def test_parameter_text():
     assert parameters("local-linear", Scoring(gap=-4, matrix=m), "00ff") == '{"kind":"linear","substitution":{"type":"matrix","name":"m","source_sha256":"00ff"},"gap":-4}'
     assert parameters("global-linear", Scoring(), seeding=(15, 10, 128)).endswith('"gap":-2,"seed_k":15,"seed_window":10,"seed_flank":128}')
     assert Scoring(matrix=m).label() == "matrix:m" and Scoring(1, 1).label() == "match:1,mismatch:1"
+
+
+def test_command(spark, tmp_path, capsys):
+    (tmp_path / "q.fq").write_text("@q1\nACGT\n+\nIIII\n@q2\nAC-T\n+\nIIII\n")
+    (tmp_path / "t.fa").write_text(">t1\nACCT\n>t2\nACT\n")
+    files = ["--query-file", str(tmp_path / "q.fq"), "--target-file", str(tmp_path / "t.fa")]
+    assert main(["edit-distance", *files, "--format", "tsv", "--verify"], spark) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert said[0].startswith("pair_index\t") and [x.split("\t")[5] for x in said[1:]] == ["1", "1"] and "full" in said[2]
+    assert main(["global-affine", *files, "--format", "sam", "--output", str(tmp_path / "sam"), "--engine", "auto", "--band", "1"], spark) == 0
+    assert "".join(p.read_text() for p in sorted((tmp_path / "sam").glob("part-*"))).startswith("@HD")
+    assert main(["global-linear", "--query", "WAR", "--target", "WR", "--matrix", "blosum62", "--gap", "-4", "--format", "json", "--certificate", "--show-alignment"], spark) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["score"] == 11 - 4 + 5 and told["aligned_target"] == "W-R" and len(told["certificate"]["trace_sha256"]) == 64
+    assert main(["seeded-global-linear", "--query", "TTACGTAA", "--target", "GGACGTCC", "--seed-k", "2", "--seed-window", "2", "--seed-flank", "1", "--format", "jsonl"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["cigar"] == "1X4=1X"
+    bad = ["edit-distance", "--query", "AAAA", "--target", "TTTT", "--engine", "fixed-banded", "--band", "2", "--continue-on-error"]
+    assert main(bad, spark) == 1 and "no alignment inside the band" in capsys.readouterr().out
+    assert main(["edit-distance", "--query", "A", "--target", "A", "--engine", "x"], spark) == 2 and "engines" in capsys.readouterr().err
+    assert main(["seeded-global-linear", "--query", "AAAA", "--target", "CCCC"], spark) == 2 and "seed" in capsys.readouterr().err

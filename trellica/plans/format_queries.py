@@ -153,9 +153,8 @@ def zip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by brand against parts by size, each side in several FASTA files, paired in the order of files and records."""
 
     def side(by: str) -> DataFrame:
-        record = F.concat(F.lit(">"), F.col("p_partkey"), F.lit("\n"), "p_name", F.lit("\n"))
-        files = table(spark, sf_dir, "part").groupBy(F.format_string("%s.fa", F.col(by).cast("string")).alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", record.alias("r")))), lambda x: x["r"]), "").alias("text"))
-        return sequences.parse(files)
+        record = F.concat(F.lit(">"), F.col("p_partkey"), F.lit("\n"), "p_name")
+        return sequences.read_fasta(spark, record_files(table(spark, sf_dir, "part"), by, "p_partkey", record))
 
     return sequences.zip_pairs(side("p_brand"), side("p_size")).select("pair_index", "query_id", "target_id", "query", "target")
 

@@ -27,9 +27,11 @@ def exit_status(statuses: dict[str, int]) -> int:
 
 def lines(aligned: DataFrame, form: str) -> DataFrame:
     """(place, value): all lines of a report, header lines at places below 0."""
-    made = {"tsv": reports.tsv, "cigar": reports.cigar_table, "text": reports.text, "json": reports.json_lines, "paf": reports.paf, "sam": reports.sam}
+    made = {"tsv": reports.tsv, "cigar": reports.cigar_table, "text": reports.text, "json": reports.json_lines, "document": reports.json_document, "paf": reports.paf, "sam": reports.sam}
     if form not in made:
         raise ValueError(f"form must be one of {', '.join(made)}")
+    if form == "document":
+        return reports.json_document(aligned)
     body = made[form](aligned).select(F.col("pair_index").cast("long").alias("place"), "value")
     if form == "sam":
         head = reports.sam_header(aligned)
@@ -50,7 +52,8 @@ def write_report(aligned: DataFrame, path: str, form: str = "tsv") -> dict[str,
     together or not at all.
     """
     ensure_checkpoint_dir(aligned.sparkSession)
-    lines(aligned, form)  # a wrong form fails before the work
+    if form != "document":
+        lines(aligned, form)  # a wrong form fails before the work
     watched, seen = observed(aligned)
     held = watched.checkpoint()
     found = seen.get
