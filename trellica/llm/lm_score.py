@@ -118,7 +118,7 @@ def ask(order: int, bits: int) -> Callable:
 
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: all n-grams of some fragments; answers each block with totals, and deleted blocks also with what others hold."""
+    """Task: all n-grams of a fragment; answers each block with totals, and deleted blocks also with what others hold."""
     rows = [r for b in batches for r in b.select(["part", "block", "size", "grams", "counts"]).to_pylist()]
     if not rows:
         return
@@ -255,7 +255,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("id"), packed(whole).alias("packed"), F.octet_length(whole).alias("size"), (deal * 3 + kind).cast("bigint").alias("block"))
     asked = rows.groupBy("block").applyInArrow(ask(order, bits), "part int, block bigint, size bigint, grams binary, counts binary")
-    replies = cut(asked.repartition(1 << bits, "part").mapInArrow(answer, "part int, block bigint, size bigint, totals binary, others binary, types bigint, tokens bigint, other_tokens bigint"), chain=True)
+    replies = cut(asked.repartitionById(2 << bits, "part").mapInArrow(answer, "part int, block bigint, size bigint, totals binary, others binary, types bigint, tokens bigint, other_tokens bigint"), chain=True)
     types, total, other = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "other_tokens")]).first()
     fields = ", ".join(f"f{i} double" for i in range(order + 1))
     deleted = F.pmod("block", F.lit(3)) == DELETED

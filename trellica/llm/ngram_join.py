@@ -239,8 +239,8 @@ def groups(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> DataFr
     """near_duplicates() of (id, text) with bigint ids."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(15, max(6, int(size // fragment_bytes).bit_length()))
-    packed = docs.mapInArrow(segments(k, bits), PACK).repartition(1 << bits, "part")
-    shared = packed.mapInArrow(frequencies(1 << bits), PACK).repartition(1 << bits, "part")
+    packed = docs.mapInArrow(segments(k, bits), PACK).repartitionById(1 << bits, "part")
+    shared = packed.mapInArrow(frequencies(1 << bits), PACK).repartitionById(1 << bits, "part")
     schema = "id bigint, n bigint, shared bigint, mark1 bigint, mark2 bigint, front array<bigint>, parts array<array<bigint>>, sketch array<bigint>, live boolean"
     every = cut(shared.mapInArrow(sets(percent), schema), chain=True)
     live = every.where("live")
