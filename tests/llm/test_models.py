@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-from trellica.llm import _classify, embedding_dedup, quality, toxicity
+from trellica.llm import _classify, _text, embedding_dedup, ngram_join, quality, toxicity
 
 
 def prose(rng, n):
@@ -56,6 +57,50 @@ def test_windows_cover_whole_texts():
         assert {x for a, b in zip(start[text == i], end[text == i], strict=True) for x in range(a, b)} == set(range(base, base + n))
 
 
+def peak_mb(work):
+    """What work() gives, and the most memory that it had at once and what it keeps."""
+    _text._POWERS.clear()
+    tracemalloc.start()
+    try:
+        return work(), *(x / 1e6 for x in reversed(tracemalloc.get_traced_memory()))
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_are_hashed_in_small_passes():
+    """Two workers of an executor score and cut batches of 4 MB beside its heap; a pass over all of it took 151 MB and kept 64."""
+    rng = random.Random(25)
+    texts = pa.array(["", None] + [prose(rng, 400) for _ in range(2000)] + [prose(rng, 60_000)])
+    model = np.random.default_rng(1).normal(size=1 << 14), 0.5
+    assert 4e6 < texts.nbytes
+    whole, small = peak_mb(lambda: toxicity.scores(texts, model, 8 << 20)), peak_mb(lambda: toxicity.scores(texts, model))
+    assert np.allclose(whole[0], small[0], rtol=0, atol=1e-9) and len(small[0]) == len(texts)
+    assert small[1] < 50 < whole[1] and small[2] < 20 < whole[2]
+    whole, small = peak_mb(lambda: _text.shingles(*_text.buffers(texts), 5)), peak_mb(lambda: _text.text_shingles(texts, 5))
+    assert all((x == y).all() for x, y in zip(whole[0], small[0], strict=True))
+    assert small[1] < 50 < whole[1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["id", "text"])
+    rows, most, kept = peak_mb(lambda: sum(x.num_rows for x in ngram_join.segments(5, 6)(iter([batch]))))
+    assert rows and most < 90 and kept < 20
+    assert [len(x) for x in _text.text_shingles(texts.slice(0, 0), 5)] == [0, 0]
+
+
+def test_sample_keeps_types_and_needs_no_python_rows(spark, capsys):
+    """Ids of other types; the drawn ids go back to Spark as an Arrow table, not as an RDD of Python workers."""
+    for kind in ("string", "decimal(20,0)", "timestamp_ntz", "struct<a:bigint,b:string>"):
+        cast = {"timestamp_ntz": "cast(timestamp_seconds(id) as timestamp_ntz)", "struct<a:bigint,b:string>": "struct(id as a, cast(id as string) as b)"}.get(kind, f"cast(id as {kind})")
+        rows = spark.range(200).selectExpr(f"{cast} as doc_id", "concat('word ', id) as text", "cast(id % 2 as int) as toxic")
+        docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
+        by = F.lit(True) if "struct" in kind else _classify.fold("doc_id", 5) != 0
+        want = {r["text"] for r in rows.where(by).collect()}
+        got = _classify.labelled_sample(docs, labels, "toxic", "doc_id", "text", 5, {None: 1000}, 100)
+        assert {r["text"] for r in got.collect()} <= want and got.count() > 100 and {r["label"] for r in got.collect()} == {0, 1}
+        assert "struct" in kind or got.count() == len(want)
+        got.explain()
+        assert "Scan" in (plan := capsys.readouterr().out) and "Scan ExistingRDD[__id" not in plan
+    assert _classify.labelled_sample(docs, labels.limit(0), "toxic", "doc_id", "text", 5, {None: 1000}, 100).count() == 0
+
+
 def test_quality_orders_several_grades(spark):
     rng = random.Random(31)
     noise = lambda n: " ".join(rng.choice(["###", "%%%", "!!"]) for _ in range(n))

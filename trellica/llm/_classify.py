@@ -38,11 +38,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str,
     drawn = []
     for value in values:
         limit, used = most.get(value, most.get(None)), 0
-        for r in sizes.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(limit).collect():
-            if used + r["__size"] <= limit * most_bytes:
-                used += r["__size"]
-                drawn.append((r["__id"], value))
-    chosen = docs.sparkSession.createDataFrame(drawn, known.schema)
+        ordered, kept = sizes.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(limit).toArrow(), []
+        for i, size in enumerate(ordered["__size"].to_pylist()):
+            if used + size <= limit * most_bytes:
+                used += size
+                kept.append(i)
+        drawn.append(ordered.select(["__id", "__label"]).take(pa.array(kept, pa.int64())))
+    chosen = docs.sparkSession.createDataFrame(pa.concat_tables(drawn), known.schema) if drawn else known.limit(0)  # an Arrow table needs no Python on executors
     return rows.join(F.broadcast(chosen), "__id").groupBy("__label", "__id").agg(F.min("__text").alias("text")).select(F.col("__label").alias("label"), F.col("__id").alias("id"), "text")
 
 
@@ -53,9 +55,11 @@ def fit_in_task(sample: DataFrame, train: Callable):
         held = list(batches)
         texts, labels = [], []
         if held:
-            rows = pa.Table.from_batches(held).sort_by([("label", "ascending"), ("id", "ascending")])
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            rows = rows.sort_by([("label", "ascending"), ("id", "ascending")])
             texts, labels = rows["text"].combine_chunks(), rows["label"].to_pylist()
-            del rows, held
+            del rows
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").first()  # an empty sample may have no partition

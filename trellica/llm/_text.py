@@ -79,6 +79,10 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.diff(cut)
 
 
+#: Bytes of text hashed at a time where the results are smaller than the passes: a pass takes 8 bytes for each of them.
+PASS = 1 << 19
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `most` bytes of text; a longer text comes alone."""
     for batch in batches:
@@ -122,6 +126,12 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return out, made
 
 
+def text_shingles(texts: pa.Array, k: int, most: int = PASS) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of a column of whole texts, about `most` bytes hashed at a time."""
+    found = [shingles(*buffers(piece.column(0)), k) for piece in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", most)]
+    return np.concatenate([np.empty(0, np.uint64), *(x for x, _ in found)]), np.concatenate([np.empty(0, np.int64), *(n for _, n in found)])
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from flat values and the length of each list."""
     off = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trellica.llm._skew import join_spread
 from trellica.llm._store import cut, table
-from trellica.llm._text import buffers, chunks, lists, mix, shingles
+from trellica.llm._text import chunks, lists, mix, text_shingles
 from trellica.llm.components import components
 
 PACK = "part int, ids array<bigint>, sizes array<int>, counts array<int>, hashes array<bigint>, df array<int>"
@@ -45,7 +45,7 @@ def segments(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             ids = np.asarray(batch.column(0)).astype(np.int64)
-            flat, made = shingles(*buffers(batch.column(1)), k)
+            flat, made = text_shingles(batch.column(1), k)
             cut_at = np.concatenate(([0], np.cumsum(made)))
             own = [np.unique(flat[a:b]) for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
             n = np.fromiter(map(len, own), np.int64, len(own))

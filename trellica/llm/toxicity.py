@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trellica.llm._classify import fit_in_task, fold, labelled_sample
 from trellica.llm._store import table
-from trellica.llm._text import buffers, chunks, prefix, span_hash, words
+from trellica.llm._text import PASS, buffers, chunks, prefix, span_hash, words
 
 WINDOW, STEP, REPEAT = 16, 8, 3
 #: Words whose n-grams are hashed at a time, which bounds the memory of long batches.
@@ -90,6 +90,8 @@ class Vocabulary:
             counts.append(count)
         if not hashes:
             return Vocabulary(*[np.empty(0, np.int64) for _ in range(5)])
+        subs, per_word = np.concatenate(ids), np.concatenate(per)
+        del ids, per
         order = np.argsort(known).astype(np.int32)
         tokens = [order[np.searchsorted(known, hashes.pop(0), sorter=order)] for _ in range(len(hashes))] if len(known) else [np.empty(0, np.int32)]
         tokens, count = np.concatenate(tokens), np.concatenate(counts)
@@ -97,7 +99,7 @@ class Vocabulary:
         place = np.arange(len(tokens), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
         for back in range(1, min(REPEAT, len(tokens) - 1) + 1):
             fresh[back:][(tokens[back:] == tokens[:-back]) & (place[back:] >= back)] = 0
-        return Vocabulary(tokens, fresh, count, np.concatenate(ids), np.concatenate(per))
+        return Vocabulary(tokens, fresh, count, subs, per_word)
 
     def word_means(self, values: np.ndarray) -> np.ndarray:
         """Mean of a per-bucket value over each word's subwords, PIECE words at a time."""
@@ -215,7 +217,7 @@ def train(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 18
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return SubwordSoftmax(np.zeros((buckets, dim)), np.zeros((dim, 2)), np.array([0.0, -8.0 if not len(y) or y[0] == 0 else 8.0]))
-    vocabulary = Vocabulary.of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), buckets, 1 << 19)
+    vocabulary = Vocabulary.of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), buckets, PASS)
     model.embedding[:, 0] += 0.5 * contrast(vocabulary, y, buckets)
     model.weights[0] += (-1.0, 1.0)
     word_first = np.cumsum(vocabulary.per_word) - vocabulary.per_word
@@ -236,19 +238,24 @@ def train(texts: list[str] | pa.Array, labels: list[int], buckets: int = 1 << 18
     return model
 
 
+def scores(texts: pa.Array, model: tuple[np.ndarray, float], most: int = PASS) -> pa.Array:
+    """Score of each whole text by a model's compact() form, about `most` bytes of text at a time."""
+    lean, bias = model
+    parts = []
+    for piece in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", most):
+        value, _, _ = worst(Vocabulary.of(piece.column(0), len(lean)), lean, bias)
+        parts.append(pa.array(1 / (1 + np.exp(-np.clip(value, -60, 60))), pa.float64()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.float64())
+
+
 def score_texts(docs: DataFrame, text: str, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
     """docs with the score of each whole text by a model's compact() form, a bounded table that is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lean, bias = shared.value
         for column in texts:
-            parts = []
-            for piece in chunks(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
-                value, _, _ = worst(Vocabulary.of(piece.column(0), len(lean)), lean, bias)
-                parts.append(pa.array(1 / (1 + np.exp(-np.clip(value, -60, 60))), pa.float64()))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.float64())
+            yield scores(column, shared.value)
 
     return docs.withColumn(out, score(F.col(text)))
 
