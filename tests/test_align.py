@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import oracle
 from trellica.functions import cigar as C
 from trellica.functions import kernels as K
 from trellica.functions.scoring import EDIT, LCS, Matrix, Scoring, blosum62
 from trellica.operators import align as A
+from trellica.plans.align_queries import edit_operation_totals, operation_totals
 
 PAIR = "pair_index long, query_id string, query string, target_id string, target string"
 
@@ -204,3 +206,30 @@ def test_split_columns_read_off_at_once_are_those_of_splitting(monkeypatch):
             monkeypatch.setattr(K, "SMALL", -1)
             assert fast == K.trace_linear(q, t, scoring.table(), scoring.gap, block, box)
             monkeypatch.setattr(K, "SMALL", 400)
+
+
+@pytest.mark.parametrize("together", [1 << 20, 4000, 1])
+def test_paths_found_together_are_those_of_each_pair(monkeypatch, together):
+    rng = random.Random(together)
+    monkeypatch.setattr(K, "TOGETHER", together)
+    monkeypatch.setattr(K, "SHORT", 900)  # the longest pairs go one by one
+    for scoring in (EDIT, LCS, Scoring(), Scoring(1, 3, gap=-1), Scoring(0, 0, gap=0)):
+        texts = [("".join(rng.choices("ACG", k=rng.randint(0, 40))).encode(), "".join(rng.choices("ACG", k=rng.randint(0, 40))).encode()) for _ in range(80)]
+        blocks = [rng.choice((0, 1, 2, 3, 7, 50)) for _ in texts]
+        boxes = [(0, 0, len(q), len(t)) if k % 2 else (len(q) // 3, len(t) // 4, len(q) - len(q) // 5, len(t) - len(t) // 6) for k, (q, t) in enumerate(texts)]
+        one = lambda q, t, block, box: K.runs(K.trace_linear(np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8), scoring.table(), scoring.gap, block, box))
+        want = [one(q, t, block, box) for (q, t), block, box in zip(texts, blocks, boxes, strict=True)]
+        assert K.traces(texts, scoring.table(), scoring.gap, blocks, boxes) == want
+    assert K.traces([], EDIT.table(), EDIT.gap, [], []) == []
+
+
+def test_operation_totals_pass_the_kernel_once_after_dealing(spark, capsys):
+    edit_operation_totals(spark, oracle.SMALL).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_operation_totals_keep_every_pair(spark):
+    df = spark.createDataFrame([(7, "q", "", "t", ""), (8, "q", "AC", "t", "AGC"), (8, "q", "AC", "t", "A"), (9, "q", None, "t", "A")], PAIR)
+    out = operation_totals(df).collect()
+    assert sorted(map(tuple, out), key=str) == [(7, 0, 0, 0), (8, 2, 1, 1), (8, 2, 3, 1), (9, None, None, None)]

@@ -339,6 +339,123 @@ def trace_linear(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int, bloc
     return "".join(walk_linear(q[i:k], t[j:m], table, gap) for (i, j), (k, m) in zip(stops[:-1], stops[1:], strict=True))
 
 
+#: Cells of a pair up to which its path is found together with those of other pairs, and of all pairs taken at once.
+SHORT, TOGETHER = 1 << 14, 1 << 20
+#: Steps of a path on the way back: how many rows and columns they leave behind.
+DIAGONAL, UP, LEFT, STOP = 0, 1, 2, 3
+
+
+def alike(pairs: list[tuple], cells: int) -> Iterator[np.ndarray]:
+    """Row numbers of pairs whose tables are of similar height and width, so that padded ones stay within `cells`."""
+    shape = [(len(q).bit_length(), len(t).bit_length()) for q, t in pairs]
+    order = sorted(range(len(pairs)), key=lambda k: (shape[k], len(pairs[k][0])))
+    for (high, wide), same in groupby(order, key=lambda k: shape[k]):
+        same, size = list(same), max(1, cells >> (high + wide))
+        for at in range(0, len(same), size):
+            yield np.array(same[at : at + size])
+
+
+def last_steps(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap: int, edge: np.ndarray | None = None, columns: np.ndarray | None = None) -> np.ndarray:
+    """Step by which an optimal path enters each cell (pair, row, column), for a batch of pairs.
+
+    Without columns it is the leftmost one: left before diagonal before up. With columns, paths start anew at every row
+    where `edge` is set, in its column there, and prefer diagonal, then up, then left.
+    """
+    column = np.arange(t.shape[1] + 1)
+    step = gap * column
+    out = np.full((len(q), q.shape[1] + 1, len(column)), LEFT, np.uint8)
+    out[:, 0, 0], out[:, 1:, 0] = STOP, UP
+    h = np.tile(step, (len(q), 1))
+    for i in range(1, q.shape[1] + 1):
+        diagonal, up = h[:, :-1] + table[q[:, i - 1, None], t], h + gap
+        h = up.copy()
+        np.maximum(h[:, 1:], diagonal, out=h[:, 1:])
+        h -= step
+        np.maximum.accumulate(h, axis=1, out=h)
+        h += step
+        slant = h[:, 1:] == diagonal
+        if columns is None:
+            left = h[:, 1:] == h[:, :-1] + gap
+            out[:, i, 1:] = LEFT * left.view(np.uint8) + ~(left | slant)
+            continue
+        out[:, i, 1:] = (~slant).view(np.uint8) << (h[:, 1:] != up[:, 1:]).view(np.uint8)
+        cut = np.flatnonzero(edge[:, i])
+        if len(cut):
+            beyond = column - columns[cut, i, None]
+            out[cut, i] = np.where(beyond > 0, LEFT, out[cut, i])
+            h[cut] = np.where(beyond >= 0, gap * beyond, -(2**60))
+    return out
+
+
+def walk_back(steps: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps, rows and columns (number of the step, pair) from the last cells (n, m) of all pairs to their first ones."""
+    _, height, width = steps.shape
+    flat, back = steps.reshape(-1), np.array([width + 1, width, 1, 0])
+    first = np.arange(len(n)) * height * width
+    at = first + n * width + m
+    cells, moves = [], []
+    while True:
+        move = flat[at]
+        if (move == STOP).all():
+            break
+        cells.append(at - first)
+        moves.append(move)
+        at = at - back[move]
+    row, column = np.divmod(np.array(cells, np.int64).reshape(-1, len(n)), width)
+    return np.array(moves, np.uint8).reshape(-1, len(n)), row, column
+
+
+def run_strings(symbols: np.ndarray) -> list[str]:
+    """Run-length operation string of each row of operation bytes, 0 standing for none."""
+    pair, place = np.nonzero(symbols)
+    ops = symbols[pair, place]
+    new = np.ones(len(ops), bool)
+    new[1:] = (ops[1:] != ops[:-1]) | (pair[1:] != pair[:-1])
+    starts = np.flatnonzero(new)
+    texts = [f"{n}{op}" for n, op in zip(np.diff(starts, append=len(ops)).tolist(), ops[starts].tobytes().decode(), strict=True)]
+    ends = np.cumsum(np.bincount(pair[starts], minlength=len(symbols))).tolist()
+    return ["".join(texts[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def short_traces(pairs: list[tuple[bytes, bytes]], table: np.ndarray, gap: int, blocks: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """Operation strings of short pairs of similar shape, as trace_linear() finds them, in two passes over all their tables.
+
+    offsets: how many rows of the block in which a pair begins lie before it. The first pass finds the columns at which
+    the leftmost paths leave the rows that blocks end with, the second the paths between them.
+    """
+    (q, n), (t, m) = padded([p[0] for p in pairs]), padded([p[1] for p in pairs])
+    row = np.arange(q.shape[1] + 1)
+    edge = ((row + offsets[:, None]) % blocks[:, None] == 0) & (row > 0) & (row < n[:, None])
+    columns = np.zeros(edge.shape, np.int64)
+    if edge.any():
+        moves, rows, at = walk_back(last_steps(q, t, table, gap), n, m)
+        step, pair = np.nonzero(moves < LEFT)
+        columns[pair, rows[step, pair]] = at[step, pair]
+    moves, rows, at = walk_back(last_steps(q, t, table, gap, edge, columns), n, m)
+    symbols = np.frombuffer(b"XDI\0", np.uint8)[moves]
+    step, pair = np.nonzero(moves == DIAGONAL)
+    same = q[pair, rows[step, pair] - 1] == t[pair, at[step, pair] - 1]
+    symbols[step[same], pair[same]] = ord("=")
+    return run_strings(symbols[::-1].T)
+
+
+def traces(pairs: list[tuple[bytes, bytes]], table: np.ndarray, gap: int, blocks: list[int], boxes: list[tuple[int, int, int, int]]) -> list[str]:
+    """Operation strings of trace_linear() for many pairs: short ones together, longer ones one after the other."""
+    out = [""] * len(pairs)
+    inner = [(q[a:b], t[p:c]) for (q, t), (a, p, b, c) in zip(pairs, boxes, strict=True)]
+    short = [k for k, (q, t) in enumerate(inner) if (len(q) + 1) * (len(t) + 1) <= SHORT]
+    size = np.array([block or max(1, len(q)) for block, (q, _) in zip(blocks, pairs, strict=True)], np.int64)
+    offset = np.array([box[0] for box in boxes], np.int64) % size
+    for pick in alike([inner[k] for k in short], TOGETHER):
+        own = [short[k] for k in pick]
+        for k, ops in zip(own, short_traces([inner[k] for k in own], table, gap, size[own], offset[own]), strict=True):
+            out[k] = ops
+    for k in sorted(set(range(len(pairs))) - set(short)):
+        q, t = (np.frombuffer(x, np.uint8) for x in pairs[k])
+        out[k] = runs(trace_linear(q, t, table, gap, blocks[k], boxes[k]))
+    return out
+
+
 def affine_band(q: np.ndarray, t: np.ndarray, table: np.ndarray, gap_open: int, gap_extend: int, band: int) -> np.ndarray:
     """Scores (row, lane, offset) of the cells with |row - column| <= band; column = row + offset - band. Lanes: match, D, I."""
     n, m, width = len(q), len(t), 2 * band + 1

@@ -83,23 +83,25 @@ def trace_column(mode: str, scoring: Scoring, query: Column, target: Column, blo
         elif mode != "global-affine":
             wide = [k for k, block_ in enumerate(blocks) if mode != "edit-distance" or block_]
             ends[wide, 0] = K.global_scores([pairs[k] for k in wide], table, s.gap)[:, 0]
-        ops: list[str | None] = []
+        ops: list[str | None] = [None] * len(pairs)
+        split = []
         for k, ((q, t), block_, band_) in enumerate(zip(pairs, blocks, bands, strict=True)):
             if mode == "edit-distance" and not block_:
                 found = K.trace_edits(q, t, automatic_band(len(q), len(t)) if band_ is None else band_)
                 if found or band_ is not None:
                     ends[k, 0], path = (-found[0], found[1]) if found else (K.NEG, None)
-                    ops.append(None if path is None else K.runs(path))
+                    ops[k] = None if path is None else K.runs(path)
                     continue
                 ends[k, 0] = K.global_scores([(q, t)], table, s.gap)[0, 0]  # many edits: their rows would outgrow a block of one
-            q, t = np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8)
             if mode == "global-affine":
-                found = K.trace_affine(q, t, table, s.gap_open, s.gap_extend, band_)
+                found = K.trace_affine(np.frombuffer(q, np.uint8), np.frombuffer(t, np.uint8), table, s.gap_open, s.gap_extend, band_)
                 ends[k, 0], path = found or (K.NEG, None)
-                ops.append(None if path is None else K.runs(path))
+                ops[k] = None if path is None else K.runs(path)
             else:
-                _, a, b, p, c = ends[k]
-                ops.append(K.runs(K.trace_linear(q, t, table, s.gap, block_ or int(mode == "edit-distance"), (int(a), int(p), int(b), int(c)))))
+                split.append(k)
+        boxes = [(int(a), int(p), int(b), int(c)) for _, a, b, p, c in ends[split]]
+        for k, path in zip(split, K.traces([pairs[k] for k in split], table, s.gap, [blocks[k] or int(mode == "edit-distance") for k in split], boxes), strict=True):
+            ops[k] = path
         return structs(score=ends[:, 0], query_start=ends[:, 1], query_end=ends[:, 2], target_start=ends[:, 3], target_end=ends[:, 4], cigar=np.array(ops, object))
 
     return on_pairs(run, kind)(query, target, block, F.lit(None).cast("int") if band is None else band)
