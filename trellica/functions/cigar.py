@@ -16,7 +16,7 @@ def valid(cigar: Column) -> Column:
 def run_list(cigar: Column) -> Column:
     """array<struct<op, n, q, t>>: each run with its offset in query and target from the path's start."""
     parts = F.regexp_extract_all(cigar, F.lit(r"([0-9]+[=XDI])"), F.lit(1))
-    made = F.transform(parts, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), F.regexp_extract(p, r"^([0-9]+)", 1).cast("int").alias("n")))
+    made = F.transform(parts, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), F.rtrim(p, F.lit("=XDI")).cast("int").alias("n")))
     kind = "array<struct<op:string,n:int,q:int,t:int>>"
     zero = F.struct(F.lit(0).alias("q"), F.lit(0).alias("t"), F.array().cast(kind).alias("out"))
 
@@ -56,20 +56,19 @@ def operation_counts(cigar: Column) -> Column:
 
 
 def operations(cigar: Column, query: Column, target: Column, query_start: Column, target_start: Column) -> Column:
-    """array<struct<op, query_pos, target_pos, query_base, target_base>> in input coordinates."""
+    """array<struct<op, query_pos, target_pos, query_base, target_base>> in input coordinates; a side that a step leaves out is null."""
+
+    def placed(r: Column) -> Column:
+        return F.struct(op_name(r["op"]).alias("op"), r["n"].alias("n"), F.when(r["op"] != "I", query_start + r["q"]).alias("q"), F.when(r["op"] != "D", target_start + r["t"]).alias("t"))
 
     def spread(r: Column) -> Column:
         def one(k: Column) -> Column:
-            q, t = query_start + r["q"] + k, target_start + r["t"] + k
-            in_q, in_t = r["op"] != "I", r["op"] != "D"
-            return F.struct(
-                op_name(r["op"]).alias("op"), F.when(in_q, q).alias("query_pos"), F.when(in_t, t).alias("target_pos"),
-                F.when(in_q, F.substring(query, q + 1, F.lit(1))).alias("query_base"), F.when(in_t, F.substring(target, t + 1, F.lit(1))).alias("target_base"),
-            )
+            q, t = r["q"] + k, r["t"] + k
+            return F.struct(r["op"].alias("op"), q.alias("query_pos"), t.alias("target_pos"), F.substring(query, q + 1, F.lit(1)).alias("query_base"), F.substring(target, t + 1, F.lit(1)).alias("target_base"))
 
         return F.transform(F.sequence(F.lit(0), r["n"] - 1), one)
 
-    return F.flatten(F.transform(run_list(cigar), spread))
+    return F.flatten(F.transform(F.transform(run_list(cigar), placed), spread))
 
 
 def common_subsequence(cigar: Column, query: Column, query_start: Column) -> Column:
